@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .langid import op3_langid
 from .pii import op1_pii
+from .quality import op10_quality
+from .simhash import op6_simhash
 from .tokenstore import op9_token_store
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_langid, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_langid, op6_simhash, op9_token_store, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
