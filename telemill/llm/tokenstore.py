@@ -33,7 +33,7 @@ END_ID = 1
 #: Chunks end where the rolling hash has MASK_BITS zero bits, after MIN_CHUNK and at MAX_CHUNK ids at the latest.
 MASK_BITS, MIN_CHUNK, MAX_CHUNK, WINDOW = 10, 256, 8192, 16
 #: Words that a task remembers with their ids; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 SEEN_CHUNKS = 200_000
 
 _tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
@@ -70,7 +70,7 @@ def encode_ids(text: str, path: str) -> np.ndarray:
             new = list(dict.fromkeys(pieces))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for p, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+            for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, "<u4").tobytes()
     return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
 
