@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontaminate
 from .langid import op3_langid
 from .licenses import OP7_SQL, op7_licenses
 from .mixing import op4_mixing
@@ -10,5 +11,5 @@ from .quality import op10_quality
 from .simhash import op6_simhash
 from .tokenstore import op9_token_store
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_langid, op4_mixing, op6_simhash, op7_licenses, op9_token_store, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_langid, op4_mixing, op6_simhash, op7_licenses, op9_token_store, op10_quality)}
 ORACLE_SQL: dict[str, str] = {"op7_licenses": OP7_SQL}
