@@ -20,6 +20,7 @@ items are reported under each of their ids; a null id stays null.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,8 +193,6 @@ def _leak_rows(search: _Search):
 
 
 def _is_clean(search: _Search):
-    import pandas as pd
-
     def clean(text: pd.Series) -> pd.Series:
         out = np.ones(len(text), bool)
         out[[g[0] for g in search(list(text))]] = False

@@ -126,5 +126,35 @@ def mixed(docs: DataFrame) -> DataFrame:
     return j.alias("j").join(F.broadcast(sources.alias("s")) if small else sources.alias("s"), _same(F.col("j.source"), F.col("s.source"))).select("doc_id", "j.source", "key", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "taken")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """docs as the mix has them: all columns, text and n_chars (if there) those of the words taken.
+
+    A document taken whole in a pass gives its text, one taken in part the words of
+    its slots' blocks, in order; passes follow each other on lines of their own. A
+    document of which nothing is taken goes. Rows that agree in doc_id, source and
+    text are copies of one row, which takes what they take.
+    """
+    documents, _, slots_ = mix_plan(docs)
+    used = slots_.groupBy("source", "block").agg(F.collect_list(F.struct("pass", "n_words")).alias("takes"))
+    spread = documents.where("size > 0").select("doc_id", "source", "key", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("begin") + F.col("size") - 1) / BLOCK))).alias("block"))
+    j = spread.alias("d").join(used.alias("u"), _same(F.col("d.source"), F.col("u.source")) & (F.col("d.block") == F.col("u.block"))).select("d.*", F.explode("takes").alias("take"))
+    base = F.col("block") * BLOCK
+    lo, hi = F.greatest(F.col("begin") - base, F.lit(0)), F.least(F.col("begin") + F.col("size") - base, F.col("take.n_words"))
+    pieces = j.where(hi > lo).select("doc_id", "source", "key", "begin", "size", F.col("take.pass").alias("pass"), (base + lo - F.col("begin")).cast("int").alias("at"), (hi - lo).cast("int").alias("n"))
+    whole = F.sum("n") == F.col("size")
+    passes = pieces.groupBy("doc_id", "source", "key", "begin", "size", "pass").agg(whole.alias("whole"), F.array_sort(F.collect_list(F.struct("at", "n"))).alias("pieces"))
+    passes = passes.withColumn("pieces", F.when(F.col("whole"), F.array().cast("array<struct<at:int,n:int>>")).otherwise(F.col("pieces")))
+    taken = passes.groupBy("doc_id", "source", "key").agg(F.array_sort(F.collect_list(F.struct("pass", "whole", "pieces"))).alias("__passes")).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__k"), "__passes")
+    keyed = docs.withColumn("__key", F.xxhash64(common.whole_text())).dropDuplicates(["doc_id", "source", "__key"])
+    got = keyed.join(taken, (F.col("__key") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    parts = F.when(F.exists("__passes", lambda p: ~p["whole"]), F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    got = got.withColumn("__words", parts)
+    text = F.array_join(F.transform("__passes", lambda p: F.when(p["whole"], F.col("text")).otherwise(F.array_join(F.transform(p["pieces"], lambda x: F.array_join(F.slice("__words", x["at"] + 1, x["n"]), " ")), " "))), "\n")
+    out = got.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

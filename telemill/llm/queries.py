@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
+from .annsearch import op5_ann
 from .decontaminate import op2_decontaminate
 from .langid import op3_langid
 from .licenses import OP7_SQL, op7_licenses
@@ -11,5 +14,8 @@ from .quality import op10_quality
 from .simhash import op6_simhash
 from .tokenstore import op9_token_store
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_langid, op4_mixing, op6_simhash, op7_licenses, op9_token_store, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_langid, op4_mixing, op5_ann, op6_simhash, op7_licenses, op9_token_store, op10_quality)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {"op7_licenses": OP7_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -253,6 +253,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_linked, "a long, b long")
 
 
+def _classes(fps: DataFrame) -> DataFrame:
+    """fps: doc_id, fp -> fp, root, component_id: each fingerprint once, root naming its class."""
+    reps = common.settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(links(reps.select("fp")))
+    classed = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = classed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return classed.join(named, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text -> doc_id, fp, component_id, a row for each row of docs.
 
@@ -261,12 +270,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id never names a class (null where a class has no other).
     """
     fps = common.settle(fingerprints(docs))
-    reps = common.settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(reps.select("fp")))
-    classed = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = classed.join(named, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(_classes(fps), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, of each class: the smallest doc_id (nulls last), then the smallest text hash.
+
+    Rows are told apart by doc_id and the hash of their text, so different texts
+    under one doc_id are judged each by its own class.
+    """
+    own = F.xxhash64(common.whole_text())
+    keyed = docs.withColumn("__key", own)
+    fps = common.settle(_keyed_fingerprints(docs))
+    classes = _classes(fps.select("doc_id", "fp"))
+    first = fps.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.key").alias("__kept"))
+    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
+    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0)))).where("__n = 1").drop("__n", "__key")
+
+
+def _keyed_fingerprints(docs: DataFrame) -> DataFrame:
+    def batch(cols: dict[str, list]) -> dict[str, list]:
+        fp = [fingerprint(t) for t in cols["text"]]
+        return {"doc_id": cols["doc_id"], "key": cols["key"], "fp": [x - (1 << 64) if x >> 63 else x for x in fp]}
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(common.whole_text()).alias("key"))
+    return common.map_batches(rows, batch, "doc_id long, key long, fp long")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
