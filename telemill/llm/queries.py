@@ -12,9 +12,10 @@ from .mixing import op4_mixing
 from .pii import op1_pii
 from .quality import op10_quality
 from .simhash import op6_simhash
+from .substrings import op8_substrings
 from .tokenstore import op9_token_store
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_langid, op4_mixing, op5_ann, op6_simhash, op7_licenses, op9_token_store, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_langid, op4_mixing, op5_ann, op6_simhash, op7_licenses, op8_substrings, op9_token_store, op10_quality)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {"op7_licenses": OP7_SQL}
 if corpus_pipeline.ORACLE_SQL:
