@@ -30,6 +30,8 @@ from .wordhash import hash_words, mix, shingles
 WIDTH, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 4, 11
 ITEMS = 5000
+#: Texts searched at a time, however large the batches are that Spark sends.
+STEP = 500
 _SIDE = 64 // BLOCKS
 
 
@@ -195,7 +197,8 @@ def _leak_rows(search: _Search):
 def _is_clean(search: _Search):
     def clean(text: pd.Series) -> pd.Series:
         out = np.ones(len(text), bool)
-        out[[g[0] for g in search(list(text))]] = False
+        for at in range(0, len(text), STEP):
+            out[[at + g[0] for g in search(list(text[at : at + STEP]))]] = False
         return pd.Series(out)
 
     return F.pandas_udf(clean, "boolean")
