@@ -35,7 +35,7 @@ def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) ->
     j = df.select(column).crossJoin(F.broadcast(_quantiles(df, column, [low, high])))  # one row of edges
     lo, hi = F.element_at("__q", 1), F.element_at("__q", 2)
     width = F.nullif((hi - lo) / bins, F.lit(0.0))
-    at = F.coalesce(F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)), F.lit(0))
+    at = F.when(width.isNotNull(), F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1))).otherwise(F.lit(0))
     return j.where(F.col(column).between(lo, hi)).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -216,19 +216,19 @@ def marginal(df: DataFrame, column: str, epsilon: float, bins: int = 20, seed: s
 
 def category_marginal(df: DataFrame, columns: list[str], epsilon: float, seed: str = "0") -> DataFrame:
     """The joint noisy shares of the columns' values."""
-    n = df.groupBy(*columns).agg(F.count("*").alias("n")).withColumn("k", F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
-    noisy = n.withColumn("c", F.greatest(F.col("n") + S.laplace("k", seed, 1 / epsilon), F.lit(0.0)))
-    return noisy.select(*columns, S.ratio("c", F.sum("c").over(Window.partitionBy(F.lit(1)))).alias("p"))
+    n = df.groupBy(*columns).agg(F.count("*").alias("__n")).withColumn("__k", F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
+    noisy = n.withColumn("__c", F.greatest(F.col("__n") + S.laplace("__k", seed, 1 / epsilon), F.lit(0.0)))
+    return noisy.select(*columns, S.ratio("__c", F.sum("__c").over(Window.partitionBy(F.lit(1)))).alias("p"))
 
 
 def sample_marginal(dist: DataFrame, n: int, seed: str, numeric: bool) -> DataFrame:
     """n rows drawn from a marginal (a few rows, broadcast); numbers are even within their bin."""
     cols = [c for c in dist.columns if c != "p"]
     run = Window.orderBy(*cols)  # a marginal has few rows
-    cdf = dist.withColumn("b", F.sum("p").over(run)).withColumn("a", F.col("b") - F.col("p"))
-    draws = dist.sparkSession.range(n).select("id", S.uniform("id", seed).alias("u"), S.uniform("id", seed + "j").alias("j"))
-    j = draws.join(F.broadcast(cdf), (F.col("u") > F.col("a")) & (F.col("u") <= F.col("b")))
-    return j.select("id", (F.col("lo") + F.col("j") * (F.col("hi") - F.col("lo"))).alias("value")) if numeric else j.select("id", *cols)
+    cdf = dist.withColumn("__b", F.sum("p").over(run)).withColumn("__a", F.col("__b") - F.col("p"))
+    draws = dist.sparkSession.range(n).select("id", S.uniform("id", seed).alias("__u"), S.uniform("id", seed + "j").alias("__j"))
+    j = draws.join(F.broadcast(cdf), (F.col("__u") > F.col("__a")) & (F.col("__u") <= F.col("__b")))
+    return j.select("id", (F.col("lo") + F.col("__j") * (F.col("hi") - F.col("lo"))).alias("value")) if numeric else j.select("id", *cols)
 
 
 def fan_out(entities: DataFrame, key: str, items: DataFrame, item: str, weight: str, mean: float, seed: str) -> DataFrame:
