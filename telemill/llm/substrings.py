@@ -40,7 +40,9 @@ from . import common
 from .wordhash import _BASE, _INVERSE, _power, mix
 
 WIDTH, GRAM = 50, 12
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
+#: Bytes of text hashed in one step, and packed in one go.
+STEP_BYTES, BATCH_BYTES = 2 << 20, 16 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -72,51 +74,80 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.cumsum(step)] if total else data[:0]
 
 
-def cut_pieces(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
-    """(shard, packed pieces) of a batch of texts. docs: order numbers, keys: hashes of the texts."""
+def _table(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Pieces of some texts: text number, first byte in the text, first byte in all, size, content hash, key."""
     data = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(size)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
     n = len(data)
     if n < WIDTH:
-        return []
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
     key = string_keys(data, sums)
-    doc = np.repeat(np.arange(len(texts)), size)[: len(key)]
-    valid = np.arange(len(key)) + WIDTH <= ends[doc]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(key)) - 1
-    good = valid[first]
-    first, last = first[good], last[good]
-    if not len(first):
-        return []
-    size = last - first + WIDTH
+    # a piece ends where the key changes and where a text's strings end
+    new = np.ones(len(key) + 1, bool)
+    new[1:-1] = key[1:] != key[:-1]
+    inner = ends[:-1]
+    new[np.minimum(inner, len(key))] = True
+    new[np.clip(ends - WIDTH + 1, 0, len(key))] = True
+    edge = np.flatnonzero(new)
+    first, last = edge[:-1], edge[1:]
+    doc = np.searchsorted(ends, first, "right")
+    good = first + WIDTH <= ends[doc]
+    first, last, doc = first[good], last[good], doc[good]
+    size = last - first + WIDTH - 1
     content = mix((sums[first + size] - sums[first]) * _power(_INVERSE, n + 1)[first]) ^ size.astype(np.uint64)
+    return doc, first - (ends - lengths)[doc], first, size, content, key[first]
+
+
+def cut_pieces(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
+    """(shard, packed pieces) of a batch of texts. docs: order numbers; keys: what else tells the rows apart."""
+    tables, number, base, at = [], 0, 0, 0
+    while at < len(texts):  # two MB at a time: the arrays here are some forty times the text
+        end, total = at, 0
+        while end < len(texts) and (end == at or total + len(texts[end]) <= STEP_BYTES):
+            total += len(texts[end])
+            end += 1
+        t = _table(texts[at:end])
+        tables.append((t[0] + at, t[1], t[2] + base, *t[3:]))
+        base += total
+        at = end
+    doc, place, first, size, content, key = (np.concatenate(c) for c in zip(*tables, strict=True)) if tables else [np.zeros(0, np.int64)] * 6
+    if not len(doc):
+        return []
+    data = np.frombuffer(b"".join(texts), np.uint8)
     _, lead, same = np.unique(content, return_index=True, return_inverse=True)
-    shard = (mix(key[first[lead]] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(shards)).astype(np.int64)
+    # pieces in the order of the texts, so that neighbours differ little
+    order = np.argsort(lead, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    lead, same = lead[order], back[same]
+    spread = mix(key[lead] ^ np.uint64(0x5851F42D4C957F2D))
+    shard = (spread % np.uint64(shards)).astype(np.int64)
     by_shard = np.argsort(shard, kind="stable")
     where = np.argsort(shard[same], kind="stable")
+    numbers = np.arange(shards + 1)
+    cuts, wcuts = np.searchsorted(shard[by_shard], numbers), np.searchsorted(shard[same][where], numbers)
     number = np.empty(len(lead), np.int64)
+    pack = zstandard.ZstdCompressor(level=3)
     out = []
-    pack = zstandard.ZstdCompressor(level=1)
-    begin_doc = ends - np.array([len(t) for t in texts], np.int64)
-    cuts, wcuts = np.searchsorted(shard[by_shard], np.arange(shards + 1)), np.searchsorted(shard[same][where], np.arange(shards + 1))
     for s in np.unique(shard).tolist():
-        u = by_shard[cuts[s] : cuts[s + 1]]
-        o = where[wcuts[s] : wcuts[s + 1]]
+        u, o = by_shard[cuts[s] : cuts[s + 1]], where[wcuts[s] : wcuts[s + 1]]
         number[u] = np.arange(len(u))
-        at = doc[first[o]]
-        head = np.array([len(u), len(o)], np.int64)
-        blob = b"".join([head.tobytes(), size[lead[u]].astype(np.int64).tobytes(), key[first[lead[u]]].tobytes(), number[same[o]].astype(np.int32).tobytes(), docs[at].tobytes(), keys[at].tobytes(), (first[o] - begin_doc[at]).astype(np.int64).tobytes(), _gather(data, first[lead[u]], size[lead[u]]).tobytes()])
-        out.append((s, pack.compress(blob)))
+        d = doc[o]
+        parts = [np.array([len(u), len(o)], np.int64), size[lead[u]].astype(np.uint32), (spread[u] >> np.uint64(32)).astype(np.uint32), _delta(number[same[o]]), _delta(docs[d]), _delta(keys[d]), place[o].astype(np.int64)]
+        out.append((s, pack.compress(b"".join([*(x.tobytes() for x in parts), _gather(data, first[lead[u]], size[lead[u]]).tobytes()]))))
     return out
 
 
+def _delta(x: np.ndarray) -> np.ndarray:
+    return np.diff(x.astype(np.int64), prepend=np.int64(0))
+
+
 class Pieces:
-    """The packed pieces of a shard, put together."""
+    """The packed pieces of a shard, put together; equal ones are one piece."""
 
     def __init__(self, blobs: list[bytes]):
         parts: list[list[np.ndarray]] = [[] for _ in range(7)]
@@ -125,13 +156,34 @@ class Pieces:
             raw = zstandard.ZstdDecompressor().decompress(blob)
             n, m = np.frombuffer(raw, np.int64, 2).tolist()
             at = 16
-            for k, (dtype, count) in enumerate((("<i8", n), ("<u8", n), ("<i4", m), ("<i8", m), ("<i8", m), ("<i8", m))):
+            for k, (dtype, count) in enumerate((("<u4", n), ("<u4", n), ("<i8", m), ("<i8", m), ("<i8", m), ("<i8", m))):
                 x = np.frombuffer(raw, dtype, count, at)
                 at += x.nbytes
+                x = np.cumsum(x) if k in (2, 3, 4) else x.astype(np.int64)
                 parts[k].append(x + pieces if k == 2 else x)
             parts[6].append(np.frombuffer(raw, np.uint8, offset=at))
             pieces += n
         self.size, self.key, self.piece, self.doc, self.text_key, self.at, self.data = (np.concatenate(p) for p in parts)
+        self.begin = np.cumsum(self.size) - self.size
+        _, lead, same = np.unique(_contents(self.data, self.begin, self.size) ^ (self.key.astype(np.uint64) << np.uint64(32)), return_index=True, return_inverse=True)
+        self.size, self.key, self.begin, self.piece = self.size[lead], self.key[lead], self.begin[lead], same[self.piece]
+
+
+def _contents(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of slices that follow each other, some two MB at a time."""
+    out = np.empty(len(begin), np.uint64)
+    ends = begin + size
+    at = 0
+    while at < len(begin):
+        stop = max(at + 1, int(np.searchsorted(ends, begin[at] + STEP_BYTES, "right")))
+        low = int(begin[at])
+        part = data[low : int(ends[stop - 1])]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(part)), out=sums[1:])
+        b, e = begin[at:stop] - low, ends[at:stop] - low
+        out[at:stop] = mix((sums[e] - sums[b]) * _power(_INVERSE, len(part) + 1)[b]) ^ size[at:stop].astype(np.uint64)
+        at = stop
+    return out
 
 
 def sorted_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,70 +205,76 @@ def sorted_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
 
 def shard_spans(p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc, text_key, start, end of runs of strings that an earlier document has."""
-    none = np.zeros(0, np.int64)
-    least = np.full(len(p.size), _LAST, np.int64)
+    n = len(p.size)
+    least = np.full(n, _LAST, np.int64)
     np.minimum.at(least, p.piece, p.doc)
-    most = np.full(len(p.size), -(1 << 63), np.int64)
+    most = np.full(n, -(1 << 63), np.int64)
     np.maximum.at(most, p.piece, p.doc)
-    _, group = np.unique(p.key, return_inverse=True)
-    low, high = np.full(group.max(initial=-1) + 1, _LAST, np.int64), np.full(group.max(initial=-1) + 1, -(1 << 63), np.int64)
+    _, group, members = np.unique(p.key, return_inverse=True, return_counts=True)
+    low, high = np.full(len(members), _LAST, np.int64), np.full(len(members), -(1 << 63), np.int64)
     np.minimum.at(low, group, least)
     np.maximum.at(high, group, most)
-    kept = (low < high)[group]
-    if not kept.any():
-        return none, none, none, none
-    begin = np.cumsum(p.size) - p.size
-    old = np.flatnonzero(kept)
-    size = p.size[old]
-    data = _gather(p.data, begin[old], size)
-    begin = np.cumsum(size) - size
-    strings = size - WIDTH + 1
-    first_string = np.cumsum(strings) - strings
-    piece_of = np.repeat(np.arange(len(old)), strings)
-    starts = begin[piece_of] + np.arange(len(piece_of)) - first_string[piece_of]
-    order, new = sorted_suffixes(data, starts)
-    heads = np.flatnonzero(new)
-    mins = np.minimum.reduceat(least[old][piece_of[order]], heads)
-    earliest = np.empty(len(order), np.int64)
-    earliest[order] = np.repeat(mins, np.diff(np.append(heads, len(order))))
-    renumber = np.full(len(p.size), -1, np.int64)
-    renumber[old] = np.arange(len(old))
-    uses = np.flatnonzero(kept[p.piece])
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    weight = np.cumsum(strings[renumber[p.piece[uses]]])
-    step = 0
-    while step < len(uses):  # some two million strings at a time
-        stop = max(step + 1, int(np.searchsorted(weight, (weight[step - 1] if step else 0) + (1 << 21), "right")))
-        use = uses[step:stop]
-        step = stop
-        u = renumber[p.piece[use]]
-        count = strings[u]
-        of = np.repeat(np.arange(len(use)), count)
-        k = np.arange(len(of)) - (np.cumsum(count) - count)[of]
-        gone = earliest[first_string[u][of] + k] < p.doc[use][of]
-        edge = np.zeros(len(gone) + 2, np.int8)
-        edge[1:-1] = gone
-        turn = np.diff(edge)
-        head = np.zeros(len(gone) + 1, bool)
-        head[:-1] = k == 0
-        # a run ends where it turns, and where the next use begins
-        a = np.flatnonzero((turn[:-1] == 1) | (gone & head[:-1]))
-        b = np.flatnonzero(np.append((turn[1:-1] == -1) | (gone[:-1] & head[1:-1]), gone[-1:])) if len(gone) else none
-        w = use[of[a]]
-        for col, x in zip(out, (p.doc[w], p.text_key[w], p.at[w] + k[a], p.at[w] + k[b] + WIDTH), strict=True):
-            col.append(x)
+    shared = (low < high)[group]
+    alone = members[group] == 1
+    # the only piece of its key: all its strings have been where the piece has been
+    use = np.flatnonzero((shared & alone)[p.piece] & (least[p.piece] < p.doc))
+    out = [[p.doc[use]], [p.text_key[use]], [p.at[use]], [p.at[use] + p.size[p.piece[use]]]]
+    old = np.flatnonzero(shared & ~alone)
+    if len(old):
+        size = p.size[old]
+        data = _gather(p.data, p.begin[old], size)
+        begin = np.cumsum(size) - size
+        strings = size - WIDTH + 1
+        first = np.cumsum(strings) - strings
+        owner = np.repeat(np.arange(len(old)), strings)
+        starts = begin[owner] + np.arange(len(owner)) - first[owner]
+        earliest = least[old][owner]
+        # strings that stand once need no place in the order: equal hashes tell which may stand twice
+        hashes = _contents(data, starts, np.full(len(starts), WIDTH, np.int64))
+        _, same, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        twice = np.flatnonzero(times[same] > 1)
+        if len(twice):
+            order, new = sorted_suffixes(data, starts[twice])
+            heads = np.flatnonzero(new)
+            by_order = twice[order]
+            earliest[by_order] = np.repeat(np.minimum.reduceat(earliest[by_order], heads), np.diff(np.append(heads, len(order))))
+        renumber = np.full(n, -1, np.int64)
+        renumber[old] = np.arange(len(old))
+        uses = np.flatnonzero(renumber[p.piece] >= 0)
+        weight = np.cumsum(strings[renumber[p.piece[uses]]])
+        step = 0
+        while step < len(uses):  # some million strings at a time
+            stop = max(step + 1, int(np.searchsorted(weight, (weight[step - 1] if step else 0) + (1 << 20), "right")))
+            for col, x in zip(out, _gone(p, uses[step:stop], renumber, strings, first, earliest), strict=True):
+                col.append(x)
+            step = stop
     return tuple(np.concatenate(c) for c in out)
 
 
+def _gone(p: Pieces, use: np.ndarray, renumber: np.ndarray, strings: np.ndarray, first: np.ndarray, earliest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of strings of these uses of pieces whose earliest document is an earlier one."""
+    u = renumber[p.piece[use]]
+    count = strings[u]
+    of = np.repeat(np.arange(len(use)), count)
+    k = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+    gone = earliest[first[u][of] + k] < p.doc[use][of]
+    begins, ends = gone.copy(), gone.copy()
+    begins[1:] &= ~gone[:-1] | (k[1:] == 0)
+    ends[:-1] &= ~gone[1:] | (k[1:] == 0)
+    a, b = np.flatnonzero(begins), np.flatnonzero(ends)
+    w = use[of[a]]
+    return p.doc[w], p.text_key[w], p.at[w] + k[a], p.at[w] + k[b] + WIDTH
+
+
 def _pieces_of(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             docs, keys = batch.column("ord").to_numpy(), batch.column("key").to_numpy()
             at = 0
-            while at < len(texts):  # about eight MB at a time
+            while at < len(texts):
                 end, total = at, 0
-                while end < len(texts) and (end == at or total + len(texts[end]) <= 8 << 20):
+                while end < len(texts) and (end == at or total + len(texts[end]) <= BATCH_BYTES):
                     total += len(texts[end])
                     end += 1
                 out = cut_pieces(texts[at:end], docs[at:end], keys[at:end], shards)
@@ -253,19 +311,25 @@ def repeated_spans(rows: DataFrame, n_bytes: int) -> DataFrame:
     return blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_shard_rows, "ord long, key long, start long, end long")
 
 
+def _packed(cols: dict[str, list]) -> dict[str, list]:
+    pack = zstandard.ZstdCompressor(level=3)
+    return {k: cols[k] for k in ("doc_id", "ord", "key", "copy")} | {"packed": [pack.compress(t.encode("utf-8", "surrogatepass")) for t in cols["text"]]}
+
+
 def _remaining(cols: dict[str, list]) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-    for doc_id, text, copy, spans in zip(cols["doc_id"], cols["text"], cols["copy"], cols["spans"], strict=True):
-        data = text.encode("utf-8", "surrogatepass")
+    unpack = zstandard.ZstdDecompressor()
+    for doc_id, packed, copy, spans in zip(cols["doc_id"], cols["packed"], cols["copy"], cols["spans"], strict=True):
+        data = unpack.decompress(packed)
         if copy:
             runs = [[0, len(data)]] if len(data) >= WIDTH else []
         else:
             runs = []
-            for s in sorted((s["start"], s["end"]) for s in spans or ()):
-                if runs and s[0] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], s[1])
+            for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], b)
                 else:
-                    runs.append(list(s))
+                    runs.append([a, b])
         kept, at = [], 0
         for a, b in runs:
             kept.append(data[at:a])
@@ -280,16 +344,25 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """docs: doc_id, text -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes)."""
     text = common.whole_text().cast("string")
     doc = F.col("doc_id").cast("long")
-    rows = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(_LAST)).alias("ord"), text.alias("text"), F.xxhash64(text).alias("key"), F.md5(text.cast("binary")).alias("same"))
+    rows = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(_LAST)).alias("ord"), text.alias("text"), F.md5(text.cast("binary")).alias("same"))
     slim = common.settle(rows.select("ord", "same", F.octet_length("text").cast("long").alias("n")))
     n_bytes = slim.agg(F.sum("n")).first()[0] or 0
     groups = common.settle(slim.groupBy("same").agg(F.min("ord").alias("lead"), F.count("*").alias("m")).where("m > 1").select("same", "lead"))
     # texts that occur more than once; sent whole only while they are few
     known = F.broadcast(groups) if groups.count() <= 300_000 else groups
-    marked = rows.join(known, "same", "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("lead"), F.lit(False))).drop("same", "lead")
+    marked = rows.join(known, "same", "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("lead"), F.lit(False)))
+    # rows are told apart by doc_id; by their text as well only where a doc_id comes again
+    again = common.settle(slim.groupBy("ord").count().where("count > 1").select("ord"))
+    n_again = again.count()
+    if n_again:
+        twice = again.withColumn("again", F.lit(True))
+        marked = marked.join(F.broadcast(twice) if n_again <= 300_000 else twice, "ord", "left").withColumn("key", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)))
+    else:
+        marked = marked.withColumn("key", F.lit(0).cast("long"))
     spans = repeated_spans(marked.where(~F.col("copy")), n_bytes)
     by_doc = spans.groupBy("ord", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = marked.join(by_doc, ["ord", "key"], "left").select("doc_id", "text", "copy", "spans")
+    packed = common.map_batches(marked.select("doc_id", "ord", "key", "copy", "text"), _packed, "doc_id long, ord long, key long, copy boolean, packed binary")
+    joined = packed.join(by_doc, ["ord", "key"], "left").select("doc_id", "packed", "copy", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return common.map_batches(joined, _remaining, schema + (", kept binary" if with_bytes else ""))
 
