@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,11 +33,13 @@ from . import common
 END_ID = 1
 #: Chunks end where the rolling hash has MASK_BITS zero bits, after MIN_CHUNK and at MAX_CHUNK ids at the latest.
 MASK_BITS, MIN_CHUNK, MAX_CHUNK, WINDOW = 10, 256, 8192, 16
-#: Words that a task remembers with their ids; then it starts anew.
-CACHE_WORDS = 1_200_000
+#: Words that a worker remembers with their ids; then it starts anew.
+CACHE_WORDS = 900_000
 SEEN_CHUNKS = 200_000
 
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: Text of these characters alone splits into words by a plain rule (see Encoder).
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\\[-`{-~\t-\r ]*")
+_WORDS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-;=-@\\[-`{-~]+")
 
 
 def default_vocabulary() -> str:
@@ -45,34 +48,70 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+class Encoder:
+    """The tokenizer's ids of whole texts, each distinct word encoded once.
+
+    This vocabulary's tokenizer lower-cases, drops white space, and encodes each
+    word by itself: a run of letters, a digit, or a run of other characters. So the
+    ids of a text are those of its blank-separated pieces in order, and those of a
+    text or piece without apostrophes, markup or rare characters those of its words.
+    All encoding is the tokenizer's: new words go to it many at a time, blanks
+    between, and come apart at the tokens that end a word.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+
+    def _split(self, text: str) -> list[str]:
+        """Words, and blank-separated pieces that no plain rule splits."""
+        if _PLAIN.fullmatch(text):
+            return _WORDS.findall(text.lower())
+        return [w for p in text.split(" ") for w in (_WORDS.findall(p.lower()) if _PLAIN.fullmatch(p) else (p,))]
+
+    def _learn(self, new: list[str]) -> None:
+        words = [w for w in new if _WORDS.fullmatch(w)]
+        rest = [w for w in new if not _WORDS.fullmatch(w)]
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                data = ids.tobytes()
+                self.words.update((w, data[a:b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
+            else:
+                rest += part
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for at in range(0, len(texts), 100):
+            split = [self._split(t) for t in texts[at : at + 100]]
+            distinct = set().union(*split)
+            new = distinct.difference(self.words)
+            if len(self.words) + len(new) > CACHE_WORDS:
+                self.words.clear()
+                new = distinct
+            if new:
+                self._learn(sorted(new))
+            out += [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<u4") for ws in split]
+        return out
 
 
-def encode_ids(text: str, path: str) -> np.ndarray:
-    """The tokenizer's ids of a whole text, as unsigned 32-bit.
+_encoders: dict[str, Encoder] = {}
 
-    This vocabulary's tokenizer drops white space and never joins across it, so
-    the ids of a text are those of its blank-separated pieces in order. Pieces
-    recur; each task encodes a piece once and remembers it.
-    """
-    tokenizer, known = _tokenizer(path)
-    pieces = text.split(" ")
-    new = [p for p in dict.fromkeys(pieces) if p not in known]
-    if new:
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(pieces))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-    return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -117,8 +156,9 @@ def chunk_uses(docs: DataFrame, vocabulary: str) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 out: list[list] = [[] for _ in arrow]
-                for doc_id, text, row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    ids = np.append(encode_ids(text, vocabulary), np.uint32(END_ID)).astype("<u4")
+                doc_ids, texts, numbers = (c.to_pylist() for c in part.columns)
+                for doc_id, encoded, row in zip(doc_ids, encoder(vocabulary)(texts), numbers, strict=True):
+                    ids = np.append(encoded, np.uint32(END_ID)).astype("<u4")
                     begin = 0
                     for seq, end in enumerate(cut_points(ids)):
                         data = ids[begin:end].tobytes()
