@@ -1,0 +1,465 @@
+"""Each corpus operator against a brute-force version, and on odd tables."""
+
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from telemill.llm import annsearch, common, decontaminate, langid, licenses, mixing, pii, quality, simhash, substrings, tokenstore
+from telemill.llm import components as C
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Column names that operators use inside, and extra ones.
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, key long, fp long, spans string, size int, row int, words string, n int"
+
+
+def docs(spark, texts, first=0):
+    return spark.createDataFrame([(first + i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+def odd(spark):
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "a b"), (6, long), (7, long), (7, long), (None, "null id has some words in it"), (9, "Ünïcödé wörds ✓ 漢字 \x1f"), (10, "%%% ||| ###"), (4, "a")]
+    return spark.createDataFrame([(i, t, None if i == 9 else "en", None if i == 5 else "s", None, 1, 2, "x", 3, 4, "y", 5) for i, t in rows], CLASH)
+
+
+# --- personal data ---
+
+
+def brute_pii(text):
+    text, out = text or "", []
+    out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d))) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+    return out
+
+
+def test_pii_base_is_the_patterns():
+    rng = np.random.default_rng(0)
+    alphabet = list("aZ0123456789.@+-() _%é") + ["@b.co", "+1 (017) 555-7713", "4539 1488 0343 6467", "1.2.3.4", "192.168.0.1"]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet, rng.integers(0, 40)))
+        assert pii.scan(text)[0] == brute_pii(text), text
+
+
+def test_pii_more_kinds_and_linear_time():
+    kinds = lambda t: [s[0] for s in pii.scan(t)[1]]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00") == ["iban"] and kinds("DE88 3704 0044 0532 0130 00") == []
+    assert kinds("my ssn is 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+    assert kinds('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"') == ["secret"]
+    for t in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "+1" * 200_000, "@" * 400_000, "a@" * 200_000, "0" * 5000 + ".1.2.3"):
+        pii.scan(t)
+    base, more = pii.scan("Call 017 555-7713 or a@b.co")
+    spans = [dict(zip(("kind", "start", "end"), s[:3], strict=True)) for s in base + more]
+    assert pii.redact("Call 017 555-7713 or a@b.co", spans) == "Call [phone_local] or [email]"
+
+
+def test_pii_query(spark, tmp_path):
+    docs(spark, ["a@b.co 1.2.3.4", None]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.op1_pii(spark, str(tmp_path)).collect()}
+    assert got[0]["spans"] == "email:0:6,ip:7:14" and got[0]["base_sha256"] == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest()
+    assert got[1]["n_email"] == 0 and got[1]["spans"] == ""
+
+
+# --- decontamination ---
+
+
+def test_leaks_against_all_windows(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = [f"v{i}" for i in range(400)]
+    make = lambda n: list(rng.choice(vocabulary, n))
+    items = [make(int(n)) for n in rng.integers(4, 60, 40)]
+    texts = []
+    for k in range(120):
+        w = make(300)
+        if k % 3 == 0:
+            it = list(items[k % 40])
+            if k % 2 and len(it) > 40:
+                it[len(it) // 2] = "changed"
+            w[100:100] = it
+        texts.append(" ".join(w).upper() + " -- ")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs(spark, texts), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        w = t.lower().replace("-", " ").split()
+        for i, it in enumerate(items):
+            if len(it) < 5:
+                continue
+            grams = lambda x: [tuple(x[j : j + 5]) for j in range(len(x) - 4)]
+            g = grams(it)
+            best = 0.0
+            for s in range(len(w) - len(it) + 1):
+                if not set(g) & set(grams(w[s : s + len(it)])):
+                    continue
+                a, b = grams(w[s : s + len(it)]), list(g)
+                inter = sum(min(a.count(x), b.count(x)) for x in set(a))
+                best = max(best, inter / (len(a) + len(b) - inter))
+            if best >= 0.8:
+                want[d, i] = best
+    assert set(got) == set(want) and all(got[k]["similarity"] == pytest.approx(want[k]) for k in want)
+    assert any(x < 1 for x in want.values())
+    clean = decontaminate.clean_documents(docs(spark, texts), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in want} and clean.columns == docs(spark, []).columns
+
+
+def test_hamming_blocks_find_all_within_the_radius():
+    rng = np.random.default_rng(2)
+    near = decontaminate._near_values()
+    for _ in range(300):
+        flips = rng.choice(64, decontaminate.RADIUS, replace=False)
+        x = int(rng.integers(0, 2**63))
+        y = x
+        for f in flips.tolist():
+            y ^= 1 << f
+        side = decontaminate._SIDE
+        assert any(((x ^ y) >> (b * side)) & ((1 << side) - 1) in set(near.tolist()) for b in range(decontaminate.BLOCKS))
+
+
+# --- languages ---
+
+
+def test_language_held_out_accuracy(spark):
+    rng = np.random.default_rng(3)
+    parts = {"aa": ["th", "ing", "ou", "er"], "bb": ["sch", "ung", "ein", "ich"], "cc": ["ción", "ez", "os", "ll"]}
+    rows = []
+    for i in range(900):
+        lang = ["aa", "bb", "cc"][i % 3]
+        rows.append((i, " ".join("".join(rng.choice(parts[lang], 3)) for _ in range(20)), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(langid.sample_rows(df.where("doc_id % 4 <> 2")))
+    again = langid.fit(langid.sample_rows(df.where("doc_id % 4 <> 2").repartition(7)))
+    assert model.dumps() == again.dumps()
+    got = langid.identify(df.where("doc_id % 4 = 2"), model).join(df, "doc_id").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok"), "score").agg(F.avg("ok"), F.min("score"), F.max("score")).first()
+    assert got[0] >= 0.98 and 0 <= got[1] <= got[2] <= 1
+    assert model.predict(None) == ("und", 0.0, True) and model.predict("123 !?")[0] == "und" and model.predict("é")[0] in model.labels
+    assert langid.fit([]).predict("text") == ("und", 0.0, True)
+    assert langid.Model.loads(model.dumps()).predict("ingou therou") == model.predict("ingou therou")
+
+
+# --- mixing ---
+
+
+def brute_targets(sizes):
+    names = sorted((n for n in sizes if n is not None)) + ([None] if None in sizes else [])
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    total, free, got = sum(sizes.values()), set(names), {}
+    while free:
+        left = total - sum(got.values())
+        share = {n: left * weight[n] / sum(weight[m] for m in free) for n in free}
+        over = {n for n in free if share[n] > 3 * sizes[n]}
+        if not over:
+            got |= share
+            break
+        got |= {n: 3.0 * sizes[n] for n in over}
+        free -= over
+    return got
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix(spark, seed):
+    rng = np.random.default_rng(seed)
+    names = ["b", "a", "é", None, "zz", "tiny"]
+    rows = []
+    for i in range(200):
+        s = names[int(rng.integers(0, 5))] if i else "tiny"
+        rows.append((i, " ".join(["w"] * int(rng.integers(0, 400))) or None, s))
+    df = spark.createDataFrame([*rows, rows[5], rows[5]], "doc_id long, text string, source string")
+    got = mixing.mixed(df).collect()
+    again = mixing.mixed(df.repartition(5)).collect()
+    pick = lambda rs: sorted((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in rs)
+    assert pick(got) == pick(again) and len(got) == 202
+    sizes = {}
+    for _, t, s in [*rows, rows[5], rows[5]]:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = brute_targets(sizes)
+    taken = {}
+    for r in got:
+        assert r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    out = mixing.mixed_documents(df).collect()
+    words = {}
+    for r in out:
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    # the three equal rows count as copies of one row, which stands once for each of them that is taken
+    assert all(abs(words.get(s, 0) - want[s]) <= 1 for s in want)
+
+
+def test_mix_texts_are_the_words_taken(spark):
+    df = spark.createDataFrame([(i, " ".join(f"d{i}w{k}" for k in range(90 + i)), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mixed(df).collect()}
+    out = {r["doc_id"]: r["text"].split() for r in mixing.mixed_documents(df).collect()}
+    assert {i for i, n in taken.items() if n} == set(out)
+    for i, ws in out.items():
+        assert len(ws) == taken[i] and all(w.startswith(f"d{i}w") for w in ws)
+
+
+# --- nearest neighbours ---
+
+
+def test_ann_recall_and_ties(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32)) + 2 * rng.normal(size=(20, 32))[rng.integers(0, 20, 3000)]
+    x[500:700] = x[500]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    bad = [(9000, None), (9001, []), (9002, [0.0] * 32), (9003, [float("nan")] * 32), (9004, [None] * 32), (9005, [1.0] * 5), (9100, [float("inf")] + [1.0] * 31)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in annsearch.nearest(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 3000, 100))
+    hits = total = 0
+    for q, found in got.items():
+        found.sort()
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        order = np.lexsort((np.arange(3000), d))[:10]
+        assert [f[0] for f in found] == list(range(1, 11))
+        assert all(f[2] == pytest.approx(np.linalg.norm(x[f[1]] - x[q]), abs=1e-12) for f in found)
+        hits += len(set(order.tolist()) & {f[1] for f in found})
+        total += 10
+    assert hits / total >= 0.9
+    assert [f[1] for f in got[500]] == list(range(501, 511))
+    assert annsearch.nearest(df.where("vec_id >= 9000"), df).count() == 0
+    few = annsearch.nearest(df.where("vec_id in (0, 1, 2)"), df.where("vec_id = 0")).collect()
+    assert {r["vec_id"] for r in few} == {1, 2}
+
+
+# --- SimHash ---
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    words = [w for w in re.split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_classes(fps):
+    label = list(range(len(fps)))
+    change = True
+    while change:
+        change = False
+        for i in range(len(fps)):
+            for j in range(len(fps)):
+                if bin(fps[i] ^ fps[j]).count("1") <= 3 and label[j] < label[i]:
+                    label[i], change = label[j], True
+    return label
+
+
+def test_simhash_classes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [[f"w{v}" for v in rng.integers(0, 5000, 150)] for _ in range(12)]
+    texts = []
+    for b in base:
+        for _ in range(8):
+            w = list(b)
+            w[int(rng.integers(0, len(w)))] = "Changed"
+            texts.append(" ".join(w))
+    texts += [None, "", "A b", "a B", texts[0]]
+    monkeypatch.setattr(simhash, "BLOCK", 4)  # hot keys are dealt out in blocks
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    fps = [brute_fingerprint(t) for t in texts]
+    assert [got[i]["fp"] % (1 << 64) for i in range(len(texts))] == fps
+    assert [got[i]["component_id"] for i in range(len(texts))] == brute_classes(fps)
+    kept = simhash.keep_one_each(docs(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(brute_classes(fps)))
+
+
+def test_golay_keys_meet():
+    g = simhash.golay()
+    assert len(set(g.error.tolist())) == 2048 and max(bin(int(e)).count("1") for e in g.error) == 3
+    rng = np.random.default_rng(6)
+    fp = rng.integers(-(2**63), 2**63 - 1, 3000)
+    other = fp.copy()
+    for i in range(len(fp)):
+        for b in rng.choice(64, int(rng.integers(0, 4)), replace=False).tolist():
+            other[i] ^= np.int64(-(1 << 63)) if b == 63 else np.int64(1 << b)
+    own = simhash.index_keys(other)
+    rows, keys = simhash.probe_keys(fp)
+    met = np.zeros(len(fp), bool)
+    np.logical_or.at(met, rows, (own[rows] == keys[:, None]).any(1))
+    assert met.all()
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(60)] + [(100, 101), (200, 150), (150, 175), (5, 5)]
+    star = [(1000, 1001 + i) for i in range(300)]
+    got = {r["node"]: r["root"] for r in C.connected_components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(61)) and got[101] == 100 and got[200] == 150 == got[175] and all(got[1001 + i] == 1000 for i in range(300))
+    assert C.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- licenses ---
+
+
+def test_licenses(spark):
+    filler = " ".join(f"x{i}" for i in range(500))
+    near = "permission is hereby granted free of charge to any person who gets a copy of this software"
+    texts = [None, "", "Released Under the MIT-License, under the mit license!", filler + " Licensed under CC BY-NC 4.0", filler + " " + near + " " + filler, "the mit of under license", "under the mit licences", "Apache License, Version 2.0"]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, texts)).collect()}
+    places = {i: [(p["start"], p["label"]) for p in got[i]["places"]] for i in got}
+    assert places[2] == [(1, "mit"), (5, "mit")] and places[3] == [(502, "cc-by-nc")] and places[7] == [(0, "apache-2")] and not places[0] and not places[5]
+    assert [m["label"] for m in got[4]["matches"]] == ["mit"] and 0.8 <= got[4]["matches"][0]["score"] < 1
+    assert not got[6]["matches"] and got[0]["n_words"] == 0
+
+
+# --- repeated substrings ---
+
+
+def brute_removal(rows, width=50):
+    seen_before: dict[bytes, int] = {}
+    for d, b in rows:
+        for i in range(len(b) - width + 1):
+            seen_before[b[i : i + width]] = min(d, seen_before.get(b[i : i + width], d))
+    out = {}
+    for d, b in rows:
+        gone = bytearray(len(b))
+        for i in range(len(b) - width + 1):
+            if seen_before[b[i : i + width]] < d:
+                gone[i : i + width] = b"\x01" * width
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        runs = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
+        out.setdefault(d, []).append((len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return {d: sorted(v) for d, v in out.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substrings(spark, seed):
+    rng = np.random.default_rng(seed)
+    piece = lambda n: "".join(rng.choice(list("abé "), n))
+    shared = [piece(int(n)) for n in (49, 50, 51, 80, 200, 400)]
+    rows = []
+    for i in range(70):
+        t = "".join(piece(int(rng.integers(0, 90))) + shared[int(rng.integers(0, 6))] for _ in range(int(rng.integers(0, 4))))
+        rows.append((int(rng.integers(0, 60)), t))
+    rows += [(100, "ab" * 300), (101, "ab" * 200), (102, "ab" * 25), (103, "a" * 49), (104, "a" * 49), (105, "x" + rows[0][1]), (106, ""), (107, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in substrings.remove_repeats(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
+    want = brute_removal([(d, (t or "").encode()) for d, t in rows])
+    assert {d: sorted(v) for d, v in got.items()} == want
+
+
+def test_sorted_suffixes():
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    starts = np.arange(0, len(data) - 50)
+    order, new = substrings.sorted_suffixes(data, starts)
+    raw = data.tobytes()
+    keys = [raw[i : i + 50] for i in starts[order].tolist()]
+    assert keys == sorted(keys) and [bool(x) for x in new] == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
+
+
+# --- token store ---
+
+
+def test_token_store_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(8)
+    words = ["Hello,", "wörld", "don't", "it's 42", "<|endoftext|>", "\n\n", " x", "ﬁ", "é", "漢字", "İ", "ΣΑΣ", "\x1c", "a b", "__", "x" * 300]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 60)))) for _ in range(60)] + [None, "", "  ", " ".join(rng.choice(words, 20_000))]
+    texts += [texts[-1], texts[-1] + " tail"]
+    folder = common.shared_path(spark, "test-store")
+    df = docs(spark, texts).repartition(3)
+    tokenstore.write_store(df, folder)
+    t = Tokenizer.from_file(tokenstore.default_vocabulary())
+    want, start = {}, 0
+    for i, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids + [1]
+        want[i] = (start, ids)
+        start += len(ids)
+    assert {r["doc_id"]: (r["start"], r["ids"]) for r in tokenstore.read_ids(spark, folder).collect()} == want
+    index = {r["doc_id"]: r for r in tokenstore.read_index(spark, folder).collect()}
+    for i, (s, ids) in want.items():
+        r = index[i]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"], r["verified"]) == (s, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+    chunks = tokenstore.read_chunks(spark, folder)
+    assert chunks.count() == chunks.select("hash").distinct().count()
+    assert chunks.agg(F.sum("n")).first()[0] < start  # the long text is stored once
+    assert spark.read.parquet(f"{folder}/manifest").agg(F.sum("documents")).first()[0] == len(texts)
+
+
+def test_crc_join():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 3, 1000, 65536):
+        a, b = rng.bytes(77), rng.bytes(n)
+        assert tokenstore.crc_join(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
+
+
+# --- quality ---
+
+
+def test_quality(spark):
+    rng = np.random.default_rng(10)
+    vocabulary = [f"{a}{b}" for a in ("th", "er", "ing", "on", "re") for b in ("at", "es", "ou", "ly", "en", "ha")] + ["the", "of", "and", "to"]
+    plain = lambda: " ".join(rng.choice(vocabulary, 120)) + "."
+    junk = (lambda: " ".join(w + "%%%" for w in rng.choice(vocabulary, 120)), lambda: " ".join(w.upper() + "!!" for w in rng.choice(vocabulary, 120)), lambda: " ".join(np.repeat(rng.choice(vocabulary, 6), 20)), lambda: " | ".join(rng.choice(vocabulary, 120)))
+    texts, bad = [], []
+    for i in range(600):
+        bad.append(i % 6 == 0)
+        texts.append(junk[i // 6 % 4]() if bad[-1] else plain())
+    toxic = len(texts)
+    texts += [plain() + " you idiot, you worthless scum", None, "", "  "]
+    df = docs(spark, texts)
+    weights = quality.train(df)
+    got = {r["doc_id"]: r for r in quality.classify(df, weights).collect()}
+    wrong = sum(got[i]["keep"] == bad[i] for i in range(toxic))
+    assert wrong <= 2
+    assert not got[toxic]["keep"] and got[toxic]["toxicity"] > 0 and not any(got[i]["keep"] for i in range(toxic + 1, toxic + 4))
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == {i for i in got if got[i]["keep"]}
+
+
+def test_label_model_finds_the_accurate_labeller():
+    rng = np.random.default_rng(11)
+    n, k = 20_000, len(quality.LABELLERS)
+    y = rng.random(n) < 0.15
+    v = np.ones((n, k), int)
+    for i in range(k):
+        v[:, i] = np.where(y & (rng.random(n) < 0.25 + 0.08 * i), 2, 1)
+    p, c = np.unique((v * 3 ** np.arange(k)).sum(1), return_counts=True)
+    m = quality.fit_labels(p, c.astype(float))
+    assert m.prior == pytest.approx(0.15, abs=0.02)
+    assert all(m.chance[i, 1, 2] == pytest.approx(0.25 + 0.08 * i, abs=0.05) for i in range(k))
+
+
+# --- odd and empty tables ---
+
+
+def _all(spark, df):
+    bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7"), (2, None), (3, "")], "item_id long, text string")
+    return {
+        "pii": pii.detect_pii(df), "leaks": decontaminate.find_leaks(df, bench), "clean": decontaminate.clean_documents(df, bench), "lang": langid.identify(df, langid.fit(langid.sample_rows(df))), "mix": mixing.mixed(df), "mixed": mixing.mixed_documents(df),
+        "near": simhash.near_duplicates(df), "one": simhash.keep_one_each(df), "lic": licenses.scan(df), "sub": substrings.remove_repeats(df), "tok": tokenstore.store_and_read(df), "qual": quality.classify(df, quality.train(df)), "good": quality.keep_good(df),
+    }
+
+
+def test_odd_rows(spark):
+    df = odd(spark)
+    got = {k: v.collect() for k, v in _all(spark, df).items()}
+    for k in ("pii", "lang", "mix", "near", "lic", "sub", "tok", "qual"):
+        assert len(got[k]) == 12, k
+    for k in ("clean", "mixed", "one", "good"):
+        assert list(got[k][0].asDict()) == df.columns if got[k] else True
+    assert len(got["one"]) == len({r["component_id"] for r in got["near"]})
+    # the long text holds the item, in each of its three rows
+    assert {r["doc_id"] for r in got["leaks"]} == {6, 7} and len(got["leaks"]) == 3 and len(got["clean"]) == 9
+    assert all(r["verified"] for r in got["tok"])
+
+
+def test_empty_tables(spark):
+    df = odd(spark).limit(0)
+    for k, v in _all(spark, df).items():
+        assert v.count() == 0, k
