@@ -40,9 +40,11 @@ from . import common
 from .wordhash import _BASE, _INVERSE, _power, mix
 
 WIDTH, GRAM = 50, 12
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of text hashed in one step, and packed in one go.
 STEP_BYTES, BATCH_BYTES = 2 << 20, 16 << 20
+#: Strings of a shard that are sorted together.
+SLAB = 1 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -62,7 +64,7 @@ def string_keys(data: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return span
 
 
-def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _slices(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The given slices, end to end."""
     out = np.cumsum(size)
     total = int(out[-1]) if len(out) else 0
@@ -138,7 +140,7 @@ def cut_pieces(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, shards: i
         number[u] = np.arange(len(u))
         d = doc[o]
         parts = [np.array([len(u), len(o)], np.int64), size[lead[u]].astype(np.uint32), (spread[u] >> np.uint64(32)).astype(np.uint32), _delta(number[same[o]]), _delta(docs[d]), _delta(keys[d]), place[o].astype(np.int64)]
-        out.append((s, pack.compress(b"".join([*(x.tobytes() for x in parts), _gather(data, first[lead[u]], size[lead[u]]).tobytes()]))))
+        out.append((s, pack.compress(b"".join([*(x.tobytes() for x in parts), _slices(data, first[lead[u]], size[lead[u]]).tobytes()]))))
     return out
 
 
@@ -221,39 +223,57 @@ def shard_spans(p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     out = [[p.doc[use]], [p.text_key[use]], [p.at[use]], [p.at[use] + p.size[p.piece[use]]]]
     old = np.flatnonzero(shared & ~alone)
     if len(old):
-        size = p.size[old]
-        data = _gather(p.data, p.begin[old], size)
-        begin = np.cumsum(size) - size
-        strings = size - WIDTH + 1
-        first = np.cumsum(strings) - strings
-        owner = np.repeat(np.arange(len(old)), strings)
-        starts = begin[owner] + np.arange(len(owner)) - first[owner]
-        earliest = least[old][owner]
-        # strings that stand once need no place in the order: equal hashes tell which may stand twice
-        hashes = _contents(data, starts, np.full(len(starts), WIDTH, np.int64))
-        _, same, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        twice = np.flatnonzero(times[same] > 1)
-        if len(twice):
-            order, new = sorted_suffixes(data, starts[twice])
-            heads = np.flatnonzero(new)
-            by_order = twice[order]
-            earliest[by_order] = np.repeat(np.minimum.reduceat(earliest[by_order], heads), np.diff(np.append(heads, len(order))))
-        renumber = np.full(n, -1, np.int64)
-        renumber[old] = np.arange(len(old))
-        uses = np.flatnonzero(renumber[p.piece] >= 0)
-        weight = np.cumsum(strings[renumber[p.piece[uses]]])
-        step = 0
-        while step < len(uses):  # some million strings at a time
-            stop = max(step + 1, int(np.searchsorted(weight, (weight[step - 1] if step else 0) + (1 << 20), "right")))
-            for col, x in zip(out, _gone(p, uses[step:stop], renumber, strings, first, earliest), strict=True):
-                col.append(x)
-            step = stop
+        # keys are apart from each other, so they are taken in slabs of about SLAB strings
+        old = old[np.argsort(group[old], kind="stable")]
+        weight = np.cumsum(p.size[old] - WIDTH + 1)
+        heads = np.flatnonzero(np.diff(group[old], prepend=-1))
+        slab = np.unique((weight[heads] - 1) // SLAB, return_index=True)[1]
+        bounds = [*heads[slab].tolist(), len(old)]
+        by_piece = np.argsort(p.piece, kind="stable")
+        ordered = p.piece[by_piece]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            for col, x in zip(out, _slab(p, old[lo:hi], least, by_piece, ordered), strict=True):
+                col += x
     return tuple(np.concatenate(c) for c in out)
 
 
-def _gone(p: Pieces, use: np.ndarray, renumber: np.ndarray, strings: np.ndarray, first: np.ndarray, earliest: np.ndarray) -> tuple[np.ndarray, ...]:
+def _slab(p: Pieces, old: np.ndarray, least: np.ndarray, by_piece: np.ndarray, ordered: np.ndarray) -> list[list[np.ndarray]]:
+    """The spans of all uses of some pieces, which hold all strings of their keys."""
+    size = p.size[old]
+    begin = np.cumsum(size) - size
+    strings = size - WIDTH + 1
+    first = np.cumsum(strings) - strings
+    data = _slices(p.data, p.begin[old], size)
+    owner = np.repeat(np.arange(len(old)), strings)
+    starts = np.arange(len(owner)) + (begin - first)[owner]
+    earliest = least[old][owner]
+    # strings that stand once need no place in the order: equal hashes tell which may stand twice
+    hashes = _contents(data, starts, np.full(len(starts), WIDTH, np.int64))
+    _, same, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(times[same] > 1)
+    del owner, hashes, same
+    if len(twice):
+        order, new = sorted_suffixes(data, starts[twice])
+        heads = np.flatnonzero(new)
+        by_order = twice[order]
+        earliest[by_order] = np.repeat(np.minimum.reduceat(earliest[by_order], heads), np.diff(np.append(heads, len(order))))
+    del starts, twice
+    lo, hi = np.searchsorted(ordered, old, "left"), np.searchsorted(ordered, old, "right")
+    renumber = np.repeat(np.arange(len(old)), hi - lo)
+    uses = by_piece[np.arange(len(renumber)) + (lo - (np.cumsum(hi - lo) - (hi - lo)))[renumber]]
+    weight = np.cumsum(strings[renumber])
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    step = 0
+    while step < len(uses):  # some million strings at a time
+        stop = max(step + 1, int(np.searchsorted(weight, (weight[step - 1] if step else 0) + SLAB, "right")))
+        for col, x in zip(out, _gone(p, uses[step:stop], renumber[step:stop], strings, first, earliest), strict=True):
+            col.append(x)
+        step = stop
+    return out
+
+
+def _gone(p: Pieces, use: np.ndarray, u: np.ndarray, strings: np.ndarray, first: np.ndarray, earliest: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of strings of these uses of pieces whose earliest document is an earlier one."""
-    u = renumber[p.piece[use]]
     count = strings[u]
     of = np.repeat(np.arange(len(use)), count)
     k = np.arange(len(of)) - (np.cumsum(count) - count)[of]
@@ -268,18 +288,20 @@ def _gone(p: Pieces, use: np.ndarray, renumber: np.ndarray, strings: np.ndarray,
 
 def _pieces_of(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            docs, keys = batch.column("ord").to_numpy(), batch.column("key").to_numpy()
-            at = 0
-            while at < len(texts):
-                end, total = at, 0
-                while end < len(texts) and (end == at or total + len(texts[end]) <= BATCH_BYTES):
-                    total += len(texts[end])
-                    end += 1
-                out = cut_pieces(texts[at:end], docs[at:end], keys[at:end], shards)
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["shard", "blob"])
-                at = end
+        for whole in batches:
+            for low in range(0, whole.num_rows, 4000):
+                batch = whole.slice(low, 4000)
+                texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+                docs, keys = batch.column("ord").to_numpy(), batch.column("key").to_numpy()
+                at = 0
+                while at < len(texts):
+                    end, total = at, 0
+                    while end < len(texts) and (end == at or total + len(texts[end]) <= BATCH_BYTES):
+                        total += len(texts[end])
+                        end += 1
+                    out = cut_pieces(texts[at:end], docs[at:end], keys[at:end], shards)
+                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["shard", "blob"])
+                    at = end
 
     return run
 
