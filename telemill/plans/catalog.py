@@ -204,9 +204,9 @@ def range_join_counts(spark, d):
     return g.withColumn("entries_per_system", F.round(S.ratio("num_entries", "number_of_systems"), 4))
 
 
-@query(f"""WITH {_PERIODS} SELECT os_name, os_codename, event_type AS blocker_type, count(DISTINCT user_id)::BIGINT AS number_of_clients, round(avg(value) / 1000, 6) AS average_active_time_in_seconds, count(*)::BIGINT AS number_of_occurences FROM j GROUP BY 1, 2, 3""")
+@query(f"""WITH {_PERIODS} SELECT os_name, os_codename, event_type AS blocker_type, count(DISTINCT user_id)::BIGINT AS number_of_clients, round(avg(value) / 1000, 12) AS average_active_time_in_seconds, count(*)::BIGINT AS number_of_occurences FROM j GROUP BY 1, 2, 3""")
 def range_join_detail(spark, d):
-    return _in_periods(spark, d).groupBy("os_name", "os_codename", F.col("event_type").alias("blocker_type")).agg(F.count_distinct("user_id").alias("number_of_clients"), F.round(F.avg("value") / 1000, 6).alias("average_active_time_in_seconds"), F.count("*").alias("number_of_occurences"))
+    return _in_periods(spark, d).groupBy("os_name", "os_codename", F.col("event_type").alias("blocker_type")).agg(F.count_distinct("user_id").alias("number_of_clients"), F.round(F.avg("value") / 1000, 12).alias("average_active_time_in_seconds"), F.count("*").alias("number_of_occurences"))
 
 
 @query("""
@@ -317,10 +317,10 @@ def daily_agg(spark, d):
     return out.select("guid", F.col("dt").cast("timestamp_ntz").alias("dt"), "event_type", S.power_state("event_type").alias("acdc"), "number_of_instances", "total_duration")
 
 
-@query("SELECT l_suppkey AS guid, l_shipdate AS dt, l_returnflag AS input_desc, round(sum(l_quantity), 2) AS nrs, round(min(l_discount), 4) AS min_v, round(max(l_discount), 4) AS max_v, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS avg_v FROM lineitem GROUP BY 1, 2, 3")
+@query("SELECT l_suppkey AS guid, l_shipdate AS dt, l_returnflag AS input_desc, round(sum(l_quantity), 2) AS nrs, round(min(l_discount), 4) AS min_v, round(max(l_discount), 4) AS max_v, round(sum(l_quantity * l_discount) / sum(l_quantity), 9) AS avg_v FROM lineitem GROUP BY 1, 2, 3")
 def daily_weighted_stats(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("guid"), F.col("l_shipdate").alias("dt"), F.col("l_returnflag").alias("input_desc"))
-    return g.agg(F.round(F.sum("l_quantity"), 2).alias("nrs"), F.round(F.min("l_discount"), 4).alias("min_v"), F.round(F.max("l_discount"), 4).alias("max_v"), F.round(S.wavg("l_quantity", "l_discount"), 6).alias("avg_v"))
+    return g.agg(F.round(F.sum("l_quantity"), 2).alias("nrs"), F.round(F.min("l_discount"), 4).alias("min_v"), F.round(F.max("l_discount"), 4).alias("max_v"), F.round(S.wavg("l_quantity", "l_discount"), 9).alias("avg_v"))
 
 
 @query("""SELECT user_id AS guid, count(*)::BIGINT AS num_power_ons, max(CASE WHEN value >= 10 THEN value END) AS max_start, min(CASE WHEN value >= 10 THEN value END) AS min_start, round(avg(CASE WHEN value - 10 >= 0 THEN value END), 2) AS avg_start FROM events GROUP BY 1""")
