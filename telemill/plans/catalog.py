@@ -367,9 +367,9 @@ def _wide(spark, d) -> DataFrame:
     return W.assemble(table(spark, d, "customer").select(F.col("c_custkey").alias("guid"), F.col("c_mktsegment").alias("segment")), [e, o, li])
 
 
-@query(f"WITH {_WIDE} SELECT guid, segment, round(ev_nrs, 2) AS ev_nrs, round(ev_total, 2) AS ev_total, round(ev_click, 2) AS ev_click, round(batt_num, 2) AS batt_num, round(batt_total, 2) AS batt_total, round(net_nrs, 2) AS net_nrs, round(net_avg, 6) AS net_avg FROM wide")
+@query(f"WITH {_WIDE} SELECT guid, segment, round(ev_nrs, 2) AS ev_nrs, round(ev_total, 2) AS ev_total, round(ev_click, 2) AS ev_click, round(batt_num, 2) AS batt_num, round(batt_total, 2) AS batt_total, round(net_nrs, 2) AS net_nrs, round(net_avg, 12) AS net_avg FROM wide")
 def wide_feature_table(spark, d):
-    return _wide(spark, d).select("guid", "segment", *(F.round(c, 6 if c == "net_avg" else 2).alias(c) for c in _METRICS))
+    return _wide(spark, d).select("guid", "segment", *(F.round(c, 12 if c == "net_avg" else 2).alias(c) for c in _METRICS))
 
 
 @query(f"WITH {_WIDE} SELECT guid, name, round(v, 4) AS value FROM (SELECT guid, unnest(['ev_total', 'ev_click', 'batt_total']) AS name, unnest([ev_total, ev_click, batt_total]) AS v FROM wide) WHERE v > 0")
