@@ -194,8 +194,8 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None) -> None:
     spark = docs.sparkSession
     uses = chunk_uses(docs, vocabulary or default_vocabulary())
-    # the hash is uniform; copies of one chunk within a task were sent without bytes, so a popular chunk stays light
-    dealt = uses.repartition(F.col("hash"))
+    # bytes go by their hash, at most once a task; uses without bytes may go anywhere, so a popular chunk weighs on no task
+    dealt = uses.repartition(F.when(F.col("ids").isNull(), F.xxhash64("row", "seq")).otherwise(F.xxhash64("hash")))
     dealt.mapInArrow(_once, _USES + ", kind string").write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/store")
     kept = spark.read.schema(_USES + ", kind string").parquet(f"{folder}/store")
     hashes = F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash", "n"))), lambda x: F.struct(x["hash"].alias("hash"), x["n"].alias("n")))
