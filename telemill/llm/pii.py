@@ -9,7 +9,6 @@ characters, so that one very long run costs no more than as many short ones.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession

@@ -1,7 +1,6 @@
 """Each corpus operator against a brute-force version, and on odd tables."""
 
 import hashlib
-import math
 import re
 import zlib
 
