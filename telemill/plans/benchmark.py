@@ -24,6 +24,8 @@ INFEASIBLE = ("ranked_process_classifications", "top_10_processes_per_user_id_ra
 NO_PROCESSES = ("DUMMY_PROCESS", "DESKTOP", "explorer.exe", "RESTRICTED PROCESS", "UNKNOWN")
 NO_EVENTS = ("TOTAL_NON_WAIT_EVENTS", "TOTAL_DISCARDED_WAIT_EVENTS")
 NO_APPS = ("restricted process", "desktop")
+#: A processor name that holds this is of the server class.
+SERVER_MARK = "Xeon"
 
 
 def _query(fn):
@@ -56,8 +58,8 @@ def server_exploration_1(t):
 
 
 @_query
-def Xeon_network_consumption(t):
-    kind = F.when(F.col("cpuname").contains("Xeon"), "Server Class").otherwise("Non-Server Class")
+def server_class_network_consumption(t):
+    kind = F.when(F.col("cpuname").contains(SERVER_MARK), "Server Class").otherwise("Non-Server Class")
     j = _traffic(t).join(_sysinfo(t), "guid")
     return j.groupBy(kind.alias("processor_class"), "os").agg(F.count("*").alias("number_of_systems"), F.avg("received_bytes").alias("avg_bytes_received"), F.avg("sent_bytes").alias("avg_bytes_sent"))
 

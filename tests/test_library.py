@@ -234,7 +234,7 @@ def test_names_and_query_files():
 def _raw(spark, root):
     d = datetime.date(2024, 1, 1)
     w = lambda df, n: df.write.parquet(f"{root}/{n}")
-    w(spark.createDataFrame([(f"g{i}", "Notebook" if i % 2 else "Desktop", "US", "V", "M", str(8), "Win", 4, "Intel Xeon" if i == 1 else "Core", "code", "fam", "Gamer") for i in range(6)], "guid string, chassistype string, countryname_normalized string, modelvendor_normalized string, model_normalized string, ram string, os string, `#ofcores` int, cpuname string, cpucode string, cpu_family string, persona string"), "system_sysinfo_unique_normalized")
+    w(spark.createDataFrame([(f"g{i}", "Notebook" if i % 2 else "Desktop", "US", "V", "M", str(8), "Win", 4, f"A {benchmark.SERVER_MARK} CPU" if i == 1 else "Core", "code", "fam", "Gamer") for i in range(6)], "guid string, chassistype string, countryname_normalized string, modelvendor_normalized string, model_normalized string, ram string, os string, `#ofcores` int, cpuname string, cpucode string, cpu_family string, persona string"), "system_sysinfo_unique_normalized")
     w(spark.createDataFrame([(f"g{i}", d, x, 400, 1.0, 9.0, float(i)) for i in range(6) for x in (W.RECEIVED, W.SENT)], "guid string, dt date, input_description string, nr_samples long, min_bytes_sec double, max_bytes_sec double, avg_bytes_sec double"), "os_network_consumption_v2")
     w(spark.createDataFrame([("g1", d, "E", "ac_display_on", "p.exe", 2000), ("g1", d, "E", "ac_display_on", "p.exe", 4000), ("g1", d, "E", "dc_x", "DESKTOP", 1)], "guid string, dt date, event_name string, ac_dc_event_name string, proc_name_current string, duration_ms long"), "userwait_v2")
     w(spark.createDataFrame([("g1", d, "chrome", "education", "x", 30, 1), ("g1", d, "edge", "games", "other", 10, 1), ("g2", d, "chrome", "mail", "x", 60, 2)], "guid string, dt date, browser string, parent_category string, sub_category string, duration_ms long, page_load_count long"), "web_cat_usage_v2")
@@ -282,7 +282,7 @@ def test_reporting_and_benchmark(spark, tmp_path):
     assert results["mods_blockers_by_osname_and_codename"][0].asDict() == {"os_name": "Win", "os_codename": "22H2", "num_entries": 1, "number_of_systems": 1, "entries_per_system": 1.0}
     assert results["top_10_applications_by_app_type_ranked_by_focal_time"][0]["exe_name"] == "b.exe" and len(results["top_10_applications_by_app_type_ranked_by_focal_time"]) == 2
     assert results["userwait_top_10_wait_processes"][0].asDict() == {"proc_name": "p.exe", "total_duration_sec_per_instance": 3.0, "rank": 1}
-    x = {r["processor_class"]: r["number_of_systems"] for r in results["Xeon_network_consumption"]}
+    x = {r["processor_class"]: r["number_of_systems"] for r in results["server_class_network_consumption"]}
     assert x == {"Server Class": 1, "Non-Server Class": 5}
     assert results["display_devices_vendors_percentage"][0]["percentage_of_systems"] == 100.0
     assert results["persona_web_cat_usage_analysis"][0]["mail"] == 60.0
