@@ -1,4 +1,4 @@
-"""Exact removal of repeated substrings by sorted suffixes.
+"""Exact removal of repeated substrings by external induced sorting.
 
 A byte goes if a WIDTH-byte string that covers it also starts in a document with
 a smaller doc_id. Suffixes are compared to WIDTH bytes only, so it is enough
@@ -11,9 +11,10 @@ that equal WIDTH-byte strings meet in one shard:
    by key, packed and compressed by batch; a piece that recurs in a batch travels
    once with the places where it stands, so a line that a third of all documents
    have costs a few bytes for each.
-3. A shard drops keys that one document alone has, sorts the suffixes at all
-   remaining string starts and takes, for each run of suffixes with a common
-   prefix of WIDTH bytes, the smallest doc_id. Places in later documents go.
+3. A shard drops keys that one document alone has and strings that stand once
+   (by their hashes), sorts the suffixes of what remains by induction (see
+   induced.py) and takes, for each run of suffixes with a common prefix of WIDTH
+   bytes, the smallest doc_id. Places in later documents go.
 4. Spans are joined to the texts once.
 
 Shards number with the bytes of the table (SHARD_BYTES of text each), so a
@@ -37,9 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .induced import WIDTH, slices, sorted_strings
 from .wordhash import _BASE, _INVERSE, _power, mix
 
-WIDTH, GRAM = 50, 12
+GRAM = 12
 SHARD_BYTES = 4 << 20
 #: Bytes of text hashed in one step, and packed in one go.
 STEP_BYTES, BATCH_BYTES = 2 << 20, 16 << 20
@@ -64,18 +66,6 @@ def string_keys(data: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return span
 
 
-def _slices(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The given slices, end to end."""
-    out = np.cumsum(size)
-    total = int(out[-1]) if len(out) else 0
-    step = np.ones(total, np.int64)
-    if total:
-        heads = out - size
-        step[heads] = begin
-        step[heads[1:]] -= begin[:-1] + size[:-1] - 1
-    return data[np.cumsum(step)] if total else data[:0]
-
-
 def _table(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Pieces of some texts: text number, first byte in the text, first byte in all, size, content hash, key."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -140,7 +130,7 @@ def cut_pieces(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, shards: i
         number[u] = np.arange(len(u))
         d = doc[o]
         parts = [np.array([len(u), len(o)], np.int64), size[lead[u]].astype(np.uint32), (spread[u] >> np.uint64(32)).astype(np.uint32), _delta(number[same[o]]), _delta(docs[d]), _delta(keys[d]), place[o].astype(np.int64)]
-        out.append((s, pack.compress(b"".join([*(x.tobytes() for x in parts), _slices(data, first[lead[u]], size[lead[u]]).tobytes()]))))
+        out.append((s, pack.compress(b"".join([*(x.tobytes() for x in parts), slices(data, first[lead[u]], size[lead[u]]).tobytes()]))))
     return out
 
 
@@ -188,23 +178,6 @@ def _contents(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
-def sorted_suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The starts ordered by their WIDTH bytes, and where in that order the common prefix with the one before is shorter."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(data) + 1,), ">u8", padded.tobytes(), 0, (1,))
-    columns = [eight[starts + k].astype(np.uint64) for k in range(0, WIDTH - 7, 8)]
-    rest = WIDTH % 8
-    if rest:
-        columns.append(eight[starts + WIDTH - 8].astype(np.uint64) & np.uint64((1 << 8 * rest) - 1))
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        c = c[order]
-        new[1:] |= c[1:] != c[:-1]
-    return order, new
-
-
 def shard_spans(p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc, text_key, start, end of runs of strings that an earlier document has."""
     n = len(p.size)
@@ -243,7 +216,7 @@ def _slab(p: Pieces, old: np.ndarray, least: np.ndarray, by_piece: np.ndarray, o
     begin = np.cumsum(size) - size
     strings = size - WIDTH + 1
     first = np.cumsum(strings) - strings
-    data = _slices(p.data, p.begin[old], size)
+    data = slices(p.data, p.begin[old], size)
     owner = np.repeat(np.arange(len(old)), strings)
     starts = np.arange(len(owner)) + (begin - first)[owner]
     earliest = least[old][owner]
@@ -253,7 +226,7 @@ def _slab(p: Pieces, old: np.ndarray, least: np.ndarray, by_piece: np.ndarray, o
     twice = np.flatnonzero(times[same] > 1)
     del owner, hashes, same
     if len(twice):
-        order, new = sorted_suffixes(data, starts[twice])
+        order, new = sorted_strings(data, starts[twice])
         heads = np.flatnonzero(new)
         by_order = twice[order]
         earliest[by_order] = np.repeat(np.minimum.reduceat(earliest[by_order], heads), np.diff(np.append(heads, len(order))))

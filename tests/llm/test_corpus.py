@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from telemill.llm import annsearch, common, decontaminate, langid, licenses, mixing, pii, quality, simhash, substrings, tokenstore
+from telemill.llm import annsearch, common, decontaminate, induced, langid, licenses, mixing, pii, quality, simhash, substrings, tokenstore
 from telemill.llm import components as C
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -351,11 +351,28 @@ def test_substrings(spark, seed):
     assert {d: sorted(v) for d, v in got.items()} == want
 
 
-def test_sorted_suffixes():
+def test_induced_order(monkeypatch):
+    monkeypatch.setattr(induced, "QUEUE_BYTES", 40)  # queues go to disk
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        stretches = [rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(1, 90))).astype(np.uint8) for _ in range(int(rng.integers(1, 6)))]
+        raw = b"".join(x.tobytes() + b"\0" for x in stretches)
+        order, lcp = induced.suffix_order(np.frombuffer(raw, np.uint8))
+        key = lambda i: raw[i : min(raw.index(0, i), i + 50)]  # noqa: E731, B023
+        pos = [(i, c) for i, c in zip(order.tolist(), lcp.tolist(), strict=True) if raw[i]]
+        assert sorted(i for i, _ in pos) == [i for i in range(len(raw)) if raw[i]]
+        keys = [key(i) for i, _ in pos]
+        assert keys == sorted(keys)
+        for (a, b), (_, c) in zip(zip(keys, keys[1:], strict=False), pos[1:], strict=True):
+            same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert c == same or (c > same and same == min(len(a), len(b)))
+
+
+def test_sorted_strings():
     rng = np.random.default_rng(7)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
-    starts = np.arange(0, len(data) - 50)
-    order, new = substrings.sorted_suffixes(data, starts)
+    starts = np.flatnonzero(rng.random(2950) < 0.6)
+    order, new = induced.sorted_strings(data, starts)
     raw = data.tobytes()
     keys = [raw[i : i + 50] for i in starts[order].tolist()]
     assert keys == sorted(keys) and [bool(x) for x in new] == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
