@@ -63,6 +63,11 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """Unfolding a few sources into many slots leaves the planner's estimate at a few rows; this side must not be broadcast on it."""
+    return df.hint("merge")
+
+
 def mix_plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs: doc_id, text, source -> (documents, sources, slots).
 
@@ -107,7 +112,7 @@ def slots(sources: DataFrame) -> DataFrame:
 
 def taken_words(documents: DataFrame, slots_: DataFrame) -> DataFrame:
     """source, begin, taken: the words that the slots take of each document that they reach."""
-    used = slots_.groupBy("source", "block").agg(F.collect_list("n_words").alias("takes"))  # at most MAX_REPEATS + 1 entries
+    used = _large(slots_.groupBy("source", "block").agg(F.collect_list("n_words").alias("takes")))  # at most MAX_REPEATS + 1 entries
     spread = documents.where("size > 0").select("doc_id", "source", "key", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("begin") + F.col("size") - 1) / BLOCK))).alias("block"))
     j = spread.alias("d").join(used.alias("u"), _same(F.col("d.source"), F.col("u.source")) & (F.col("d.block") == F.col("u.block")))
     lo = F.greatest(F.col("d.begin") - F.col("d.block") * BLOCK, F.lit(0))
@@ -119,7 +124,7 @@ def taken_words(documents: DataFrame, slots_: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, source, key, size, source_size, target, taken: a row for each row of docs."""
     documents, sources, slots_ = mix_plan(docs)
-    taken = taken_words(documents, slots_)
+    taken = _large(taken_words(documents, slots_))
     j = documents.alias("d").join(taken.alias("t"), _same(F.col("d.source"), F.col("t.source")) & (F.col("d.begin") == F.col("t.begin")) & (F.col("d.size") > 0), "left")
     j = j.select("d.doc_id", "d.source", "d.key", "d.size", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
     small = sources.count() <= 10_000
@@ -135,7 +140,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     text are copies of one row, which takes what they take.
     """
     documents, _, slots_ = mix_plan(docs)
-    used = slots_.groupBy("source", "block").agg(F.collect_list(F.struct("pass", "n_words")).alias("takes"))
+    used = _large(slots_.groupBy("source", "block").agg(F.collect_list(F.struct("pass", "n_words")).alias("takes")))
     spread = documents.where("size > 0").select("doc_id", "source", "key", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("begin") + F.col("size") - 1) / BLOCK))).alias("block"))
     j = spread.alias("d").join(used.alias("u"), _same(F.col("d.source"), F.col("u.source")) & (F.col("d.block") == F.col("u.block"))).select("d.*", F.explode("takes").alias("take"))
     base = F.col("block") * BLOCK
@@ -146,7 +151,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     passes = passes.withColumn("pieces", F.when(F.col("whole"), F.array().cast("array<struct<at:int,n:int>>")).otherwise(F.col("pieces")))
     taken = passes.groupBy("doc_id", "source", "key").agg(F.array_sort(F.collect_list(F.struct("pass", "whole", "pieces"))).alias("__passes")).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__k"), "__passes")
     keyed = docs.withColumn("__key", F.xxhash64(common.whole_text())).dropDuplicates(["doc_id", "source", "__key"])
-    got = keyed.join(taken, (F.col("__key") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    got = keyed.join(_large(taken), (F.col("__key") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")))
     parts = F.when(F.exists("__passes", lambda p: ~p["whole"]), F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
     got = got.withColumn("__words", parts)
     text = F.array_join(F.transform("__passes", lambda p: F.when(p["whole"], F.col("text")).otherwise(F.array_join(F.transform(p["pieces"], lambda x: F.array_join(F.slice("__words", x["at"] + 1, x["n"]), " ")), " "))), "\n")
