@@ -41,10 +41,10 @@ from . import common
 from .induced import WIDTH, slices, sorted_strings
 from .wordhash import _BASE, _INVERSE, _power, mix
 
-GRAM = 12
+GRAM = 10
 SHARD_BYTES = 4 << 20
 #: Bytes of text hashed in one step, and packed in one go.
-STEP_BYTES, BATCH_BYTES = 2 << 20, 16 << 20
+STEP_BYTES, BATCH_BYTES = 1 << 20, 16 << 20
 #: Strings of a shard that are sorted together.
 SLAB = 1 << 20
 _LAST = (1 << 63) - 1
@@ -123,17 +123,22 @@ def cut_pieces(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, shards: i
     numbers = np.arange(shards + 1)
     cuts, wcuts = np.searchsorted(shard[by_shard], numbers), np.searchsorted(shard[same][where], numbers)
     number = np.empty(len(lead), np.int64)
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=5)
     out = []
     for s in np.unique(shard).tolist():
         u, o = by_shard[cuts[s] : cuts[s + 1]], where[wcuts[s] : wcuts[s + 1]]
         number[u] = np.arange(len(u))
         d = doc[o]
-        parts = [np.array([len(u), len(o)], np.int64), size[lead[u]].astype(np.uint32), (spread[u] >> np.uint64(32)).astype(np.uint32), _delta(number[same[o]]), _delta(docs[d]), _delta(keys[d]), place[o].astype(np.int64)]
-        out.append((s, pack.compress(b"".join([*(x.tobytes() for x in parts), slices(data, first[lead[u]], size[lead[u]]).tobytes()]))))
+        parts = [size[lead[u]], spread[u] >> np.uint64(40), _delta(number[same[o]]), _delta(docs[d]), _delta(keys[d]), place[o]]
+        out.append((s, pack.compress(b"".join([np.array([len(u), len(o)], np.int64).tobytes(), *map(_planes, parts), slices(data, first[lead[u]], size[lead[u]]).tobytes()]))))
     return out
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, all second bytes, and so on: the high ones are alike and shrink to nothing."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
 def _delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x.astype(np.int64), prepend=np.int64(0))
 
@@ -148,10 +153,10 @@ class Pieces:
             raw = zstandard.ZstdDecompressor().decompress(blob)
             n, m = np.frombuffer(raw, np.int64, 2).tolist()
             at = 16
-            for k, (dtype, count) in enumerate((("<u4", n), ("<u4", n), ("<i8", m), ("<i8", m), ("<i8", m), ("<i8", m))):
-                x = np.frombuffer(raw, dtype, count, at)
+            for k, count in enumerate((n, n, m, m, m, m)):
+                x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * count, at).reshape(8, -1).T).view("<i8").ravel()
                 at += x.nbytes
-                x = np.cumsum(x) if k in (2, 3, 4) else x.astype(np.int64)
+                x = np.cumsum(x) if k in (2, 3, 4) else x
                 parts[k].append(x + pieces if k == 2 else x)
             parts[6].append(np.frombuffer(raw, np.uint8, offset=at))
             pieces += n
@@ -307,7 +312,7 @@ def repeated_spans(rows: DataFrame, n_bytes: int) -> DataFrame:
 
 
 def _packed(cols: dict[str, list]) -> dict[str, list]:
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=5)
     return {k: cols[k] for k in ("doc_id", "ord", "key", "copy")} | {"packed": [pack.compress(t.encode("utf-8", "surrogatepass")) for t in cols["text"]]}
 
 
