@@ -136,18 +136,45 @@ def summary(df: DataFrame, column: str) -> DataFrame:
 # --- splits, normalised error, verdicts -----------------------------------------------------
 
 
-def split_half(devices: DataFrame, key: str, seed: str) -> tuple[DataFrame, DataFrame]:
-    """Two halves of the keys by a seeded hash, the first floor(n / 2) of the order.
+def ranked_by_hash(df: DataFrame, key: str, seed: str) -> DataFrame:
+    """df with __r: the place (from 1) of each row in a seeded random order, and __all: the number of rows.
 
-    The middle of the order is found among the hashes alone: ranges of the hash are
-    counted, then only the range that holds the middle is ordered.
+    Ranges of the hash are counted, then each range is ordered by itself, so no
+    task orders all rows. Rows of one key keep next to each other.
     """
-    h = devices.select(F.col(key), F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")).alias("h")).withColumn("g", F.substring("h", 1, 3))
-    counts = h.groupBy("g").agg(F.count("*").alias("n"))  # at most 4096 rows
-    run = Window.orderBy("g")
-    counts = counts.withColumn("after", F.sum("n").over(run)).withColumn("half", F.floor(F.sum("n").over(Window.partitionBy(F.lit(1))) / 2)).select("g", (F.col("after") - F.col("n")).alias("before"), "half")
-    placed = h.join(F.broadcast(counts), "g").withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("g").orderBy("h", key)))
-    return placed.where(F.col("r") <= F.col("half")).select(key), placed.where(F.col("r") > F.col("half")).select(key)
+    h = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))).withColumn("__g", F.substring("__h", 1, 3))
+    counts = h.groupBy("__g").agg(F.count("*").alias("__m"))  # at most 4096 rows
+    counts = counts.withColumn("__before", F.sum("__m").over(Window.orderBy("__g")) - F.col("__m")).withColumn("__all", F.sum("__m").over(Window.partitionBy(F.lit(1)))).drop("__m")
+    order = Window.partitionBy("__g").orderBy("__h", key)
+    return h.join(F.broadcast(counts), "__g").withColumn("__r", F.col("__before") + F.row_number().over(order)).drop("__g", "__h", "__before")
+
+
+def split_half(devices: DataFrame, key: str, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Two halves of the keys by a seeded hash, the first floor(n / 2) of the order."""
+    placed = ranked_by_hash(devices.select(key), key, seed)
+    return placed.where(F.col("__r") <= F.floor(F.col("__all") / 2)).select(key), placed.where(F.col("__r") > F.floor(F.col("__all") / 2)).select(key)
+
+
+def sample_exact(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """Exactly n rows (all, if fewer), without replacement."""
+    return ranked_by_hash(df, key, seed).where(F.col("__r") <= n).drop("__r", "__all")
+
+
+def mode(df: DataFrame, groups: list[str], column: str) -> DataFrame:
+    """The most frequent value of each group, the smallest among equals."""
+    n = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("__n"))
+    return n.groupBy(*groups).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col(column).alias("v"))).alias("__x")).select(*groups, F.col("__x.v").alias(column))
+
+
+def mean_comparison(real: DataFrame, synth: DataFrame, columns: list[str]) -> DataFrame:
+    """name, real_mean, synth_mean, relative_error, within: the narrowest of 10, 25, 50 percent, else null."""
+    a = real.agg(*(F.avg(c).alias(c) for c in columns)).unpivot([], columns, "name", "real_mean")
+    b = synth.agg(*(F.avg(c).alias(c) for c in columns)).unpivot([], columns, "name", "synth_mean")
+    j = a.join(b, "name").withColumn("relative_error", relative_error("real_mean", "synth_mean"))
+    within = F.lit(None).cast("int")
+    for k in (50, 25, 10):
+        within = F.when(F.col("relative_error") <= k / 100, F.lit(k)).otherwise(within)
+    return j.withColumn("within", within)
 
 
 def normalized(records: DataFrame) -> DataFrame:

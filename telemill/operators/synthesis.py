@@ -249,3 +249,35 @@ def fan_out(entities: DataFrame, key: str, items: DataFrame, item: str, weight:
     g = -F.log(S.uniform(F.concat_ws(":", F.col(key).cast("string"), F.col(item).cast("string")), seed + "s"))
     chosen = chosen.withColumn("__g", g)
     return chosen.select(key, item, S.ratio("__g", F.sum("__g").over(Window.partitionBy(key))).alias("share"))
+
+
+def assign_keys(rows: DataFrame, row_key: str, devices: DataFrame, key: str, seed: str) -> DataFrame:
+    """rows with a device each, no device twice; rows beyond the number of devices go. Both sides are put in random order and meet by their place."""
+    from .evaluate import ranked_by_hash
+
+    left = ranked_by_hash(rows, row_key, seed + "r").drop("__all")
+    right = ranked_by_hash(devices.select(key).distinct(), key, seed + "d").drop("__all")
+    return left.join(right, "__r").drop("__r")
+
+
+def sanitize(df: DataFrame, numeric: list[str], categories: list[str]) -> DataFrame:
+    """Records as a generator may return them, put in shape: missing or unreadable numbers 0, none below 0, missing categories "Unknown"."""
+    num = {c: F.greatest(S.number_or(F.col(c).cast("string"), 0.0), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in numeric}
+    cat = {c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("Unknown")) if c in df.columns else F.lit("Unknown") for c in categories}
+    return df.withColumns(num | cat)
+
+
+def features(df: DataFrame, numeric: list[str], categories: list[str], top: int = 50, quantile: float = 0.999) -> DataFrame:
+    """A features vector: rare categories in one bucket and one-hot, numbers clipped, logged and standardised."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+
+    for c in categories:
+        df = top_or_other(df, c, top)
+    for c in numeric:
+        df = clipped_log(df, c, quantile)
+    stages = [StringIndexer(inputCols=categories, outputCols=[f"{c}__i" for c in categories], handleInvalid="keep", stringOrderType="frequencyDesc"), OneHotEncoder(inputCols=[f"{c}__i" for c in categories], outputCols=[f"{c}__v" for c in categories], dropLast=False)] if categories else []
+    stages += [VectorAssembler(inputCols=numeric, outputCol="__n", handleInvalid="keep"), StandardScaler(inputCol="__n", outputCol="__s", withMean=True)]
+    stages += [VectorAssembler(inputCols=[*(f"{c}__v" for c in categories), "__s"], outputCol="features", handleInvalid="keep")]
+    out = Pipeline(stages=stages).fit(df).transform(df)
+    return out.drop("__n", "__s", *(f"{c}__{k}" for c in categories for k in "iv"))

@@ -563,3 +563,41 @@ SELECT p_partkey, CASE WHEN trim(p_type) = '' THEN 'Unknown' ELSE regexp_replace
 def text_normalize_canonicalize(spark, d):
     x = F.trim("p_type")
     return table(spark, d, "part").select("p_partkey", F.when(x == "", "Unknown").otherwise(F.regexp_replace(F.lower(x), "[^a-z0-9]", "_")).alias("canonical"))
+
+
+@query("""
+WITH h AS (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR || ':11'), c_custkey) AS r FROM customer)
+SELECT c_custkey, c_mktsegment FROM h WHERE r <= 100""")
+def sample_without_replacement(spark, d):
+    return E.sample_exact(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", 100, "11")
+
+
+@query("""
+WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM n) WHERE r = 1""")
+def mode_per_group(spark, d):
+    return E.mode(table(spark, d, "events"), ["user_id"], "event_type")
+
+
+@query(f"""
+WITH {_HALVES}, j AS (SELECT 'value' AS name, (SELECT avg(value) FROM real) AS a, (SELECT avg(value) FROM synth) AS b)
+SELECT name, round(a, 6) AS real_mean, round(b, 6) AS synth_mean, round(abs(b - a) / abs(a), 6) AS relative_error, CASE WHEN abs(b - a) / abs(a) <= 0.1 THEN 10 WHEN abs(b - a) / abs(a) <= 0.25 THEN 25 WHEN abs(b - a) / abs(a) <= 0.5 THEN 50 END::INTEGER AS within FROM j""")
+def column_mean_comparison(spark, d):
+    real, synth = _halves(spark, d)
+    return E.mean_comparison(real, synth, ["value"]).select("name", *(F.round(c, 6).alias(c) for c in ("real_mean", "synth_mean", "relative_error")), "within")
+
+
+@query("""
+WITH q AS (SELECT list_distinct([quantile_cont(l_quantity, 0.0), quantile_cont(l_quantity, 0.25), quantile_cont(l_quantity, 0.5), quantile_cont(l_quantity, 0.75), quantile_cont(l_quantity, 1.0)]) AS e FROM lineitem),
+x AS (SELECT l_quantity AS v, list_sort(e)[2:len(e) - 1] AS inner_e FROM lineitem, q)
+SELECT len(list_filter(inner_e, lambda y: y < v))::INTEGER AS bin, count(*)::BIGINT AS n FROM x GROUP BY 1""")
+def quantile_binning(spark, d):
+    return Y.quantile_bins(table(spark, d, "lineitem").select("l_quantity"), "l_quantity", 4).groupBy(F.col("l_quantity_bin").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH b AS (SELECT quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.9) AS p90, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem)
+SELECT round(avg(l_extendedprice), 4) AS mean, round(min(p50), 4) AS p50, round(min(p90), 4) AS p90, round(min(p99), 4) AS p99, round(max(l_extendedprice), 4) AS max, round(avg(CASE WHEN l_extendedprice = 0 THEN 1 ELSE 0 END), 4) AS zero_rate FROM lineitem, b""")
+def summary_statistics(spark, d):
+    x = E.summary(table(spark, d, "lineitem"), "l_extendedprice")
+    return x.select(*(F.round(c, 4).alias(c) for c in x.columns))

@@ -198,6 +198,18 @@ def test_plan_and_evolution(spark, tmp_path):
     assert out.count() == 10
 
 
+def test_assign_sanitize_features(spark):
+    rows = spark.range(30).withColumnRenamed("id", "row")
+    devices = spark.range(20).select(F.format_string("g%d", "id").alias("guid"))
+    got = Y.assign_keys(rows, "row", devices, "guid", "s").collect()
+    assert len(got) == 20 and len({r["guid"] for r in got}) == 20 and len({r["row"] for r in got}) == 20
+    raw = spark.createDataFrame([("5", None), ("x", " "), ("-3", "b")], "x string, c string")
+    clean = Y.sanitize(raw, ["x", "y"], ["c"]).collect()
+    assert [(r["x"], r["y"], r["c"]) for r in clean] == [(5.0, 0.0, "Unknown"), (0.0, 0.0, "Unknown"), (0.0, 0.0, "b")]
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 9.0)], "c string, x double")
+    assert all(len(r["features"]) >= 3 for r in Y.features(df, ["x"], ["c"]).collect())
+
+
 # --- wide and post-processing ---
 
 
