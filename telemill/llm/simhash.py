@@ -222,8 +222,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(start)  # posts come first in a group
         probes = np.flatnonzero(~posts & (have[number] > 0))
         a, b = [], []
-        for at in range(0, len(probes), 4096):
-            p = probes[at : at + 4096]
+        for at in range(0, len(probes), 1024):
+            p = probes[at : at + 1024]
             times = have[number[p]]
             left = np.repeat(p, times)
             right = np.repeat(first[number[p]] - (np.cumsum(times) - times), times) + np.arange(times.sum())

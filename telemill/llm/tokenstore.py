@@ -170,6 +170,9 @@ def chunk_uses(docs: DataFrame, vocabulary: str) -> DataFrame:
                         seen.add(key)
                         begin = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+        # the worker goes on to other tasks, perhaps of other operators: it doesn't keep a large memory for them
+        if len(encoder(vocabulary).words) > CACHE_WORDS // 2:
+            encoder(vocabulary).words.clear()
 
     return rows.mapInArrow(run, schema)
 
