@@ -9,9 +9,19 @@ of a bounded sample (SAMPLE documents by hash of doc_id) train a logistic scorer
 over hashed words and the binned statistics that the heuristics look at; it then
 scores every whole document.
 
-Decision: rejected if the scorer's probability of a bad text reaches THRESHOLD,
-or if words of abuse are at least TOXIC_RATE of the words (TOXIC_LEAST of them at
-least), which no training text should carry however well it is written.
+Toxicity is a class of its own, with two sources. A hashed linear scorer learns
+it from a bounded sample of the labels table (TOXIC_SAMPLE labelled documents by
+hash of doc_id, whole texts): words and beginnings of words that are much
+commoner in toxic texts, of whatever language, get weights by logistic
+regression on each text's worst PASSAGE words; a text is judged by its worst
+passage. A list of insults is a weak labeller, which objects where they are
+TOXIC_RATE of a text's words (TOXIC_LEAST at least); the same sample tells how
+often it is right (LIST_TRUST where there are no labels). Either of the two may
+find a text toxic: their chances of being wrong are multiplied.
+
+Decision: rejected if the quality scorer's probability of a bad text reaches
+THRESHOLD, or the toxicity does, which no training text should carry however well
+it is written.
 
 Defined results: a null, empty or wordless text has quality 0 and is rejected;
 each row is judged by itself, so copies agree; an empty table gives no rows.
@@ -19,11 +29,14 @@ each row is judged by itself, so copies agree; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +48,13 @@ BUCKETS, EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 1 << 14, 8, 1500, 32, 0.5, 1e
 THRESHOLD = 0.5
 #: Largest share of good texts that a labeller is allowed to object to.
 MOST_FALSE = 0.003
-TOXIC_RATE, TOXIC_LEAST = 0.004, 1
+TOXIC_RATE, TOXIC_LEAST, LIST_TRUST = 0.004, 1, 0.9
+#: Labelled documents that toxicity is learnt from; words judged together; buckets of words and of their beginnings.
+TOXIC_SAMPLE, PASSAGE, TOXIC_BUCKETS, BEGINNING = 20_000, 150, 1 << 20, 5
+#: A word counts that so many toxic texts have, so many times the share of others, by chance with this probability at most.
+WORD_LEAST, WORD_ODDS, WORD_CHANCE = 3, 8, 2e-3
+#: What a toxic text weighs in training, other texts being so many more.
+TOXIC_WEIGHT, TOXIC_STEPS = 3.0, 600
 #: Common insults; a list to replace for other corpora.
 ABUSE = frozenset("idiot idiots moron morons scum clown clowns pathetic stupid trash loser losers garbage disgusting worthless imbecile dumb vermin filth fool fools".split())
 
@@ -207,41 +226,161 @@ def train(docs: DataFrame) -> np.ndarray:
     return fit_scorer([(np.array(r["ids"]), np.array(r["x"]), r["y"]) for r in got])
 
 
+# --- toxicity -------------------------------------------------------------------------------
+
+
+@dataclass
+class Toxicity:
+    """Weights by bucket, the bias, and the chance that the list is right when it objects."""
+
+    weights: dict[int, float] = field(default_factory=dict)
+    bias: float = -math.inf
+    trust: float = LIST_TRUST
+
+    def judge(self, stats: np.ndarray, bare: list[str]) -> float:
+        worst = worst_passage(bare, self.weights)[0] + self.bias if self.weights else -math.inf
+        scorer = 1 / (1 + math.exp(-max(min(worst, 30.0), -30.0))) if worst > -math.inf else 0.0
+        return 1 - (1 - scorer) * (1 - (self.trust if stats[-1] >= TOXIC_RATE else 0.0))
+
+
+def word_buckets(word: str) -> tuple[int, ...]:
+    """A word's bucket, and that of its beginning if it goes on."""
+    own = zlib.crc32(word.encode("utf-8", "surrogatepass")) % TOXIC_BUCKETS
+    return (own, zlib.crc32(word[:BEGINNING].encode("utf-8", "surrogatepass"), 1) % TOXIC_BUCKETS) if len(word) > BEGINNING else (own,)
+
+
+def worst_passage(bare: list[str], weights: dict[int, float]) -> tuple[float, list[int]]:
+    """The largest sum of weights of the distinct buckets within PASSAGE words, and the buckets."""
+    known = {w: [b for b in word_buckets(w) if b in weights] for w in set(bare)}
+    hits = [(i, known[w]) for i, w in enumerate(bare) if known[w]]
+    inside: dict[int, int] = {}
+    top, best, total, first = 0.0, [], 0.0, 0
+    for i, buckets in hits:  # weights are not negative, so the best passage ends where it finds a word
+        for b in buckets:
+            inside[b] = inside.get(b, 0) + 1
+            total += weights[b] if inside[b] == 1 else 0.0
+        while hits[first][0] <= i - PASSAGE:
+            for b in hits[first][1]:
+                inside[b] -= 1
+                total -= weights[b] if not inside[b] else 0.0
+            first += 1
+        if total > top + 1e-9:
+            top, best = total, [b for b, n in inside.items() if n]
+    return top, best
+
+
+def _by_chance(toxic: int, other: int, share: float) -> float:
+    """Chance that of so many texts as many or more are toxic."""
+    n = toxic + other
+    log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log(1 - share)
+    return sum(math.exp(log(k)) for k in range(toxic, n + 1))
+
+
+def fit_toxic(rows: list[tuple[list[int], float]]) -> tuple[dict[int, float], float]:
+    """Logistic regression on the buckets of the worst passages; weights are drawn to 1 and never negative."""
+    names = sorted({b for ids, _ in rows for b in ids})
+    place = {b: i for i, b in enumerate(names)}
+    row = np.repeat(np.arange(len(rows)), [len(ids) for ids, _ in rows])
+    col = np.array([place[b] for ids, _ in rows for b in ids], int)
+    y = np.array([t for _, t in rows], float)
+    each = np.where(y > 0, TOXIC_WEIGHT, 1.0)
+    w, bias = np.ones(len(names)), -2.0
+    for _ in range(TOXIC_STEPS):
+        g = each * (1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(rows)) + bias, -30, 30))) - y) / len(rows)
+        w = np.maximum(w - 4.0 * np.bincount(col, g[row], len(names)) - 0.004 * (w - 1), 0.0)
+        bias -= 2.0 * g.sum()
+    return {b: float(x) for b, x in zip(names, w, strict=True) if x > 0}, float(bias)
+
+
+def train_toxic(docs: DataFrame, labels: DataFrame | None) -> Toxicity:
+    """docs: doc_id, text; labels: doc_id, toxic -> the toxicity model; without labels of both kinds only the list."""
+    if labels is None:
+        return Toxicity()
+    told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    share = min(1.0, TOXIC_SAMPLE / max(told.count(), 1))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(draw)
+    sample = common.parted(rows.join(told.where(draw), "doc_id"), "toxic-sample")
+
+    def seen(cols: dict[str, list]) -> dict[str, list]:
+        """By bucket (-1: texts, -2: objections of the list) how many toxic and other texts have it."""
+        count: dict[int, list[int]] = {}
+        for text, toxic in zip(cols["text"], cols["toxic"], strict=True):
+            stats, bare = statistics(text)
+            if bare:
+                for b in {-1, *((-2,) if stats[-1] >= TOXIC_RATE else ()), *(b for w in set(bare) for b in word_buckets(w))}:
+                    count.setdefault(b, [0, 0])[0 if toxic else 1] += 1
+        return {"bucket": list(count), "toxic": [x[0] for x in count.values()], "other": [x[1] for x in count.values()]}
+
+    counts = common.map_batches(sample, seen, "bucket int, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = common.settle(counts.where((F.col("bucket") < 0) | (F.col("toxic") >= WORD_LEAST)))
+    whole = {r["bucket"]: (r["toxic"], r["other"]) for r in counts.where("bucket < 0").collect()}
+    toxic, other = whole.get(-1, (0, 0))
+    right, wrong = whole.get(-2, (0, 0))
+    model = Toxicity(trust=(right + 10 * LIST_TRUST) / (right + wrong + 10))
+    if not toxic or not other:
+        return model
+    # at most TOXIC_BUCKETS rows, in practice a few hundred
+    rich = counts.where((F.col("bucket") >= 0) & (F.col("toxic") * (other + 1) >= WORD_ODDS * (F.col("other") + 0.5) * (toxic + 1))).collect()
+    chosen = {r["bucket"]: 1.0 for r in rich if _by_chance(r["toxic"], r["other"], toxic / (toxic + other)) <= WORD_CHANCE}
+    if not chosen:
+        return model
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def worst(cols: dict[str, list]) -> dict[str, list]:
+        got = [sorted(worst_passage(statistics(t)[1], sent.value)[1]) for t in cols["text"]]
+        return {"ids": got, "toxic": cols["toxic"]}
+
+    found = common.map_batches(sample, worst, "ids array<int>, toxic int").groupBy("ids", "toxic").count().collect()  # at most TOXIC_SAMPLE rows of a few buckets
+    model.weights, model.bias = fit_toxic(sorted((list(r["ids"]), float(r["toxic"])) for r in found for _ in range(r["count"])))
+    return model
+
+
 _JUDGED = "quality double, toxicity double, keep boolean"
 
 
-def _judge(text: str | None, w: np.ndarray) -> tuple[float, float, bool]:
+def _judge(text: str | None, w: np.ndarray, model: Toxicity) -> tuple[float, float, bool]:
     stats, bare = statistics(text)
     if not bare:
         return 0.0, 0.0, False
     ids, x = features(stats, bare)
     bad = float(1 / (1 + np.exp(-np.clip(w[ids] @ x + w[-1], -30, 30))))
-    toxic = float(stats[-1])
-    return 1 - bad, toxic, bad < THRESHOLD and toxic < TOXIC_RATE
+    toxic = model.judge(stats, bare)
+    return 1 - bad, toxic, bad < THRESHOLD and toxic < THRESHOLD
 
 
-def classify(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs: doc_id, text -> doc_id, quality, toxicity, keep."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS + 1 doubles
+def classify(docs: DataFrame, weights: np.ndarray, toxic: Toxicity | None = None) -> DataFrame:
+    """docs: doc_id, text -> doc_id, quality, toxicity, keep. Both are chances, of a good and of a toxic text."""
+    sent = docs.sparkSession.sparkContext.broadcast((weights, toxic or Toxicity()))  # BUCKETS + 1 doubles, and the words of toxic texts
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        got = [_judge(t, sent.value) for t in cols["text"]]
+        got = [_judge(t, *sent.value) for t in cols["text"]]
         return {"doc_id": cols["doc_id"], "quality": [g[0] for g in got], "toxicity": [g[1] for g in got], "keep": [g[2] for g in got]}
 
     return common.map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batch, "doc_id long, " + _JUDGED)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows whose text the classifier keeps, with all their columns; no join, so repeated ids do no harm."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs))
+    sent = docs.sparkSession.sparkContext.broadcast((train(docs), train_toxic(docs, labels)))
 
     @F.pandas_udf("boolean")
     def kept(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: _judge(t, sent.value)[2]).astype(bool)
+        return text.map(lambda t: _judge(t, *sent.value)[2]).astype(bool)
 
     return docs.where(kept(F.col("text").cast("string")))
 
 
+def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The labels table, or None where there is none."""
+    try:
+        return common.table(spark, sf_dir, "labels")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return classify(docs, train(docs))
+    return classify(docs, train(docs), train_toxic(docs, labels_of(spark, sf_dir)))

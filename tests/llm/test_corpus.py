@@ -438,6 +438,33 @@ def test_quality(spark):
     assert {r["doc_id"] for r in quality.keep_good(df).collect()} == {i for i in got if got[i]["keep"]}
 
 
+def test_toxicity_is_learnt_in_every_language(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    syllables = {"en": ["th", "ing", "ou", "er", "an"], "de": ["sch", "ung", "ein", "ich", "keit"], "fr": ["eau", "oi", "ment", "ré", "tion"]}
+    insults = {k: ["".join(rng.choice(v, 4)) + "xq" for _ in range(8)] for k, v in syllables.items()}
+    rows, told = [], []
+    for i in range(900):
+        lang = ["en", "de", "fr"][i % 3]
+        words = ["".join(rng.choice(syllables[lang], 3)) for _ in range(2000 if i % 30 < 3 else 150)]
+        if toxic := i // 3 % 5 == 0:
+            at = int(rng.integers(0, len(words) - 100))  # of a long text, a passage only
+            for k in rng.choice(100, 6, replace=False):
+                words[at + k] = str(rng.choice(insults[lang]))
+        rows.append((i, " ".join(words) + ".", lang, "s", 0))
+        told.append((i, 1, int(toxic)))
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame(told, "doc_id long, quality int, toxic int")
+    model = quality.train_toxic(df, labels.where("doc_id % 2 = 0"))
+    got = {r["doc_id"]: r for r in quality.classify(df, quality.train(df), model).collect()}
+    for k, lang in enumerate(syllables):
+        held = [t for t in told if t[0] % 2 and t[0] % 3 == k]
+        assert np.mean([not got[i]["keep"] for i, _, t in held if t]) >= 0.9, lang
+        assert np.mean([got[i]["toxicity"] < 0.5 for i, _, t in held if not t]) >= 0.98, lang
+    again = quality.train_toxic(df.repartition(5), labels.where("doc_id % 2 = 0").repartition(3))
+    assert again.weights == model.weights and again.bias == model.bias
+    assert quality.labels_of(spark, str(tmp_path)) is None and quality.train_toxic(df, labels.limit(0)).weights == {}
+
+
 def test_label_model_finds_the_accurate_labeller():
     rng = np.random.default_rng(11)
     n, k = 20_000, len(quality.LABELLERS)
