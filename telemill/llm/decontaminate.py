@@ -6,7 +6,10 @@ candidates). A window's SimHash weighs its words by how often they stand there.
 Fingerprints are cut in BLOCKS blocks; if two differ in RADIUS bits at most, one
 block differs in RADIUS // BLOCKS at most, so items are posted under all values
 that near to each of their blocks and a window is looked up by its own: that
-finds every fingerprint within the radius. A candidate is a leak if its weighted
+finds every fingerprint within the radius. Beyond the radius counts decide: a
+window of SIMILARITY or more has so many places with shingles of the item
+(LEAST_SHARED of them at least) that few others have, and those are candidates
+too, so no window is lost to the radius. A candidate is a leak if its weighted
 shingle similarity (sum of minima over sum of maxima of the shingles' counts) is
 SIMILARITY or more; of the windows of an item in a document the best counts, the
 first among equals.
@@ -29,6 +32,8 @@ from .wordhash import hash_words, mix, shingles
 
 WIDTH, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 4, 11
+#: The share of a window's shingles that are the item's at least: minima over maxima reach SIMILARITY only from there.
+LEAST_SHARED = 2 * SIMILARITY / (1 + SIMILARITY)
 ITEMS = 5000
 #: Texts searched at a time, however large the batches are that Spark sends.
 STEP = 500
@@ -61,6 +66,7 @@ class Benchmark:
         self.length = np.array([len(w) for w in self.words], int)
         grams = [shingles(w, WIDTH) for w in self.words]
         self.grams = grams
+        self.least = np.array([max(1, int(np.ceil(LEAST_SHARED * len(g) - 1e-9))) if len(g) else np.iinfo(np.int64).max for g in grams], np.int64)
         value = np.concatenate([*grams, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(ids)), [len(g) for g in grams])
         order = np.lexsort((item, value))
@@ -92,7 +98,11 @@ class Benchmark:
     def search(self, words: np.ndarray, grams: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the leaks in one document; hits: places in its shingles."""
         lo, hi = np.searchsorted(self.value, grams[hits], "left"), np.searchsorted(self.value, grams[hits], "right")
-        items = np.unique(np.concatenate([self.item[a:b] for a, b in set(zip(lo.tolist(), hi.tolist(), strict=True))]))
+        shared = np.zeros(len(self.ids), np.int64)  # places of the document with a shingle of the item
+        ranges, times = np.unique(np.stack([lo, hi]), axis=1, return_counts=True)
+        for a, b, k in zip(*ranges.tolist(), times.tolist(), strict=True):
+            shared[self.item[a:b]] += k
+        items = np.flatnonzero(shared)
         best: dict[int, tuple[float, int]] = {}
         for n in np.unique(self.length[items]).tolist():
             if n > len(words):
@@ -107,6 +117,8 @@ class Benchmark:
                     s = run[part : part + (1 << 14)]
                     if len(s):
                         self._verify(words, grams, s, simhashes(words, s, n), n, best)
+        for i in np.flatnonzero(shared >= self.least).tolist():
+            self._beyond(words, grams, hits, i, best)
         return [(i, s, int(self.length[i]), x) for i, (x, s) in sorted(best.items())]
 
     def _verify(self, words, grams, starts, fps, n, best) -> None:
@@ -122,10 +134,27 @@ class Benchmark:
         j, w = np.array(sorted(pairs)).T
         good = np.bitwise_count(fps[j] ^ own[w]) <= RADIUS
         for j, w in zip(j[good].tolist(), w[good].tolist(), strict=True):
-            i, s = int(of[w]), int(starts[j])
-            x = similarity(grams[s : s + n - WIDTH + 1], self.grams[i])
-            if x >= SIMILARITY and (i not in best or (x, -s) > (best[i][0], -best[i][1])):
-                best[i] = (x, s)
+            self._weigh(grams, int(of[w]), int(starts[j]), best)
+
+    def _beyond(self, words, grams, hits, i, best) -> None:
+        """Windows that share enough shingles with item i, though their fingerprints are beyond the radius."""
+        n, m = int(self.length[i]), len(self.grams[i])
+        if n > len(words):
+            return
+        have = np.zeros(len(grams) + 1, np.int64)
+        have[hits[np.isin(grams[hits], self.grams[i])] + 1] = 1
+        have = np.cumsum(have)
+        starts = np.flatnonzero(have[m:] - have[: len(have) - m] >= self.least[i])
+        own = simhashes(self.words[i], np.zeros(1, int), n)
+        for part in range(0, len(starts), 1 << 14):
+            s = starts[part : part + (1 << 14)]
+            for start in s[np.bitwise_count(simhashes(words, s, n) ^ own) > RADIUS].tolist():
+                self._weigh(grams, i, start, best)
+
+    def _weigh(self, grams, i, s, best) -> None:
+        x = similarity(grams[s : s + len(self.grams[i])], self.grams[i])
+        if x >= SIMILARITY and (i not in best or (x, -s) > (best[i][0], -best[i][1])):
+            best[i] = (x, s)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:

@@ -109,6 +109,30 @@ def test_leaks_against_all_windows(spark):
     assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in want} and clean.columns == docs(spark, []).columns
 
 
+def test_leaks_beyond_the_fingerprint_radius():
+    rng = np.random.default_rng(13)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    items = [list(rng.choice(vocabulary, int(n))) for n in rng.integers(20, 200, 150)]
+    texts, beyond = [], 0
+    for it in items:
+        cut = int(len(it) * 0.1) if len(it) > 50 else 2  # as many words as similarity allows, at one end or both
+        for first, last in ((cut, 0), (0, cut), (cut // 2, cut - cut // 2)):
+            middle = it[first : len(it) - last]
+            texts.append(list(rng.choice(vocabulary, 60)) + middle + list(rng.choice(vocabulary, 60)))
+    b = decontaminate.Benchmark(list(range(len(items))), *decontaminate.hash_words([" ".join(w) for w in items]))
+    for d, w in enumerate(texts):
+        hashes, _ = decontaminate.hash_words([" ".join(w)])
+        grams = decontaminate.shingles(hashes, 5)
+        got = {i: (s, x) for i, s, _, x in b.search(hashes, grams, b.hits(grams))}
+        i, n = d // 3, len(items[d // 3])
+        all_windows = [(decontaminate.similarity(grams[s : s + n - 4], b.grams[i]), -s) for s in range(len(w) - n + 1)]
+        x, s = max(all_windows)
+        assert (got == {i: (-s, x)}) if x >= 0.8 else (i not in got), d
+        if x >= 0.8:
+            beyond += int(np.bitwise_count(decontaminate.simhashes(hashes, np.array([-s]), n) ^ decontaminate.simhashes(b.words[i], np.zeros(1, int), n))[0]) > decontaminate.RADIUS
+    assert beyond
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(2)
     near = decontaminate._near_values()
