@@ -93,8 +93,10 @@ def noisy_percentage(p: Column, n: Column, sigma: float, key: str, seed: str) ->
 
 #: Weights of categories in the distance between devices; all others weigh 1.
 CATEGORY_WEIGHTS = {"chassistype": 6.0, "countryname_normalized": 4.0, "os": 2.0}
-#: Candidates that a task holds at a time, and in all: beyond that, candidates are taken in portions.
+#: Candidates compared at a time, and those that are sent whole to every task: beyond that, they are taken in portions.
 CANDIDATE_BLOCK, MOST_CANDIDATES = 2048, 200_000
+#: Candidates of a portion and distinct vectors of a block that meet in one group of rows.
+PORTION, VECTOR_BLOCK = 20 * CANDIDATE_BLOCK, 50_000
 
 
 def _nearest_blocks(data: np.ndarray, cands: np.ndarray, weight: np.ndarray | None = None, cats: np.ndarray | None = None, cand_cats: np.ndarray | None = None, cat_weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +118,63 @@ def _nearest_blocks(data: np.ndarray, cands: np.ndarray, weight: np.ndarray | No
     return at, best
 
 
+def _in_portions(vectors: DataFrame, candidates: DataFrame, n_candidates: int, weight: np.ndarray | None = None, cat_weight: np.ndarray | None = None) -> DataFrame:
+    """vectors: x, k; candidates: candidate_id, x, k (numbers and categories) -> candidate_id, votes.
+
+    Candidates are dealt by hash into portions, distinct vectors into blocks; each
+    block meets each portion in a group of its own, candidates first, and of a
+    vector's nearest in all portions the nearest counts (the smaller id among equals).
+    """
+    distinct = vectors.groupBy("x", "k").agg(F.count("*").alias("n"))
+    portions, blocks = max(1, -(-n_candidates // PORTION)), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    left = candidates.select(F.lit(0).alias("side"), own(portions, "candidate_id").alias("portion"), every(blocks).alias("block"), F.col("candidate_id").cast("long").alias("id"), "x", "k")
+    right = distinct.select(F.lit(1).alias("side"), every(portions).alias("portion"), own(blocks, "x", "k").alias("block"), F.col("n").alias("id"), "x", "k")
+    met = left.unionAll(right).repartition("portion", "block").sortWithinPartitions("portion", "block", "side")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, ready = None, [], None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                side, portion, block = (part.column(c).to_numpy() for c in ("side", "portion", "block"))
+                turns = np.flatnonzero((np.diff(side) != 0) | (np.diff(portion) != 0) | (np.diff(block) != 0)) + 1
+                for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), part.num_rows], strict=True):
+                    run = part.slice(lo, hi - lo)
+                    if cell != (here := (portion[lo], block[lo])):
+                        cell, held, ready = here, [], None
+                    ids, x = run.column("id").to_numpy(), np.array(run.column("x").to_pylist(), np.float64)
+                    k = None if cat_weight is None else np.array(run.column("k").to_pylist(), str)
+                    if side[lo] == 0:
+                        held.append((ids, x, k))
+                        continue
+                    if ready is None and held:
+                        ids_, x_ = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                        order = np.argsort(ids_, kind="stable")
+                        ready = (ids_[order], x_[order], None if cat_weight is None else np.concatenate([h[2] for h in held])[order])
+                        held = []
+                    if ready is not None:
+                        found, dist = _nearest_blocks(x, ready[1], weight, k, ready[2], cat_weight)
+                        yield pa.RecordBatch.from_arrays([run.column("x"), run.column("k"), pa.array(ids), pa.array(dist), pa.array(ready[0][found])], names=["x", "k", "n", "dist", "candidate_id"])
+
+    near = met.mapInArrow(nearest, "x array<double>, k array<string>, n long, dist double, candidate_id long")
+    best = near.groupBy("x", "k").agg(F.max("n").alias("n"), F.min(F.struct("dist", "candidate_id")).alias("best"))
+    return best.groupBy(F.col("best.candidate_id").alias("candidate_id")).agg(F.sum("n").alias("votes"))
+
+
+def _every_candidate(candidates: DataFrame, votes: DataFrame) -> DataFrame:
+    return candidates.select(F.col("candidate_id").cast("long").alias("candidate_id")).join(votes, "candidate_id", "left").select("candidate_id", F.coalesce("votes", F.lit(0)).alias("votes"))
+
+
 def vector_votes(vectors: DataFrame, candidates: DataFrame, column: str) -> DataFrame:
     """candidate_id, votes: how many vectors are nearest to each candidate, every candidate with a bin."""
     spark = vectors.sparkSession
-    got = candidates.select("candidate_id", column).orderBy("candidate_id").limit(MOST_CANDIDATES + 1).collect()
-    if len(got) > MOST_CANDIDATES:
-        raise ValueError(f"more than {MOST_CANDIDATES} candidates: vote on portions and keep the nearer")
+    n = candidates.count()
+    if n > MOST_CANDIDATES:
+        plain = lambda df, *c: df.select(*c, F.col(column).cast("array<double>").alias("x"), F.array().cast("array<string>").alias("k"))
+        return _every_candidate(candidates, _in_portions(plain(vectors), plain(candidates, "candidate_id"), n))
+    got = candidates.select("candidate_id", column).orderBy("candidate_id").collect()  # MOST_CANDIDATES at most
     sent = spark.sparkContext.broadcast((np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64)))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +186,7 @@ def vector_votes(vectors: DataFrame, candidates: DataFrame, column: str) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at])], names=["candidate_id"])
 
     votes = vectors.select(column).mapInArrow(vote, "candidate_id long").groupBy("candidate_id").agg(F.count("*").alias("votes"))
-    return candidates.select(F.col("candidate_id").cast("long").alias("candidate_id")).join(votes, "candidate_id", "left").select("candidate_id", F.coalesce("votes", F.lit(0)).alias("votes"))
+    return _every_candidate(candidates, votes)
 
 
 def device_votes(real: DataFrame, candidates: DataFrame, numeric: list[str], categories: list[str]) -> DataFrame:
@@ -144,10 +197,17 @@ def device_votes(real: DataFrame, candidates: DataFrame, numeric: list[str], cat
     span = np.maximum(np.array([bounds[f"hi{i}"] or 0.0 for i in range(len(numeric))]) - lo, 1e-10)
     cat_weight = np.array([CATEGORY_WEIGHTS.get(c, 1.0) for c in categories])
     whole = cat_weight.sum() + len(numeric)
-    got = candidates.select("candidate_id", *numeric, *categories).orderBy("candidate_id").limit(MOST_CANDIDATES).toPandas()
+    weight = np.full(len(numeric), 1 / whole)
+    n = candidates.count()
+    if n > MOST_CANDIDATES:
+        number = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+        x = F.array(*(F.least(F.greatest((number(c) - float(lo[i])) / float(span[i]), F.lit(0.0)), F.lit(1.0)) for i, c in enumerate(numeric))).cast("array<double>")
+        k = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) for c in categories)).cast("array<string>")
+        shaped = lambda df, *c: df.select(*c, x.alias("x"), k.alias("k"))
+        return _every_candidate(candidates, _in_portions(shaped(real), shaped(candidates, "candidate_id"), n, weight, cat_weight / whole if categories else None))
+    got = candidates.select("candidate_id", *numeric, *categories).orderBy("candidate_id").toPandas()  # MOST_CANDIDATES at most
     scale = lambda pdf: np.clip((pdf[numeric].fillna(0).to_numpy(np.float64) - lo) / span, 0, 1)
     sent = spark.sparkContext.broadcast((got["candidate_id"].to_numpy(), scale(got), got[categories].fillna("Unknown").to_numpy(str)))
-    weight = np.full(len(numeric), 1 / whole)
 
     def vote(pdfs):
         ids, cands, cats = sent.value
@@ -156,7 +216,7 @@ def device_votes(real: DataFrame, candidates: DataFrame, numeric: list[str], cat
             yield pdf[[]].assign(candidate_id=ids[at])
 
     votes = real.select(*numeric, *categories).mapInPandas(vote, "candidate_id long").groupBy("candidate_id").agg(F.count("*").alias("votes"))
-    return candidates.select(F.col("candidate_id").cast("long").alias("candidate_id")).join(votes, "candidate_id", "left").select("candidate_id", F.coalesce("votes", F.lit(0)).alias("votes"))
+    return _every_candidate(candidates, votes)
 
 
 def noisy_votes(votes: DataFrame, sigma: float, seed: str) -> DataFrame:

@@ -154,6 +154,21 @@ def test_blocks_change_nothing(monkeypatch):
     assert (Y._nearest_blocks(data, cands)[0] == whole).all()
 
 
+def test_votes_in_portions(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.integers(0, 4, 3)], "AB"[i % 2] if i % 7 else None, float(i % 13) if i % 5 else None) for i in range(400)]
+    rows += [(400 + i, rows[1][1], "A", 3.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "candidate_id long, embedding array<float>, os string, mem double")
+    real, cands = df.where("candidate_id % 5 <> 0").drop("candidate_id"), df.where("candidate_id % 5 = 0")
+    votes = lambda: [sorted(map(tuple, d.collect())) for d in (Y.vector_votes(real, cands, "embedding"), Y.device_votes(real, cands, ["mem"], ["os"]))]
+    want = votes()
+    for name, n in (("MOST_CANDIDATES", 20), ("PORTION", 9), ("VECTOR_BLOCK", 40)):
+        monkeypatch.setattr(Y, name, n)
+    assert votes() == want and all(sum(v for _, v in w) == real.count() for w in want)
+
+
 def test_selection(spark):
     v = spark.createDataFrame([(1, 0.0), (2, 9.0), (3, 9.0), (4, 1.0)], "candidate_id long, votes double")
     assert [r[0] for r in Y.select_ranked(v, 3).collect()] == [3, 2, 4]
