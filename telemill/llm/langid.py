@@ -12,7 +12,8 @@ precomputed logit row per gram over the whole text.
 Defined results: a null text, or one without a letter, is `und` with score 0;
 a null lang is never learned from; a null doc_id isn't held out and isn't
 learned from; with no labelled row at all everything is `und` with score 0;
-at most MAX_LANGUAGES languages are learned, the most frequent first.
+every other value of lang is learned, however many there are: sample and model
+grow with their number (SAMPLE_PER_LANGUAGE documents and 262 kB of weights each).
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from . import common
 
 SAMPLE_PER_LANGUAGE = 500
 GRAMS_PER_DOC = 256
-MAX_LANGUAGES = 200
 BUCKETS, DIM, EPOCHS, BATCH, RATE, SEED = 1 << 15, 8, 6, 32, 8.0, 17
 #: Share of the sample kept from training for temperature and rejection; share of right answers that rejection may cost.
 CALIBRATION, REJECT_QUANTILE = 0.2, 0.01
@@ -165,12 +165,11 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
 def sample_rows(docs: DataFrame) -> list[tuple[str, np.ndarray]]:
     """The bounded training sample. docs: doc_id, text, lang; all of it is open to learning."""
     usable = docs.where("doc_id is not null and text is not null and lang is not null")
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
     if not sizes:
         return []
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE_PER_LANGUAGE / r["count"]))).otherwise(share)
+    large = [x for r in sizes if r["count"] > SAMPLE_PER_LANGUAGE for x in (F.lit(r["lang"]), F.lit(SAMPLE_PER_LANGUAGE / r["count"]))]
+    share = F.coalesce(F.try_element_at(F.create_map(*large), F.col("lang")), F.lit(1.0)) if large else F.lit(1.0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
     def drawn(cols: dict[str, list]) -> dict[str, list]:
@@ -194,7 +193,7 @@ def sample_rows(docs: DataFrame) -> list[tuple[str, np.ndarray]]:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs: doc_id, text -> doc_id, lang_pred, score, rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.dumps())  # BUCKETS x languages doubles: at most 52 MB
+    sent = docs.sparkSession.sparkContext.broadcast(model.dumps())  # BUCKETS x languages doubles
     held: dict[str, Model] = {}
 
     def batch(cols: dict[str, list]) -> dict[str, list]:

@@ -167,6 +167,13 @@ def test_language_held_out_accuracy(spark):
     assert langid.Model.loads(model.dumps()).predict("ingou therou") == model.predict("ingou therou")
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(3 * k + i, f"text {k} of language", f"l{k}") for k in range(230) for i in range(3)] + [(10_000 + i, "frequent words", "l7") for i in range(100)]
+    monkeypatch.setattr(langid, "SAMPLE_PER_LANGUAGE", 20)
+    got = [lang for lang, _ in langid.sample_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))]
+    assert {*got} == {f"l{k}" for k in range(230)} and all(got.count(f"l{k}") == 3 for k in range(230) if k != 7) and got.count("l7") < 60
+
+
 # --- mixing ---
 
 
