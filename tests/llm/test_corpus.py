@@ -436,14 +436,45 @@ def test_token_store_round_trip(spark):
     chunks = tokenstore.read_chunks(spark, folder)
     assert chunks.count() == chunks.select("hash").distinct().count()
     assert chunks.agg(F.sum("n")).first()[0] < start  # the long text is stored once
-    assert spark.read.parquet(f"{folder}/manifest").agg(F.sum("documents")).first()[0] == len(texts)
+    top = spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("level")).first()
+    assert (top["node"], top["documents"], top["ids"]) == (0, len(texts), start)
 
 
-def test_crc_join():
+def _damaged(spark, folder, part, change):
+    """A copy of the store in which one of its tables is changed."""
+    other = common.shared_path(spark, "test-damage")
+    for name in ("store", "recipes", "manifest"):
+        df = spark.read.parquet(f"{folder}/{name}")
+        (change(df) if name == part else df).write.parquet(f"{other}/{name}")
+    return other
+
+
+def test_damage_to_the_token_store_is_seen(spark, monkeypatch):
+    monkeypatch.setattr(tokenstore, "FAN", 4)
+    texts = [f"text number {i} of some words" for i in range(40)] + [""] * 30
+    folder = common.shared_path(spark, "test-store")
+    tokenstore.write_store(docs(spark, texts), folder)
+    whole = tokenstore.read_index(spark, folder).collect()
+    assert len(whole) == 70 and all(r["verified"] for r in whole)
+    key = spark.read.parquet(f"{folder}/recipes").where("doc_id = 7").first()["chunks"][0]["hash"]
+    is_it = F.col("key") == F.lit(bytes(key))
+    gone = {r["doc_id"]: r for r in tokenstore.read_index(spark, _damaged(spark, folder, "store", lambda x: x.where(~is_it))).collect()}
+    assert len(gone) == 70 and [i for i, r in gone.items() if not r["verified"]] == [7] and gone[7]["ids_crc32"] is None
+    wrong = {r["doc_id"]: r for r in tokenstore.read_index(spark, _damaged(spark, folder, "store", lambda x: x.withColumn("ids", F.when(is_it, F.lit(b"\0" * 8)).otherwise(F.col("ids"))))).collect()}
+    assert len(wrong) == 70 and [i for i, r in wrong.items() if not r["verified"]] == [7]
+    for part, change in (("recipes", lambda x: x.where("doc_id <> 7")), ("recipes", lambda x: x.withColumn("chunks", F.when(F.col("doc_id") == 7, F.slice("chunks", 1, 0)).otherwise(F.col("chunks")))), ("recipes", lambda x: x.limit(0)), ("manifest", lambda x: x.where("level > 1 or node <> 2")), ("manifest", lambda x: x.withColumn("hash", F.when(F.col("level") == 2, "0").otherwise(F.col("hash")))), ("manifest", lambda x: x.where("level < 3")), ("manifest", lambda x: x.limit(0))):
+        with pytest.raises(tokenstore.StoreDamaged):
+            tokenstore.read_index(spark, _damaged(spark, folder, part, change))
+    with pytest.raises(Exception, match="missing"):
+        tokenstore.read_ids(spark, _damaged(spark, folder, "store", lambda x: x.where(~is_it))).collect()
+
+
+def test_crc_of_parts():
     rng = np.random.default_rng(9)
-    for n in (0, 1, 3, 1000, 65536):
-        a, b = rng.bytes(77), rng.bytes(n)
-        assert tokenstore.crc_join(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
+    parts = [rng.bytes(int(n)) for n in (77, 0, 1, 3, 1000, 65536, 5)]
+    after = np.array([sum(map(len, parts[i + 1 :])) for i in range(len(parts))])
+    got = tokenstore.crc_shift(np.array([zlib.crc32(p) for p in parts]), after)
+    assert int(np.bitwise_xor.reduce(got)) == zlib.crc32(b"".join(parts))
 
 
 # --- quality ---
