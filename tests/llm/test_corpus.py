@@ -261,6 +261,52 @@ def test_ann_recall_and_ties(spark):
     assert annsearch.nearest(df.where("vec_id >= 9000"), df).count() == 0
     few = annsearch.nearest(df.where("vec_id in (0, 1, 2)"), df.where("vec_id = 0")).collect()
     assert {r["vec_id"] for r in few} == {1, 2}
+    assert annsearch.nearest(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
+
+
+def _found(df, queries):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in annsearch.nearest(df, queries).collect())
+
+
+def test_ann_few_ids_and_copies(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(3000, 8))
+    for ids in ((0, 100, 200), (7, 300, 5), (100, 101, 102)):
+        df = spark.createDataFrame([(ids[i % 3], [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        got = _found(df, df.where("vec_id % 100 = 0"))
+        own = {q: min(map(list, x[np.array([ids[i % 3] for i in range(3000)]) == q])) for q in ids if q % 100 == 0}
+        assert [g[:2] for g in got] == [(q, k) for q in sorted(own) for k in range(1, 11)]
+        for q, v in own.items():  # rows of the same id are candidates, but for the query itself
+            d = np.sqrt(((x - np.array(v)) ** 2).sum(1))
+            exact = sorted((d[i], ids[i % 3]) for i in range(3000) if d[i] > 0)[:10]
+            assert len({g[3] for g in got if g[0] == q} & {e[0] for e in exact}) >= 9
+    same = spark.createDataFrame([(5, [1.0, 2.0])] * 900 + [(200, [1.0, 2.0])] * 3 + [(1, [2.0, 1.0])], "vec_id long, embedding array<double>").repartition(3)
+    assert _found(same, same.where("vec_id % 100 = 0")) == [(200, k, 5, 0.0) for k in range(1, 11)]
+    two = spark.createDataFrame([(200, [1.0, 2.0])] * 3 + [(1, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [g[1:3] for g in _found(two, two.where("vec_id % 100 = 0"))] == [(1, 200), (2, 200), (3, 1)]
+
+
+def test_ann_does_not_depend_on_cuts(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(2500, 16)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    monkeypatch.setattr(annsearch, "CANDIDATES", 20)
+    want = _found(df, df.where("vec_id % 100 = 0"))
+    monkeypatch.setattr(annsearch, "SEGMENT", 97)
+    monkeypatch.setattr(annsearch, "QUERY_BLOCK", 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
+    try:
+        assert _found(df, df.where("vec_id % 100 = 0")) == want and len(want) == 250
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # no row near enough by footrule: the search with all rows as candidates fills up
+    monkeypatch.setattr(annsearch, "bounds", lambda sample, pivots, o, share: np.full(len(o), 0.0 if share == 1 else 1e9))
+    exact = _found(df, df.where("vec_id % 100 = 0"))
+    x = np.array([r[1] for r in rows])
+    for q in range(0, 2500, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [g[2] for g in exact if g[0] == q] == np.lexsort((np.arange(2500), d))[:10].tolist()
 
 
 # --- SimHash ---
