@@ -219,8 +219,64 @@ def test_mix(spark, seed):
     words = {}
     for r in out:
         words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
-    # the three equal rows count as copies of one row, which stands once for each of them that is taken
     assert all(abs(words.get(s, 0) - want[s]) <= 1 for s in want)
+    assert sum(r["doc_id"] == 5 for r in out) == sum(r["doc_id"] == 5 and r["taken"] > 0 for r in got)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_mix_takes_what_the_slots_say(spark, monkeypatch, small):
+    """taken of each document against words laid end to end and slots gone through one by one."""
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 40)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
+    if small:
+        monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    rng = np.random.default_rng(21)
+    rows = [(int(i) * 10**12, " ".join(["w"] * int(n)), s) for i, (n, s) in enumerate(zip(rng.integers(0, 90, 240), rng.choice(["big"] * 6 + ["mid", "low", None], 240), strict=True))]  # sparse ids
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    _, sources, slots = mixing.mix_plan(df)
+    sources, slots = sources.collect(), slots.collect()
+    target = {r["source"]: round(r["target"]) for r in sources}
+    size = {r["source"]: r["source_size"] for r in sources}
+    shards = {}
+    words, seen = {}, {}
+    for r in slots:
+        full = size[r["source"]] // 16
+        assert 0 <= r["block"] <= full and (r["pass"], r["block"]) not in seen.setdefault(r["source"], set())
+        seen[r["source"]].add((r["pass"], r["block"]))
+        words[r["source"]] = words.get(r["source"], 0) + r["n_words"]
+        shards.setdefault(r["shard"], []).append(r["source"])
+    assert words == {s: t for s, t in target.items() if t}
+    # drawn shards are full but for sources that ran out, and no two are alike; the blocks of a pass come in no order
+    drawn = [n for k, n in shards.items() if k < int(0.9 * len(slots)) // 40]
+    assert len(drawn) == int(0.9 * len(slots)) // 40 and all(len(n) <= 40 for n in drawn) and sum(len(n) == 40 for n in drawn) >= len(drawn) - 2 and len({tuple(sorted(map(str, n))) for n in drawn}) > 1
+    want = {}
+    for s in size:
+        at = 0
+        for d, t, _ in sorted(r for r in rows if r[2] == s):
+            n = len(t.split())
+            mine = [r for r in slots if r["source"] == s and r["block"] * 16 < at + n and r["block"] * 16 + r["n_words"] > at]
+            want[d] = (sum(min(at + n, r["block"] * 16 + r["n_words"]) - max(at, r["block"] * 16) for r in mine), len({r["shard"] for r in mine}))
+            at += n
+    assert {r["doc_id"]: (r["taken"], r["n_shards"]) for r in mixing.mixed(df).collect()} == {d: w if n else (0, 0) for (d, w), n in zip(sorted(want.items()), [len(t.split()) for _, t, _ in sorted(rows, key=lambda r: r[0])], strict=True)}
+
+
+def test_permutation_of_any_length(spark):
+    for n in (1, 2, 7, 64, 1000):
+        got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("s"), F.lit(1))).collect()]
+        assert sorted(got) == list(range(n)) and (n < 64 or got != sorted(got))
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(i % 50, "all of these words " * (5 + i % 50), "ab"[i % 2], i, f"k{i}", 2 * i, 3 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __id long, key string, `a.b` long, __n long")
+    for stage in (mixing.mixed_documents, simhash.keep_one_each):
+        out = stage(df)
+        assert out.columns == df.columns
+        got = out.collect()
+        known = {r[3]: r for r in rows}
+        assert got and all(r["key"] == f"k{r['__id']}" and r["a.b"] == 2 * r["__id"] and r["__n"] == 3 * r["__id"] and known[r["__id"]][0] == r["doc_id"] for r in got)
+    assert len(mixing.mixed_documents(df).collect()) >= 50
 
 
 def test_mix_texts_are_the_words_taken(spark):
