@@ -10,6 +10,7 @@ characters, so that one very long run costs no more than as many short ones.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +30,17 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]")
 _ANY_DIGIT = re.compile(r"[0-9]")
 
-#: kind: (pattern, base score, words that raise the score when near). Context adds 0.35.
-_PROPOSALS = {
-    "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0.9, ("iban", "account", "konto", "compte", "cuenta", "bank")),
-    "ssn": (re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0.45, ("ssn", "social security", "sozialversicherung", "sécurité sociale", "seguridad social")),
-    "phone_local": (re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"), 0.35, ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono")),
-    "secret": (re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])"), 0.35, ("token", "key", "secret", "password", "api")),
-    "birth_date": (re.compile(r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])"), 0.3, ("born", "birth", "dob", "geboren", "né le", "nacido", "nacimiento")),
-}
+#: (kind, pattern, base score, words that raise the score when near). Context adds 0.35. A group named v is the span, else all of the match.
+_PROPOSALS = (
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0.9, ("iban", "account", "konto", "compte", "cuenta", "bank")),
+    ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0.45, ("ssn", "social security", "sozialversicherung", "sécurité sociale", "seguridad social")),
+    ("phone_local", re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"), 0.35, ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![A-Za-z0-9])"), 0.35, ("token", "key", "secret", "password", "api")),
+    # public formats of access keys, tokens and private keys
+    ("secret", re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"), 0.9, ()),
+    ("secret", re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<v>(?=[^\s\"',;]{0,63}[0-9])(?=[^\s\"',;]{0,63}[a-z])[^\s\"',;]{12,64})(?![^\s\"',;])"), 0.65, ()),
+    ("birth_date", re.compile(r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])"), 0.3, ("born", "birth", "dob", "geboren", "né le", "nacido", "nacimiento")),
+)
 
 
 def luhn(digits: str) -> bool:
@@ -96,23 +100,58 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def _iban_end(found: str) -> int:
+    """Where the longest run of its groups ends that is of a fit length and passes mod 97; 0 for none. A word in capitals may follow an account."""
+    end = len(found)
+    while end > 0:
+        plain = found[:end].replace(" ", "")
+        if 15 <= len(plain) <= 34 and mod97(plain):
+            return end
+        end = found.rfind(" ", 0, end)
+    return 0
+
+
+class _Taken:
+    """Spans that were given out, apart from each other."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b) - 1
+        return i >= 0 and self.ends[i] > a
+
+
 def method_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, float]]:
-    """Further kinds, scored: pattern, checksum where there is one, context near by. Base spans aren't covered again."""
-    if not _ANY_DIGIT.search(text):
+    """Further kinds, scored: pattern, checksum where there is one, context near by. Base spans aren't covered again, nor a kind's own."""
+    if not _ANY_DIGIT.search(text) and "PRIVATE KEY" not in text:
         return []
-    taken = sorted(s for spans in base.values() for s in spans)
-    found = []
-    for kind, (pattern, score, near) in _PROPOSALS.items():
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
+    taken = _Taken([s for spans in base.values() for s in spans])
+    found: dict[str, list[tuple[str, int, int, float]]] = {k: [] for k in KINDS[4:]}
+    for kind, pattern, score, near in _PROPOSALS:
+        own = _Taken([s[1:3] for s in found[kind]])
+        at = 0
+        while m := pattern.search(text, at):
+            a, b = m.span("v" if "v" in pattern.groupindex else 0)
+            at = m.end()
+            if kind == "iban":
+                end = _iban_end(m[0])
+                # after a failure the next may begin at the next word of this one
+                at = a + end if end else m.start() + (m[0].find(" ") + 1 or len(m[0]))
+                b = a + end
+            if a == b or taken.meets(a, b) or own.meets(a, b):
                 continue
-            if kind == "iban" and not mod97(m[0].replace(" ", "")):
-                continue
-            around = text[max(0, m.start() - CONTEXT_CHARS) : m.end() + CONTEXT_CHARS].lower()
+            around = text[max(0, a - CONTEXT_CHARS) : b + CONTEXT_CHARS].lower()
             got = score + (0.35 if any(w in around for w in near) else 0.0)
             if got >= MIN_SCORE:
-                found.append((kind, *m.span(), round(min(got, 1.0), 2)))
-    return found
+                found[kind].append((kind, a, b, round(min(got, 1.0), 2)))
+    return [x for kind in KINDS[4:] for x in found[kind]]
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, float]]]:
@@ -150,7 +189,10 @@ def redact(text: str | None, spans) -> str | None:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect_pii(common.table(spark, sf_dir, "documents"))
     order = F.array(*map(F.lit, KINDS))
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(F.array_position(order, s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"))))
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(F.array_position(order, s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), s["score"].alias("score"))))
     told = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("o", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", ordered.alias("o")).select("doc_id", *(count(k) for k in KINDS[:4]), F.sha2(told(F.filter("o", lambda s: s["base"])), 256).alias("base_sha256"), told("o").alias("spans"))
+    return found.select("doc_id", ordered.alias("o")).select(
+        "doc_id", *(count(k) for k in KINDS[:4]), F.sha2(told(F.filter("o", lambda s: s["base"])), 256).alias("base_sha256"), told("o").alias("spans"), F.size("o").cast("long").alias("n_spans"),
+        F.concat_ws(",", F.transform("o", lambda s: F.format_number(s["score"], 2))).alias("scores"),
+    )
