@@ -12,16 +12,23 @@ window of SIMILARITY or more has so many places with shingles of the item
 too, so no window is lost to the radius. A candidate is a leak if its weighted
 shingle similarity (sum of minima over sum of maxima of the shingles' counts) is
 SIMILARITY or more; of the windows of an item in a document the best counts, the
-first among equals.
+first among equals. Search goes by hashes of words; what it finds is weighed
+again on the words themselves.
+
+A document shorter than an item is one window as a whole. An item of fewer words
+than a shingle is its own only shingle, so it leaks where it stands whole.
 
 The benchmark is sent to the tasks in portions of ITEMS items, whatever its
-size. Defined results: null or short texts (fewer words than a shingle), in
-items or documents, match nothing; repeated rows give repeated results; repeated
-items are reported under each of their ids; a null id stays null.
+size. Defined results: null, empty and wordless texts, in items or documents,
+match nothing; repeated rows give repeated results; repeated items are reported
+under each of their ids; a null id stays null.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +80,13 @@ class Benchmark:
         self.value, self.item = value[order], item[order]
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[self.value & np.uint64((1 << 20) - 1)] = True
+        #: width -> shingles of the items of so few words, sorted, and the items
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted(set(self.length[(self.length > 0) & (self.length < WIDTH)].tolist())):
+            of = np.flatnonzero(self.length == n)
+            whole = np.concatenate([shingles(self.words[i], n) for i in of])
+            order = np.argsort(whole, kind="stable")
+            self.short[n] = (whole[order], of[order])
         near = _near_values()
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted(set(self.length[self.length >= WIDTH].tolist())):
@@ -104,9 +118,9 @@ class Benchmark:
             shared[self.item[a:b]] += k
         items = np.flatnonzero(shared)
         best: dict[int, tuple[float, int]] = {}
-        for n in np.unique(self.length[items]).tolist():
-            if n > len(words):
-                continue
+        for i in items[self.length[items] > len(words)].tolist():
+            self._weigh(grams, i, 0, best)
+        for n in np.unique(self.length[items][self.length[items] <= len(words)]).tolist():
             # all windows of n words with one of the places; runs of starts, each once
             covered = np.zeros(len(words) - n + 2, np.int64)
             np.add.at(covered, np.clip(hits - (n - WIDTH), 0, len(words) - n + 1), 1)
@@ -119,7 +133,7 @@ class Benchmark:
                         self._verify(words, grams, s, simhashes(words, s, n), n, best)
         for i in np.flatnonzero(shared >= self.least).tolist():
             self._beyond(words, grams, hits, i, best)
-        return [(i, s, int(self.length[i]), x) for i, (x, s) in sorted(best.items())]
+        return [(i, s, min(int(self.length[i]), len(words)), x) for i, (x, s) in sorted(best.items())]
 
     def _verify(self, words, grams, starts, fps, n, best) -> None:
         keys, who, of, own = self.tables[n]
@@ -139,7 +153,7 @@ class Benchmark:
     def _beyond(self, words, grams, hits, i, best) -> None:
         """Windows that share enough shingles with item i, though their fingerprints are beyond the radius."""
         n, m = int(self.length[i]), len(self.grams[i])
-        if n > len(words):
+        if n > len(words):  # weighed as a whole
             return
         have = np.zeros(len(grams) + 1, np.int64)
         have[hits[np.isin(grams[hits], self.grams[i])] + 1] = 1
@@ -177,20 +191,47 @@ def _portions(benchmark: DataFrame) -> list:
     sent = []
     for p in range(n):
         got = sorted(numbered.where(F.col("portion") == p).collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
-        sent.append(benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in got], *hash_words([r["text"] for r in got]))))
+        sent.append(benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in got], [r["text"] for r in got], *hash_words([r["text"] for r in got]))))
     return sent
 
 
+_WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words that hash_words hashes."""
+    return _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+
+
+def _counts(words: list[bytes]) -> Counter:
+    return Counter(tuple(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1)))
+
+
 class _Search:
     """Searches batches of texts for one portion; builds its tables once a task."""
 
     def __init__(self, sent):
         self.sent, self.built = sent, None
 
+    def _short(self, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text number, item, first word, words) where items of few words first stand whole."""
+        out = {}
+        for n, (value, item) in self.built.short.items():
+            grams = shingles(hashes, n)
+            lo, hi = np.searchsorted(value, grams, "left"), np.searchsorted(value, grams, "right")
+            at = np.flatnonzero(hi > lo)
+            doc = np.searchsorted(bounds, at, "right") - 1
+            for k, d in zip(at.tolist(), doc.tolist(), strict=True):
+                if k + n <= bounds[d + 1]:
+                    for i in item[lo[k] : hi[k]].tolist():
+                        out.setdefault((d, i), (d, i, k - int(bounds[d]), n))
+        return list(out.values())
+
     def __call__(self, texts: list[str | None]) -> list[tuple[int, int | None, int, int, float]]:
         """(text number, item_id, first word, words, similarity)"""
         if self.built is None:
-            self.built = Benchmark(*self.sent.value)
+            ids, self.texts, hashes, bounds = self.sent.value
+            self.built = Benchmark(ids, hashes, bounds)
         b = self.built
         hashes, bounds = hash_words(texts)
         grams = shingles(hashes, WIDTH)
@@ -198,10 +239,18 @@ class _Search:
         doc = np.searchsorted(bounds, hits, "right") - 1
         inside = hits + WIDTH <= bounds[doc + 1]
         hits, doc = hits[inside], doc[inside]
-        out = []
+        found = self._short(hashes, bounds)
         for d in np.unique(doc).tolist():
             lo, hi = int(bounds[d]), int(bounds[d + 1])
-            out += [(d, b.ids[i], s, n, x) for i, s, n, x in b.search(hashes[lo:hi], grams[lo : hi - WIDTH + 1], hits[doc == d] - lo)]
+            found += [(d, i, s, n) for i, s, n, _ in b.search(hashes[lo:hi], grams[lo : hi - WIDTH + 1], hits[doc == d] - lo)]
+        out, at, words = [], None, []
+        for d, i, s, n in sorted(found):
+            if d != at:
+                at, words = d, words_of(texts[d])
+            x, y = _counts(words[s : s + n]), _counts(words_of(self.texts[i]))
+            exact = sum((x & y).values()) / sum((x | y).values())
+            if exact >= SIMILARITY:
+                out.append((d, b.ids[i], s, n, exact))
         return out
 
 
