@@ -3,10 +3,10 @@
 Byte trigrams and 4-grams (with word bounds, ASCII lower-cased) are hashed into
 buckets, each with a small embedding; a text is the mean of its grams'
 embeddings; a softmax over the learned languages follows. Training is plain
-stochastic gradient descent in numpy on a bounded sample: at most
+stochastic gradient descent in numpy on a bounded sample: about
 SAMPLE_PER_LANGUAGE labelled documents of a language (chosen by a hash of
-doc_id over the whole table) and GRAMS_PER_DOC grams drawn from each whole
-document. Since the mean and the linear layer commute, scoring sums one
+doc_id and text over the whole table, equal ones once), each with the counts of
+all its grams. Since the mean and the linear layer commute, scoring sums one
 precomputed logit row per gram over the whole text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0;
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE_PER_LANGUAGE = 500
-GRAMS_PER_DOC = 256
 BUCKETS, DIM, EPOCHS, BATCH, RATE, SEED = 1 << 15, 8, 6, 32, 8.0, 17
 #: Share of the sample kept from training for temperature and rejection; share of right answers that rejection may cost.
 CALIBRATION, REJECT_QUANTILE = 0.2, 0.01
@@ -42,6 +41,15 @@ for _b in range(256):
         _FOLD[_b] = _b
 
 
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the whole text's grams and how often each comes."""
+    data, total = _padded(text), np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(data), STEP):
+        total += np.bincount(grams(data[at : at + STEP + 3]), minlength=BUCKETS)
+    ids = np.flatnonzero(total)
+    return ids, total[ids]
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -59,15 +67,6 @@ def grams(data: np.ndarray) -> np.ndarray:
     return np.concatenate([(tri * np.uint32(0x9E3779B1)) >> shift, (four * np.uint32(0x85EBCA6B)) >> shift])
 
 
-def grams_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The buckets of the trigrams and 4-grams that begin at these places (three before the end at the latest)."""
-    b = _FOLD[data[at[:, None] + np.arange(4)]].astype(np.uint32)
-    tri = (b[:, 0] << np.uint32(16)) | (b[:, 1] << np.uint32(8)) | b[:, 2]
-    four = (tri << np.uint32(8)) | b[:, 3]
-    shift = np.uint32(32 - 15)
-    return np.concatenate([(tri[tri != 0x202020] * np.uint32(0x9E3779B1)) >> shift, (four[four != 0x20202020] * np.uint32(0x85EBCA6B)) >> shift])
-
-
 def _padded(text: str) -> np.ndarray:
     return np.frombuffer(f" {text} ".encode("utf-8", "surrogatepass"), np.uint8)
 
@@ -77,13 +76,8 @@ class Model:
         self.labels, self.logits, self.bias, self.temperature, self.floor = labels, logits, bias, temperature, floor
 
     def scores(self, text: str) -> np.ndarray:
-        data, total, n = _padded(text), np.zeros(len(self.labels)), 0
-        for at in range(0, len(data), STEP):
-            ids = grams(data[at : at + STEP + 3])
-            counts = np.bincount(ids, minlength=BUCKETS)
-            total += counts @ self.logits
-            n += len(ids)
-        z = (total / max(n, 1) + self.bias) / self.temperature
+        ids, counts = gram_counts(text)
+        z = (counts @ self.logits[ids] / max(int(counts.sum()), 1) + self.bias) / self.temperature
         z = np.exp(z - z.max())
         return z / z.sum()
 
@@ -106,30 +100,29 @@ class Model:
         return Model([str(v) for v in x["labels"]], x["logits"], x["bias"], *map(float, x["cal"]))
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """rows: (language, gram buckets). Same rows in the same order give the same model."""
-    labels = sorted({lang for lang, _ in rows})
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """rows: (language, gram buckets, counts). Same rows in the same order give the same model."""
+    labels = sorted({lang for lang, _, _ in rows})
     k = len(labels)
     if not k:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(SEED)
-    y = np.array([labels.index(lang) for lang, _ in rows])
-    width = max(1, max(len(g) for _, g in rows))
-    ids = np.zeros((len(rows), width), np.int64)
-    mask = np.zeros((len(rows), width))
-    for i, (_, g) in enumerate(rows):
-        ids[i, : len(g)] = g
-        mask[i, : len(g)] = 1 / max(len(g), 1)
+    number = {lang: i for i, lang in enumerate(labels)}
+    y = np.array([number[lang] for lang, _, _ in rows])
     held = rng.random(len(rows)) < CALIBRATION
     train = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
     e, w, b = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, k)), np.zeros(k)
     weight = len(train) / (k * np.maximum(np.bincount(y[train], minlength=k), 1))
 
     def forward(at):
-        h = np.einsum("nw,nwd->nd", mask[at], e[ids[at]])
+        """Means, logits, chances, and the grams of all these rows: bucket, row, share."""
+        ids = np.concatenate([rows[i][1] for i in at])
+        of = np.repeat(np.arange(len(at)), [len(rows[i][1]) for i in at])
+        share = np.concatenate([rows[i][2] / max(rows[i][2].sum(), 1) for i in at])
+        h = np.stack([np.bincount(of, weights=share * e[ids, d], minlength=len(at)) for d in range(DIM)], axis=1)
         z = h @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
-        return h, z, p / p.sum(1, keepdims=True)
+        return h, z, p / p.sum(1, keepdims=True), (ids, of, share)
 
     steps, done = EPOCHS * -(-len(train) // BATCH), 0
     for _ in range(EPOCHS):
@@ -138,18 +131,16 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
             at = order[i : i + BATCH]
             rate = RATE * (1 - done / steps)
             done += 1
-            h, _, p = forward(at)
+            h, _, p, (ids, of, share) = forward(at)
             p[np.arange(len(at)), y[at]] -= 1
             p *= weight[y[at]][:, None] / len(at)
             down = p @ w.T
             w -= 0.1 * rate * (h.T @ p)
             b -= 0.02 * rate * p.sum(0)
-            flat, m = ids[at].ravel(), mask[at]
-            used, back = np.unique(flat, return_inverse=True)
             for d in range(DIM):
-                e[used, d] -= rate * np.bincount(back, weights=(m * down[:, d : d + 1]).ravel(), minlength=len(used))
+                e[:, d] -= rate * np.bincount(ids, weights=share * down[of, d], minlength=BUCKETS)
     check = np.flatnonzero(held) if held.any() else train
-    _, z, _ = forward(check)
+    z = np.concatenate([forward(check[i : i + BATCH])[1] for i in range(0, len(check), BATCH)])
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.05, 20, 60):  # temperature by likelihood on the rows kept back
         s = z / t
@@ -162,33 +153,25 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
     return Model(labels, e @ w, b, temperature, float(np.quantile(top, REJECT_QUANTILE)) if len(top) else 0.0)
 
 
-def sample_rows(docs: DataFrame) -> list[tuple[str, np.ndarray]]:
+def sample_rows(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """The bounded training sample. docs: doc_id, text, lang; all of it is open to learning."""
-    usable = docs.where("doc_id is not null and text is not null and lang is not null")
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
+    usable = docs.where("doc_id is not null and text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text", F.lit(SEED)).alias("h"))
+    # a row a language; documents that repeat count once, so a language's share never leaves it out
+    sizes = usable.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return []
     large = [x for r in sizes if r["count"] > SAMPLE_PER_LANGUAGE for x in (F.lit(r["lang"]), F.lit(SAMPLE_PER_LANGUAGE / r["count"]))]
     share = F.coalesce(F.try_element_at(F.create_map(*large), F.col("lang")), F.lit(1.0)) if large else F.lit(1.0)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-
-    def drawn(cols: dict[str, list]) -> dict[str, list]:
-        out = []
-        for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
-            data = _padded(text)
-            rng = np.random.default_rng([SEED, doc_id & 0xFFFFFFFF])
-            if len(data) > 4 * GRAMS_PER_DOC:  # places drawn from the whole text
-                at = rng.integers(0, len(data) - 3, 2 * GRAMS_PER_DOC)
-                ids = grams_at(data, at)
-            else:
-                ids = grams(data)
-            out.append(rng.permutation(ids)[:GRAMS_PER_DOC].astype(int).tolist())
-        return {"doc_id": cols["doc_id"], "lang": cols["lang"], "grams": out}
-
-    # about SAMPLE_PER_LANGUAGE of each language; the limit is a hard bound on what comes to the driver
-    chosen = common.map_batches(usable.where(draw < share).select("doc_id", "text", "lang"), drawn, "doc_id long, lang string, grams array<int>")
-    rows = chosen.limit(2 * SAMPLE_PER_LANGUAGE * len(sizes)).collect()
-    return [(r["lang"], np.array(r["grams"], np.int64)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["grams"]))]
+    draw = F.pmod("h", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chosen = common.settle(usable.where(draw < share).groupBy("h", "lang").agg(F.min("text").alias("text")))
+
+    def counted(cols: dict[str, list]) -> dict[str, list]:
+        got = [gram_counts(t) for t in cols["text"]]
+        return {"h": cols["h"], "lang": cols["lang"], "ids": [i.tolist() for i, _ in got], "counts": [c.tolist() for _, c in got]}
+
+    # about SAMPLE_PER_LANGUAGE documents of each language, at most BUCKETS counts of each; the limit is a hard bound on what comes to the driver
+    rows = common.map_batches(chosen.select("h", "lang", "text"), counted, "h long, lang string, ids array<int>, counts array<int>").limit(2 * SAMPLE_PER_LANGUAGE * len(sizes)).collect()
+    return [(r["lang"], np.array(r["ids"], np.int64), np.array(r["counts"], np.int64)) for r in sorted(rows, key=lambda r: (r["h"], r["lang"]))]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
