@@ -5,9 +5,9 @@ The votes of all documents are counted by pattern; there are at most 3^L
 patterns, however many documents. Expectation-maximisation over those counts
 estimates each labeller's accuracy and the share of bad texts (a naive Bayes
 mixture with missing votes), which gives every pattern a posterior. Posteriors
-of a bounded sample (SAMPLE documents by hash of doc_id) train a logistic scorer
-over hashed words and the binned statistics that the heuristics look at; it then
-scores every whole document.
+of a bounded sample (SAMPLE documents by hash of doc_id and text, equal ones
+once, whole texts) train a logistic scorer over hashed words and the binned
+statistics that the heuristics look at; it then scores every whole document.
 
 Toxicity is a class of its own, with two sources. A hashed linear scorer learns
 it from a bounded sample of the labels table (TOXIC_SAMPLE labelled documents by
@@ -43,7 +43,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE = 4000
-WORDS_PER_DOC = 300
 BUCKETS, EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 1 << 14, 8, 1500, 32, 0.5, 1e-4, 23
 THRESHOLD = 0.5
 #: Largest share of good texts that a labeller is allowed to object to.
@@ -58,7 +57,8 @@ TOXIC_WEIGHT, TOXIC_STEPS = 3.0, 600
 #: Common insults; a list to replace for other corpora.
 ABUSE = frozenset("idiot idiots moron morons scum clown clowns pathetic stupid trash loser losers garbage disgusting worthless imbecile dumb vermin filth fool fools".split())
 
-_EDGE = re.compile(r"^\W+|\W+$")
+#: What words are stripped of at both ends.
+_EDGE = ".,;:!?%$&*#'\"()|[]{}<>/\\^~`=+-_@«»„“”‘’‚‹›…–—¿¡·•"
 _ODD = re.compile(r"[^\w\s.,;:!?'\"()\-]+")
 STATS = ("odd", "upper", "repeat", "table", "distinct", "lines", "bang", "mean", "abuse")
 
@@ -69,16 +69,11 @@ def statistics(text: str | None) -> tuple[np.ndarray, list[str]]:
     n = len(words)
     if not n:
         return np.zeros(len(STATS)), []
-    bare = [_EDGE.sub("", w) for w in words] if n < 50 else None
     odd = sum(len(x) for x in _ODD.findall(text)) / len(text)
     upper = sum(map(str.isupper, (w for w in words if len(w) > 1))) / n
     repeat = sum(map(str.__eq__, words, words[1:])) / n
     table = (words.count("|") + words.count("||")) / n
-    lower = text.lower().split()
-    if bare is None:
-        bare = [w.strip(".,;:!?%$&*#'\"()|") for w in lower]
-    else:
-        bare = [w.lower() for w in bare]
+    bare = [w.strip(_EDGE) for w in text.lower().split()]
     # distinct words as a share of what as long a text can be expected to have
     distinct = len(set(bare)) / n * max(1.0, (n / 50) ** 0.5)
     lines = [x for x in text.split("\n") if x]
@@ -160,11 +155,12 @@ _EDGES = {"odd": (0.03, 0.05, 0.08, 0.15), "upper": (0.15, 0.25, 0.4, 0.7), "rep
 
 
 def features(stats: np.ndarray, bare: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights: distinct words (their weights' squares sum to 1 together) and one bucket for each statistic's bin."""
-    words = sorted(set(bare))
-    ids = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % (BUCKETS - 256) for w in words]
+    """Buckets, each once, and weights: distinct words (1 over the root of their number each) and one bucket for each statistic's bin."""
+    words = set(bare)
+    seen = np.bincount([zlib.crc32(w.encode("utf-8", "surrogatepass")) % (BUCKETS - 256) for w in words], minlength=1)
+    ids = np.flatnonzero(seen)
     own = [BUCKETS - 256 + 8 * k + int(np.searchsorted(e, stats[STATS.index(s)], side="right")) for k, (s, e) in enumerate(_EDGES.items())]
-    return np.array(ids + own), np.concatenate([np.full(len(ids), 1 / max(len(ids), 1) ** 0.5), np.ones(len(own))])
+    return np.concatenate([ids, own]), np.concatenate([seen[ids] / max(len(words), 1) ** 0.5, np.ones(len(own))])
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
@@ -203,26 +199,26 @@ def train(docs: DataFrame) -> np.ndarray:
     patterns, counts = np.array([p for p, _ in seen]), np.array([float(c) for _, c in seen])
     model = fit_labels(patterns, counts)
     bad = dict(zip(patterns.tolist(), model.posterior(unpack(patterns)).tolist(), strict=True))
-    share = min(1.0, SAMPLE / counts.sum())
 
     def drawn(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": [], "ids": [], "x": [], "y": []}
-        for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
+        out: dict[str, list] = {"h": [], "ids": [], "x": [], "y": []}
+        for h, text in zip(cols["h"], cols["text"], strict=True):
             stats, bare = statistics(text)
-            if not bare:
-                continue
-            rng = np.random.default_rng([SEED, (doc_id or 0) & 0xFFFFFFFF])
-            distinct = sorted(set(bare))
-            if len(distinct) > WORDS_PER_DOC:  # drawn from the whole text, to bound what the driver gets
-                distinct = [distinct[i] for i in sorted(rng.choice(len(distinct), WORDS_PER_DOC, replace=False))]
-            ids, x = features(stats, distinct)
-            for k, v in zip(out, (doc_id, ids.tolist(), x.tolist(), bad.get(pattern(stats), 0.0)), strict=True):
-                out[k].append(v)
+            if bare:
+                ids, x = features(stats, bare)
+                for k, v in zip(out, (h, ids.tolist(), x.tolist(), bad.get(pattern(stats), 0.0)), strict=True):
+                    out[k].append(v)
         return out
 
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20))
-    got = common.map_batches(rows.where(draw), drawn, "doc_id long, ids array<int>, x array<double>, y double").limit(2 * SAMPLE).collect()
-    got.sort(key=lambda r: (r["doc_id"] or 0, r["ids"]))
+    # the least hashes of distinct documents that have words: never none where there are any
+    hashed = docs.select(F.xxhash64("doc_id", "text", F.lit(SEED)).alias("h"), F.col("text").cast("string").alias("text")).where(common.whole_text().rlike("\\S"))
+    cut = hashed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if cut is None:
+        return np.zeros(BUCKETS + 1)
+    chosen = common.settle(hashed.where(F.col("h") <= cut).groupBy("h").agg(F.min("text").alias("text")))
+    # at most SAMPLE rows of at most BUCKETS weights
+    got = common.map_batches(chosen, drawn, "h long, ids array<int>, x array<double>, y double").collect()
+    got.sort(key=lambda r: r["h"])
     return fit_scorer([(np.array(r["ids"]), np.array(r["x"]), r["y"]) for r in got])
 
 
