@@ -16,6 +16,16 @@ Copies share a fingerprint and collapse before any key is made. A large group of
 near copies puts many fingerprints under one key; meetings are verified inside
 the task in blocks, and only a spanning forest of the verified links leaves it,
 so a group of n gives at most n rows from each block instead of its pairs.
+
+near_duplicates links by these bits alone. similar_classes, which keep_one_each
+uses, links texts whose exact five-word shingle similarity is SIMILARITY or
+more. Shingle fingerprints of such texts differ in some seven bits, too many for
+the keys, so its candidates come from two fingerprints of the distinct words,
+which edits move less, by the same keys: all within MAX_BITS meet, and those
+beyond that have two segments within one error each, up to the last of REACH
+bits. Candidates leave their task as one spanning forest for each of REACH, so
+that a far candidate never stands in for a near one, and each is verified on the
+texts.
 """
 
 from __future__ import annotations
@@ -36,19 +46,19 @@ SHINGLE = 3
 #: Members of one key looked at together; a larger group is dealt out in pairs of such blocks.
 BLOCK = 512
 
+#: Five-word shingle similarity of near copies; classes of differing bits of their word fingerprints; seeds of these.
+SIMILARITY, WIDTH, REACH, WORD_SEEDS = 0.8, 5, (3, 6, 9), (42, 43)
+
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: str | None) -> int:
-    """Lower-cased (A-Z), words apart by ASCII blanks, 3-word shingles with repeats; no words: zero."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        hashes = [digest(b" ".join(words), 42)]
-    else:
-        hashes = [digest(b"%b %b %b" % w, 42) for w in zip(words, words[1:], words[2:], strict=False)]
+def _words(text: str | None) -> list[bytes]:
+    """Lower-cased (A-Z), apart by ASCII blanks."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _majority(hashes: list[int]) -> int:
+    """The bits that are set in over half of the hashes."""
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
@@ -57,12 +67,37 @@ def fingerprint(text: str | None) -> int:
     return int(_BITS[2 * ones > n].sum(dtype=np.uint64))
 
 
+def fingerprint(text: str | None) -> int:
+    """Of 3-word shingles with repeats; no words: zero."""
+    words = _words(text)
+    digest = xxhash.xxh64_intdigest
+    if not words:
+        return 0
+    if len(words) < SHINGLE:
+        return _majority([digest(b" ".join(words), 42)])
+    return _majority([digest(b"%b %b %b" % w, 42) for w in zip(words, words[1:], words[2:], strict=False)])
+
+
+def word_fingerprint(text: str | None, seed: int) -> int:
+    """Of the distinct words; no words: zero."""
+    return _majority([xxhash.xxh64_intdigest(w, seed) for w in set(_words(text))])
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """Jaccard similarity of the five-word shingles (fewer words: the whole sequence); texts without words are alike."""
+    x, y = ({tuple(w[i : i + WIDTH]) for i in range(max(1, len(w) - WIDTH + 1))} for w in (_words(a), _words(b)))
+    return len(x & y) / len(x | y)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text -> doc_id, fp (the 64 bits as a signed long)."""
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        fp = [fingerprint(t) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "fp": [x - (1 << 64) if x >> 63 else x for x in fp]}
+        return {"doc_id": cols["doc_id"], "fp": [_signed(fingerprint(t)) for t in cols["text"]]}
 
     return common.map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), batch, "doc_id long, fp long")
 
@@ -206,39 +241,47 @@ class _Forest:
         return a != b
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, block, side -> a spanning forest of the verified links."""
-    forest = _Forest()
-    carry = [np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64)]
-    for batch in batches:
-        group = (batch.column("key").to_numpy().astype(np.int64) << 32) | batch.column("block").to_numpy().astype(np.int64)
-        group, side, fp = (np.concatenate(x) for x in zip(carry, (group, batch.column("side").to_numpy(), batch.column("fp").to_numpy()), strict=True))
-        if not len(group):
-            continue
-        start = np.concatenate([[True], group[1:] != group[:-1]])
-        number = np.cumsum(start) - 1
-        posts = side == 0
-        have = np.bincount(number[posts], minlength=number[-1] + 1)
-        first = np.flatnonzero(start)  # posts come first in a group
-        probes = np.flatnonzero(~posts & (have[number] > 0))
-        a, b = [], []
-        for at in range(0, len(probes), 1024):
-            p = probes[at : at + 1024]
-            times = have[number[p]]
-            left = np.repeat(p, times)
-            right = np.repeat(first[number[p]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            near = (np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)) <= MAX_BITS) & (fp[left] != fp[right])
-            for x, y in zip(fp[left[near]].tolist(), fp[right[near]].tolist(), strict=True):
-                if forest.unite(x, y):
-                    a.append(x)
-                    b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        last = number == number[-1]
-        carry = [x[last & posts] for x in (group, side, fp)]
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """distinct: fp, each once -> a, b: links that connect exactly what links of MAX_BITS or fewer bits connect."""
+def _linked(reach: tuple[int, ...]):
+    """Rows sorted by key, block, side -> verified links of at most the last of reach bits, one spanning forest for each of reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forests = [_Forest() for _ in reach]
+        carry = [np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64)]
+        for batch in batches:
+            group = (batch.column("key").to_numpy().astype(np.int64) << 32) | batch.column("block").to_numpy().astype(np.int64)
+            group, side, fp = (np.concatenate(x) for x in zip(carry, (group, batch.column("side").to_numpy(), batch.column("fp").to_numpy()), strict=True))
+            if not len(group):
+                continue
+            start = np.concatenate([[True], group[1:] != group[:-1]])
+            number = np.cumsum(start) - 1
+            posts = side == 0
+            have = np.bincount(number[posts], minlength=number[-1] + 1)
+            first = np.flatnonzero(start)  # posts come first in a group
+            probes = np.flatnonzero(~posts & (have[number] > 0))
+            a, b = [], []
+            for at in range(0, len(probes), 1024):
+                p = probes[at : at + 1024]
+                times = have[number[p]]
+                left = np.repeat(p, times)
+                right = np.repeat(first[number[p]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                bits = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64))
+                near = np.flatnonzero((bits <= reach[-1]) & (bits > 0))
+                own = np.searchsorted(reach, bits[near])
+                for x, y, k in zip(fp[left[near]].tolist(), fp[right[near]].tolist(), own.tolist(), strict=True):
+                    if forests[k].unite(x, y):
+                        a.append(x)
+                        b.append(y)
+                    for wider in forests[k + 1 :]:
+                        wider.unite(x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            last = number == number[-1]
+            carry = [x[last & posts] for x in (group, side, fp)]
+
+    return run
+
+
+def links(distinct: DataFrame, reach: tuple[int, ...] = (MAX_BITS,)) -> DataFrame:
+    """distinct: fp, each once -> a, b: links that connect exactly what links of MAX_BITS or fewer bits connect (and more, up to the last of reach, as far as keys meet)."""
     posts = distinct.mapInArrow(_posted, _ROWS)
     probes = distinct.mapInArrow(_probing, _ROWS)
     hot = posts.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -250,7 +293,7 @@ def links(distinct: DataFrame) -> DataFrame:
         posts = posts.join(side, "key", "left").select("key", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.lit(0)).alias("block"), "side", "fp")
         probes = probes.join(side, "key", "left").select("key", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("block"), "side", "fp")
     dealt = posts.unionAll(probes.select("key", "block", "side", "fp")).repartition("key", "block").sortWithinPartitions("key", "block", "side")
-    return dealt.mapInArrow(_linked, "a long, b long")
+    return dealt.mapInArrow(_linked(reach), "a long, b long")
 
 
 def _classes(fps: DataFrame) -> DataFrame:
@@ -273,28 +316,54 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(_classes(fps), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One row of docs, with all its columns, of each class: the smallest doc_id (nulls last), then the smallest text hash.
+def similar_classes(texts: DataFrame) -> DataFrame:
+    """texts: key (a hash of the text), text -> key, root: the smallest key that links of SIMILARITY or more reach; texts without a link are left out."""
 
-    Rows are told apart by doc_id and the hash of their text, so different texts
-    under one doc_id are judged each by its own class.
-    """
-    own = F.xxhash64(common.whole_text())
-    keyed = docs.withColumn("__key", own)
-    fps = common.settle(_keyed_fingerprints(docs))
-    classes = _classes(fps.select("doc_id", "fp"))
-    first = fps.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.key").alias("__kept"))
-    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(0)))).where("__n = 1").drop("__n", "__key")
+    def batch(cols: dict[str, list]) -> dict[str, list]:
+        return {"key": cols["key"]} | {f"fp{k}": [_signed(word_fingerprint(t, seed)) for t in cols["text"]] for k, seed in enumerate(WORD_SEEDS)}
+
+    names = [f"fp{k}" for k in range(len(WORD_SEEDS))]
+    prints = common.map_batches(texts, batch, "key long, " + ", ".join(f"{n} long" for n in names))
+    prints = common.settle(prints.groupBy("key").agg(*(F.min(n).alias(n) for n in names)))
+    edges = None
+    for k in range(len(WORD_SEEDS)):
+        own = prints.select("key", F.col(f"fp{k}").alias("fp"))
+        leads = common.settle(own.groupBy("fp").agg(F.min("key").alias("lead")))
+        same = own.join(leads, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+        far = links(leads.select("fp"), REACH).join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+        both = same.unionAll(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        edges = both if edges is None else edges.unionAll(both)
+    edges = common.settle(edges.distinct())
+
+    def verified(cols: dict[str, list]) -> dict[str, list]:
+        good = [i for i, (x, y) in enumerate(zip(cols["s"], cols["t"], strict=True)) if similarity(x, y) >= SIMILARITY]
+        return {k: [cols[k][i] for i in good] for k in ("a", "b")}
+
+    # texts that have a candidate; their keys are sent whole only while they are few
+    asked = common.settle(edges.select(F.col("a").alias("key")).unionAll(edges.select("b")).distinct())
+    asked = F.broadcast(asked) if asked.count() <= 300_000 else asked
+    texts = common.parted(texts.join(asked, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "candidates")
+    met = edges.join(texts.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
+    return connected_components(common.map_batches(met.select("a", "b", "s", "t"), verified, "a long, b long")).withColumnRenamed("node", "key")
 
 
-def _keyed_fingerprints(docs: DataFrame) -> DataFrame:
-    def batch(cols: dict[str, list]) -> dict[str, list]:
-        fp = [fingerprint(t) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "key": cols["key"], "fp": [x - (1 << 64) if x >> 63 else x for x in fp]}
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, of each class of similar texts: the smallest doc_id (nulls last), then the smallest text hash.
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(common.whole_text()).alias("key"))
-    return common.map_batches(rows, batch, "doc_id long, key long, fp long")
+    Rows are told apart by doc_id and the hash of their text, so different texts
+    under one doc_id are judged each by its own class, and of equal rows one stays.
+    Texts without words are one class.
+    """
+    # a row of docs travels as one struct, so its columns may have any names
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(common.whole_text().cast("string")).alias("key"))
+    slim = common.settle(rows.select("id", "key").groupBy("id", "key").agg(F.count("*").alias("n")))
+    roots = similar_classes(docs.select(F.xxhash64(common.whole_text().cast("string")).alias("key"), common.whole_text().cast("string").alias("text")))
+    classed = slim.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    first = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select(F.col("x.id").alias("kept_id"), F.col("x.key").alias("kept_key"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    if slim.where("n > 1").head(1):
+        kept = kept.withColumn("copy", F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))).where("copy = 1")
+    return kept.select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
