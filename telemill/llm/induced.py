@@ -43,6 +43,26 @@ def slices(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.cumsum(step)] if total else data[:0]
 
 
+def same_slices(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] and data[b : b + size] are the same bytes, eight at a time."""
+    eight = np.ndarray((len(data),), "<u8", data.tobytes() + bytes(8), 0, (1,))
+    out = np.ones(len(a), bool)
+    words = (size + 7) // 8
+    at = 0
+    ends = np.cumsum(words)
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right")))
+        n = words[at:stop]
+        of = np.repeat(np.arange(at, stop), n)
+        k = 8 * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+        unlike = eight[a[of] + k] ^ eight[b[of] + k]
+        rest = np.minimum(size[of] - k, 8)  # the last word may have fewer bytes
+        unlike[rest < 8] &= (np.uint64(1) << (8 * rest[rest < 8]).astype(np.uint64)) - np.uint64(1)
+        out[of[unlike != 0]] = False
+        at = stop
+    return out
+
+
 class Queue:
     """First in, first out, of (positions, common prefixes)."""
 
@@ -212,8 +232,6 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     number = np.full(n, -1, np.int32)
     number[lms] = np.arange(len(lms))
     size = np.diff(lms, append=n)
-
-
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
     stop = np.minimum(lms + size + 1, n)
@@ -223,6 +241,12 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = number[order]
     new = np.ones(len(k), bool)
     new[1:] = value[k[1:]] != value[k[:-1]]
+    # equal hashes are no proof: the bytes decide (stretch ends are alike by definition)
+    like = 1 + np.flatnonzero(~new[1:] & ~ending[k[1:]])
+    x, y = k[like - 1], k[like]
+    new[like] = (stop - lms)[x] != (stop - lms)[y]
+    like, x, y = like[~new[like]], x[~new[like]], y[~new[like]]
+    new[like] = ~same_slices(text, lms[x], lms[y], (stop - lms)[x])
     name = np.empty(len(k), np.int64)
     name[k] = np.cumsum(new)
     stretch = np.cumsum(ending) - ending
@@ -256,8 +280,6 @@ def sorted_strings(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     a = np.flatnonzero(head)
     begin = starts[a]
     size = starts[np.append(a[1:], len(starts)) - 1] + WIDTH - begin
-
-
     place = np.cumsum(size + 1) - (size + 1)
     text = np.zeros(int((size + 1).sum()), np.uint8)
     inside = np.ones(len(text), bool)

@@ -4,21 +4,24 @@ A byte goes if a WIDTH-byte string that covers it also starts in a document with
 a smaller doc_id. Suffixes are compared to WIDTH bytes only, so it is enough
 that equal WIDTH-byte strings meet in one shard:
 
-1. Whole copies are found by the hash of the text; only the first of each group
+1. Whole copies are found by the SHA-256 of the text; only the first of each group
    (smallest doc_id) goes on, the others are known to go as a whole.
 2. Every string has a key, the least hash of its GRAM-byte parts; runs of strings
    with one key travel together as one piece of text. Pieces are dealt to shards
    by key, packed and compressed by batch; a piece that recurs in a batch travels
    once with the places where it stands, so a line that a third of all documents
    have costs a few bytes for each.
-3. A shard drops keys that one document alone has and strings that stand once
-   (by their hashes), sorts the suffixes of what remains by induction (see
+3. A shard that is larger than SLAB_BYTES is parted by key into files of that
+   size on its task's disk, which are taken one after the other. It drops keys
+   that one document alone has and strings that stand once (by their hashes), sorts the suffixes of what remains by induction (see
    induced.py) and takes, for each run of suffixes with a common prefix of WIDTH
    bytes, the smallest doc_id. Places in later documents go.
 4. Spans are joined to the texts once.
 
-Shards number with the bytes of the table (SHARD_BYTES of text each), so a
-shard's memory stays as it is when the table grows.
+Shards number with the bytes of the table (SHARD_BYTES of text each) up to
+MOST_SHARDS, so that what a batch packs for a shard doesn't shrink to nothing;
+beyond that they grow, and the files of step 3 keep their memory as it is. Hashes
+only say what may be equal: pieces are one, and strings equal, by their bytes.
 
 Defined results: a null text is the empty one; texts under WIDTH bytes lose
 nothing; a null doc_id counts as larger than all and removes nothing elsewhere;
@@ -29,6 +32,7 @@ no rows.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +42,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .induced import WIDTH, slices, sorted_strings
+from .induced import WIDTH, same_slices, slices, sorted_strings
 from .wordhash import _BASE, _INVERSE, _power, mix
 
 GRAM = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES, MOST_SHARDS = 4 << 20, 4096
+#: Unpacked bytes of a shard that are taken at a time.
+SLAB_BYTES = 96 << 20
 #: Bytes of text hashed in one step, and packed in one go.
 STEP_BYTES, BATCH_BYTES = 1 << 20, 16 << 20
 #: Strings of a shard that are sorted together.
@@ -110,7 +116,7 @@ def cut_pieces(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, shards: i
     if not len(doc):
         return []
     data = np.frombuffer(b"".join(texts), np.uint8)
-    _, lead, same = np.unique(content, return_index=True, return_inverse=True)
+    lead, same = _distinct(data, first, size, content)
     # pieces in the order of the texts, so that neighbours differ little
     order = np.argsort(lead, kind="stable")
     back = np.empty(len(order), np.int64)
@@ -129,11 +135,46 @@ def cut_pieces(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, shards: i
         u, o = by_shard[cuts[s] : cuts[s + 1]], where[wcuts[s] : wcuts[s + 1]]
         number[u] = np.arange(len(u))
         d = doc[o]
-        parts = [size[lead[u]], spread[u] >> np.uint64(40), _delta(number[same[o]]), _delta(docs[d]), _delta(keys[d]), place[o]]
-        out.append((s, pack.compress(b"".join([np.array([len(u), len(o)], np.int64).tobytes(), *map(_planes, parts), slices(data, first[lead[u]], size[lead[u]]).tobytes()]))))
+        out.append((s, pack.compress(_packed_pieces(size[lead[u]], spread[u] >> np.uint64(40), number[same[o]], docs[d], keys[d], place[o], slices(data, first[lead[u]], size[lead[u]])))))
     return out
 
 
+def _distinct(data: np.ndarray, begin: np.ndarray, size: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each group of equal slices, and each slice's group. content: hashes, which tell what to compare."""
+    _, lead, same = np.unique(content, return_index=True, return_inverse=True)
+    other = np.flatnonzero(lead[same] != np.arange(len(content)))
+    first = lead[same[other]]
+    like = size[other] == size[first]
+    like[like] = same_slices(data, begin[other[like]], begin[first[like]], size[other[like]])
+    if not like.all():  # slices of one hash that are not the same bytes get groups of their own
+        made: dict[tuple[int, bytes], int] = {}
+        leads = lead.tolist()
+        for i in other[~like].tolist():
+            key = (int(content[i]), data[begin[i] : begin[i] + size[i]].tobytes())
+            if key not in made:
+                made[key] = len(leads)
+                leads.append(i)
+            same[i] = made[key]
+        lead = np.array(leads, lead.dtype)
+    return lead, same
+
+
+def _packed_pieces(size, key, number, docs, keys, place, data) -> bytes:
+    parts = [size, key, _delta(number), _delta(docs), _delta(keys), place]
+    return b"".join([np.array([len(size), len(place)], np.int64).tobytes(), *map(_planes, parts), data.tobytes()])
+
+
+def _unpacked_pieces(raw: bytes) -> list[np.ndarray]:
+    """size, key, and of each use piece number, doc, text key, place; then the pieces' bytes."""
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    at, out = 16, []
+    for k, count in enumerate((n, n, m, m, m, m)):
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * count, at).reshape(8, -1).T).view("<i8").ravel()
+        at += x.nbytes
+        out.append(np.cumsum(x) if k in (2, 3, 4) else x)
+    return [*out, np.frombuffer(raw, np.uint8, offset=at)]
+
+
 def _planes(x: np.ndarray) -> bytes:
     """All first bytes, all second bytes, and so on: the high ones are alike and shrink to nothing."""
     return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -150,22 +191,40 @@ class Pieces:
         parts: list[list[np.ndarray]] = [[] for _ in range(7)]
         pieces = 0
         for blob in blobs:
-            raw = zstandard.ZstdDecompressor().decompress(blob)
-            n, m = np.frombuffer(raw, np.int64, 2).tolist()
-            at = 16
-            for k, count in enumerate((n, n, m, m, m, m)):
-                x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * count, at).reshape(8, -1).T).view("<i8").ravel()
-                at += x.nbytes
-                x = np.cumsum(x) if k in (2, 3, 4) else x
-                parts[k].append(x + pieces if k == 2 else x)
-            parts[6].append(np.frombuffer(raw, np.uint8, offset=at))
-            pieces += n
+            got = _unpacked_pieces(zstandard.ZstdDecompressor().decompress(blob))
+            got[2] = got[2] + pieces
+            pieces += len(got[0])
+            for part, x in zip(parts, got, strict=True):
+                part.append(x)
         self.size, self.key, self.piece, self.doc, self.text_key, self.at, self.data = (np.concatenate(p) for p in parts)
         self.begin = np.cumsum(self.size) - self.size
-        _, lead, same = np.unique(_contents(self.data, self.begin, self.size) ^ (self.key.astype(np.uint64) << np.uint64(32)), return_index=True, return_inverse=True)
+        # equal bytes have equal keys, so pieces of one group have one key
+        lead, same = _distinct(self.data, self.begin, self.size, _contents(self.data, self.begin, self.size) ^ (self.key.astype(np.uint64) << np.uint64(32)))
         self.size, self.key, self.begin, self.piece = self.size[lead], self.key[lead], self.begin[lead], same[self.piece]
 
 
+def by_key(blobs: Iterator[bytes], parts: int) -> Iterator[list[bytes]]:
+    """The pieces of a shard, parted by key, by way of one file for each part."""
+    pack = zstandard.ZstdCompressor(level=1)
+    files = [tempfile.TemporaryFile() for _ in range(parts)]
+    sizes: list[list[int]] = [[] for _ in range(parts)]
+    for blob in blobs:
+        size, key, piece, doc, text_key, place, data = _unpacked_pieces(zstandard.ZstdDecompressor().decompress(blob))
+        begin, part = np.cumsum(size) - size, key % parts
+        number = np.empty(len(size), np.int64)
+        for k in np.unique(part).tolist():
+            u = np.flatnonzero(part == k)
+            o = np.flatnonzero(part[piece] == k)
+            number[u] = np.arange(len(u))
+            sub = pack.compress(_packed_pieces(size[u], key[u], number[piece[o]], doc[o], text_key[o], place[o], slices(data, begin[u], size[u])))
+            files[k].write(sub)
+            sizes[k].append(len(sub))
+    for file, lengths in zip(files, sizes, strict=True):
+        file.seek(0)
+        yield [file.read(n) for n in lengths]
+        file.close()
+
+
 def _contents(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hashes of slices that follow each other, some two MB at a time."""
     out = np.empty(len(begin), np.uint64)
@@ -284,29 +343,54 @@ def _pieces_of(shards: int):
     return run
 
 
+class _Shard:
+    """The blobs of one shard, in memory up to SLAB_BYTES unpacked, else in a file."""
+
+    def __init__(self):
+        self.blobs: list[bytes] = []
+        self.lengths: list[int] = []
+        self.unpacked, self.file = 0, None
+
+    def add(self, blob: bytes) -> None:
+        self.unpacked += zstandard.frame_content_size(blob)
+        self.blobs.append(blob)
+        if self.unpacked > SLAB_BYTES:
+            self.file = self.file or tempfile.TemporaryFile()
+            for b in self.blobs:
+                self.file.write(b)
+                self.lengths.append(len(b))
+            self.blobs = []
+
+    def slabs(self) -> Iterator[list[bytes]]:
+        if self.file is None:
+            yield self.blobs
+            return
+        self.file.seek(0)
+        yield from by_key((self.file.read(n) for n in self.lengths), min(256, -(-2 * self.unpacked // SLAB_BYTES)))
+        self.file.close()
+
+
 def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard -> spans."""
 
-    def spans(blobs):
-        got = shard_spans(Pieces(blobs))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["ord", "key", "start", "end"])
+    def spans(shard: _Shard) -> Iterator[pa.RecordBatch]:
+        for blobs in shard.slabs():
+            if blobs:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in shard_spans(Pieces(blobs))], names=["ord", "key", "start", "end"])
 
-    held: list[bytes] = []
-    at = None
+    held, at = _Shard(), None
     for batch in batches:
         for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            if shard != at and held:
-                yield spans(held)
-                held = []
-            at = shard
-            held.append(blob)
-    if held:
-        yield spans(held)
+            if shard != at:
+                yield from spans(held)
+                held, at = _Shard(), shard
+            held.add(blob)
+    yield from spans(held)
 
 
 def repeated_spans(rows: DataFrame, n_bytes: int) -> DataFrame:
     """rows: ord, key, text (no whole copies) -> ord, key, start, end: byte spans that earlier documents have."""
-    shards = max(8, -(-n_bytes // SHARD_BYTES))
+    shards = min(MOST_SHARDS, max(8, -(-n_bytes // SHARD_BYTES)))
     blobs = rows.select("ord", "key", "text").mapInArrow(_pieces_of(shards), "shard long, blob binary")
     return blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_shard_rows, "ord long, key long, start long, end long")
 
@@ -344,7 +428,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """docs: doc_id, text -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes)."""
     text = common.whole_text().cast("string")
     doc = F.col("doc_id").cast("long")
-    rows = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(_LAST)).alias("ord"), text.alias("text"), F.md5(text.cast("binary")).alias("same"))
+    rows = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(_LAST)).alias("ord"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("same"))
     slim = common.settle(rows.select("ord", "same", F.octet_length("text").cast("long").alias("n")))
     n_bytes = slim.agg(F.sum("n")).first()[0] or 0
     groups = common.settle(slim.groupBy("same").agg(F.min("ord").alias("lead"), F.count("*").alias("m")).where("m > 1").select("same", "lead"))
