@@ -59,6 +59,12 @@ def snap(c: str | Column, allowed=RAM_SIZES) -> Column:
     return F.when(x.isNotNull(), nearest["v"])
 
 
+def lookup(c: str | Column, names: dict, default) -> Column:
+    """What a fixed mapping has for the value, else the default."""
+    pairs = [F.lit(x) for kv in names.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), col(c)), F.lit(default)) if pairs else F.lit(default)
+
+
 def total(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 

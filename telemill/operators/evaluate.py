@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from .ranks import laid_out, quantiles
 
 RELATIVE_ERROR, TOTAL_VARIATION, SPEARMAN = 0.25, 0.15, 0.5
 GROUP_JACCARD, ITEM_JACCARD, CATEGORY_ACCURACY = 0.5, 0.3, 0.5
@@ -34,10 +37,21 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def last_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key: the last in the order of the table, as a mapping filled row by row has it."""
+    rest = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.col("__at"))
+    return df.withColumn("__at", F.monotonically_increasing_id()).groupBy(*keys).agg(last.alias("__x")).select(*keys, "__x.*")
+
+
 def median_errors(real: DataFrame, synth: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """col, value: the median relative error over common keys; infinite if none are."""
     j = _align(real, synth, keys, "inner").select(*(relative_error(f"r.{c}", f"s.{c}").alias(c) for c in columns))
-    return j.agg(*(F.coalesce(F.median(c), F.lit(float("inf"))).alias(c) for c in columns)).unpivot([], columns, "col", "value")
+    out = None
+    for c in columns:
+        one = quantiles(j, c, [0.5]).select(F.lit(c).alias("col"), F.coalesce(F.element_at("__q", 1), F.lit(float("inf"))).alias("value"))
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 def total_variation(real: DataFrame, synth: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -92,10 +106,9 @@ def ks_wasserstein(real: DataFrame, synth: DataFrame, value: str) -> DataFrame:
     """
     n = F.count(F.when(F.col("side") == 0, 1)).alias("a"), F.count(F.when(F.col("side") == 1, 1)).alias("b")
     v = real.select(F.col(value).alias("x"), F.lit(0).alias("side")).unionAll(synth.select(F.col(value), F.lit(1))).where("x is not null").groupBy("x").agg(*n)
-    v = v.repartitionByRange(32, "x").withColumn("part", F.spark_partition_id())
-    v = v.persist()
+    v = laid_out(v, "x")
     parts = v.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"), F.min("x").alias("first"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 32 rows
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     whole = Window.partitionBy(F.lit(1))
     parts = parts.select("part", F.coalesce(F.sum("pa").over(before), F.lit(0)).alias("ba"), F.coalesce(F.sum("pb").over(before), F.lit(0)).alias("bb"), F.sum("pa").over(whole).alias("na"), F.sum("pb").over(whole).alias("nb"), F.lead("first").over(Window.orderBy("part")).alias("next"))
     run = Window.partitionBy("part").orderBy("x")
@@ -128,9 +141,42 @@ def correlation_divergence(real: DataFrame, synth: DataFrame, columns: list[str]
 
 
 def summary(df: DataFrame, column: str) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    x = df.agg(F.avg(column).alias("mean"), q.alias("q"), F.max(column).alias("max"), F.avg((F.col(column) == 0).cast("int")).alias("zero_rate"))
-    return x.select("mean", *(F.element_at("q", i + 1).alias(n) for i, n in enumerate(("p50", "p90", "p99"))), "max", "zero_rate")
+    x = df.agg(F.avg(column).alias("mean"), F.max(column).alias("max"), F.avg((F.col(column) == 0).cast("int")).alias("zero_rate"))
+    x = x.crossJoin(quantiles(df, column, [0.5, 0.9, 0.99]))  # one row each
+    return x.select("mean", *(F.element_at("__q", i + 1).alias(n) for i, n in enumerate(("p50", "p90", "p99"))), "max", "zero_rate")
+
+
+#: The points of the percentile report.
+REPORT = (0, 1, 5, 25, 50, 75, 95, 99, 100)
+
+
+def percentile_report(df: DataFrame, columns: list[str]) -> DataFrame:
+    """name, and a column for each point of REPORT."""
+    out = None
+    for c in columns:
+        one = quantiles(df, c, [p / 100 for p in REPORT]).select(F.lit(c).alias("name"), *(F.element_at("__q", i + 1).alias(f"p{p}") for i, p in enumerate(REPORT)))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def coverage(devices: DataFrame, key: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """name, devices, covered: how many devices each table has rows of. Each table is brought to its distinct keys below the left join."""
+    out = None
+    for name, t in tables.items():
+        j = devices.select(key).join(t.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left")
+        one = j.agg(F.count_distinct(key).alias("devices"), F.count_distinct(F.when(F.col("__k").isNotNull(), F.col(key))).alias("covered")).select(F.lit(name).alias("name"), "devices", "covered")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def expected_counts(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """name, mean, median: distinct values of each column that a key has; what a Poisson draw for a new key expects."""
+    out = None
+    for c in columns:
+        n = df.groupBy(key).agg(F.count_distinct(c).alias("n"))
+        one = n.agg(F.avg("n").alias("mean")).crossJoin(quantiles(n, "n", [0.5])).select(F.lit(c).alias("name"), "mean", F.element_at("__q", 1).alias("median"))  # one row each
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 # --- splits, normalised error, verdicts -----------------------------------------------------
@@ -204,13 +250,28 @@ def judge(metrics: DataFrame) -> DataFrame:
 
 
 def evaluate(name: str, kind: str, real: DataFrame, synth: DataFrame, keys: list[str], values: list[str], groups: list[str] = ()) -> DataFrame:
-    """Metric rows (METRIC) of one query by its type. A failure while planning gives one row that says so."""
+    """Metric rows (METRIC) of one query by its type: a few rows, computed here. A failure, in planning or in running, gives one row that says so."""
     spark = real.sparkSession
     try:
         rows = _EVALUATORS[kind](real, synth, keys, values, list(groups))
+        got = rows.select(F.lit(name), F.lit(kind), "col", "metric_type", F.col("value").cast("double"), F.col("passed").cast("boolean"), F.lit("")).collect()  # a row for each measure
     except Exception as e:  # the row carries it
-        return spark.createDataFrame([(name, kind, "", "error", None, None, str(e)[:500])], METRIC)
-    return rows.select(F.lit(name).alias("query"), F.lit(kind).alias("query_type"), F.col("col").alias("column"), "metric_type", F.col("value").cast("double").alias("value"), F.col("passed").cast("boolean").alias("passed"), F.lit("").alias("detail"))
+        got = [(name, kind, "", "error", None, None, str(e)[:500])]
+    return spark.createDataFrame([tuple(r) for r in got], METRIC)
+
+
+def evaluate_all(specs: dict[str, tuple[str, list[str], list[str], list[str]]], real: Callable[[str], DataFrame], methods: dict[str, Callable[[str], DataFrame]]) -> DataFrame:
+    """Metric rows with method, of every query and method. specs: query -> type, keys, values, groups; real and methods give results by query. What can't be read is an error row."""
+    out = None
+    for method, synth in methods.items():
+        for name, (kind, keys, values, groups) in specs.items():
+            try:
+                one = evaluate(name, kind, real(name), synth(name), keys, values, groups)
+            except Exception as e:  # a result that isn't there
+                one = real(name).sparkSession.createDataFrame([(name, kind, "", "error", None, None, str(e)[:500])], METRIC)
+            one = one.withColumn("method", F.lit(method))
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _record(df: DataFrame, col: str, metric: str, value: str, good: Column) -> DataFrame:
@@ -229,6 +290,7 @@ def _aggregate(real, synth, keys, values, groups):
 
 
 def _distribution(real, synth, keys, values, groups):
+    real, synth = last_rows(real, keys), last_rows(synth, keys)
     out = None
     for v in values:
         one = _record(total_variation(real, synth, keys, v), v, "total_variation", "total_variation", F.col("total_variation") <= TOTAL_VARIATION)
@@ -237,11 +299,13 @@ def _distribution(real, synth, keys, values, groups):
 
 
 def _histogram(real, synth, keys, values, groups):
+    real, synth = last_rows(real, keys), last_rows(synth, keys)
     err = median_errors(real, synth, keys, values).select("col", F.lit("relative_error").alias("metric_type"), "value", (F.col("value") <= RELATIVE_ERROR).alias("passed"))
     return _distribution(real, synth, keys, values[:1], groups).unionByName(err)
 
 
 def _ranking_categorical(real, synth, keys, values, groups):
+    real, synth = last_rows(real, keys), last_rows(synth, keys)
     return _record(category_accuracy(real, synth, keys, values[0]), values[0], "categorical_accuracy", "categorical_accuracy", F.col("categorical_accuracy") >= CATEGORY_ACCURACY)
 
 

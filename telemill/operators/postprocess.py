@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
+
 # Parts of column names that tell how the column behaves, and columns with closed vocabularies.
 NONNEGATIVE = ("count", "number", "duration", "bytes", "power", "time", "num", "rank", "total", "nrs")
 PERCENT = ("percent", "percentage")
@@ -57,31 +59,42 @@ def canonicalize(df: DataFrame, column: str, reference: DataFrame, cutoff: float
     """The reference's spelling where a value equals one but for case, else its closest above the cutoff, else as it is.
 
     Only distinct values that no reference value equals are compared, spread over the
-    tasks; the reference is a closed vocabulary and is refused beyond `most` values.
+    tasks; the reference goes to them in portions of about `most` values, and of a
+    value's closest in all portions the closest counts.
     """
     spark = df.sparkSession
-    known = reference.select(F.trim(F.col(column).cast("string")).alias("v")).where("v is not null and v <> ''").groupBy(F.lower("v").alias("k")).agg(F.max("v").alias("v"))
-    got = known.limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"{column}: more than {most} reference values")
-    if not got:
+    known = settle(reference.select(F.trim(F.col(column).cast("string")).alias("v")).where("v is not null and v <> ''").groupBy(F.lower("v").alias("k")).agg(F.max("v").alias("v")))
+    n = known.count()
+    if not n:
         return df
-    sent = spark.sparkContext.broadcast({r["k"]: r["v"] for r in sorted(got)})
+    portions = -(-n // most)
+    small = F.broadcast(known) if portions == 1 else known
+    distinct = df.select(F.col(column).alias("__v")).where("__v is not null").distinct()
+    exact = distinct.join(small, F.lower("__v") == F.col("k"), "left")
+    rest, near = exact.where("v is null").select("__v"), None
+    for p in range(portions):
+        sent = spark.sparkContext.broadcast({r["k"]: r["v"] for r in sorted(known.where(F.pmod(F.xxhash64("k"), F.lit(portions)) == p).collect())})  # about most values
+        one = rest.select("__v", _closest(sent, cutoff)("__v").alias("__c")).where("__c.k is not null")
+        near = one if near is None else near.unionAll(one)
+    best = near.groupBy("__v").agg(F.max("__c").alias("__c")).select("__v", F.col("__c.to").alias("__to"))
+    mapped = exact.where("v is not null").select("__v", F.col("v").alias("__to")).unionAll(best)
+    return df.join(mapped, F.col(column) == F.col("__v"), "left").withColumn(column, F.coalesce("__to", F.col(column))).drop("__v", "__to")
+
 
-    @F.pandas_udf("string")
-    def closest(values: pd.Series) -> pd.Series:
+def _closest(sent, cutoff: float):
+    """A value's closest key: how close, which, and the spelling; null where none reaches the cutoff."""
+
+    @F.pandas_udf("struct<close:double,k:string,to:string>")
+    def closest(values: pd.Series) -> pd.DataFrame:
         keys = list(sent.value)
 
-        def one(v: str) -> str:
+        def one(v: str):
             near = difflib.get_close_matches(v.lower(), keys, n=1, cutoff=cutoff)
-            return sent.value[near[0]] if near else v
+            return (difflib.SequenceMatcher(None, near[0], v.lower()).ratio(), near[0], sent.value[near[0]]) if near else (None, None, None)
 
-        return values.map(one)
+        return pd.DataFrame([one(v) for v in values], columns=["close", "k", "to"])
 
-    distinct = df.select(F.col(column).alias("__v")).where("__v is not null").distinct()
-    exact = distinct.join(F.broadcast(known), F.lower("__v") == F.col("k"), "left")
-    mapped = exact.where("v is not null").select("__v", F.col("v").alias("__to")).unionAll(exact.where("v is null").select("__v", closest("__v")))
-    return df.join(mapped, F.col(column) == F.col("__v"), "left").withColumn(column, F.coalesce("__to", F.col(column))).drop("__v", "__to")
+    return closest
 
 
 def postprocess(df: DataFrame, real: DataFrame | None = None, cutoff: float = 0.8) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from .ranks import quantiles
 
 # --- bucketing and scaling ------------------------------------------------------------------
 
@@ -26,13 +27,9 @@ def supported_or_other(df: DataFrame, column: str, key: str, least: int, other:
     return df.join(good, F.col(column) == F.col("__good"), "left").withColumn(column, F.when(F.col("__good").isNotNull(), F.col(column)).otherwise(other)).drop("__good")
 
 
-def _quantiles(df: DataFrame, column: str, at: list[float]) -> DataFrame:
-    return df.agg(F.percentile(column, F.array(*map(F.lit, at))).alias("__q"))
-
-
 def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:
     """bin, n: equal-width bins between two quantiles; values outside go, the last bin is closed."""
-    j = df.select(column).crossJoin(F.broadcast(_quantiles(df, column, [low, high])))  # one row of edges
+    j = df.select(column).crossJoin(F.broadcast(quantiles(df, column, [low, high])))  # one row of edges
     lo, hi = F.element_at("__q", 1), F.element_at("__q", 2)
     width = F.nullif((hi - lo) / bins, F.lit(0.0))
     at = F.when(width.isNotNull(), F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1))).otherwise(F.lit(0))
@@ -40,8 +37,8 @@ def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) ->
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """column with its bin number: edges at quantiles, equal edges once; equal width if fewer than two are left."""
-    q = _quantiles(df, column, [i / bins for i in range(bins + 1)]).select(F.array_distinct("__q").alias("__e"))
+    """column with its bin number: edges at quantiles, equal edges once; a column of one value has one bin."""
+    q = quantiles(df, column, [i / bins for i in range(bins + 1)]).select(F.array_distinct("__q").alias("__e"))
     j = df.crossJoin(F.broadcast(q))  # one row of edges
     inner = F.slice("__e", F.lit(2), F.greatest(F.size("__e") - 2, F.lit(0)))
     return j.withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(column))))).drop("__e")
@@ -49,7 +46,7 @@ def quantile_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def clipped_log(df: DataFrame, column: str, quantile: float) -> DataFrame:
     """log1p of the values clipped to 0 and a quantile."""
-    j = df.crossJoin(F.broadcast(_quantiles(df, column, [quantile])))  # one row
+    j = df.crossJoin(F.broadcast(quantiles(df, column, [quantile])))  # one row
     x = F.when(F.col(column).isNotNull(), F.greatest(F.least(F.col(column), F.element_at("__q", 1)), F.lit(0.0)))
     return j.withColumn(column, F.log1p(x)).drop("__q")
 
@@ -266,7 +263,7 @@ def evolve(real: DataFrame, first: DataFrame, vary: Callable[[DataFrame, int], D
 
 def marginal(df: DataFrame, column: str, epsilon: float, bins: int = 20, seed: str = "0") -> DataFrame:
     """lo, hi, p: Laplace-noisy histogram of a numeric column between its first and last percentile."""
-    edges = df.agg(F.percentile(column, F.array(F.lit(0.01), F.lit(0.99))).alias("q")).select(F.element_at("q", 1).alias("lo"), ((F.element_at("q", 2) - F.element_at("q", 1)) / bins).alias("w"))
+    edges = quantiles(df, column, [0.01, 0.99]).select(F.element_at("__q", 1).alias("lo"), ((F.element_at("__q", 2) - F.element_at("__q", 1)) / bins).alias("w"))
     every = df.sparkSession.range(bins).withColumnRenamed("id", "bin").crossJoin(F.broadcast(edges))  # bins rows
     n = every.join(histogram(df, column, bins, 0.01, 0.99), "bin", "left")
     noisy = n.withColumn("c", F.greatest(F.coalesce("n", F.lit(0)) + S.laplace("bin", seed, 1 / epsilon), F.lit(0.0)))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from ..operators.ranks import ranked_all
 from ..operators.wide import RECEIVED, SENT
 from .catalog import ranked, top_with_ties
 
@@ -206,8 +207,9 @@ def top_10_applications_by_app_type_ranked_by_total_detections(t):
 
 @_query
 def ranked_process_classifications(t):
+    """Every user has a rank: as many as have more, plus 1; counted by range partitions, not in one window."""
     g = t["system_mods_power_consumption"].groupBy("user_id").agg(F.sum("total_power_consumption").alias("total_power_consumption"))
-    return top_with_ties(g, "total_power_consumption", 10_000).withColumnRenamed("rank", "rnk")
+    return ranked_all(g, "total_power_consumption").withColumnRenamed("rank", "rnk")
 
 
 @_query

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..operators import evaluate as E
+from ..operators import postprocess as P
 from ..operators import synthesis as Y
 from ..operators import wide as W
 
@@ -601,3 +602,50 @@ SELECT round(avg(l_extendedprice), 4) AS mean, round(min(p50), 4) AS p50, round(
 def summary_statistics(spark, d):
     x = E.summary(table(spark, d, "lineitem"), "l_extendedprice")
     return x.select(*(F.round(c, 4).alias(c) for c in x.columns))
+
+
+# --- lookups, coverage, reports -------------------------------------------------------------
+
+_PLACES = {"BUILDING": "office", "MACHINERY": "plant", "HOUSEHOLD": "home"}
+
+
+@query(f"SELECT c_custkey, CASE c_mktsegment {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _PLACES.items())} ELSE 'elsewhere' END AS place FROM customer")
+def lookup_with_default(spark, d):
+    return table(spark, d, "customer").select("c_custkey", S.lookup("c_mktsegment", _PLACES, "elsewhere").alias("place"))
+
+
+@query("""
+SELECT 'events' AS name, count(DISTINCT c_custkey)::BIGINT AS devices, count(DISTINCT CASE WHEN user_id IS NOT NULL THEN c_custkey END)::BIGINT AS covered FROM customer LEFT JOIN events ON c_custkey = user_id
+UNION ALL SELECT 'orders', count(DISTINCT c_custkey), count(DISTINCT CASE WHEN o_custkey IS NOT NULL THEN c_custkey END) FROM customer LEFT JOIN orders ON c_custkey = o_custkey""")
+def coverage_left_join(spark, d):
+    named = {"events": table(spark, d, "events").withColumnRenamed("user_id", "c_custkey"), "orders": table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")}
+    return E.coverage(table(spark, d, "customer"), "c_custkey", named)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, {', '.join(f'round(quantile_cont({c}, {p / 100}), 4) AS p{p}' for p in E.REPORT)} FROM lineitem" for c in ("l_quantity", "l_extendedprice")))
+def percentile_report(spark, d):
+    return E.percentile_report(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]).select("name", *(F.round(f"p{p}", 4).alias(f"p{p}") for p in E.REPORT))
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS kinds FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
+def list_per_group(spark, d):
+    """A list for each group, of distinct values, so that no list grows with the table."""
+    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+
+
+@query("""
+WITH n AS (SELECT o_custkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT 'l_partkey' AS name, round(avg(parts), 6) AS mean, median(parts)::DOUBLE AS median FROM n UNION ALL SELECT 'l_suppkey', round(avg(supps), 6), median(supps)::DOUBLE FROM n""")
+def expected_counts(spark, d):
+    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return E.expected_counts(j, "o_custkey", ["l_partkey", "l_suppkey"]).withColumn("mean", F.round("mean", 6))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN 'no such place' ELSE n_name END AS country FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def canonicalize_spellings(spark, d):
+    """Names in lower case, with blanks around, with a letter lost, or of another kind, brought to the vocabulary of a table where one is close."""
+    j = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    how = F.col("c_custkey") % 4
+    spelt = F.when(how == 0, F.lower("n_name")).when(how == 1, F.col("n_name")).when(how == 2, F.concat(F.substring("n_name", 1, 2), F.substring("n_name", 4, 100))).otherwise("no such place")
+    return P.canonicalize(j.select("c_custkey", spelt.alias("country")), "country", table(spark, d, "nation").select(F.col("n_name").alias("country")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,6 +102,14 @@ def write_results(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names; one of our own only where none is."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="telemill-settled-"))
+    return df.checkpoint(eager=True)
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
     """The stage's rows: read if an earlier run wrote them whole, else written now."""
     spark = df.sparkSession

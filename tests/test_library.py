@@ -9,6 +9,7 @@ from telemill.functions import semantics as S
 from telemill.operators import evaluate as E
 from telemill.operators import plan as G
 from telemill.operators import postprocess as R
+from telemill.operators import ranks
 from telemill.operators import synthesis as Y
 from telemill.operators import wide as W
 from telemill.plans import benchmark
@@ -333,3 +334,61 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select acdc, number_of_instances, total_duration from waits").collect()] == [("AC", 2, 5.0)]
+
+
+# --- order, last rows, failures, spellings ---
+
+
+def test_quantiles_and_ranks_of_many_parts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = [float(v) for v in rng.integers(0, 40, 300)] + [None, None]
+    df = spark.createDataFrame([(v,) for v in x], "v double").repartition(5)
+    at = [0, 0.01, 0.333, 0.5, 0.9, 1]
+    assert ranks.quantiles(df, "v", at).first()[0] == pytest.approx(np.quantile([v for v in x if v is not None], at).tolist())
+    assert ranks.quantiles(df.where("v is null"), "v", [0.5]).first()[0] == [None]
+    assert ranks.quantiles(spark.createDataFrame([(math.inf,), (math.inf,)], "v double"), "v", [0.5]).first()[0] == [math.inf]
+    got = ranks.ranked_all(df, "v").collect()
+    assert len(got) == 302 and all(r["rank"] == (1 + sum(y is not None and y > r["v"] for y in x) if r["v"] is not None else 301) for r in got)
+
+
+def test_last_row_of_a_category_wins(spark):
+    a = spark.createDataFrame([("x", 9.0), ("y", 1.0), ("x", 1.0)], "k string, v double").coalesce(1)
+    b = spark.createDataFrame([("x", 1.0), ("y", 1.0)], "k string, v double")
+    for kind in ("distribution", "histogram"):
+        got = {(r["metric_type"]): r["value"] for r in E.evaluate("q", kind, a, b, ["k"], ["v"]).collect()}
+        assert all(v == 0 for v in got.values()), got
+    c = spark.createDataFrame([("x", "wrong"), ("x", "right")], "k string, v string").coalesce(1)
+    d = spark.createDataFrame([("x", "right")], "k string, v string")
+    assert E.evaluate("q", "ranking_categorical", c, d, ["k"], ["v"]).first()["value"] == 1
+
+
+def test_failures_at_run_time_are_rows(spark):
+    a = spark.createDataFrame([("x", "1"), ("y", "no number")], "k string, v string")
+    bad = a.select("k", F.col("v").cast("double").alias("v"))
+    b = spark.createDataFrame([("x", 1.0)], "k string, v double")
+
+    def gone(name):
+        raise FileNotFoundError(name)
+
+    specs = {"q1": ("distribution", ["k"], ["v"], []), "q2": ("aggregate", ["k"], ["v"], [])}
+    got = E.evaluate_all(specs, lambda name: b, {"good": lambda name: b, "bad": lambda name: bad, "none": gone}).collect()
+    assert {(r["method"], r["query"]) for r in got} == {(m, q) for m in ("good", "bad", "none") for q in specs}
+    assert all((r["metric_type"] == "error") == (r["method"] != "good") for r in got)
+
+
+def test_canonical_spellings_in_portions(spark):
+    import difflib
+
+    known = [f"place {i}" for i in range(25)] + ["North Hill", "Nord Hill"]
+    values = ["PLACE 3", "plce 17", "nort hill", "elsewhere", None, "place 100"]
+    df = spark.createDataFrame([(v,) for v in values], "c string")
+    ref = spark.createDataFrame([(v,) for v in known], "c string")
+    low = {k.lower(): k for k in known}
+    want = []
+    for v in values:
+        near = difflib.get_close_matches(v.lower(), sorted(low), n=1, cutoff=0.8) if v else []
+        want.append(low[near[0]] if near else v)
+    for most in (100_000, 4):
+        assert sorted(map(str, (r["c"] for r in R.canonicalize(df, "c", ref, most=most).collect()))) == sorted(map(str, want))
