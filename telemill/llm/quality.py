@@ -70,7 +70,7 @@ def statistics(text: str | None) -> tuple[np.ndarray, list[str]]:
     if not n:
         return np.zeros(len(STATS)), []
     odd = sum(len(x) for x in _ODD.findall(text)) / len(text)
-    upper = sum(map(str.isupper, (w for w in words if len(w) > 1))) / n
+    upper = sum(len(w) > 1 for w in [w for w in words if w.isupper()]) / n
     repeat = sum(map(str.__eq__, words, words[1:])) / n
     table = (words.count("|") + words.count("||")) / n
     bare = [w.strip(_EDGE) for w in text.lower().split()]
@@ -154,13 +154,27 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> La
 _EDGES = {"odd": (0.03, 0.05, 0.08, 0.15), "upper": (0.15, 0.25, 0.4, 0.7), "repeat": (0.05, 0.1, 0.2, 0.5), "table": (0.03, 0.08, 0.15, 0.3), "distinct": (0.15, 0.25, 0.35, 0.5), "lines": (0.2, 0.35, 0.5, 0.8), "bang": (0.1, 0.2, 0.4, 0.8), "mean": (10.0, 12.0, 14.0, 16.0)}
 
 
-def features(stats: np.ndarray, bare: list[str]) -> tuple[np.ndarray, np.ndarray]:
+class Bag:
+    """A text's words, and its distinct ones with their hashes and those of their beginnings."""
+
+    def __init__(self, bare: list[str]):
+        self.bare = bare
+        self.words = sorted(set(bare))
+        coded = [w.encode("utf-8", "surrogatepass") for w in self.words]
+        n = len(coded)
+        self.own = np.fromiter(map(zlib.crc32, coded), np.uint32, n)
+        begun = np.fromiter(map(zlib.crc32, [c[:BEGINNING] for c in coded]), np.uint32, n) ^ np.uint32(0x9E3779B9)
+        self.longer = np.fromiter(map(len, coded), np.int64, n) > BEGINNING
+        mask = np.uint32(TOXIC_BUCKETS - 1)
+        #: Of each distinct word its bucket of toxicity, and that of its first BEGINNING bytes if it goes on.
+        self.toxic = list(zip((self.own & mask).tolist(), np.where(self.longer, begun & mask, self.own & mask).tolist(), strict=True))
+
+
+def features(stats: np.ndarray, bag: Bag) -> tuple[np.ndarray, np.ndarray]:
     """Buckets, each once, and weights: distinct words (1 over the root of their number each) and one bucket for each statistic's bin."""
-    words = set(bare)
-    seen = np.bincount([zlib.crc32(w.encode("utf-8", "surrogatepass")) % (BUCKETS - 256) for w in words], minlength=1)
-    ids = np.flatnonzero(seen)
+    ids, times = np.unique(bag.own % np.uint32(BUCKETS - 256), return_counts=True)
     own = [BUCKETS - 256 + 8 * k + int(np.searchsorted(e, stats[STATS.index(s)], side="right")) for k, (s, e) in enumerate(_EDGES.items())]
-    return np.concatenate([ids, own]), np.concatenate([seen[ids] / max(len(words), 1) ** 0.5, np.ones(len(own))])
+    return np.concatenate([ids.astype(np.int64), own]), np.concatenate([times / max(len(bag.words), 1) ** 0.5, np.ones(len(own))])
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
@@ -205,7 +219,7 @@ def train(docs: DataFrame) -> np.ndarray:
         for h, text in zip(cols["h"], cols["text"], strict=True):
             stats, bare = statistics(text)
             if bare:
-                ids, x = features(stats, bare)
+                ids, x = features(stats, Bag(bare))
                 for k, v in zip(out, (h, ids.tolist(), x.tolist(), bad.get(pattern(stats), 0.0)), strict=True):
                     out[k].append(v)
         return out
@@ -233,22 +247,18 @@ class Toxicity:
     bias: float = -math.inf
     trust: float = LIST_TRUST
 
-    def judge(self, stats: np.ndarray, bare: list[str]) -> float:
-        worst = worst_passage(bare, self.weights)[0] + self.bias if self.weights else -math.inf
+    def judge(self, stats: np.ndarray, bag: Bag) -> float:
+        worst = worst_passage(bag, self.weights)[0] + self.bias if self.weights else -math.inf
         scorer = 1 / (1 + math.exp(-max(min(worst, 30.0), -30.0))) if worst > -math.inf else 0.0
         return 1 - (1 - scorer) * (1 - (self.trust if stats[-1] >= TOXIC_RATE else 0.0))
 
 
-def word_buckets(word: str) -> tuple[int, ...]:
-    """A word's bucket, and that of its beginning if it goes on."""
-    own = zlib.crc32(word.encode("utf-8", "surrogatepass")) % TOXIC_BUCKETS
-    return (own, zlib.crc32(word[:BEGINNING].encode("utf-8", "surrogatepass"), 1) % TOXIC_BUCKETS) if len(word) > BEGINNING else (own,)
-
-
-def worst_passage(bare: list[str], weights: dict[int, float]) -> tuple[float, list[int]]:
+def worst_passage(bag: Bag, weights: dict[int, float]) -> tuple[float, list[int]]:
     """The largest sum of weights of the distinct buckets within PASSAGE words, and the buckets."""
-    known = {w: [b for b in word_buckets(w) if b in weights] for w in set(bare)}
-    hits = [(i, known[w]) for i, w in enumerate(bare) if known[w]]
+    known = {w: [b for b in {x, y} if b in weights] for w, (x, y) in zip(bag.words, bag.toxic, strict=True) if x in weights or y in weights}
+    if not known:
+        return 0.0, []
+    hits = [(i, known[w]) for i, w in enumerate(bag.bare) if w in known]
     inside: dict[int, int] = {}
     top, best, total, first = 0.0, [], 0.0, 0
     for i, buckets in hits:  # weights are not negative, so the best passage ends where it finds a word
@@ -304,7 +314,7 @@ def train_toxic(docs: DataFrame, labels: DataFrame | None) -> Toxicity:
         for text, toxic in zip(cols["text"], cols["toxic"], strict=True):
             stats, bare = statistics(text)
             if bare:
-                for b in {-1, *((-2,) if stats[-1] >= TOXIC_RATE else ()), *(b for w in set(bare) for b in word_buckets(w))}:
+                for b in {-1, *((-2,) if stats[-1] >= TOXIC_RATE else ()), *(b for both in Bag(bare).toxic for b in both)}:
                     count.setdefault(b, [0, 0])[0 if toxic else 1] += 1
         return {"bucket": list(count), "toxic": [x[0] for x in count.values()], "other": [x[1] for x in count.values()]}
 
@@ -324,7 +334,7 @@ def train_toxic(docs: DataFrame, labels: DataFrame | None) -> Toxicity:
     sent = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def worst(cols: dict[str, list]) -> dict[str, list]:
-        got = [sorted(worst_passage(statistics(t)[1], sent.value)[1]) for t in cols["text"]]
+        got = [sorted(worst_passage(Bag(statistics(t)[1]), sent.value)[1]) for t in cols["text"]]
         return {"ids": got, "toxic": cols["toxic"]}
 
     found = common.map_batches(sample, worst, "ids array<int>, toxic int").groupBy("ids", "toxic").count().collect()  # at most TOXIC_SAMPLE rows of a few buckets
@@ -339,9 +349,10 @@ def _judge(text: str | None, w: np.ndarray, model: Toxicity) -> tuple[float, flo
     stats, bare = statistics(text)
     if not bare:
         return 0.0, 0.0, False
-    ids, x = features(stats, bare)
+    bag = Bag(bare)
+    ids, x = features(stats, bag)
     bad = float(1 / (1 + np.exp(-np.clip(w[ids] @ x + w[-1], -30, 30))))
-    toxic = model.judge(stats, bare)
+    toxic = model.judge(stats, bag)
     return 1 - bad, toxic, bad < THRESHOLD and toxic < THRESHOLD
 
 
