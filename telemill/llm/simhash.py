@@ -43,8 +43,8 @@ from .components import connected_components
 
 MAX_BITS = 3
 SHINGLE = 3
-#: Members of one key looked at together; a larger group is dealt out in pairs of such blocks.
-BLOCK = 512
+#: Members of one key looked at together, some pairs at a time; a larger group is dealt out in pairs of such blocks.
+BLOCK, PAIRS_AT_ONCE = 8192, 1 << 14
 
 #: Five-word shingle similarity of near copies; classes of differing bits of their word fingerprints; seeds of these.
 SIMILARITY, WIDTH, REACH, WORD_SEEDS = 0.8, 5, (3, 6, 9), (42, 43)
@@ -259,20 +259,29 @@ def _linked(reach: tuple[int, ...]):
             first = np.flatnonzero(start)  # posts come first in a group
             probes = np.flatnonzero(~posts & (have[number] > 0))
             a, b = [], []
-            for at in range(0, len(probes), 1024):
-                p = probes[at : at + 1024]
+            ends = np.cumsum(have[number[probes]])
+            at = 0
+            while at < len(probes):  # some thousand pairs at a time
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+                p = probes[at:stop]
+                at = stop
                 times = have[number[p]]
                 left = np.repeat(p, times)
                 right = np.repeat(first[number[p]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
                 bits = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64))
                 near = np.flatnonzero((bits <= reach[-1]) & (bits > 0))
-                own = np.searchsorted(reach, bits[near])
-                for x, y, k in zip(fp[left[near]].tolist(), fp[right[near]].tolist(), own.tolist(), strict=True):
-                    if forests[k].unite(x, y):
-                        a.append(x)
-                        b.append(y)
-                    for wider in forests[k + 1 :]:
-                        wider.unite(x, y)
+                x, y, own = fp[left[near]], fp[right[near]], np.searchsorted(reach, bits[near])
+                if len(near) > 500:  # in a large group most pairs are connected before long: they go by arrays
+                    names, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    roots = np.array([[f.root(v) for v in names.tolist()] for f in forests])
+                    news = np.flatnonzero(roots[own, back[: len(x)]] != roots[own, back[len(x) :]])
+                    x, y, own = x[news], y[news], own[news]
+                for u, v, k in zip(x.tolist(), y.tolist(), own.tolist(), strict=True):
+                    if forests[k].unite(u, v):
+                        a.append(u)
+                        b.append(v)
+                        for wider in forests[k + 1 :]:
+                            wider.unite(u, v)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
             last = number == number[-1]
             carry = [x[last & posts] for x in (group, side, fp)]
@@ -292,7 +301,8 @@ def links(distinct: DataFrame, reach: tuple[int, ...] = (MAX_BITS,)) -> DataFram
         side = F.broadcast(hot) if n_hot <= 100_000 else hot
         posts = posts.join(side, "key", "left").select("key", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.lit(0)).alias("block"), "side", "fp")
         probes = probes.join(side, "key", "left").select("key", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("block"), "side", "fp")
-    dealt = posts.unionAll(probes.select("key", "block", "side", "fp")).repartition("key", "block").sortWithinPartitions("key", "block", "side")
+    # in the order of fingerprints, so that a group is linked to its smallest member whatever key it meets in
+    dealt = posts.unionAll(probes.select("key", "block", "side", "fp")).repartition("key", "block").sortWithinPartitions("key", "block", "side", "fp")
     return dealt.mapInArrow(_linked(reach), "a long, b long")
 
 
