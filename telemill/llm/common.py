@@ -30,7 +30,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark)}/telemill/{what}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/telemill/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes what this application's operators wrote in the shared folder. For the end: results that weren't read yet are gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

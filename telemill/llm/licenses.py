@@ -17,7 +17,8 @@ Only words that some template has are kept of a block, since no others count.
 Documents that don't hold enough of any template's words as a whole skip all this.
 
 Besides, the places where a base phrase's words stand one after the other are
-counted. Defined results: a null or empty text has no words and no labels, first
+counted. Templates may be a table; it is read whole, up to MOST_TEMPLATES of them.
+Defined results: a null or empty text has no words and no labels, first
 and last word null, score 0; rows that repeat, or have a null doc_id, give rows
 of their own; an empty table gives no rows.
 """
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, THRESHOLD = 48, 0.8
+#: Templates that a table may have; up to so many, documents are sifted template by template.
+MOST_TEMPLATES, FEW_TEMPLATES = 2000, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -81,14 +84,26 @@ def _labelled(places: Column, label: str) -> Column:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
-    """docs: doc_id, text -> doc_id, n_words, places array<struct<start,label>>, matches array<struct<label,score>>."""
+    """docs: doc_id, text -> doc_id, n_words, places array<struct<start,label>>, matches array<struct<label,score>>.
+
+    templates: pairs of text and label (words in lower case, apart by blanks), or a
+    DataFrame with columns text and label, cut in words as documents are; a template
+    without words matches nothing.
+    """
     spark = docs.sparkSession
-    split = [(sorted(set(t.split())), label) for t, label in templates]
+    if isinstance(templates, DataFrame):
+        got = templates.where("label is not null").select(F.array_join(text_words(), " ").alias("text"), "label").distinct().limit(MOST_TEMPLATES + 1).collect()
+        if len(got) > MOST_TEMPLATES:
+            raise ValueError(f"more than {MOST_TEMPLATES} templates")
+        templates = (*base, *((r["text"], r["label"]) for r in sorted(got)))
+    split = [(sorted(set(t.split())), label) for t, label in templates if t.split()]
     vocabulary = sorted({w for ws, _ in split for w in ws})
-    enough = None
-    for ws, _ in split:
-        one = F.size(F.array_intersect("hits", _lits(ws))) >= _need(len(ws))
-        enough = one if enough is None else enough | one
+    least = min(_need(len(ws)) for ws, _ in split)
+    enough = F.size("hits") >= least
+    if len(split) <= FEW_TEMPLATES:
+        enough = F.lit(False)
+        for ws, _ in split:
+            enough = enough | (F.size(F.array_intersect("hits", _lits(ws))) >= _need(len(ws)))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_words().alias("words"))
     hit = read.select("doc_id", "words", F.array_intersect("words", _lits(vocabulary)).alias("hits"))
     # one pass over the texts; the words stay only of documents that can hold a template
@@ -102,7 +117,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     half = WINDOW // 2
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(half))
     blocks = able.select("row", F.posexplode(F.transform(starts, lambda i: F.array_intersect(F.slice("words", i + 1, F.lit(WINDOW)), _lits(vocabulary)))).alias("block", "tokens"))
-    least = min(_need(len(ws)) for ws, _ in split)
     blocks = blocks.where(F.size("tokens") >= least).select("row", "block", F.array_sort(F.transform("tokens", lambda t: F.element_at(ranks, t))).alias("tokens"))
     prefixes = blocks.select("row", "block", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)).alias("at", "token"))
     sides = []

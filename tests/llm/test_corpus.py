@@ -517,6 +517,32 @@ def test_licenses(spark):
     assert not got[6]["matches"] and got[0]["n_words"] == 0
 
 
+def test_license_templates_from_a_table(spark, monkeypatch):
+    texts = ["x " * 30 + "Permission to use, copy and modify this WORK is granted to all" + " y" * 30, "under the mit license", "nothing of it", None]
+    table = spark.createDataFrame([("permission to use copy and modify this work is granted", "own"), ("...", "none"), (None, "none"), ("of it all and more", None)], "text string, label string")
+    for few in (32, 0):
+        monkeypatch.setattr(licenses, "FEW_TEMPLATES", few)
+        got = {r["doc_id"]: [m["label"] for m in r["matches"]] for r in licenses.scan(docs(spark, texts), table).collect()}
+        assert got == {0: ["own"], 1: ["mit"], 2: [], 3: []}
+    monkeypatch.setattr(licenses, "MOST_TEMPLATES", 1)
+    with pytest.raises(ValueError):
+        licenses.scan(docs(spark, texts), table)
+
+
+def test_clean_up(spark):
+    path = common.shared_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    root, made = common.shared_root(spark), path.rsplit("/", 1)[0]
+    assert path.startswith(root) and spark.sparkContext.applicationId in made and spark.read.parquet(path).count() == 3
+    import os
+
+    os.rename(made.replace("file:", ""), made.replace("file:", "") + "-kept")  # what other tests still read
+    spark.range(3).write.parquet(path)
+    common.clean_up(spark)
+    assert not os.path.exists(made.replace("file:", ""))
+    os.rename(made.replace("file:", "") + "-kept", made.replace("file:", ""))
+
+
 # --- repeated substrings ---
 
 
