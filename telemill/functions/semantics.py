@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column
@@ -83,22 +84,29 @@ def power_state(c: str | Column) -> Column:
     return F.upper(F.substring(col(c), 1, 2))
 
 
-def uniform(key: str | Column, seed: str) -> Column:
-    """A number in (0, 1) from the key and a seed, the same in every run and engine.
+def fresh_seed() -> str:
+    """A seed that nobody can guess, for noise that is to protect."""
+    return secrets.token_hex(16)
 
-    It makes noise testable. It protects nobody unless the seed is secret and used
-    once; draw a fresh one outside tests.
+
+def uniform(key: str | Column, seed: str | None = None) -> Column:
+    """A number in (0, 1) from the key and a seed; without a seed, from a fresh secret one.
+
+    With a seed given it is the same in every run and engine: that makes noise
+    testable, and protects nobody unless the seed is secret and used once.
     """
+    seed = fresh_seed() if seed is None else seed
     digest = F.md5(F.concat(col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") + 0.5) / 4294967296.0
 
 
-def laplace(key: str | Column, seed: str, scale: float | Column) -> Column:
+def laplace(key: str | Column, seed: str | None, scale: float | Column) -> Column:
     u = uniform(key, seed) - 0.5
     return -(scale if isinstance(scale, Column) else F.lit(scale)) * F.signum(u) * F.log(1 - 2 * F.abs(u))
 
 
-def gaussian(key: str | Column, seed: str, sigma: float | Column) -> Column:
+def gaussian(key: str | Column, seed: str | None, sigma: float | Column) -> Column:
     """Box-Muller on two hash uniforms."""
+    seed = fresh_seed() if seed is None else seed
     s = sigma if isinstance(sigma, Column) else F.lit(sigma)
     return s * F.sqrt(-2 * F.log(uniform(key, seed + "a"))) * F.cos(2 * F.pi() * uniform(key, seed + "b"))

@@ -12,13 +12,21 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from .ranks import quantiles
 
+#: Rows of a small side that are sent whole to the tasks; more go by a shuffle.
+MOST_SENT = 10_000
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MOST_SENT else df
+
+
 # --- bucketing and scaling ------------------------------------------------------------------
 
 
 def top_or_other(df: DataFrame, column: str, k: int, other: str = "Other") -> DataFrame:
-    """Keeps the k most frequent values (ties to the smaller), names the rest alike. The k kept are broadcast."""
+    """Keeps the k most frequent values (ties to the smaller), names the rest alike."""
     top = df.groupBy(column).agg(F.count("*").alias("__n")).where(F.col(column).isNotNull()).orderBy(F.desc("__n"), column).limit(k).select(F.col(column).alias("__top"))
-    return df.join(F.broadcast(top), F.col(column) == F.col("__top"), "left").withColumn(column, F.when(F.col("__top").isNotNull(), F.col(column)).otherwise(other)).drop("__top")
+    return df.join(_small(top, k), F.col(column) == F.col("__top"), "left").withColumn(column, F.when(F.col("__top").isNotNull(), F.col(column)).otherwise(other)).drop("__top")
 
 
 def supported_or_other(df: DataFrame, column: str, key: str, least: int, other: str = "Other") -> DataFrame:
@@ -73,16 +81,16 @@ def signed_split(df: DataFrame, column: str) -> DataFrame:
 # --- noise ----------------------------------------------------------------------------------
 
 
-def noisy_count(n: Column, sigma: float, key: str, seed: str) -> Column:
+def noisy_count(n: Column, sigma: float, key: str, seed: str | None = None) -> Column:
     return F.greatest(n + S.gaussian(key, seed, sigma), F.lit(0.0))
 
 
-def noisy_mean(mean: Column, n: Column, value_range: float, sigma: float, key: str, seed: str) -> Column:
+def noisy_mean(mean: Column, n: Column, value_range: float, sigma: float, key: str, seed: str | None = None) -> Column:
     """Sensitivity range / n, never below 0; unchanged without rows."""
     return F.when(n > 0, F.greatest(mean + S.gaussian(key, seed, sigma) * value_range / n, F.lit(0.0))).otherwise(mean)
 
 
-def noisy_percentage(p: Column, n: Column, sigma: float, key: str, seed: str) -> Column:
+def noisy_percentage(p: Column, n: Column, sigma: float, key: str, seed: str | None = None) -> Column:
     return F.when(n > 0, F.least(F.greatest(p + S.gaussian(key, seed, sigma) * 100.0 / n, F.lit(0.0)), F.lit(100.0))).otherwise(p)
 
 
@@ -216,7 +224,7 @@ def device_votes(real: DataFrame, candidates: DataFrame, numeric: list[str], cat
     return _every_candidate(candidates, votes)
 
 
-def noisy_votes(votes: DataFrame, sigma: float, seed: str) -> DataFrame:
+def noisy_votes(votes: DataFrame, sigma: float, seed: str | None = None) -> DataFrame:
     return votes.withColumn("votes", F.greatest(F.col("votes") + S.gaussian("candidate_id", seed, sigma), F.lit(0.0)))
 
 
@@ -243,25 +251,32 @@ def select_sampled(votes: DataFrame, n: int, seed: str) -> DataFrame:
     return placed.join(inner, "g").where((F.col("x") > F.col("a")) & (F.col("x") <= F.col("b"))).select("draw", "candidate_id")
 
 
-def evolve(real: DataFrame, first: DataFrame, vary: Callable[[DataFrame, int], DataFrame], rounds: int, keep: int, sigma: float, numeric: list[str], categories: list[str], seed: str, save: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Distinct numbers for rows, the same ones in any layout of the table: within groups by hash, so that no task orders all rows."""
+    groups = 1024
+    x = df.withColumn("__g", F.pmod(F.xxhash64(*df.columns), F.lit(groups)))
+    at = F.row_number().over(Window.partitionBy("__g").orderBy(*df.columns))
+    return x.withColumn(name, (F.col("__g") + groups * at).cast("long")).drop("__g")
+
+
+def evolve(real: DataFrame, first: DataFrame, vary: Callable[[DataFrame, int], DataFrame], rounds: int, keep: int, sigma: float, numeric: list[str], categories: list[str], seed: str | None, save: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """Private evolution: vote, keep the best, vary them, again. vary makes candidates (without ids) from parents; save writes a round where a rerun finds it."""
     pool = first
     for k in range(rounds):
-        votes = noisy_votes(device_votes(real, pool, numeric, categories), sigma, f"{seed}-{k}")
-        parents = pool.join(F.broadcast(select_ranked(votes, keep).select("candidate_id")), "candidate_id", "left_semi")
+        votes = noisy_votes(device_votes(real, pool, numeric, categories), sigma, None if seed is None else f"{seed}-{k}")
+        parents = pool.join(_small(select_ranked(votes, keep).select("candidate_id"), keep), "candidate_id", "left_semi")
         if k == rounds - 1:
             return save(parents, k)
         children = vary(parents, k).drop("candidate_id")
         both = parents.drop("candidate_id").unionByName(children)
-        order = Window.partitionBy(F.lit(1)).orderBy(F.xxhash64(*both.columns), *both.columns)  # a pool is keep x (1 + children): small
-        pool = save(both.withColumn("candidate_id", F.row_number().over(order).cast("long")), k)
+        pool = save(_numbered(both, "candidate_id"), k)
     return pool
 
 
 # --- marginals ------------------------------------------------------------------------------
 
 
-def marginal(df: DataFrame, column: str, epsilon: float, bins: int = 20, seed: str = "0") -> DataFrame:
+def marginal(df: DataFrame, column: str, epsilon: float, bins: int = 20, seed: str | None = None) -> DataFrame:
     """lo, hi, p: Laplace-noisy histogram of a numeric column between its first and last percentile."""
     edges = quantiles(df, column, [0.01, 0.99]).select(F.element_at("__q", 1).alias("lo"), ((F.element_at("__q", 2) - F.element_at("__q", 1)) / bins).alias("w"))
     every = df.sparkSession.range(bins).withColumnRenamed("id", "bin").crossJoin(F.broadcast(edges))  # bins rows
@@ -271,16 +286,20 @@ def marginal(df: DataFrame, column: str, epsilon: float, bins: int = 20, seed: s
     return noisy.select((F.col("lo") + F.col("bin") * F.col("w")).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("hi"), F.coalesce(p, F.lit(1.0 / bins)).alias("p"))
 
 
-def category_marginal(df: DataFrame, columns: list[str], epsilon: float, seed: str = "0") -> DataFrame:
+def category_marginal(df: DataFrame, columns: list[str], epsilon: float, seed: str | None = None) -> DataFrame:
     """The joint noisy shares of the columns' values."""
     n = df.groupBy(*columns).agg(F.count("*").alias("__n")).withColumn("__k", F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
     noisy = n.withColumn("__c", F.greatest(F.col("__n") + S.laplace("__k", seed, 1 / epsilon), F.lit(0.0)))
-    return noisy.select(*columns, S.ratio("__c", F.sum("__c").over(Window.partitionBy(F.lit(1)))).alias("p"))
+    return noisy.crossJoin(F.broadcast(noisy.agg(F.sum("__c").alias("__all")))).select(*columns, S.ratio("__c", "__all").alias("p"))  # one row
 
 
 def sample_marginal(dist: DataFrame, n: int, seed: str, numeric: bool) -> DataFrame:
-    """n rows drawn from a marginal (a few rows, broadcast); numbers are even within their bin."""
+    """n rows drawn from a marginal; numbers are even within their bin. A marginal of few rows is sent whole, a larger one is drawn from by groups."""
     cols = [c for c in dist.columns if c != "p"]
+    if dist.count() > MOST_SENT:
+        rows = _numbered(dist, "candidate_id")
+        j = select_sampled(rows.select("candidate_id", F.col("p").alias("votes")), n, seed).join(rows, "candidate_id").withColumn("__j", S.uniform("draw", seed + "j")).withColumnRenamed("draw", "id")
+        return j.select("id", (F.col("lo") + F.col("__j") * (F.col("hi") - F.col("lo"))).alias("value")) if numeric else j.select("id", *cols)
     run = Window.orderBy(*cols)  # a marginal has few rows
     cdf = dist.withColumn("__b", F.sum("p").over(run)).withColumn("__a", F.col("__b") - F.col("p"))
     draws = dist.sparkSession.range(n).select("id", S.uniform("id", seed).alias("__u"), S.uniform("id", seed + "j").alias("__j"))
@@ -291,9 +310,12 @@ def sample_marginal(dist: DataFrame, n: int, seed: str, numeric: bool) -> DataFr
 def fan_out(entities: DataFrame, key: str, items: DataFrame, item: str, weight: str, mean: float, seed: str) -> DataFrame:
     """Items of each entity without replacement: the number is Poisson (at least 1), the choice by weight (exponential race), shares add up to 1.
 
-    items is a vocabulary of some hundred rows and is broadcast.
+    items is a closed vocabulary, refused beyond MOST_SENT; it goes to the entities as
+    one list, from which each takes its own, so no row is made of an item not chosen.
     """
-    e = -F.log(S.uniform(F.concat_ws(":", F.col(key).cast("string"), F.col(item).cast("string")), seed)) / F.greatest(F.col(weight).cast("double"), F.lit(1e-12))
+    if items.limit(MOST_SENT + 1).count() > MOST_SENT:
+        raise ValueError(f"more than {MOST_SENT} items")
+    race = lambda x: -F.log(S.uniform(F.concat_ws(":", F.col(key).cast("string"), x["i"].cast("string")), seed)) / F.greatest(x["w"], F.lit(1e-12))
     u = S.uniform(key, seed + "n")
     terms, p, cdf = [], float(np.exp(-mean)), 0.0
     for k in range(int(mean + 10 * np.sqrt(mean) + 10)):
@@ -301,11 +323,13 @@ def fan_out(entities: DataFrame, key: str, items: DataFrame, item: str, weight:
         terms.append(F.when(u > cdf, 1).otherwise(0))
         p *= mean / (k + 1)
     n = F.greatest(S.total(terms), F.lit(1))
-    j = entities.select(key).crossJoin(F.broadcast(items.select(item, weight))).withColumn("__e", e).withColumn("__n", n)
-    chosen = j.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("__e", item))).where("__r <= __n")
-    g = -F.log(S.uniform(F.concat_ws(":", F.col(key).cast("string"), F.col(item).cast("string")), seed + "s"))
-    chosen = chosen.withColumn("__g", g)
-    return chosen.select(key, item, S.ratio("__g", F.sum("__g").over(Window.partitionBy(key))).alias("share"))
+    vocabulary = items.agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col(weight).cast("double").alias("w"))).alias("__items"))
+    j = entities.select(key).crossJoin(F.broadcast(vocabulary))  # one row
+    first = F.slice(F.array_sort(F.transform("__items", lambda x: F.struct(race(x).alias("e"), x["i"].alias("i")))), F.lit(1), n)
+    g = lambda x: -F.log(S.uniform(F.concat_ws(":", F.col(key).cast("string"), x["i"].cast("string")), seed + "s"))
+    j = j.select(key, F.transform(first, lambda x: F.struct(x["i"].alias("i"), g(x).alias("g"))).alias("__x"))
+    whole = F.aggregate("__x", F.lit(0.0), lambda a, x: a + x["g"])
+    return j.select(key, whole.alias("__all"), F.explode("__x").alias("__x")).select(key, F.col("__x.i").alias(item), S.ratio(F.col("__x.g"), F.col("__all")).alias("share"))
 
 
 def assign_keys(rows: DataFrame, row_key: str, devices: DataFrame, key: str, seed: str) -> DataFrame:

@@ -42,7 +42,7 @@ def read_text(spark: SparkSession, root: str, name: str, schema: T.StructType |
                 if sampling is not None:
                     reader = reader.option("samplingRatio", sampling)
             df = reader.csv(path)
-            return df.repartition(spark.sparkContext.defaultParallelism) if "gz" in path else df
+            return df.repartition(spark.sparkContext.defaultParallelism) if any(f.endswith(".gz") for f in df.inputFiles()) else df
     raise FileNotFoundError(f"no text of table {name} in {root}")
 
 
@@ -92,9 +92,12 @@ def validate(df: DataFrame, columns: Iterable[str], key: str = "guid") -> DataFr
 
 
 def write_table(df: DataFrame, path: str, key: str = "guid") -> DataFrame:
-    """Writes Parquet and returns the check of what was written."""
+    """Writes Parquet and returns the check of what was written: rows, keys, columns there and missing, whether names and types are those meant, and the first rows as text."""
     df.write.mode("overwrite").parquet(path)
-    return validate(df.sparkSession.read.parquet(path), df.columns, key)
+    got = df.sparkSession.read.parquet(path)
+    same = [(f.name, f.dataType.simpleString()) for f in got.schema] == [(f.name, f.dataType.simpleString()) for f in df.schema]
+    first = [json.dumps(r.asDict(), default=str) for r in got.limit(3).collect()]
+    return validate(got, df.columns, key).withColumns({"same_schema": F.lit(same), "sample": F.array(*map(F.lit, first)).cast("array<string>")})
 
 
 def write_results(df: DataFrame, path: str) -> None:
