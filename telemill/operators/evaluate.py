@@ -339,6 +339,12 @@ def method_matrix(verdicts: DataFrame, methods: list[str]) -> DataFrame:
     return verdicts.groupBy("query").pivot("method", methods).agg(F.avg("score"))
 
 
+def type_averages(verdicts: DataFrame) -> DataFrame:
+    """query_type and, where given, method: mean score, share passed, number of queries."""
+    by = ["query_type", *(c for c in ("method",) if c in verdicts.columns)]
+    return verdicts.groupBy(*by).agg(F.avg("score").alias("mean_score"), F.avg(F.col("passed").cast("int")).alias("pass_rate"), F.count("*").alias("queries"))
+
+
 def sensitivity(metrics: DataFrame, metric_type: str, thresholds: list[float]) -> DataFrame:
     """threshold, pass_rate of an error metric over thresholds."""
     x = metrics.where(F.col("metric_type") == metric_type)

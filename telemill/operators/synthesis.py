@@ -29,9 +29,11 @@ def top_or_other(df: DataFrame, column: str, k: int, other: str = "Other") -> Da
     return df.join(_small(top, k), F.col(column) == F.col("__top"), "left").withColumn(column, F.when(F.col("__top").isNotNull(), F.col(column)).otherwise(other)).drop("__top")
 
 
-def supported_or_other(df: DataFrame, column: str, key: str, least: int, other: str = "Other") -> DataFrame:
-    """Keeps values that so many distinct keys have."""
-    good = df.groupBy(column).agg(F.count_distinct(key).alias("__n")).where(F.col("__n") >= least).select(F.col(column).alias("__good"))
+def supported_or_other(df: DataFrame, column: str, key: str, least: int | None = None, top: int | None = None, other: str = "Other") -> DataFrame:
+    """Keeps values that so many distinct keys have, or that are among the top by that number (ties to the smaller)."""
+    n = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count_distinct(key).alias("__n"))
+    good = n.where(F.col("__n") >= least) if least is not None else n.orderBy(F.desc("__n"), column).limit(top)
+    good = good.select(F.col(column).alias("__good"))
     return df.join(good, F.col(column) == F.col("__good"), "left").withColumn(column, F.when(F.col("__good").isNotNull(), F.col(column)).otherwise(other)).drop("__good")
 
 

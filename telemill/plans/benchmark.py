@@ -224,6 +224,49 @@ def top_20_most_power_consuming_processes_by_avg_power_consumed(t):
     return top_with_ties(g, "total_power_consumption", 20).withColumnRenamed("rank", "rnk")
 
 
+# How results are compared, query -> type, keys, values, and groups of ranks.
+SPECS: dict[str, tuple[str, list[str], list[str], list[str]]] = {
+    "avg_platform_power_c0_freq_temp_by_chassis": ("aggregate", ["chassistype"], ["number_of_systems", "avg_psys_rap_watts", "avg_pkg_c0", "avg_freq_mhz", "avg_temp_centigrade"], []),
+    "server_class_network_consumption": ("aggregate", ["processor_class", "os"], ["number_of_systems", "avg_bytes_received", "avg_bytes_sent"], []),
+    "most_popular_browser_in_each_country_by_system_count": ("ranking_categorical", ["country"], ["browser"], []),
+    "popular_browsers_by_count_usage_percentage": ("distribution", ["browser"], ["percent_systems", "percent_instances", "percent_duration"], []),
+    "ram_utilization_histogram": ("histogram", ["ram_gb"], ["count(DISTINCT guid)", "avg_percentage_used"], []),
+    "pkg_power_by_country": ("aggregate", ["countryname_normalized"], ["number_of_systems", "avg_pkg_power_consumed"], []),
+    "battery_power_on_geographic_summary": ("aggregate", ["country"], ["number_of_systems", "avg_number_of_dc_powerons", "avg_duration"], []),
+    "battery_on_duration_cpu_family_gen": ("aggregate", ["marketcodename", "cpugen"], ["number_of_systems", "avg_duration_mins_on_battery"], []),
+    "mods_blockers_by_osname_and_codename": ("aggregate", ["os_name", "os_codename"], ["num_entries", "number_of_systems", "entries_per_system"], []),
+    "display_devices_connection_type_resolution_durations_ac_dc": ("aggregate", ["connection_type", "resolution"], ["number_of_systems", "average_duration_on_ac_in_seconds", "average_duration_on_dc_in_seconds"], []),
+    "display_devices_vendors_percentage": ("distribution", ["vendor_name"], ["percentage_of_systems"], []),
+    "userwait_top_10_wait_processes": ("ranking_numeric", ["proc_name"], ["total_duration_sec_per_instance"], []),
+    "userwait_top_10_wait_processes_wait_type_ac_dc": ("ranking_numeric", ["event_name", "acdc", "proc_name"], ["total_duration_sec_per_instance"], ["event_name", "acdc"]),
+    "top_10_applications_by_app_type_ranked_by_focal_time": ("ranking_numeric", ["app_type", "exe_name"], ["average_focal_sec_per_day"], ["app_type"]),
+    "top_10_applications_by_app_type_ranked_by_system_count": ("ranking_numeric", ["app_type", "exe_name"], ["number_of_systems"], ["app_type"]),
+    "top_10_applications_by_app_type_ranked_by_total_detections": ("ranking_numeric", ["app_type", "exe_name"], ["total_number_of_detections"], ["app_type"]),
+}
+
+
+class Half(dict):
+    """The reporting tables of some devices: each table's rows whose device is one of them, made where they are asked for."""
+
+    def __init__(self, tables: Tables, devices: DataFrame, key: str = "guid"):
+        super().__init__()
+        self.tables, self.devices, self.key = tables, devices, key
+
+    def __missing__(self, name: str) -> DataFrame:
+        t = self.tables[name]
+        self[name] = t.join(self.devices, self.key, "left_semi") if self.key in t.columns else t
+        return self[name]
+
+
+def split_half(tables: Tables, seed: str, names: list[str] | None = None) -> DataFrame:
+    """Metric rows of the queries on one random half of the devices against the other: what sampling alone gives, the baseline of normalised errors."""
+    from ..operators import evaluate as E
+
+    first, second = (Half(tables, h) for h in E.split_half(_sysinfo(tables).select("guid").distinct(), "guid", seed))
+    chosen = {n: SPECS[n] for n in names or SPECS}
+    return E.evaluate_all(chosen, lambda n: QUERIES[n](first), {"half": lambda n: QUERIES[n](second)}).drop("method")
+
+
 def run_all(tables: Tables, out_dir: str, names: list[str] | None = None, infeasible: bool = False) -> dict[str, str]:
     """Writes results as CSV; query -> "ok" or what went wrong."""
     from ..sources.tables import write_results

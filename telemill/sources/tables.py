@@ -105,6 +105,19 @@ def write_results(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def save_tables(tables: dict[str, DataFrame], database: str) -> None:
+    """Tables that last beyond the session, in the warehouse."""
+    for spark in {df.sparkSession for df in tables.values()}:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name, df in tables.items():
+        df.write.mode("overwrite").format("parquet").saveAsTable(f"`{database}`.`{name}`")
+
+
+def schema_of(df: DataFrame) -> DataFrame:
+    """name, type, nullable: a row for each column, in order."""
+    return df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema)], "position int, name string, type string, nullable boolean")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names; one of our own only where none is."""
     context = df.sparkSession.sparkContext

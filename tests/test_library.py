@@ -392,3 +392,39 @@ def test_canonical_spellings_in_portions(spark):
         want.append(low[near[0]] if near else v)
     for most in (100_000, 4):
         assert sorted(map(str, (r["c"] for r in R.canonicalize(df, "c", ref, most=most).collect()))) == sorted(map(str, want))
+
+
+def test_support_by_top_and_averages(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 1), ("c", 1), ("c", 2), ("c", 3), (None, 9)], "k string, u int")
+    count = lambda x: {tuple(r) for r in x.groupBy("k").count().collect()}
+    assert count(Y.supported_or_other(df, "k", "u", 2)) == {("a", 2), ("c", 3), ("Other", 3)}
+    assert count(Y.supported_or_other(df, "k", "u", top=1)) == {("c", 3), ("Other", 5)}
+    v = spark.createDataFrame([("aggregate", "m", 1.0, True), ("aggregate", "m", 0.0, False), ("histogram", "m", 0.5, True)], "query_type string, method string, score double, passed boolean")
+    assert {tuple(r) for r in E.type_averages(v).collect()} == {("aggregate", "m", 0.5, 0.5, 2), ("histogram", "m", 0.5, 1.0, 1)}
+
+
+def test_saved_tables_and_checks(spark, tmp_path):
+    df = spark.createDataFrame([("g1", 1), ("g2", 2)], "guid string, n int")
+    got = tables.write_table(df, f"{tmp_path}/t").first()
+    assert got["rows"] == got["keys"] == 2 and got["same_schema"] and len(got["sample"]) == 2
+    assert [tuple(r) for r in tables.schema_of(df).orderBy("position").collect()] == [(0, "guid", "string", True), (1, "n", "int", True)]
+    assert len(S.fresh_seed()) == 32 and S.fresh_seed() != S.fresh_seed()
+    a, b = (spark.range(50).select(S.uniform("id").alias("u")).agg(F.sum("u")).first()[0] for _ in range(2))
+    assert a != b
+
+
+def test_large_marginals_are_drawn_from_by_groups(spark, monkeypatch):
+    monkeypatch.setattr(Y, "MOST_SENT", 5)
+    df = spark.range(2000).select((F.col("id") % 100).cast("double").alias("x"))
+    got = Y.sample_marginal(Y.marginal(df, "x", 10.0, seed="m"), 400, "s", True)
+    assert got.count() == 400 and got.agg(F.avg("value")).first()[0] == pytest.approx(49.5, abs=5)
+
+
+def test_halves_of_the_devices_are_close(spark):
+    from telemill.plans import over_tables
+
+    t = over_tables._Tables(spark, "/root/testdata/sf0.001")
+    names = ["popular_browsers_by_count_usage_percentage", "server_class_network_consumption"]
+    got = {(r["query"], r["metric_type"], r["column"]): r["value"] for r in benchmark.split_half(t, "7", names).collect()}
+    assert {k[0] for k in got} == set(names) and not any(k[1] == "error" for k in got)
+    assert got["popular_browsers_by_count_usage_percentage", "total_variation", "percent_instances"] < 0.3
