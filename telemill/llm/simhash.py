@@ -45,6 +45,8 @@ MAX_BITS = 3
 SHINGLE = 3
 #: Members of one key looked at together, some pairs at a time; a larger group is dealt out in pairs of such blocks.
 BLOCK, PAIRS_AT_ONCE = 8192, 1 << 14
+#: Links that a task thins out.
+EDGES_AT_ONCE = 1_000_000
 
 #: Five-word shingle similarity of near copies; classes of differing bits of their word fingerprints; seeds of these.
 SIMILARITY, WIDTH, REACH, WORD_SEEDS = 0.8, 5, (3, 6, 9), (42, 43)
@@ -306,6 +308,36 @@ def links(distinct: DataFrame, reach: tuple[int, ...] = (MAX_BITS,)) -> DataFram
     return dealt.mapInArrow(_linked(reach), "a long, b long")
 
 
+def _thinned(reach: tuple[int, ...]):
+    """Links a, b -> of each partition one spanning forest for each of reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forests = [_Forest() for _ in reach]
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy() for c in ("a", "b"))
+            own = np.searchsorted(reach, np.bitwise_count((x ^ y).view(np.uint64)))
+            kept: list[tuple[int, int]] = []
+            for u, v, k in zip(x.tolist(), y.tolist(), own.tolist(), strict=True):
+                if forests[k].unite(u, v):
+                    kept.append((u, v))
+                    for wider in forests[k + 1 :]:
+                        wider.unite(u, v)
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def thin(edges: DataFrame, reach: tuple[int, ...]) -> DataFrame:
+    """edges: a, b -> fewer of them that connect the same, for each of reach.
+
+    Every task of links has a forest of its own, so a large group has as many
+    links a member as tasks that it met in. They go together here, up to
+    EDGES_AT_ONCE to a task.
+    """
+    edges = common.settle(edges)
+    return edges.coalesce(max(1, -(-edges.count() // EDGES_AT_ONCE))).mapInArrow(_thinned(reach), "a long, b long")
+
+
 def _classes(fps: DataFrame) -> DataFrame:
     """fps: doc_id, fp -> fp, root, component_id: each fingerprint once, root naming its class."""
     reps = common.settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -340,7 +372,7 @@ def similar_classes(texts: DataFrame) -> DataFrame:
         own = prints.select("key", F.col(f"fp{k}").alias("fp"))
         leads = common.settle(own.groupBy("fp").agg(F.min("key").alias("lead")))
         same = own.join(leads, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
-        far = links(leads.select("fp"), REACH).join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+        far = thin(links(leads.select("fp"), REACH), REACH).join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
         both = same.unionAll(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         edges = both if edges is None else edges.unionAll(both)
     edges = common.settle(edges.distinct())

@@ -479,6 +479,34 @@ def test_one_of_each_class_of_similar_texts(spark, monkeypatch):
     assert simhash.similarity(None, " ") == 1 and simhash.similarity("a b c", "A  b c") == 1
 
 
+def test_thinned_links_connect_the_same(spark):
+    rng = np.random.default_rng(40)
+    center = rng.integers(-(2**62), 2**62, 6)
+    nodes = [int(c) ^ sum(1 << int(b) for b in rng.choice(60, int(rng.integers(0, 4)), replace=False)) for c in center for _ in range(40)]
+    reach = (2, 4, 8)
+    edges = [(a, b) for i, a in enumerate(nodes) for b in nodes[:i] if 0 < bin(a ^ b).count("1") <= 8 and rng.random() < 0.3]
+    got = [tuple(r) for r in simhash.thin(spark.createDataFrame(edges, "a long, b long").repartition(7), reach).collect()]
+    assert set(got) <= set(edges) and len(got) <= 3 * len(set(nodes))
+
+    def parts(es, most):
+        up = {}
+
+        def root(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in es:
+            if bin(a ^ b).count("1") <= most:
+                a, b = sorted((root(a), root(b)))
+                up[b] = a
+        return {n: root(n) for n in nodes}
+
+    for most in reach:
+        x, y = parts(edges, most), parts(got, most)
+        assert len(set(zip(x.values(), y.values(), strict=True))) == len(set(x.values())) == len(set(y.values()))
+
+
 def test_golay_keys_meet():
     g = simhash.golay()
     assert len(set(g.error.tolist())) == 2048 and max(bin(int(e)).count("1") for e in g.error) == 3
