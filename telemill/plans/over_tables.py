@@ -121,10 +121,10 @@ def _history(of):
     return of("orders").select(F.col("o_custkey").alias("guid"), F.date_add(day, 9000).alias("min_ts"), F.date_add(day, 9400).alias("max_ts"), F.col("o_orderpriority").alias("os_name"), F.col("o_orderstatus").alias("os_codename"))
 
 
-@_made("system_display_devices", "SELECT l_orderkey AS guid, l_returnflag AS connection_type, p_brand AS vendor_name, p_size AS resolution_heigth, l_linenumber AS resolution_width, l_tax AS duration_ac, l_discount AS duration_dc FROM lineitem JOIN part ON l_partkey = p_partkey")
+@_made("system_display_devices", "SELECT l_orderkey AS guid, l_returnflag AS connection_type, p_brand AS vendor_name, p_size AS resolution_heigth, l_linenumber AS resolution_width, sqrt(l_extendedprice) AS duration_ac, sqrt(l_quantity) AS duration_dc FROM lineitem JOIN part ON l_partkey = p_partkey")
 def _displays(of):
     j = of("lineitem").join(of("part"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.select(F.col("l_orderkey").alias("guid"), F.col("l_returnflag").alias("connection_type"), F.col("p_brand").alias("vendor_name"), F.col("p_size").alias("resolution_heigth"), F.col("l_linenumber").alias("resolution_width"), F.col("l_tax").alias("duration_ac"), F.col("l_discount").alias("duration_dc"))
+    return j.select(F.col("l_orderkey").alias("guid"), F.col("l_returnflag").alias("connection_type"), F.col("p_brand").alias("vendor_name"), F.col("p_size").alias("resolution_heigth"), F.col("l_linenumber").alias("resolution_width"), F.sqrt("l_extendedprice").alias("duration_ac"), F.sqrt("l_quantity").alias("duration_dc"))
 
 
 @_made("system_userwait", f"""
@@ -212,7 +212,7 @@ _BLOCKED = "system_mods_top_blocker_hist b JOIN system_os_codename_history h ON
 _register("mods_blockers_by_osname_and_codename", "system_mods_top_blocker_hist system_os_codename_history", f"""
 SELECT os_name, os_codename, count(*)::BIGINT AS num_entries, count(DISTINCT b.guid)::BIGINT AS number_of_systems, round(count(*) / count(DISTINCT b.guid), 4) AS entries_per_system FROM {_BLOCKED} GROUP BY 1, 2""")
 _register("top_mods_blocker_types_durations_by_osname_and_codename", "system_mods_top_blocker_hist system_os_codename_history", f"""
-SELECT os_name, os_codename, blocker_name, blocker_type, activity_level, count(DISTINCT b.guid)::BIGINT AS number_of_clients, round(avg(active_time_ms) / 1000, 8) AS average_active_time_in_seconds, count(*)::BIGINT AS number_of_occurences FROM {_BLOCKED} GROUP BY 1, 2, 3, 4, 5""", 8)
+SELECT os_name, os_codename, blocker_name, blocker_type, activity_level, count(DISTINCT b.guid)::BIGINT AS number_of_clients, round(avg(active_time_ms) / 1000, 12) AS average_active_time_in_seconds, count(*)::BIGINT AS number_of_occurences FROM {_BLOCKED} GROUP BY 1, 2, 3, 4, 5""", 12)
 _register("display_devices_connection_type_resolution_durations_ac_dc", "system_display_devices", """
 SELECT connection_type, resolution_heigth::VARCHAR || 'x' || resolution_width::VARCHAR AS resolution, count(DISTINCT guid)::BIGINT AS number_of_systems, round(avg(duration_ac), 2) AS average_duration_on_ac_in_seconds, round(avg(duration_dc), 2) AS average_duration_on_dc_in_seconds
 FROM system_display_devices GROUP BY 1, 2 HAVING count(DISTINCT guid) > 50""")
