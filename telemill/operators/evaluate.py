@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
-from .ranks import laid_out, quantiles
+from .ranks import cut, mean_ranks, quantiles_by, quantiles_of
 
 RELATIVE_ERROR, TOTAL_VARIATION, SPEARMAN = 0.25, 0.15, 0.5
 GROUP_JACCARD, ITEM_JACCARD, CATEGORY_ACCURACY = 0.5, 0.3, 0.5
 ROW_COUNT, ROW_CATEGORY, ROW_MEAN = 0.5, 0.2, 0.5
 #: Metrics of which more is better; their error is what is missing to 1.
-HIGHER_IS_BETTER = ("jaccard", "item_jaccard", "group_jaccard", "spearman", "categorical_accuracy")
+HIGHER_IS_BETTER = ("jaccard", "mean_jaccard", "spearman", "spearman_rho", "mean_spearman_rho", "categorical_accuracy")
 
 
 def relative_error(real: str | Column, synth: str | Column) -> Column:
@@ -27,7 +28,7 @@ def _align(real: DataFrame, synth: DataFrame, keys: list[str], how: str) -> Data
     """Joined on the keys, null keys alike; values as r.*, s.*"""
     on = None
     for k in keys:
-        one = F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
+        one = F.col(f"r.`{k}`").eqNullSafe(F.col(f"s.`{k}`"))
         on = one if on is None else on & one
     return real.alias("r").join(synth.alias("s"), on, how)
 
@@ -37,21 +38,41 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def _one_row(df: DataFrame, keys: list[str], pick: Callable) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    x = df.withColumn("__at", F.monotonically_increasing_id()).groupBy(*(F.col(f"`{k}`") for k in keys))
+    if not rest:
+        return x.agg(pick("__at", "__at").alias("__x")).drop("__x")
+    got = x.agg(pick(F.struct(*(F.col(f"`{c}`") for c in rest)), F.col("__at")).alias("__x"))
+    return got.select(*(F.col(f"`{k}`") for k in keys), *(F.col(f"__x.`{c}`").alias(c) for c in rest))
+
+
 def last_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row a key: the last in the order of the table, as a mapping filled row by row has it."""
-    rest = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.col("__at"))
-    return df.withColumn("__at", F.monotonically_increasing_id()).groupBy(*keys).agg(last.alias("__x")).select(*keys, "__x.*")
+    return _one_row(df, keys, F.max_by)
+
+
+def top_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key: the first in the order of the table."""
+    return _one_row(df, keys, F.min_by)
+
+
+def _errors(real: DataFrame, synth: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """column, median, mean, n: relative errors over common keys where both sides have a number; columns without any are missing. One shuffle for all columns."""
+    on = [relative_error(F.nanvl(F.col(f"r.`{c}`").cast("double"), F.lit(None)), F.nanvl(F.col(f"s.`{c}`").cast("double"), F.lit(None))).alias(c) for c in columns]
+    long = _align(real, synth, keys, "inner").select(*on).unpivot([], [f"`{c}`" for c in columns], "column", "value").where("value is not null")
+    q = quantiles_by(long, ["column"], "value", [0.5]).select("column", F.element_at("__q", 1).alias("median"))
+    return q.join(long.groupBy("column").agg(F.avg("value").alias("mean"), F.count("*").alias("n")), "column")
 
 
 def median_errors(real: DataFrame, synth: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """col, value: the median relative error over common keys; infinite if none are."""
-    j = _align(real, synth, keys, "inner").select(*(relative_error(f"r.{c}", f"s.{c}").alias(c) for c in columns))
-    out = None
-    for c in columns:
-        one = quantiles(j, c, [0.5]).select(F.lit(c).alias("col"), F.coalesce(F.element_at("__q", 1), F.lit(float("inf"))).alias("value"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    got = _errors(real, synth, keys, columns)
+    return _named(real, columns).join(got, "column", "left").select(F.col("column").alias("col"), F.coalesce("median", F.lit(float("inf"))).alias("value"))
+
+
+def _named(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
 
 
 def total_variation(real: DataFrame, synth: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -62,20 +83,27 @@ def total_variation(real: DataFrame, synth: DataFrame, keys: list[str], value: s
 
 
 def spearman(real: DataFrame, synth: DataFrame, keys: list[str], value: str, groups: list[str]) -> DataFrame:
-    """groups, spearman, n: rank correlation over common keys; ties share their mean rank; 0 for a constant or fewer than two."""
-    names = [F.col(f"r.{g}").alias(g) for g in groups]
-    j = _align(real, synth, keys, "inner").select(*names, F.col(f"r.{value}").cast("double").alias("x"), F.col(f"s.{value}").cast("double").alias("y"))
-    by = groups or [F.lit(1)]
+    """groups, spearman, n: rank correlation over common keys; ties share their mean rank; 0 for a constant or fewer than two. Without groups ranks are counted by ranges of values, so no task orders all keys."""
+    names = [F.col(f"r.`{g}`").alias(g) for g in groups]
+    j = _align(real, synth, keys, "inner").select(*names, F.col(f"r.`{value}`").cast("double").alias("x"), F.col(f"s.`{value}`").cast("double").alias("y"))
 
     def mean_rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0
-
-    k = j.select(*groups, mean_rank("x").alias("x"), mean_rank("y").alias("y"))
-    n = F.count("*").cast("double")
-    cov = F.sum(F.col("x") * F.col("y")) - F.sum("x") * F.sum("y") / F.nullif(n, F.lit(0.0))
-    var = lambda c: F.sum(F.col(c) * F.col(c)) - F.sum(c) * F.sum(c) / F.nullif(n, F.lit(0.0))
+        return F.rank().over(Window.partitionBy(*groups).orderBy(c)) + (F.count("*").over(Window.partitionBy(*groups, c)) - 1) / 2.0
+
+    if groups:
+        k = j.select(*groups, mean_rank("x").alias("x"), mean_rank("y").alias("y"))
+    else:
+        # distinct pairs with their counts: ties weigh as often as they stand
+        pairs = j.groupBy("x", "y").agg(F.count("*").alias("w"))
+        for c in ("x", "y"):
+            pairs = pairs.join(mean_ranks(j, c).select(F.col("value").alias("__v"), F.col("rank").alias(f"r{c}")), F.col(c).eqNullSafe(F.col("__v"))).drop("__v")
+        k = pairs.select(F.col("rx").alias("x"), F.col("ry").alias("y"), "w")
+    w = F.lit(1.0) if groups else F.col("w").cast("double")
+    n = F.sum(w)
+    cov = F.sum(w * F.col("x") * F.col("y")) - F.sum(w * F.col("x")) * F.sum(w * F.col("y")) / F.nullif(n, F.lit(0.0))
+    var = lambda c: F.sum(w * F.col(c) * F.col(c)) - F.sum(w * F.col(c)) * F.sum(w * F.col(c)) / F.nullif(n, F.lit(0.0))
     rho = F.coalesce(cov / F.nullif(F.sqrt(F.greatest(var("x") * var("y"), F.lit(0.0))), F.lit(0.0)), F.lit(0.0))
-    return k.groupBy(*groups).agg(rho.alias("spearman"), F.count("*").alias("n"))
+    return k.groupBy(*groups).agg(rho.alias("spearman"), F.coalesce(n, F.lit(0.0)).cast("long").alias("n"))
 
 
 def support(real: DataFrame, synth: DataFrame, key: str) -> DataFrame:
@@ -106,7 +134,7 @@ def ks_wasserstein(real: DataFrame, synth: DataFrame, value: str) -> DataFrame:
     """
     n = F.count(F.when(F.col("side") == 0, 1)).alias("a"), F.count(F.when(F.col("side") == 1, 1)).alias("b")
     v = real.select(F.col(value).alias("x"), F.lit(0).alias("side")).unionAll(synth.select(F.col(value), F.lit(1))).where("x is not null").groupBy("x").agg(*n)
-    v = laid_out(v, "x")
+    v = cut(v, "x")
     parts = v.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"), F.min("x").alias("first"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     whole = Window.partitionBy(F.lit(1))
@@ -142,7 +170,7 @@ def correlation_divergence(real: DataFrame, synth: DataFrame, columns: list[str]
 
 def summary(df: DataFrame, column: str) -> DataFrame:
     x = df.agg(F.avg(column).alias("mean"), F.max(column).alias("max"), F.avg((F.col(column) == 0).cast("int")).alias("zero_rate"))
-    x = x.crossJoin(quantiles(df, column, [0.5, 0.9, 0.99]))  # one row each
+    x = x.crossJoin(quantiles_of(df, [column], [0.5, 0.9, 0.99]))  # one row each
     return x.select("mean", *(F.element_at("__q", i + 1).alias(n) for i, n in enumerate(("p50", "p90", "p99"))), "max", "zero_rate")
 
 
@@ -151,12 +179,8 @@ REPORT = (0, 1, 5, 25, 50, 75, 95, 99, 100)
 
 
 def percentile_report(df: DataFrame, columns: list[str]) -> DataFrame:
-    """name, and a column for each point of REPORT."""
-    out = None
-    for c in columns:
-        one = quantiles(df, c, [p / 100 for p in REPORT]).select(F.lit(c).alias("name"), *(F.element_at("__q", i + 1).alias(f"p{p}") for i, p in enumerate(REPORT)))
-        out = one if out is None else out.unionAll(one)
-    return out
+    """name, and a column for each point of REPORT; all columns from one reading."""
+    return quantiles_of(df, columns, [p / 100 for p in REPORT]).select("name", *(F.element_at("__q", i + 1).alias(f"p{p}") for i, p in enumerate(REPORT)))
 
 
 def coverage(devices: DataFrame, key: str, tables: dict[str, DataFrame]) -> DataFrame:
@@ -171,12 +195,10 @@ def coverage(devices: DataFrame, key: str, tables: dict[str, DataFrame]) -> Data
 
 def expected_counts(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """name, mean, median: distinct values of each column that a key has; what a Poisson draw for a new key expects."""
-    out = None
-    for c in columns:
-        n = df.groupBy(key).agg(F.count_distinct(c).alias("n"))
-        one = n.agg(F.avg("n").alias("mean")).crossJoin(quantiles(n, "n", [0.5])).select(F.lit(c).alias("name"), "mean", F.element_at("__q", 1).alias("median"))  # one row each
-        out = one if out is None else out.unionAll(one)
-    return out
+    per = df.groupBy(key).agg(*(F.count_distinct(c).alias(c) for c in columns)).select(*columns)
+    long = per.unpivot([], columns, "name", "n")
+    q = quantiles_by(long, ["name"], "n", [0.5]).select("name", F.element_at("__q", 1).alias("median"))
+    return long.groupBy("name").agg(F.avg("n").alias("mean")).join(q, "name").select("name", "mean", "median")
 
 
 # --- splits, normalised error, verdicts -----------------------------------------------------
@@ -238,6 +260,22 @@ def normalized(records: DataFrame) -> DataFrame:
 
 METRIC = "query string, query_type string, column string, metric_type string, value double, passed boolean, detail string"
 
+
+class Spec(NamedTuple):
+    """How two results of a query are compared.
+
+    keys: what rows are aligned by (groups, categories, bins, items); in row-level
+    results the categorical columns. values: the measures. groups: the columns within
+    which items are ranked. weight: the counted column of a histogram.
+    """
+
+    kind: str
+    keys: list[str]
+    values: list[str]
+    groups: list[str] = ()
+    weight: str | None = None
+
+
 #: query type -> the method that synthesises it best.
 ROUTES = {"aggregate": "pertable", "histogram": "pertable", "ranking_categorical": "pertable", "distribution": "mst", "ranking_numeric": "mst", "row_level": "mst"}
 
@@ -249,81 +287,156 @@ def judge(metrics: DataFrame) -> DataFrame:
     return g.withColumn("score", score).withColumn("passed", score >= 0.5)
 
 
-def evaluate(name: str, kind: str, real: DataFrame, synth: DataFrame, keys: list[str], values: list[str], groups: list[str] = ()) -> DataFrame:
-    """Metric rows (METRIC) of one query by its type: a few rows, computed here. A failure, in planning or in running, gives one row that says so."""
+def metric_rows(name: str, spec: Spec, real: DataFrame, synth: DataFrame) -> DataFrame:
+    """METRIC rows of one query, lazily."""
+    spec = Spec(*spec)
+    rows = _EVALUATORS[spec.kind](real, synth, spec)
+    return rows.select(F.lit(name).alias("query"), F.lit(spec.kind).alias("query_type"), "column", "metric_type", F.col("value").cast("double").alias("value"), F.coalesce(F.col("passed"), F.lit(False)).alias("passed"), "detail")
+
+
+def evaluate(name: str, kind: str, real: DataFrame, synth: DataFrame, keys: list[str], values: list[str], groups: list[str] = (), weight: str | None = None) -> DataFrame:
+    """METRIC rows of one query by its type: a few rows, computed here. A failure, in planning or in running, gives one row that says so."""
     spark = real.sparkSession
     try:
-        rows = _EVALUATORS[kind](real, synth, keys, values, list(groups))
-        got = rows.select(F.lit(name), F.lit(kind), "col", "metric_type", F.col("value").cast("double"), F.col("passed").cast("boolean"), F.lit("")).collect()  # a row for each measure
+        got = metric_rows(name, Spec(kind, list(keys), list(values), list(groups), weight), real, synth).collect()  # a row for each measure
     except Exception as e:  # the row carries it
         got = [(name, kind, "", "error", None, None, str(e)[:500])]
     return spark.createDataFrame([tuple(r) for r in got], METRIC)
 
 
-def evaluate_all(specs: dict[str, tuple[str, list[str], list[str], list[str]]], real: Callable[[str], DataFrame], methods: dict[str, Callable[[str], DataFrame]]) -> DataFrame:
-    """Metric rows with method, of every query and method. specs: query -> type, keys, values, groups; real and methods give results by query. What can't be read is an error row."""
-    out = None
+def evaluate_all(specs: dict[str, Spec | tuple], real: Callable[[str], DataFrame], methods: dict[str, Callable[[str], DataFrame]]) -> DataFrame:
+    """Metric rows with method, of every query and method. real and methods give results by query. What can't be read is an error row."""
+    spark, rows = None, []
     for method, synth in methods.items():
-        for name, (kind, keys, values, groups) in specs.items():
+        for name, spec in specs.items():
+            spec = Spec(*spec)
+            a = real(name)
+            spark = a.sparkSession
             try:
-                one = evaluate(name, kind, real(name), synth(name), keys, values, groups)
+                got = [tuple(r) for r in evaluate(name, spec.kind, a, synth(name), spec.keys, spec.values, spec.groups, spec.weight).collect()]
             except Exception as e:  # a result that isn't there
-                one = real(name).sparkSession.createDataFrame([(name, kind, "", "error", None, None, str(e)[:500])], METRIC)
-            one = one.withColumn("method", F.lit(method))
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _record(df: DataFrame, col: str, metric: str, value: str, good: Column) -> DataFrame:
-    return df.select(F.lit(col).alias("col"), F.lit(metric).alias("metric_type"), F.col(value).alias("value"), good.alias("passed"))
-
-
-def _keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(F.struct(*keys).alias("k"))
-
-
-def _aggregate(real, synth, keys, values, groups):
-    real, synth = first_rows(real, keys, values), first_rows(synth, keys, values)
-    out = _record(support(_keys(real, keys), _keys(synth, keys), "k"), ",".join(keys), "group_jaccard", "jaccard", F.col("jaccard") >= GROUP_JACCARD)
-    err = median_errors(real, synth, keys, values)
-    return out.unionByName(err.select("col", F.lit("relative_error").alias("metric_type"), "value", (F.col("value") <= RELATIVE_ERROR).alias("passed")))
-
-
-def _distribution(real, synth, keys, values, groups):
-    real, synth = last_rows(real, keys), last_rows(synth, keys)
-    out = None
-    for v in values:
-        one = _record(total_variation(real, synth, keys, v), v, "total_variation", "total_variation", F.col("total_variation") <= TOTAL_VARIATION)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _histogram(real, synth, keys, values, groups):
-    real, synth = last_rows(real, keys), last_rows(synth, keys)
-    err = median_errors(real, synth, keys, values).select("col", F.lit("relative_error").alias("metric_type"), "value", (F.col("value") <= RELATIVE_ERROR).alias("passed"))
-    return _distribution(real, synth, keys, values[:1], groups).unionByName(err)
-
-
-def _ranking_categorical(real, synth, keys, values, groups):
-    real, synth = last_rows(real, keys), last_rows(synth, keys)
-    return _record(category_accuracy(real, synth, keys, values[0]), values[0], "categorical_accuracy", "categorical_accuracy", F.col("categorical_accuracy") >= CATEGORY_ACCURACY)
-
-
-def _ranking_numeric(real, synth, keys, values, groups):
-    out = _record(support(_keys(real, keys), _keys(synth, keys), "k"), ",".join(keys), "item_jaccard", "jaccard", F.col("jaccard") >= ITEM_JACCARD)
-    rho = spearman(real, synth, keys, values[0], groups).where("n >= 2").agg(F.avg("spearman").alias("spearman")).where("spearman is not null")
-    return out.unionByName(_record(rho, values[0], "spearman", "spearman", F.col("spearman") >= SPEARMAN))
-
-
-def _row_level(real, synth, keys, values, groups):
-    out = None
-    for v in values:
-        x = row_level(real, synth, v)
-        one = _record(x, v, "mean_error", "mean_error", F.col("mean_error") <= ROW_MEAN)
-        out = _record(x, "rows", "row_count_error", "row_count_error", F.col("row_count_error") <= ROW_COUNT).unionByName(one) if out is None else out.unionByName(one)
-    for k in keys:
-        a, b = (x.groupBy(k).agg(F.count("*").alias("n")) for x in (real, synth))
-        out = out.unionByName(_record(total_variation(a, b, [k], "n"), k, "total_variation", "total_variation", F.col("total_variation") <= ROW_CATEGORY))
+                got = [(name, spec.kind, "", "error", None, None, str(e)[:500])]
+            rows += [(*r, method) for r in got]
+    return spark.createDataFrame(rows, METRIC + ", method string")
+
+
+def _both(real: DataFrame, synth: DataFrame, columns: list[str]) -> list[str]:
+    """Measures that both results have; a result without any of them can't be compared."""
+    both = [c for c in columns if c in real.columns and c in synth.columns]
+    if columns and not both:
+        raise ValueError(f"neither of {', '.join(columns)} is in both results")
+    return both
+
+
+def _row(df: DataFrame, column: str, metric: str, value: Column, good: Column, detail: Column) -> DataFrame:
+    return df.select(F.lit(column).alias("column"), F.lit(metric).alias("metric_type"), value.cast("double").alias("value"), good.alias("passed"), detail.alias("detail"))
+
+
+def _shared(real: DataFrame, synth: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: real, synth, both, either: numbers of distinct keys."""
+    sides = [x.select(*(F.col(f"`{k}`") for k in keys)).distinct().withColumn(n, F.lit(1)) for x, n in ((real, "__a"), (synth, "__b"))]
+    j = _align(*sides, keys, "full")
+    n = lambda c: F.count(F.when(c, 1))
+    a, b = F.col("__a").isNotNull(), F.col("__b").isNotNull()
+    return j.agg(n(a).alias("real"), n(b).alias("synth"), n(a & b).alias("both"), F.count("*").alias("either"))
+
+
+def _jaccard() -> Column:
+    return F.coalesce(S.ratio("both", "either"), F.lit(1.0))
+
+
+def _aggregate(real: DataFrame, synth: DataFrame, spec: Spec) -> DataFrame:
+    values = _both(real, synth, spec.values)
+    shared = _shared(real, synth, spec.keys)
+    told = F.format_string("%d/%d real groups matched, %d synth groups total", "both", "real", "synth")
+    out = _row(shared, "group_coverage", "jaccard", _jaccard(), _jaccard() >= GROUP_JACCARD, told)
+    errors = _errors(top_rows(real, spec.keys), top_rows(synth, spec.keys), spec.keys, values)
+    j = _named(real, values).crossJoin(F.broadcast(shared)).join(errors, "column", "left")  # one row beside the measures
+    value = F.coalesce("median", F.lit(float("inf")))
+    none = F.col("both") == 0
+    detail = F.when(none, "no overlapping groups").when(F.col("median").isNull(), "no valid comparisons").otherwise(F.format_string("median RE=%.4f, mean RE=%.4f, n_groups=%d", "median", "mean", "n"))
+    return out.unionByName(j.select("column", F.when(none, "relative_error").otherwise("median_relative_error").alias("metric_type"), value.alias("value"), (value <= RELATIVE_ERROR).alias("passed"), detail.alias("detail")))
+
+
+def _variations(real: DataFrame, synth: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """column, value, n: the total variation of each of the values over the categories of both sides. Nulls count as 0."""
+    x = [F.coalesce(F.nanvl(F.col(f"{side}.`{v}`").cast("double"), F.lit(None)), F.lit(0.0)).alias(f"{side}{i}") for i, v in enumerate(values) for side in "rs"]
+    j = _align(real, synth, [key], "full").select(*x)
+    sums = j.agg(*(F.sum(f"{side}{i}").alias(f"s{side}{i}") for i in range(len(values)) for side in "rs"))
+    share = lambda c: F.when(F.col(f"s{c}") > 0, F.col(c) / F.nullif(F.col(f"s{c}"), F.lit(0.0))).otherwise(F.col(c))
+    tv = [F.coalesce(0.5 * F.sum(F.abs(share(f"r{i}") - share(f"s{i}"))), F.lit(0.0)).alias(v) for i, v in enumerate(values)]
+    return j.crossJoin(F.broadcast(sums)).agg(*tv, F.count("*").alias("__n")).unpivot(["__n"], [f"`{v}`" for v in values], "column", "value").withColumnRenamed("__n", "n")  # one row of sums
+
+
+def _variation_rows(real: DataFrame, synth: DataFrame, key: str, values: list[str], most: float, what: str, named: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    v = _variations(real, synth, key, values)
+    return v.select(named(F.col("column")).alias("column"), F.lit("total_variation").alias("metric_type"), "value", (F.col("value") <= most).alias("passed"), F.format_string(f"TV=%.4f, %d {what}", "value", "n").alias("detail"))
+
+
+def _distribution(real: DataFrame, synth: DataFrame, spec: Spec) -> DataFrame:
+    key = spec.keys[0]
+    return _variation_rows(last_rows(real, [key]), last_rows(synth, [key]), key, _both(real, synth, spec.values), TOTAL_VARIATION, "categories")
+
+
+def _histogram(real: DataFrame, synth: DataFrame, spec: Spec) -> DataFrame:
+    key, counted = spec.keys[0], spec.weight or spec.values[0]
+    real, synth = last_rows(real, [key]), last_rows(synth, [key])
+    bins = [x.where(F.col(f"`{key}`").isNotNull()) for x in (real, synth)]
+    out = _variation_rows(*bins, key, [counted], TOTAL_VARIATION, "bins", lambda c: F.concat(c, F.lit("_distribution")))
+    values = [v for v in _both(real, synth, spec.values) if v != counted]
+    if not values:
+        return out
+    e = _errors(real, synth, [key], values)
+    return out.unionByName(e.select("column", F.lit("median_relative_error").alias("metric_type"), F.col("median").alias("value"), (F.col("median") <= RELATIVE_ERROR).alias("passed"), F.format_string("median RE=%.4f, n_bins=%d", "median", "n").alias("detail")))
+
+
+def _ranking_categorical(real: DataFrame, synth: DataFrame, spec: Spec) -> DataFrame:
+    v = spec.values[0]
+    real, synth = (last_rows(x, spec.keys).withColumn("__in", F.lit(1)) for x in (real, synth))
+    j = _align(real, synth, spec.keys, "left")
+    common = F.col("s.__in").isNotNull()
+    x = j.agg(F.count("*").alias("all"), F.count(F.when(common, 1)).alias("common"), F.count(F.when(common & (F.col(f"r.`{v}`") == F.col(f"s.`{v}`")), 1)).alias("right"))
+    value = F.coalesce(S.ratio("right", "all"), F.lit(0.0))
+    detail = F.when(F.col("common") == 0, "no overlapping groups").otherwise(F.format_string("%d/%d keys correct (%d overlapping)", "right", "all", "common"))
+    return _row(x, v, "categorical_accuracy", value, value >= CATEGORY_ACCURACY, detail)
+
+
+def _ranking_numeric(real: DataFrame, synth: DataFrame, spec: Spec) -> DataFrame:
+    groups = list(spec.groups)
+    items = [k for k in spec.keys if k not in groups]
+    keys, values = [*groups, *items], _both(real, synth, spec.values)
+    real, synth = top_rows(real, keys), top_rows(synth, keys)
+    if not groups:
+        shared = _shared(real, synth, items)
+        out = _row(shared, "item_overlap", "jaccard", _jaccard(), _jaccard() >= ITEM_JACCARD, F.format_string("%d/%d items matched", "both", "real"))
+        for v in values:
+            rho = spearman(real, synth, keys, v, []).where("n >= 2")
+            out = out.unionByName(_row(rho, f"{v}_rank_corr", "spearman_rho", F.col("spearman"), F.col("spearman") >= SPEARMAN, F.format_string("rho=%.4f, n_items=%d", "spearman", "n")))
+        return out
+    a, b = (x.select(*keys).withColumn(n, F.lit(1)) for x, n in ((real, "__a"), (synth, "__b")))
+    j = _align(a, b, keys, "full").select(*(F.coalesce(f"r.`{g}`", f"s.`{g}`").alias(g) for g in groups), "__a", "__b")
+    n = lambda c: F.count(F.when(c, 1))
+    per = j.groupBy(*groups).agg(F.count("__a").alias("real"), F.count("__b").alias("synth"), n(F.col("__a").isNotNull() & F.col("__b").isNotNull()).alias("both"), F.count("*").alias("either"))
+    x = per.where("real > 0 and synth > 0").agg(F.avg(_jaccard()).alias("mean"), F.count("*").alias("groups"))
+    none, mean = F.col("groups") == 0, F.coalesce("mean", F.lit(0.0))
+    detail = F.when(none, "no overlapping groups").otherwise(F.format_string("avg Jaccard=%.4f across %d groups", "mean", "groups"))
+    out = x.select(F.when(none, "group_coverage").otherwise("item_overlap").alias("column"), F.when(none, "jaccard").otherwise("mean_jaccard").alias("metric_type"), mean.alias("value"), (~none & (mean >= ITEM_JACCARD)).alias("passed"), detail.alias("detail"))
+    rho = spearman(real, synth, keys, values[0], groups).where("n >= 2").agg(F.avg("spearman").alias("rho"), F.count("*").alias("groups")).where("groups > 0")
+    return out.unionByName(_row(rho, f"{values[0]}_rank_corr", "mean_spearman_rho", F.col("rho"), F.col("rho") >= SPEARMAN, F.format_string("avg rho=%.4f across %d groups", "rho", "groups")))
+
+
+def _row_level(real: DataFrame, synth: DataFrame, spec: Spec) -> DataFrame:
+    values = _both(real, synth, spec.values)
+    one = [x.agg(F.count("*").alias(f"{s}n"), *(F.avg(F.col(f"`{v}`")).alias(f"{s}{i}") for i, v in enumerate(values))) for x, s in ((real, "r"), (synth, "s"))]
+    x = one[0].crossJoin(one[1])  # one row each
+    error = relative_error("rn", "sn")
+    out = _row(x, "row_count", "relative_error", error, error <= ROW_COUNT, F.format_string("real=%d, synth=%d", "rn", "sn"))
+    for i, v in enumerate(values):
+        error = relative_error(f"r{i}", f"s{i}")
+        out = out.unionByName(_row(x, f"{v}_mean", "relative_error", error, error <= ROW_MEAN, F.format_string("real_mean=%.2f, synth_mean=%.2f", f"r{i}", f"s{i}")))
+    for k in _both(real, synth, spec.keys):
+        a, b = (y.where(F.col(f"`{k}`").isNotNull()).groupBy(F.col(f"`{k}`").alias("k")).agg(F.count("*").alias("n")) for y in (real, synth))
+        out = out.unionByName(_variation_rows(a, b, "k", ["n"], ROW_CATEGORY, "values", lambda c, k=k: F.lit(f"{k}_distribution")))
     return out
 
 
@@ -335,6 +448,19 @@ def route(verdicts: DataFrame, routes: dict[str, str] = ROUTES) -> DataFrame:
     return verdicts.where(S.total(((F.col("query_type") == k) & (F.col("method") == m)).cast("int") for k, m in routes.items()) > 0)
 
 
+def normalized_rows(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Metric rows with method over the metric rows of a baseline: what both measured, finite, where the baseline leaves an error."""
+    on = ["query", "column", "metric_type"]
+    j = metrics.where("metric_type <> 'error'").join(baseline.where("metric_type <> 'error'").select(*on, F.col("value").alias("baseline")), on)
+    return normalized(j).select("method", "query", "query_type", "column", "metric_type", F.col("value").alias("method_value"), F.col("baseline").alias("baseline_value"), "normalized")
+
+
+def normalized_summary(rows: DataFrame, by: list[str] = ("method",)) -> DataFrame:
+    """by, mean, median, std, count of normalised errors."""
+    median = quantiles_by(rows, list(by), "normalized", [0.5]).select(*by, F.element_at("__q", 1).alias("median"))
+    return rows.groupBy(*by).agg(F.avg("normalized").alias("mean"), F.stddev("normalized").alias("std"), F.count("*").alias("count")).join(median, list(by)).select(*by, "mean", "median", "std", "count")
+
+
 def method_matrix(verdicts: DataFrame, methods: list[str]) -> DataFrame:
     return verdicts.groupBy("query").pivot("method", methods).agg(F.avg("score"))
 

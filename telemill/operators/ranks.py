@@ -1,29 +1,63 @@
-"""Order over a whole table without a task that holds it: values laid out in ranges, ranks, exact quantiles."""
+"""Order over a whole table without a task that holds it: values cut into ranges, ranks, exact quantiles.
+
+The edges of the ranges are some of the values themselves, those of the smallest
+hashes. So the range of a value follows from the values alone: nothing has to be
+settled before it is used twice, and building a DataFrame runs no job.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import settle
+#: Ranges of values, at least; more where the session shuffles in more parts.
+RANGES = 64
+#: Spark keeps the first rows of each group before it shuffles up to this number.
+MOST_RANGES = 999
+
+
+def _alike(left: str, right: str, columns: list[str]) -> Column:
+    on = F.lit(True)
+    for c in columns:
+        on &= F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return on
+
 
+def cut(distinct: DataFrame, value: str, groups: list[str] = (), descending: bool = False) -> DataFrame:
+    """distinct (a row for each value of a group) with part: a number that rises with the value; null values come last in the order that is meant."""
+    n = min(max(RANGES, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_RANGES)
+    some = distinct.where(F.col(value).isNotNull()).select(*groups, value)
+    order = [F.xxhash64(value), F.col(value)]
+    if groups:
+        some = some.withColumn("__r", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("__r") <= n)
+    else:
+        some = some.orderBy(*order).limit(n)
+    edges = some.groupBy(*groups).agg(F.sort_array(F.collect_list(value)).alias("__edges"))  # n values at most for each group
+    j = distinct.alias("d").join(edges.alias("e"), _alike("d", "e", list(groups)), "left") if groups else distinct.alias("d").crossJoin(F.broadcast(edges))
+    part = F.when(F.col(f"d.{value}").isNull(), -1 if descending else n + 1).otherwise(F.size(F.filter("__edges", lambda e: e < F.col(f"d.{value}"))))
+    return j.select("d.*", part.alias("part"))
 
-def laid_out(distinct: DataFrame, by: str, descending: bool = False) -> DataFrame:
-    """distinct: a row for each value of by -> the same with part, rising along the order; as many parts as the session shuffles in.
 
-    Settled in the shared folder: the parts must not change between their uses.
-    """
-    order = F.desc_nulls_last(by) if descending else F.asc_nulls_last(by)
-    return settle(distinct.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+def _offsets(counts: DataFrame, groups: list[str], descending: bool) -> DataFrame:
+    """groups, part, offset, inside, all: the rows before a part, in it, and of the group. A group has a row for each part here."""
+    sums = counts.groupBy(*groups, "part").agg(F.sum("n").alias("inside"))
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
+    upto = whole.orderBy(F.desc("part") if descending else F.asc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*groups, "part", F.coalesce(F.sum("inside").over(upto), F.lit(0)).alias("offset"), "inside", F.sum("inside").over(whole).alias("all"))
 
 
-def running_counts(df: DataFrame, by: str, descending: bool = False) -> DataFrame:
-    """value, n, before: each value of by, its rows, and the rows before it in the order. The one window without partitions has a row for each part."""
-    counts = laid_out(df.groupBy(F.col(by).alias("value")).agg(F.count("*").alias("n")), "value", descending)
-    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("part").orderBy(F.desc_nulls_last("value") if descending else F.asc_nulls_last("value")).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.join(F.broadcast(offsets), "part").select("value", "n", (F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"))
+def _placed(counts: DataFrame, offsets: DataFrame, groups: list[str], descending: bool) -> DataFrame:
+    order = F.desc_nulls_last("value") if descending else F.asc_nulls_last("value")
+    j = counts.alias("c").join(offsets.alias("o"), _alike("c", "o", [*groups, "part"])).select("c.*", "offset", "all")
+    before = F.sum("n").over(Window.partitionBy(*groups, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return j.select(*groups, "value", "n", (F.col("offset") + F.coalesce(before, F.lit(0))).alias("before"), "all")
+
+
+def running_counts(df: DataFrame, by: str, descending: bool = False, groups: list[str] = ()) -> DataFrame:
+    """groups, value, n, before, all: each value of by, its rows, the rows before it in the order, and those of its group."""
+    groups = list(groups)
+    counts = cut(df.groupBy(*groups, F.col(by).alias("value")).agg(F.count("*").alias("n")), "value", groups, descending)
+    return _placed(counts, _offsets(counts, groups, descending), groups, descending)
 
 
 def ranked_all(df: DataFrame, by: str) -> DataFrame:
@@ -32,15 +66,40 @@ def ranked_all(df: DataFrame, by: str) -> DataFrame:
     return df.join(ranks, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
 
 
-def quantiles(df: DataFrame, column: str, at: list[float]) -> DataFrame:
-    """One row, __q: exact quantiles, between two values in proportion; nulls don't count, without values all are null."""
-    c = running_counts(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("value")), "value")
-    c = c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("all"))))  # one row
+def mean_ranks(df: DataFrame, by: str, groups: list[str] = ()) -> DataFrame:
+    """groups, value, rank: each value's mean rank in its group, ascending, ties sharing it."""
+    return running_counts(df, by, groups=groups).select(*groups, "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def quantiles_by(df: DataFrame, groups: list[str], value: str, at: list[float]) -> DataFrame:
+    """groups, __q: exact quantiles of each group's values, between two values in proportion; nulls don't count. Of all groups (columns, say) in the same shuffles; only ranges that hold a wanted place are put in order."""
+    groups = list(groups)
+    values = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    counts = cut(values, "value", groups)
+    offsets = _offsets(counts, groups, False)
+    place = {q: F.lit(q) * (F.col("all") - 1) for q in at}
+    wanted = F.lit(False)
+    for p in place.values():
+        for k in (F.floor(p), F.ceil(p)):
+            wanted |= (F.col("offset") <= k) & (k < F.col("offset") + F.col("inside"))
+    c = _placed(counts, offsets.where(wanted), groups, False)
     out = []
-    for q in at:
-        place = F.lit(q) * (F.col("all") - 1)
-        low, high = F.floor(place), F.ceil(place)
-        here = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("n")), F.col("value")))
-        part = F.max(place - low)
+    for p in place.values():
+        low, high = F.floor(p), F.ceil(p)
+        here = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("value")))
+        part = F.max(p - low)
         out.append(F.when((part == 0) | (here(low) == here(high)), here(low)).otherwise(here(low) * (1 - part) + here(high) * part))
-    return c.agg(F.array(*out).alias("__q"))
+    return c.groupBy(*groups).agg(F.array(*out).alias("__q"))
+
+
+def quantiles(df: DataFrame, column: str, at: list[float]) -> DataFrame:
+    """One row, __q: exact quantiles of one column; without values all are null."""
+    return quantiles_by(df.select(F.col(column).alias("__v")), [], "__v", at)
+
+
+def quantiles_of(df: DataFrame, columns: list[str], at: list[float]) -> DataFrame:
+    """name, __q: exact quantiles of columns, all from one reading and the same shuffles; a column without values has nulls."""
+    long = df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in columns)).unpivot([], [f"`{c}`" for c in columns], "name", "value")
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "name string")
+    got = quantiles_by(long, ["name"], "value", at)
+    return names.join(got, "name", "left").select("name", F.coalesce("__q", F.array(*(F.lit(None).cast("double") for _ in at))).alias("__q"))

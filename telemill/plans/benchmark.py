@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from ..operators.evaluate import Spec
 from ..operators.ranks import ranked_all
 from ..operators.wide import RECEIVED, SENT
+from ..sources.reporting import WEB_CATEGORIES
 from .catalog import ranked, top_with_ties
 
 Tables = dict[str, DataFrame]
@@ -121,7 +123,8 @@ def on_off_mods_sleep_summary_by_cpu_marketcodename_gen(t):
     times = ("on", "off", "mods", "sleep")
     j = t["system_on_off_suspend_time_day"].join(t["system_cpu_metadata"], "guid").withColumn("total_time", S.total(F.col(f"{x}_time") for x in times))
     g = j.groupBy("marketcodename", "cpugen").agg(F.count_distinct("guid").alias("number_of_systems"), *(F.avg(f"{x}_time").alias(x) for x in (*times, "total"))).where("number_of_systems > 100")
-    return g.select("marketcodename", "cpugen", "number_of_systems", *(F.round(x, 2).alias(f"avg_{x}_time") for x in (*times, "total")), *(S.percent(F.col(x), F.col("total")).alias(f"{x}_percent") for x in times))
+    shown = [F.round(x, 2).alias(f"avg_{'modern_sleep' if x == 'mods' else x}_time") for x in (*times, "total")]
+    return g.select("marketcodename", "cpugen", "number_of_systems", *shown, *(S.percent(F.col(x), F.col("total")).alias(f"avg_pcnt_{x}_time") for x in times))
 
 
 def _blocked(t: Tables) -> DataFrame:
@@ -224,24 +227,37 @@ def top_20_most_power_consuming_processes_by_avg_power_consumed(t):
     return top_with_ties(g, "total_power_consumption", 20).withColumnRenamed("rank", "rnk")
 
 
-# How results are compared, query -> type, keys, values, and groups of ranks.
-SPECS: dict[str, tuple[str, list[str], list[str], list[str]]] = {
-    "avg_platform_power_c0_freq_temp_by_chassis": ("aggregate", ["chassistype"], ["number_of_systems", "avg_psys_rap_watts", "avg_pkg_c0", "avg_freq_mhz", "avg_temp_centigrade"], []),
-    "server_class_network_consumption": ("aggregate", ["processor_class", "os"], ["number_of_systems", "avg_bytes_received", "avg_bytes_sent"], []),
-    "most_popular_browser_in_each_country_by_system_count": ("ranking_categorical", ["country"], ["browser"], []),
-    "popular_browsers_by_count_usage_percentage": ("distribution", ["browser"], ["percent_systems", "percent_instances", "percent_duration"], []),
-    "ram_utilization_histogram": ("histogram", ["ram_gb"], ["count(DISTINCT guid)", "avg_percentage_used"], []),
-    "pkg_power_by_country": ("aggregate", ["countryname_normalized"], ["number_of_systems", "avg_pkg_power_consumed"], []),
-    "battery_power_on_geographic_summary": ("aggregate", ["country"], ["number_of_systems", "avg_number_of_dc_powerons", "avg_duration"], []),
-    "battery_on_duration_cpu_family_gen": ("aggregate", ["marketcodename", "cpugen"], ["number_of_systems", "avg_duration_mins_on_battery"], []),
-    "mods_blockers_by_osname_and_codename": ("aggregate", ["os_name", "os_codename"], ["num_entries", "number_of_systems", "entries_per_system"], []),
-    "display_devices_connection_type_resolution_durations_ac_dc": ("aggregate", ["connection_type", "resolution"], ["number_of_systems", "average_duration_on_ac_in_seconds", "average_duration_on_dc_in_seconds"], []),
-    "display_devices_vendors_percentage": ("distribution", ["vendor_name"], ["percentage_of_systems"], []),
-    "userwait_top_10_wait_processes": ("ranking_numeric", ["proc_name"], ["total_duration_sec_per_instance"], []),
-    "userwait_top_10_wait_processes_wait_type_ac_dc": ("ranking_numeric", ["event_name", "acdc", "proc_name"], ["total_duration_sec_per_instance"], ["event_name", "acdc"]),
-    "top_10_applications_by_app_type_ranked_by_focal_time": ("ranking_numeric", ["app_type", "exe_name"], ["average_focal_sec_per_day"], ["app_type"]),
-    "top_10_applications_by_app_type_ranked_by_system_count": ("ranking_numeric", ["app_type", "exe_name"], ["number_of_systems"], ["app_type"]),
-    "top_10_applications_by_app_type_ranked_by_total_detections": ("ranking_numeric", ["app_type", "exe_name"], ["total_number_of_detections"], ["app_type"]),
+#: Names under which results of earlier runs are filed, where they are not those here.
+PUBLISHED = {"server_class_network_consumption": "Xeon_network_consumption"}
+
+_SYSTEMS = "number_of_systems"
+# How results are compared, query -> type, keys, values, groups of ranks, counted column.
+SPECS: dict[str, Spec] = {
+    "avg_platform_power_c0_freq_temp_by_chassis": Spec("aggregate", ["chassistype"], [_SYSTEMS, "avg_psys_rap_watts", "avg_pkg_c0", "avg_freq_mhz", "avg_temp_centigrade"]),
+    "battery_on_duration_cpu_family_gen": Spec("aggregate", ["marketcodename", "cpugen"], [_SYSTEMS, "avg_duration_mins_on_battery"]),
+    "battery_power_on_geographic_summary": Spec("aggregate", ["country"], [_SYSTEMS, "avg_number_of_dc_powerons", "avg_duration"]),
+    "display_devices_connection_type_resolution_durations_ac_dc": Spec("aggregate", ["connection_type", "resolution"], [_SYSTEMS, "average_duration_on_ac_in_seconds", "average_duration_on_dc_in_seconds"]),
+    "display_devices_vendors_percentage": Spec("distribution", ["vendor_name"], ["percentage_of_systems"]),
+    "mods_blockers_by_osname_and_codename": Spec("aggregate", ["os_name", "os_codename"], ["num_entries", _SYSTEMS, "entries_per_system"]),
+    "most_popular_browser_in_each_country_by_system_count": Spec("ranking_categorical", ["country"], ["browser"]),
+    "on_off_mods_sleep_summary_by_cpu_marketcodename_gen": Spec(
+        "aggregate",
+        ["marketcodename", "cpugen"],
+        [_SYSTEMS, "avg_on_time", "avg_off_time", "avg_modern_sleep_time", "avg_sleep_time", "avg_total_time", "avg_pcnt_on_time", "avg_pcnt_off_time", "avg_pcnt_mods_time", "avg_pcnt_sleep_time"],
+    ),
+    "persona_web_cat_usage_analysis": Spec("aggregate", ["persona"], [_SYSTEMS, "days", *WEB_CATEGORIES]),
+    "pkg_power_by_country": Spec("aggregate", ["countryname_normalized"], [_SYSTEMS, "avg_pkg_power_consumed"]),
+    "popular_browsers_by_count_usage_percentage": Spec("distribution", ["browser"], ["percent_systems", "percent_instances", "percent_duration"]),
+    "ram_utilization_histogram": Spec("histogram", ["ram_gb"], ["avg_percentage_used"], [], "count(DISTINCT guid)"),
+    "server_exploration_1": Spec("row_level", ["chassistype", "vendor", "os"], ["nrs", "received_bytes", "sent_bytes"]),
+    "server_class_network_consumption": Spec("aggregate", ["processor_class", "os"], [_SYSTEMS, "avg_bytes_received", "avg_bytes_sent"]),
+    "top_10_applications_by_app_type_ranked_by_focal_time": Spec("ranking_numeric", ["app_type", "exe_name"], ["average_focal_sec_per_day"], ["app_type"]),
+    "top_10_applications_by_app_type_ranked_by_system_count": Spec("ranking_numeric", ["app_type", "exe_name"], [_SYSTEMS], ["app_type"]),
+    "top_10_applications_by_app_type_ranked_by_total_detections": Spec("ranking_numeric", ["app_type", "exe_name"], ["total_number_of_detections"], ["app_type"]),
+    "top_mods_blocker_types_durations_by_osname_and_codename": Spec("aggregate", ["os_name", "os_codename", "blocker_name", "blocker_type", "activity_level"], ["number_of_clients", "average_active_time_in_seconds", "number_of_occurences"]),
+    "userwait_top_10_wait_processes": Spec("ranking_numeric", ["proc_name"], ["total_duration_sec_per_instance"]),
+    "userwait_top_10_wait_processes_wait_type_ac_dc": Spec("ranking_numeric", ["acdc", "event_name", "proc_name"], ["total_duration_sec_per_instance"], ["acdc", "event_name"]),
+    "userwait_top_20_wait_processes_compare_ac_dc_unknown_durations": Spec("ranking_numeric", ["proc_name"], ["ac_duration", "dc_duration", "unknown_duration"]),
 }
 
 
@@ -258,15 +274,35 @@ class Half(dict):
         return self[name]
 
 
+def halves(tables: Tables, seed: str) -> tuple[Half, Half]:
+    """The tables of two random halves of the devices."""
+    from ..operators import evaluate as E
+
+    first, second = E.split_half(_sysinfo(tables).select("guid").distinct(), "guid", seed)
+    return Half(tables, first), Half(tables, second)
+
+
 def split_half(tables: Tables, seed: str, names: list[str] | None = None) -> DataFrame:
     """Metric rows of the queries on one random half of the devices against the other: what sampling alone gives, the baseline of normalised errors."""
     from ..operators import evaluate as E
 
-    first, second = (Half(tables, h) for h in E.split_half(_sysinfo(tables).select("guid").distinct(), "guid", seed))
+    first, second = halves(tables, seed)
     chosen = {n: SPECS[n] for n in names or SPECS}
     return E.evaluate_all(chosen, lambda n: QUERIES[n](first), {"half": lambda n: QUERIES[n](second)}).drop("method")
 
 
+def normalized_errors(tables: Tables, methods: dict[str, Tables], seed: str, names: list[str] | None = None) -> DataFrame:
+    """method, query, query_type, column, metric_type, method_value, baseline_value, normalized: each method's tables against the real ones, in parts of what two halves of the real ones differ by.
+
+    What either side cannot measure, what is not finite and what halves agree on is left out.
+    """
+    from ..operators import evaluate as E
+
+    chosen = {n: SPECS[n] for n in names or SPECS}
+    got = E.evaluate_all(chosen, lambda n: QUERIES[n](tables), {m: (lambda n, t=t: QUERIES[n](t)) for m, t in methods.items()})
+    return E.normalized_rows(got, split_half(tables, seed, names))
+
+
 def run_all(tables: Tables, out_dir: str, names: list[str] | None = None, infeasible: bool = False) -> dict[str, str]:
     """Writes results as CSV; query -> "ok" or what went wrong."""
     from ..sources.tables import write_results

@@ -39,13 +39,13 @@ def _made(name: str, sql: str):
 
 @_made("system_sysinfo_unique_normalized", f"""
 SELECT c_custkey AS guid, c_mktsegment AS chassistype, 'vendor ' || n_regionkey AS modelvendor_normalized, 'model ' || c_nationkey AS model_normalized, (c_custkey % 8 + 1) * 4 AS ram, 'os ' || c_custkey % 3 AS os,
- c_custkey % 16 + 1 AS "#ofcores", CASE WHEN c_acctbal > 5000 THEN '{benchmark.SERVER_MARK} E' ELSE 'Core' END AS cpuname, n_name AS countryname_normalized, c_mktsegment AS persona FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+ c_custkey % 16 + 1 AS "#ofcores", CASE WHEN c_acctbal > 5000 THEN '{benchmark.SERVER_MARK} E' ELSE 'Core' END AS cpuname, r_name AS countryname_normalized, c_mktsegment AS persona FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def _sysinfo(of):
-    c = of("customer").join(of("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = of("customer").join(of("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(of("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     told = lambda what, x: F.concat(F.lit(what + " "), x.cast("string"))
     return c.select(
         F.col("c_custkey").alias("guid"), F.col("c_mktsegment").alias("chassistype"), told("vendor", F.col("n_regionkey")).alias("modelvendor_normalized"), told("model", F.col("c_nationkey")).alias("model_normalized"), ((F.col("c_custkey") % 8 + 1) * 4).alias("ram"),
-        told("os", F.col("c_custkey") % 3).alias("os"), (F.col("c_custkey") % 16 + 1).alias("#ofcores"), F.when(F.col("c_acctbal") > 5000, benchmark.SERVER_MARK + " E").otherwise("Core").alias("cpuname"), F.col("n_name").alias("countryname_normalized"), F.col("c_mktsegment").alias("persona"),
+        told("os", F.col("c_custkey") % 3).alias("os"), (F.col("c_custkey") % 16 + 1).alias("#ofcores"), F.when(F.col("c_acctbal") > 5000, benchmark.SERVER_MARK + " E").otherwise("Core").alias("cpuname"), F.col("r_name").alias("countryname_normalized"), F.col("c_mktsegment").alias("persona"),
     )
 
 
@@ -159,17 +159,34 @@ class _Tables(dict):
         return self[name]
 
 
+#: query -> the tables it reads and its SQL over them.
+_SQL: dict[str, tuple[list[str], str]] = {}
+_DIGITS: dict[str, int] = {}
+
+
+def result(name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The query's result over reporting tables, doubles rounded as in its SQL."""
+    out = benchmark.QUERIES[name](tables)
+    return out.select(*(F.round(F.col(f"`{f.name}`"), _DIGITS[name]).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`") for f in out.schema))
+
+
+def result_sql(name: str, devices: str | None = None) -> str:
+    """The query's SQL with its reporting tables as common table expressions, those of some devices (a table of guid) only if named."""
+    tables, sql = _SQL[name]
+    kept = lambda t: f"SELECT * FROM ({_BUILD[t][1]}) WHERE guid IN (SELECT guid FROM {devices})" if devices else _BUILD[t][1]
+    return f"WITH {', '.join(f'{t} AS ({kept(t)})' for t in tables)}\n{sql}"
+
+
 def _register(name: str, tables: str, sql: str, digits: int = 4) -> None:
-    """sql: the query over the named reporting tables, which become common table expressions."""
+    """sql: the query over the named reporting tables."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = benchmark.QUERIES[name](_Tables(spark, sf_dir))
-        return out.select(*(F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`") for f in out.schema))
+        return result(name, _Tables(spark, sf_dir))
 
     run.__name__ = name
+    _SQL[name], _DIGITS[name] = (tables.split(), sql), digits
     QUERIES[name] = run
-    named = ", ".join(f"{t} AS ({_BUILD[t][1]})" for t in tables.split())
-    ORACLE_SQL[name] = f"WITH {named}\n{sql}"
+    ORACLE_SQL[name] = result_sql(name)
 
 
 def _avg(w: str, x: str) -> str:
@@ -207,7 +224,7 @@ _register("battery_on_duration_cpu_family_gen", "system_batt_dc_events system_cp
 SELECT marketcodename, cpugen, count(DISTINCT b.guid)::BIGINT AS number_of_systems, round(avg(duration_mins), 4) AS avg_duration_mins_on_battery FROM system_batt_dc_events b JOIN system_cpu_metadata m ON b.guid = m.guid GROUP BY 1, 2 HAVING count(DISTINCT b.guid) > 100""")
 _four = ("on", "off", "mods", "sleep")
 _register("on_off_mods_sleep_summary_by_cpu_marketcodename_gen", "system_on_off_suspend_time_day system_cpu_metadata", f""", g AS (SELECT marketcodename, cpugen, count(DISTINCT t.guid)::BIGINT AS number_of_systems, {", ".join(f"avg({x}_time) AS a_{x}" for x in _four)}, avg({" + ".join(f"{x}_time" for x in _four)}) AS a_total FROM system_on_off_suspend_time_day t JOIN system_cpu_metadata m ON t.guid = m.guid GROUP BY 1, 2)
-SELECT marketcodename, cpugen, number_of_systems, {", ".join(f"round(a_{x}, 2) AS avg_{x}_time" for x in (*_four, "total"))}, {", ".join(f"round(100.0 * a_{x} / a_total, 2) AS {x}_percent" for x in _four)} FROM g WHERE number_of_systems > 100""")
+SELECT marketcodename, cpugen, number_of_systems, {", ".join(f"round(a_{x}, 2) AS avg_{'modern_sleep' if x == 'mods' else x}_time" for x in (*_four, "total"))}, {", ".join(f"round(100.0 * a_{x} / a_total, 2) AS avg_pcnt_{x}_time" for x in _four)} FROM g WHERE number_of_systems > 100""")
 _BLOCKED = "system_mods_top_blocker_hist b JOIN system_os_codename_history h ON b.guid = h.guid AND b.dt BETWEEN h.min_ts AND h.max_ts"
 _register("mods_blockers_by_osname_and_codename", "system_mods_top_blocker_hist system_os_codename_history", f"""
 SELECT os_name, os_codename, count(*)::BIGINT AS num_entries, count(DISTINCT b.guid)::BIGINT AS number_of_systems, round(count(*) / count(DISTINCT b.guid), 4) AS entries_per_system FROM {_BLOCKED} GROUP BY 1, 2""")
