@@ -61,8 +61,7 @@ def _errors(real: DataFrame, synth: DataFrame, keys: list[str], columns: list[st
     """column, median, mean, n: relative errors over common keys where both sides have a number; columns without any are missing. One shuffle for all columns."""
     on = [relative_error(F.nanvl(F.col(f"r.`{c}`").cast("double"), F.lit(None)), F.nanvl(F.col(f"s.`{c}`").cast("double"), F.lit(None))).alias(c) for c in columns]
     long = _align(real, synth, keys, "inner").select(*on).unpivot([], [f"`{c}`" for c in columns], "column", "value").where("value is not null")
-    q = quantiles_by(long, ["column"], "value", [0.5]).select("column", F.element_at("__q", 1).alias("median"))
-    return q.join(long.groupBy("column").agg(F.avg("value").alias("mean"), F.count("*").alias("n")), "column")
+    return quantiles_by(long, ["column"], "value", [0.5], moments=True).select("column", F.element_at("__q", 1).alias("median"), "mean", "n")
 
 
 def median_errors(real: DataFrame, synth: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -72,7 +71,7 @@ def median_errors(real: DataFrame, synth: DataFrame, keys: list[str], columns: l
 
 
 def _named(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
 
 
 def total_variation(real: DataFrame, synth: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -134,7 +133,7 @@ def ks_wasserstein(real: DataFrame, synth: DataFrame, value: str) -> DataFrame:
     """
     n = F.count(F.when(F.col("side") == 0, 1)).alias("a"), F.count(F.when(F.col("side") == 1, 1)).alias("b")
     v = real.select(F.col(value).alias("x"), F.lit(0).alias("side")).unionAll(synth.select(F.col(value), F.lit(1))).where("x is not null").groupBy("x").agg(*n)
-    v = cut(v, "x")
+    v = cut(v, "x", counts=["a", "b"])
     parts = v.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"), F.min("x").alias("first"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     whole = Window.partitionBy(F.lit(1))
@@ -197,8 +196,7 @@ def expected_counts(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """name, mean, median: distinct values of each column that a key has; what a Poisson draw for a new key expects."""
     per = df.groupBy(key).agg(*(F.count_distinct(c).alias(c) for c in columns)).select(*columns)
     long = per.unpivot([], columns, "name", "n")
-    q = quantiles_by(long, ["name"], "n", [0.5]).select("name", F.element_at("__q", 1).alias("median"))
-    return long.groupBy("name").agg(F.avg("n").alias("mean")).join(q, "name").select("name", "mean", "median")
+    return quantiles_by(long, ["name"], "n", [0.5], moments=True).select("name", "mean", F.element_at("__q", 1).alias("median"))
 
 
 # --- splits, normalised error, verdicts -----------------------------------------------------
@@ -297,10 +295,14 @@ def metric_rows(name: str, spec: Spec, real: DataFrame, synth: DataFrame) -> Dat
 def evaluate(name: str, kind: str, real: DataFrame, synth: DataFrame, keys: list[str], values: list[str], groups: list[str] = (), weight: str | None = None) -> DataFrame:
     """METRIC rows of one query by its type: a few rows, computed here. A failure, in planning or in running, gives one row that says so."""
     spark = real.sparkSession
+    held = [x.persist() for x in (real, synth)]  # each measure reads both
     try:
         got = metric_rows(name, Spec(kind, list(keys), list(values), list(groups), weight), real, synth).collect()  # a row for each measure
     except Exception as e:  # the row carries it
         got = [(name, kind, "", "error", None, None, str(e)[:500])]
+    finally:
+        for x in held:
+            x.unpersist()
     return spark.createDataFrame([tuple(r) for r in got], METRIC)
 
 

@@ -115,7 +115,7 @@ def _register(query: str, name: str) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         first, second = benchmark.halves(over_tables._Tables(spark, sf_dir), _SEED)
-        return _shown(E.metric_rows(name, spec, _decided(spec, over_tables.result(name, first)), _decided(spec, over_tables.result(name, second))))
+        return _shown(E.metric_rows(name, spec, *(_decided(spec, over_tables.result(name, half)).persist() for half in (first, second))))
 
     run.__name__ = query
     QUERIES[query] = run
@@ -148,7 +148,7 @@ def normalized_error_of_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for seed in (_SEED, "7"):
         first, second = benchmark.halves(tables, seed)
-        rows.append(E.metric_rows(name, spec, over_tables.result(name, first), over_tables.result(name, second)))
+        rows.append(E.metric_rows(name, spec, *(over_tables.result(name, half).persist() for half in (first, second))))
     got = E.normalized_rows(rows[1].withColumn("method", F.lit("halves")), rows[0])
     return got.select("column", "metric_type", F.round("normalized", 3).alias("normalized"))
 
