@@ -87,3 +87,39 @@ def scale_counts(counts: list[float], target: int) -> list[int]:
 def query_count(rows_by_group: dict[str, int], numeric_by_group: dict[str, int]) -> dict[str, int]:
     """Noisy numbers that a plan releases by group: each row's count and its numeric means, at least one."""
     return {g: max(1, n * (1 + numeric_by_group.get(g, 0))) for g, n in rows_by_group.items()}
+
+
+def zcdp_epsilon(rho: float, delta: float) -> float:
+    """The epsilon that a zero-concentrated budget means at a delta."""
+    return rho + 2 * math.sqrt(rho * math.log(1 / delta)) if rho > 0 else 0.0
+
+
+class Ledger:
+    """A privacy budget: what is released is charged to it first, and what it cannot pay is refused.
+
+    Charges compose by adding up rho, so epsilon of the sum is less than the sum of epsilons.
+    """
+
+    def __init__(self, epsilon: float, delta: float):
+        self.epsilon, self.delta, self.rho = epsilon, delta, zcdp_rho(epsilon, delta)
+        self.charges: list[tuple[str, float]] = []
+
+    @property
+    def spent(self) -> float:
+        return math.fsum(rho for _, rho in self.charges)
+
+    @property
+    def left(self) -> float:
+        return max(0.0, self.rho - self.spent)
+
+    def charge(self, *what: tuple[str, float]) -> None:
+        """(name, rho) each; all of them, or none where they are more than what is left."""
+        if any(not rho > 0 for _, rho in what):
+            raise ValueError("a charge must be positive")
+        wanted = math.fsum(rho for _, rho in what)
+        if self.spent + wanted > self.rho * (1 + 1e-9):
+            raise ValueError(f"{', '.join(n for n, _ in what)}: rho {wanted:.6g} of {self.left:.6g} left")
+        self.charges += what
+
+    def epsilon_spent(self) -> float:
+        return zcdp_epsilon(self.spent, self.delta)

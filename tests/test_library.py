@@ -428,3 +428,117 @@ def test_halves_of_the_devices_are_close(spark):
     got = {(r["query"], r["metric_type"], r["column"]): r["value"] for r in benchmark.split_half(t, "7", names).collect()}
     assert {k[0] for k in got} == set(names) and not any(k[1] == "error" for k in got)
     assert got["popular_browsers_by_count_usage_percentage", "total_variation", "percent_instances"] < 0.3
+
+
+def test_ledger_refuses_to_overspend():
+    ledger = P.Ledger(3.5, 1e-5)
+    assert P.zcdp_epsilon(ledger.rho, 1e-5) == pytest.approx(3.5)
+    ledger.charge(("a", ledger.rho / 2))
+    assert 0 < ledger.epsilon_spent() < 3.5
+    with pytest.raises(ValueError):
+        ledger.charge(("b", ledger.rho / 4), ("c", ledger.rho / 2))
+    assert [n for n, _ in ledger.charges] == ["a"]
+    ledger.charge(("b", ledger.left))
+    assert ledger.left == 0 and ledger.epsilon_spent() == pytest.approx(3.5)
+    with pytest.raises(ValueError):
+        ledger.charge(("d", 1e-6))
+    with pytest.raises(ValueError):
+        ledger.charge(("d", -1.0))
+
+
+def test_whole_counts_add_up(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(g, f"s{k:03}", 7.0 if g == "c" else rng.choice([0.0, 0.4, 3.0, 3.0, 1000.0 * rng.random()])) for g, m in (("a", 40), ("b", 7), ("c", 1), ("few", 30)) for k in range(m)] + [("none", "s", 0.0)]
+    targets = {"a": 1000, "b": 11, "c": 5, "few": 12, "none": 9}
+    got = G.whole_counts(spark.createDataFrame(rows, "active_group string, stratum string, n_public double"), targets).collect()
+    sums = {g: sum(r["n"] for r in got if r["active_group"] == g) for g in targets}
+    assert sums == {"a": 1000, "b": 11, "c": 5, "few": 12, "none": 0}
+    assert all(r["n"] >= 1 for r in got) and len([r for r in got if r["active_group"] == "a"]) == 40
+    for g in "ab":
+        here = [r for r in got if r["active_group"] == g]
+        whole = sum(r["n_public"] for r in here)
+        assert all(abs(r["n"] - 1 - r["n_public"] / whole * (targets[g] - len(here))) < 1 for r in here)
+
+
+def test_plan_of_results(spark):
+    from telemill.plans import generation, over_tables
+
+    results = generation._results(spark, "/root/testdata/sf0.01")
+    ledger = P.Ledger(3.5, 1e-5)
+    p = G.build_plan(results, 5000, ledger, "x").cache()
+    G.build_hints(results, ledger, "x").collect()
+    assert ledger.left == pytest.approx(0, abs=1e-12) and ledger.epsilon_spent() == pytest.approx(3.5)
+    with pytest.raises(ValueError):
+        G.build_plan(results, 5000, ledger, "y")
+    per = {r["active_group"]: r["n"] for r in p.groupBy("active_group").agg(F.sum("n").alias("n")).collect()}
+    assert per == {"net": 1238, "mem": 1089, "browser_webcat": 990, "onoff": 891, "batt": 743, "hw": 49} and sum(per.values()) == 5000
+    whole = p.where("active_group = 'browser_webcat'").select(F.aggregate(F.map_values("numeric_targets"), F.lit(0.0), lambda a, v: a + v).alias("s")).collect()
+    assert whole and all(r["s"] == pytest.approx(100) for r in whole)
+    ram = p.where("active_group = 'mem'").select((F.element_at("numeric_targets", "mem_sysinfo_ram") / F.element_at("cat_constraints", "ram").cast("double")).alias("x")).collect()
+    assert {r["x"] for r in ram} == {1024.0}
+    # the noise is that of the accounting: rho of a group is queries / (2 sigma^2)
+    rows = G.accounting(results, ledger).collect()
+    assert all(r["queries"] / (2 * r["sigma"] ** 2) == pytest.approx(ledger.rho / 7) for r in rows) and len(rows) == 7
+    assert {r["sigma"] for r in rows if r["name"] == "hw"} == {r["sigma"] for r in p.where("active_group = 'hw'").collect()}
+    assert over_tables.result("pkg_power_by_country", over_tables._Tables(spark, "/root/testdata/sf0.01")).count() == 5
+
+
+def test_published_specs(spark):
+    assert len(benchmark.SPECS) == 21 and set(benchmark.SPECS) == set(benchmark.QUERIES) - set(benchmark.INFEASIBLE)
+    from telemill.plans import over_tables
+
+    t = over_tables._Tables(spark, "/root/testdata/sf0.001")
+    for name, spec in benchmark.SPECS.items():
+        have = benchmark.QUERIES[name](t).columns
+        assert {*spec.keys, *spec.values, *spec.groups} <= set(have) and (spec.weight is None or spec.weight in have), name
+
+
+def test_metric_rows_of_each_type(spark):
+    rows = lambda kind, a, b, **k: {(r["column"], r["metric_type"]): (round(r["value"], 6), r["passed"], r["detail"]) for r in E.evaluate("q", kind, a, b, **k).collect()}
+    a = spark.createDataFrame([("x", "p", 10.0, 1.0), ("x", "q", 20.0, None), ("y", "p", 0.0, 3.0), ("z", "p", 5.0, 4.0)], "g string, h string, v double, w double").coalesce(1)
+    b = spark.createDataFrame([("x", "p", 11.0, 2.0), ("x", "q", 30.0, 2.0), ("y", "p", 1.0, 3.0), ("w", "p", 5.0, 4.0)], "g string, h string, v double, w double").coalesce(1)
+    got = rows("aggregate", a, b, keys=["g", "h"], values=["v", "w", "gone"])
+    assert got["group_coverage", "jaccard"] == (0.6, True, "3/4 real groups matched, 4 synth groups total")
+    assert got["v", "median_relative_error"][:2] == (0.5, False) and got["w", "median_relative_error"] == (0.5, False, "median RE=0.5000, mean RE=0.5000, n_groups=2") and len(got) == 3
+    apart = rows("aggregate", a.where("g = 'z'"), b, keys=["g", "h"], values=["v"])
+    assert apart["v", "relative_error"] == (math.inf, False, "no overlapping groups")
+    bins = rows("histogram", a.where("h = 'p'"), b.where("h = 'p'"), keys=["g"], values=["w"], weight="v")
+    # of 15 and 17: 10/15 against 11/17, 0 against 1/17, 5/15 against 0, 0 against 5/17
+    assert bins["v_distribution", "total_variation"][0] == round(0.5 * (abs(10 / 15 - 11 / 17) + 1 / 17 + 5 / 15 + 5 / 17), 6) and bins["w", "median_relative_error"][0] == 0.5
+    ranked = rows("ranking_numeric", a, b, keys=["g", "h"], values=["v"], groups=["g"])
+    assert ranked["item_overlap", "mean_jaccard"] == (1.0, True, "avg Jaccard=1.0000 across 2 groups") and ranked["v_rank_corr", "mean_spearman_rho"] == (1.0, True, "avg rho=1.0000 across 1 groups")
+    assert rows("ranking_numeric", a.where("g = 'z'"), b, keys=["g", "h"], values=["v"], groups=["g"]) == {("group_coverage", "jaccard"): (0.0, False, "no overlapping groups")}
+    plain = rows("ranking_numeric", a.where("h = 'p'"), b.where("h = 'p'"), keys=["g"], values=["v", "w"])
+    assert plain["item_overlap", "jaccard"][0] == 0.5 and plain["v_rank_corr", "spearman_rho"] == (1.0, True, "rho=1.0000, n_items=2") and plain["w_rank_corr", "spearman_rho"][0] == 1.0
+    level = rows("row_level", a, b.limit(3), keys=["h"], values=["v"])
+    assert level["row_count", "relative_error"] == (0.25, True, "real=4, synth=3") and level["h_distribution", "total_variation"][0] == round(abs(3 / 4 - 2 / 3), 6) and ("v_mean", "relative_error") in level
+    assert rows("ranking_categorical", a.where("h = 'q'"), b.where("g = 'w'"), keys=["g"], values=["h"]) == {("h", "categorical_accuracy"): (0.0, False, "no overlapping groups")}
+
+
+def test_normalized_errors_from_end_to_end(spark):
+    from telemill.plans import over_tables
+
+    t = over_tables._Tables(spark, "/root/testdata/sf0.001")
+    names = ["pkg_power_by_country", "popular_browsers_by_count_usage_percentage"]
+    got = benchmark.normalized_errors(t, {"same": t, "half": benchmark.halves(t, "9")[0]}, "42", names).cache()
+    same = [r["normalized"] for r in got.where("method = 'same'").collect()]
+    assert same and all(x == 0 for x in same)
+    rows = {r["method"]: r for r in E.normalized_summary(got).collect()}
+    assert rows["same"]["mean"] == 0 and rows["half"]["mean"] > 0 and rows["half"]["count"] == rows["same"]["count"] == len(same)
+
+
+def test_quantiles_of_many_columns_in_one_plan(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    data = [(float(rng.integers(0, 30)), float(rng.normal()), None) for _ in range(700)]
+    df = spark.createDataFrame(data, "a double, b double, c double").repartition(3)
+    got = {r["name"]: r["__q"] for r in ranks.quantiles_of(df, ["a", "b", "c"], [0.0, 0.31, 1.0]).collect()}
+    assert got["a"] == pytest.approx(np.quantile([r[0] for r in data], [0, 0.31, 1]).tolist()) and got["b"] == pytest.approx(np.quantile([r[1] for r in data], [0, 0.31, 1]).tolist()) and got["c"] == [None] * 3
+    # ranks without groups go by parts: no window over all rows, and nothing is checkpointed while the plan is made
+    a, b = (spark.range(500).select("id", (F.rand(s) * 9).cast("int").alias("v")) for s in (1, 2))
+    plan = E.spearman(a, b, ["id"], "v", [])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line and "WindowGroupLimit" not in line]
+    assert windows and all("part" in line for line in windows) and "LogicalRDD" not in plan
