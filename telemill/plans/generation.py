@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import privacy
+from ..operators import marginal_graph as M
 from ..operators import plan as G
 from . import over_tables
 
@@ -101,3 +102,71 @@ def _accounting_sql() -> str:
 
 QUERIES |= {"generation_plan": generation_plan, "generation_hints": generation_hints, "plan_accounting": plan_accounting}
 ORACLE_SQL |= {"generation_plan": _plan_sql(), "generation_hints": _hints_sql(), "plan_accounting": _accounting_sql()}
+
+
+# --- a tree of two-way marginals ------------------------------------------------------------
+
+_OF = ("chassistype", "countryname_normalized", "os", "marketcodename", "cpugen")
+_GRAPH_EPSILON = 2.0
+
+
+def _devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = over_tables._Tables(spark, sf_dir)
+    return t["system_sysinfo_unique_normalized"].join(t["system_cpu_metadata"], "guid").select(*_OF)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[M.Domain]]:
+    df = _devices(spark, sf_dir)
+    domains = M.frequent(df, list(_OF), 4)
+    pairs = [(i, j) for i in range(len(domains)) for j in range(i + 1, len(domains))]
+    counts = M.noisy(M.pair_counts(df, domains, pairs), privacy.zcdp_sigma(len(pairs), privacy.zcdp_rho(_GRAPH_EPSILON, DELTA)), SEED)
+    return counts, domains
+
+
+def pair_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noisy two-way tables of all pairs of the devices' columns."""
+    counts, domains = _graph(spark, sf_dir)
+    names = F.array(*(F.lit(d.column) for d in domains))
+    label = lambda k, code: F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, (*d.values, M.OTHER))) for d in domains)), F.col(k) + 1), F.col(code) + 1)
+    return counts.select(F.element_at(names, F.col("i") + 1).alias("left"), F.element_at(names, F.col("j") + 1).alias("right"), label("i", "a").alias("left_value"), label("j", "b").alias("right_value"), F.round("n", 4).alias("n"))
+
+
+def marginal_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spanning tree of the greatest mutual information: step, parent, child, mi."""
+    counts, domains = _graph(spark, sf_dir)
+    weights = {(r["i"], r["j"]): r["mi"] for r in M.mutual_information(counts).collect()}
+    tree = M.spanning_tree(weights, len(domains))
+    return spark.createDataFrame([(k + 1, domains[p].column, domains[c].column, round(weights[min(p, c), max(p, c)], 5)) for k, (p, c) in enumerate(tree)], "step int, parent string, child string, mi double")
+
+
+def _tables_sql() -> str:
+    """n: i, j, a, b with noisy n; names: values of the codes."""
+    sigma = privacy.zcdp_sigma(len(_OF) * (len(_OF) - 1) // 2, privacy.zcdp_rho(_GRAPH_EPSILON, DELTA))
+    built = over_tables._BUILD
+    cols = list(_OF)
+    top = [f"SELECT {k} AS i, v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT {c}::VARCHAR AS v, count(*) AS m FROM d WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY m DESC, v LIMIT 4)" for k, c in enumerate(cols)]
+    code = lambda k, c: f"coalesce((SELECT code FROM top WHERE i = {k} AND v = d.{c}::VARCHAR), (SELECT count(*) FROM top WHERE i = {k}))"
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    return f"""d AS (SELECT {", ".join(cols)} FROM ({built["system_sysinfo_unique_normalized"][1]}) s JOIN ({built["system_cpu_metadata"][1]}) m ON s.guid = m.guid),
+top AS ({" UNION ALL ".join(top)}),
+names AS (SELECT i, v, code FROM top UNION ALL SELECT i, '{M.OTHER}', count(*) FROM top GROUP BY i),
+coded AS (SELECT {", ".join(f"{code(k, c)} AS c{k}" for k, c in enumerate(cols))} FROM d),
+counted AS ({" UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, c{i} AS a, c{j} AS b, count(*) AS n FROM coded GROUP BY ALL" for i, j in pairs)}),
+grid AS (SELECT p.i, p.j, x.code AS a, y.code AS b FROM (VALUES {", ".join(map(str, pairs))}) p(i, j) JOIN names x ON x.i = p.i JOIN names y ON y.i = p.j),
+n AS (SELECT i, j, a, b, greatest(coalesce(n, 0) + {sigma!r} * ({gaussian_sql("i || ':' || j || ':' || a || ':' || b", SEED)}), 0) AS n FROM grid LEFT JOIN counted USING (i, j, a, b))"""
+
+
+_NAMED = f"[{', '.join(repr(c) for c in _OF)}]"
+QUERIES |= {"pair_tables": pair_tables, "marginal_tree": marginal_tree}
+ORACLE_SQL["pair_tables"] = f"""
+WITH {_tables_sql()}
+SELECT {_NAMED}[n.i + 1] AS "left", {_NAMED}[n.j + 1] AS "right", x.v AS left_value, y.v AS right_value, round(n, 4) AS n FROM n JOIN names x ON x.i = n.i AND x.code = a JOIN names y ON y.i = n.j AND y.code = b"""
+ORACLE_SQL["marginal_tree"] = f"""
+WITH RECURSIVE {_tables_sql()},
+s AS (SELECT *, sum(n) OVER (PARTITION BY i, j) AS w, sum(n) OVER (PARTITION BY i, j, a) AS l, sum(n) OVER (PARTITION BY i, j, b) AS r FROM n),
+mi AS (SELECT i, j, sum(CASE WHEN n > 0 THEN n / w * ln(n * w / (l * r)) ELSE 0 END) AS mi FROM s GROUP BY 1, 2),
+sides AS (SELECT i AS p, j AS c, mi FROM mi UNION ALL SELECT j, i, mi FROM mi),
+tree AS (SELECT 0 AS step, [0] AS inside, NULL::INT AS p, NULL::INT AS c, NULL::DOUBLE AS mi
+ UNION ALL
+ SELECT step + 1, list_append(inside, c), p, c, mi FROM (SELECT t.step, t.inside, b.p, b.c, b.mi, row_number() OVER (ORDER BY round(b.mi, 9) DESC, b.p, b.c) AS place FROM tree t JOIN sides b ON list_contains(t.inside, b.p) AND NOT list_contains(t.inside, b.c)) WHERE place = 1)
+SELECT step, {_NAMED}[p + 1] AS parent, {_NAMED}[c + 1] AS child, round(mi, 5) AS mi FROM tree WHERE step > 0"""
