@@ -343,6 +343,23 @@ def assign_keys(rows: DataFrame, row_key: str, devices: DataFrame, key: str, see
     return left.join(right, "__r").drop("__r")
 
 
+def assign_by_rate(rows: DataFrame, row_key: str, devices: DataFrame, key: str, rate: float, seed: str) -> DataFrame:
+    """rows, all of them, with a device each: of a drawn part of the devices (the rate at which the real table joins, at least one).
+
+    While there are devices enough no device comes twice; with more rows, each draws one of the part,
+    with replacement. Both orders are counted by parts of a hash, so no task puts all rows in order.
+    """
+    from .evaluate import ranked_by_hash
+
+    part = ranked_by_hash(devices.select(key).distinct(), key, seed + "d").withColumn("__k", F.greatest(F.lit(1), F.floor(F.lit(rate) * F.col("__all"))))
+    part = part.where(F.col("__r") <= F.col("__k")).select(key, F.col("__r").alias("__place"), "__k")
+    size = part.agg(F.max("__k").alias("__k"))
+    placed = ranked_by_hash(rows, row_key, seed + "r").crossJoin(F.broadcast(size))  # one row
+    drawn = 1 + F.floor(S.uniform(row_key, seed + "u") * F.col("__k"))
+    placed = placed.withColumn("__place", F.when(F.col("__all") <= F.col("__k"), F.col("__r")).otherwise(drawn)).drop("__r", "__all", "__k")
+    return placed.join(part.drop("__k"), "__place").drop("__place")
+
+
 def sanitize(df: DataFrame, numeric: list[str], categories: list[str]) -> DataFrame:
     """Records as a generator may return them, put in shape: missing or unreadable numbers 0, none below 0, missing categories "Unknown"."""
     num = {c: F.greatest(S.number_or(F.col(c).cast("string"), 0.0), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in numeric}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..operators.evaluate import Spec
+from ..operators.ranges import join_periods
 from ..operators.ranks import ranked_all
 from ..operators.wide import RECEIVED, SENT
 from ..sources.reporting import WEB_CATEGORIES
@@ -128,9 +129,9 @@ def on_off_mods_sleep_summary_by_cpu_marketcodename_gen(t):
 
 
 def _blocked(t: Tables) -> DataFrame:
-    """Blocker events under the system's name at the time: the device leads the join, the period follows."""
-    b, h = t["system_mods_top_blocker_hist"], t["system_os_codename_history"]
-    return b.join(h, (b["guid"] == h["guid"]) & b["dt"].between(h["min_ts"], h["max_ts"])).drop(h["guid"])
+    """Blocker events under the system's name at the time: by device and stretch of time, so a device with very many events is many groups."""
+    b, h = t["system_mods_top_blocker_hist"], t["system_os_codename_history"].withColumnRenamed("guid", "__of")
+    return join_periods(b, "dt", ["guid"], h, "min_ts", "max_ts", ["__of"], width=30.0).drop("__of")
 
 
 @_query

@@ -18,6 +18,7 @@ from ..operators import evaluate as E
 from ..operators import postprocess as P
 from ..operators import synthesis as Y
 from ..operators import wide as W
+from ..operators.ranges import join_periods
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -193,10 +194,10 @@ j AS (SELECT e.*, p.o_orderpriority AS os_name, p.o_orderstatus AS os_codename F
 
 
 def _in_periods(spark, d) -> DataFrame:
-    """Events in the periods of their device (orders moved on by 9000 days, into the time of the events). The equality leads, so the range is checked on rows that meet in a hash or merge join."""
+    """Events in the periods of their device (orders moved on by 9000 days, into the time of the events)."""
     p = table(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("os_name"), F.col("o_orderstatus").alias("os_codename"), F.date_add(F.to_date("o_orderdate"), 9000).alias("lo"), F.date_add(F.to_date("o_orderdate"), 9400).alias("hi"))
     e = table(spark, d, "events").withColumn("dt", F.to_date("ts"))
-    return e.join(p, (F.col("user_id") == F.col("o_custkey")) & F.col("dt").between(F.col("lo"), F.col("hi")))
+    return join_periods(e, "dt", ["user_id"], p, "lo", "hi", ["o_custkey"], width=30.0)
 
 
 @query(f"""WITH {_PERIODS} SELECT os_name, os_codename, count(*)::BIGINT AS num_entries, count(DISTINCT user_id)::BIGINT AS number_of_systems, round(count(*) / count(DISTINCT user_id), 4) AS entries_per_system FROM j GROUP BY 1, 2""")
@@ -649,3 +650,13 @@ def canonicalize_spellings(spark, d):
     how = F.col("c_custkey") % 4
     spelt = F.when(how == 0, F.lower("n_name")).when(how == 1, F.col("n_name")).when(how == 2, F.concat(F.substring("n_name", 1, 2), F.substring("n_name", 4, 100))).otherwise("no such place")
     return P.canonicalize(j.select("c_custkey", spelt.alias("country")), "country", table(spark, d, "nation").select(F.col("n_name").alias("country")))
+
+
+@query(f"""
+WITH d AS (SELECT c_custkey, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR || ':42d'), c_custkey) AS r, greatest(1, floor(0.3 * count(*) OVER ())) AS k FROM customer),
+o AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || ':42r'), o_orderkey) AS r, count(*) OVER () AS n, ({_HASH.format("o_orderkey::VARCHAR", "42u")} + 0.5) / 4294967296.0 AS u FROM orders),
+p AS (SELECT o_orderkey, CASE WHEN n <= (SELECT max(k) FROM d) THEN r ELSE 1 + floor(u * (SELECT max(k) FROM d)) END AS place FROM o)
+SELECT o_orderkey, c_custkey FROM p JOIN d ON d.r = place AND d.r <= d.k""")
+def key_assignment(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey")
+    return Y.assign_by_rate(rows, "o_orderkey", table(spark, d, "customer"), "c_custkey", 0.3, "42").select("o_orderkey", "c_custkey")

@@ -542,3 +542,63 @@ def test_quantiles_of_many_columns_in_one_plan(spark):
     plan = E.spearman(a, b, ["id"], "v", [])._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line and "WindowGroupLimit" not in line]
     assert windows and all("part" in line for line in windows) and "LogicalRDD" not in plan
+
+
+# --- range joins, key assignment ---
+
+
+def test_periods_of_all_lengths(spark):
+    import datetime as dt
+    import random
+
+    from telemill.operators.ranges import join_periods
+
+    rng = random.Random(6)
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=k)
+    # device 0 has half of the events; periods from a day to eighty years, reversed and missing ones
+    events = [(0 if k % 2 else rng.randrange(1, 9), None if k % 97 == 0 else day(rng.randrange(-400, 400)), k) for k in range(1200)] + [(None, day(0), -1)]
+    periods = []
+    for k in range(150):
+        a = rng.randrange(-500, 400)
+        periods.append((rng.randrange(0, 9), day(a), day(a + rng.choice([0, 1, 29, 30, 600, 5000, 30000])), k))
+    periods += [(1, day(5), day(3), -1), (1, None, day(3), -2), (1, day(3), None, -3), (None, day(-9), day(9), -4)]
+    e = spark.createDataFrame(events, "g int, d date, e int")
+    p = spark.createDataFrame(periods, "h int, lo date, hi date, p int")
+    want = sorted((e_, p_) for g, d, e_ in events for h, lo, hi, p_ in periods if g is not None and g == h and None not in (d, lo, hi) and lo <= d <= hi)
+    j = join_periods(e, "d", ["g"], p, "lo", "hi", ["h"], 30.0)
+    assert sorted((r["e"], r["p"]) for r in j.collect()) == want and j.columns == ["g", "d", "e", "h", "lo", "hi", "p"]
+    for unit in ("timestamp", "double"):
+        c = lambda x: F.col(x).cast("timestamp") if unit == "timestamp" else F.unix_date(x).cast("double")
+        f, q = e.withColumn("d", c("d")), p.withColumn("lo", c("lo")).withColumn("hi", c("hi"))
+        assert sorted((r["e"], r["p"]) for r in join_periods(f, "d", ["g"], q, "lo", "hi", ["h"], 86400.0 * 7 if unit == "timestamp" else 7.5).collect()) == want
+    assert join_periods(e, "d", ["g"], p.limit(0), "lo", "hi", ["h"], 30.0).count() == 0
+
+
+def test_one_device_is_many_groups(spark):
+    from telemill.operators.ranges import join_periods
+
+    e = spark.range(4000).select(F.lit("hot").alias("g"), (F.col("id") % 1000).cast("double").alias("t"))
+    p = spark.range(40).select(F.lit("hot").alias("h"), (F.col("id") * 25).cast("double").alias("lo"), (F.col("id") * 25 + 24).cast("double").alias("hi"))
+    j = join_periods(e, "t", ["g"], p, "lo", "hi", ["h"], 10.0)
+    assert j.count() == 4000
+    plan = j._jdf.queryExecution().optimizedPlan().toString()
+    [join] = [line for line in plan.splitlines() if "Join Inner" in line and "__bucket" in line]
+    assert "__in" in join and "__on" in join
+
+
+def test_every_row_gets_a_device(spark):
+    devices = spark.range(200).select(F.format_string("g%d", "id").alias("guid"))
+    for n, rate in ((30, 0.25), (50, 0.25), (3000, 0.25), (40, 0.0001)):
+        rows = spark.range(n).withColumnRenamed("id", "row")
+        got = Y.assign_by_rate(rows, "row", devices, "guid", rate, "s").collect()
+        k = max(1, int(200 * rate))
+        per = {}
+        for r in got:
+            per[r["guid"]] = per.get(r["guid"], 0) + 1
+        assert len(got) == n == len({r["row"] for r in got}) and len(per) <= k
+        if n <= k:
+            assert max(per.values()) == 1
+        elif k > 1:
+            assert len(per) == k and max(per.values()) < 2 * n / k
+        again = Y.assign_by_rate(rows.repartition(7), "row", devices.repartition(3), "guid", rate, "s").collect()
+        assert sorted(map(str, got)) == sorted(map(str, again))
