@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from ..sources.tables import settle
+from .nearest import PIVOTS, SAMPLE, SLACK, Index, Metric, choose_pivots
 from .ranks import quantiles
 
 #: Rows of a small side that are sent whole to the tasks; more go by a shuffle.
@@ -100,48 +102,31 @@ def noisy_percentage(p: Column, n: Column, sigma: float, key: str, seed: str | N
 
 #: Weights of categories in the distance between devices; all others weigh 1.
 CATEGORY_WEIGHTS = {"chassistype": 6.0, "countryname_normalized": 4.0, "os": 2.0}
-#: Candidates compared at a time, and those that are sent whole to every task: beyond that, they are taken in portions.
-CANDIDATE_BLOCK, MOST_CANDIDATES = 2048, 200_000
+#: Candidates that are sent whole to every task: beyond that, they are taken in portions.
+MOST_CANDIDATES = 200_000
 #: Candidates of a portion and distinct vectors of a block that meet in one group of rows.
-PORTION, VECTOR_BLOCK = 20 * CANDIDATE_BLOCK, 50_000
-
-
-def _nearest_blocks(data: np.ndarray, cands: np.ndarray, weight: np.ndarray | None = None, cats: np.ndarray | None = None, cand_cats: np.ndarray | None = None, cat_weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest candidate by weighted L1 (first index among equals) and its distance, in blocks."""
-    best, at = np.full(len(data), np.inf), np.zeros(len(data), np.int64)
-    for begin in range(0, len(cands), CANDIDATE_BLOCK):
-        block = cands[begin : begin + CANDIDATE_BLOCK]
-        dist = np.zeros((len(data), len(block)))
-        for k in range(data.shape[1]):
-            dist += np.abs(data[:, k : k + 1] - block[None, :, k]) * (1.0 if weight is None else weight[k])
-        if cats is not None:
-            for k in range(cats.shape[1]):
-                dist += (cats[:, k : k + 1] != cand_cats[None, begin : begin + CANDIDATE_BLOCK, k]) * cat_weight[k]
-        dist = np.round(dist, 9)
-        k = dist.argmin(1)
-        d = dist[np.arange(len(data)), k]
-        better = d < best
-        best[better], at[better] = d[better], begin + k[better]
-    return at, best
+PORTION, VECTOR_BLOCK = 40_960, 50_000
 
 
-def _in_portions(vectors: DataFrame, candidates: DataFrame, n_candidates: int, weight: np.ndarray | None = None, cat_weight: np.ndarray | None = None) -> DataFrame:
-    """vectors: x, k; candidates: candidate_id, x, k (numbers and categories) -> candidate_id, votes.
+def _arrays(run: pa.RecordBatch, cats: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    x = np.array(run.column("x").to_pylist(), np.float64).reshape(run.num_rows, -1)
+    return x, np.array(run.column("k").to_pylist(), str).reshape(run.num_rows, -1) if cats else None
+
 
-    Candidates are dealt by hash into portions, distinct vectors into blocks; each
-    block meets each portion in a group of its own, candidates first, and of a
-    vector's nearest in all portions the nearest counts (the smaller id among equals).
+def _meet(candidates: DataFrame, queries: DataFrame, metric: Metric, cats: bool) -> DataFrame:
+    """candidates: portion, id, x, k; queries: portion, n, x, k -> x, k, n, dist, candidate_id: the nearest of the portion.
+
+    A portion's queries are cut into blocks, and its candidates go to each of them: a
+    task holds PORTION candidates or so, whatever the portion's share of the queries is.
     """
-    distinct = vectors.groupBy("x", "k").agg(F.count("*").alias("n"))
-    portions, blocks = max(1, -(-n_candidates // PORTION)), max(1, -(-vectors.count() // VECTOR_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-    left = candidates.select(F.lit(0).alias("side"), own(portions, "candidate_id").alias("portion"), every(blocks).alias("block"), F.col("candidate_id").cast("long").alias("id"), "x", "k")
-    right = distinct.select(F.lit(1).alias("side"), every(portions).alias("portion"), own(blocks, "x", "k").alias("block"), F.col("n").alias("id"), "x", "k")
+    blocks = queries.groupBy("portion").agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("blocks"))
+    blocks = F.broadcast(blocks)  # a row for each portion
+    left = candidates.join(blocks, "portion").select(F.lit(0).alias("side"), "portion", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), "id", "x", "k")
+    right = queries.join(blocks, "portion").select(F.lit(1).alias("side"), "portion", F.pmod(F.xxhash64("x", "k"), F.col("blocks")).cast("int").alias("block"), F.col("n").alias("id"), "x", "k")
     met = left.unionAll(right).repartition("portion", "block").sortWithinPartitions("portion", "block", "side")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, ready = None, [], None
+        cell, held, index = None, [], None
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -150,24 +135,85 @@ def _in_portions(vectors: DataFrame, candidates: DataFrame, n_candidates: int, w
                 for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), part.num_rows], strict=True):
                     run = part.slice(lo, hi - lo)
                     if cell != (here := (portion[lo], block[lo])):
-                        cell, held, ready = here, [], None
-                    ids, x = run.column("id").to_numpy(), np.array(run.column("x").to_pylist(), np.float64)
-                    k = None if cat_weight is None else np.array(run.column("k").to_pylist(), str)
+                        cell, held, index = here, [], None
+                    ids, (x, k) = run.column("id").to_numpy(), _arrays(run, cats)
                     if side[lo] == 0:
                         held.append((ids, x, k))
                         continue
-                    if ready is None and held:
-                        ids_, x_ = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                        order = np.argsort(ids_, kind="stable")
-                        ready = (ids_[order], x_[order], None if cat_weight is None else np.concatenate([h[2] for h in held])[order])
+                    if index is None and held:
+                        index = Index(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]) if cats else None, metric)
                         held = []
-                    if ready is not None:
-                        found, dist = _nearest_blocks(x, ready[1], weight, k, ready[2], cat_weight)
-                        yield pa.RecordBatch.from_arrays([run.column("x"), run.column("k"), pa.array(ids), pa.array(dist), pa.array(ready[0][found])], names=["x", "k", "n", "dist", "candidate_id"])
+                    if index is not None:
+                        found, dist = index.search(x, k)
+                        yield pa.RecordBatch.from_arrays([run.column("x"), run.column("k"), pa.array(ids), pa.array(dist), pa.array(found)], names=["x", "k", "n", "dist", "candidate_id"])
 
-    near = met.mapInArrow(nearest, "x array<double>, k array<string>, n long, dist double, candidate_id long")
+    return met.mapInArrow(nearest, _NEAR)
+
+
+_NEAR = "x array<double>, k array<string>, n long, dist double, candidate_id long"
+
+
+def _best(near: DataFrame) -> DataFrame:
     best = near.groupBy("x", "k").agg(F.max("n").alias("n"), F.min(F.struct("dist", "candidate_id")).alias("best"))
-    return best.groupBy(F.col("best.candidate_id").alias("candidate_id")).agg(F.sum("n").alias("votes"))
+    return best.select("x", "k", "n", "best.*")
+
+
+def _in_portions(vectors: DataFrame, candidates: DataFrame, n_candidates: int, weight: np.ndarray | None = None, cat_weight: np.ndarray | None = None) -> DataFrame:
+    """vectors: x, k; candidates: candidate_id, x, k (numbers and categories) -> candidate_id, votes.
+
+    Pivots of a bounded sample cut the candidates into groups, and groups of more than PORTION into portions.
+    A vector first meets the group of its nearest pivot; what it finds there bounds how far the nearest can be,
+    and only groups that reach within that are met as well. Of all that are met the nearest counts (the smaller
+    id among equals): the result of all pairs.
+    """
+    spark, cats, metric = vectors.sparkSession, cat_weight is not None, Metric(weight, cat_weight)
+    distinct = vectors.groupBy("x", "k").agg(F.count("*").alias("n"))
+    some = candidates.select("x", "k").orderBy(F.xxhash64("candidate_id"), "x", "k").limit(SAMPLE).collect()  # SAMPLE rows at most
+    x = np.array([r["x"] for r in some], np.float64).reshape(len(some), -1)
+    k = np.array([r["k"] for r in some], str).reshape(len(some), -1) if cats else None
+    pivots = choose_pivots(x, k, metric, min(PIVOTS, max(1, -(-n_candidates // PORTION) * 4)))
+    px, pk = x[pivots], k[pivots] if cats else None
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                run = batch.slice(at, 2000)
+                d = metric.distances(*_arrays(run, cats), px, pk)
+                yield pa.RecordBatch.from_arrays([pa.array(d.argmin(1)), pa.array(d.min(1)), *run.columns], names=["group", "far", *run.schema.names])
+
+    grouped = candidates.select(F.col("candidate_id").cast("long").alias("id"), "x", "k").mapInArrow(around, "group long, far double, id long, x array<double>, k array<string>")
+    facts = {r["group"]: (r["n"], r["far"]) for r in grouped.groupBy("group").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row for each pivot
+    parts = np.array([-(-facts[g][0] // PORTION) if g in facts else 0 for g in range(len(px))])
+    radius = np.array([facts[g][1] if g in facts else -np.inf for g in range(len(px))])
+    before = np.concatenate([[0], np.cumsum(parts)])
+    begins, counts = (F.array(*(F.lit(int(v)) for v in a)) for a in (before[:-1], np.maximum(parts, 1)))
+    at = F.col("group").cast("int") + 1
+    dealt = grouped.select((F.element_at(begins, at) + F.pmod(F.xxhash64("id"), F.element_at(counts, at))).cast("long").alias("portion"), "id", "x", "k")
+
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The portions to meet: of the nearest group while nothing is found yet, then of all others in reach."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                run = batch.slice(at, 500)
+                to = metric.distances(*_arrays(run, cats), px, pk)
+                to[:, parts == 0] = np.inf
+                first = to.argmin(1)
+                own = np.arange(len(px))[None, :] == first[:, None]
+                if "dist" in run.schema.names:
+                    meet = (to - radius[None, :] <= run.column("dist").to_numpy()[:, None] + SLACK) & ~own & (parts > 0)[None, :]
+                else:
+                    meet = own
+                row, group = np.nonzero(meet)
+                row = np.repeat(row, parts[group])
+                portion = np.concatenate([np.arange(before[g], before[g + 1]) for g in group]) if len(group) else np.zeros(0, np.int64)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(portion.astype(np.int64)), *(run.column(c).take(take) for c in ("n", "x", "k"))], names=["portion", "n", "x", "k"])
+
+    way = "portion long, n long, x array<double>, k array<string>"
+    near = settle(_best(_meet(dealt, distinct.mapInArrow(ways, way), metric, cats)))
+    far = _meet(dealt, near.mapInArrow(ways, way), metric, cats)
+    best = _best(near.select("x", "k", "n", "dist", "candidate_id").unionAll(far))
+    return best.groupBy("candidate_id").agg(F.sum("n").alias("votes"))
 
 
 def _every_candidate(candidates: DataFrame, votes: DataFrame) -> DataFrame:
@@ -182,15 +228,15 @@ def vector_votes(vectors: DataFrame, candidates: DataFrame, column: str) -> Data
         plain = lambda df, *c: df.select(*c, F.col(column).cast("array<double>").alias("x"), F.array().cast("array<string>").alias("k"))
         return _every_candidate(candidates, _in_portions(plain(vectors), plain(candidates, "candidate_id"), n))
     got = candidates.select("candidate_id", column).orderBy("candidate_id").collect()  # MOST_CANDIDATES at most
-    sent = spark.sparkContext.broadcast((np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64)))
+    if not got:
+        return _every_candidate(candidates, candidates.select(F.lit(0).cast("long").alias("candidate_id"), F.lit(0).cast("long").alias("votes")).limit(0))
+    sent = spark.sparkContext.broadcast(Index(np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.float64), None, Metric()))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, cands = sent.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
-                data = np.array(batch.column(0).slice(begin, 500).to_pylist(), np.float64)
-                at, _ = _nearest_blocks(data, cands)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at])], names=["candidate_id"])
+                found, _ = sent.value.search(np.array(batch.column(0).slice(begin, 500).to_pylist(), np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(found)], names=["candidate_id"])
 
     votes = vectors.select(column).mapInArrow(vote, "candidate_id long").groupBy("candidate_id").agg(F.count("*").alias("votes"))
     return _every_candidate(candidates, votes)
@@ -213,14 +259,16 @@ def device_votes(real: DataFrame, candidates: DataFrame, numeric: list[str], cat
         shaped = lambda df, *c: df.select(*c, x.alias("x"), k.alias("k"))
         return _every_candidate(candidates, _in_portions(shaped(real), shaped(candidates, "candidate_id"), n, weight, cat_weight / whole if categories else None))
     got = candidates.select("candidate_id", *numeric, *categories).orderBy("candidate_id").toPandas()  # MOST_CANDIDATES at most
+    if got.empty:
+        return _every_candidate(candidates, real.select(F.lit(0).cast("long").alias("candidate_id"), F.lit(0).cast("long").alias("votes")).limit(0))
     scale = lambda pdf: np.clip((pdf[numeric].fillna(0).to_numpy(np.float64) - lo) / span, 0, 1)
-    sent = spark.sparkContext.broadcast((got["candidate_id"].to_numpy(), scale(got), got[categories].fillna("Unknown").to_numpy(str)))
+    named = lambda pdf: pdf[categories].fillna("Unknown").to_numpy(str) if categories else None
+    sent = spark.sparkContext.broadcast(Index(got["candidate_id"].to_numpy(np.int64), scale(got), named(got), Metric(weight, cat_weight / whole if categories else None)))
 
     def vote(pdfs):
-        ids, cands, cats = sent.value
         for pdf in pdfs:
-            at, _ = _nearest_blocks(scale(pdf), cands, weight, pdf[categories].fillna("Unknown").to_numpy(str), cats, cat_weight / whole)
-            yield pdf[[]].assign(candidate_id=ids[at])
+            found, _ = sent.value.search(scale(pdf), named(pdf))
+            yield pdf[[]].assign(candidate_id=found)
 
     votes = real.select(*numeric, *categories).mapInPandas(vote, "candidate_id long").groupBy("candidate_id").agg(F.count("*").alias("votes"))
     return _every_candidate(candidates, votes)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from telemill.functions import privacy as P
 from telemill.functions import semantics as S
 from telemill.operators import evaluate as E
+from telemill.operators import nearest
 from telemill.operators import plan as G
 from telemill.operators import postprocess as R
 from telemill.operators import ranks
@@ -150,9 +151,31 @@ def test_blocks_change_nothing(monkeypatch):
 
     rng = np.random.default_rng(0)
     data, cands = rng.random((50, 4)), rng.random((70, 4))
-    whole = Y._nearest_blocks(data, cands)[0]
-    monkeypatch.setattr(Y, "CANDIDATE_BLOCK", 7)
-    assert (Y._nearest_blocks(data, cands)[0] == whole).all()
+    ids = np.arange(len(cands))
+    whole = np.round(np.abs(data[:, None, :] - cands[None, :, :]).sum(2), 9).argmin(1)
+    monkeypatch.setattr(nearest, "BLOCK", 7)
+    assert (nearest.Index(ids, cands, None, nearest.Metric()).search(data)[0] == whole).all()
+
+
+def test_nearest_without_all_pairs(spark):
+    """Clustered and spread data, ties and categories: the nearest of all pairs, with few of them compared where data is clustered."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    middle = rng.random((40, 6)) * 10
+    for clustered in (True, False):
+        make = (lambda n: middle[rng.integers(0, 40, n)] + rng.normal(0, 0.05, (n, 6))) if clustered else (lambda n: rng.integers(0, 3, (n, 6)).astype(float))
+        x, q = make(3000), make(700)
+        k, kq = rng.choice(["a", "b", "c"], (3000, 2)), rng.choice(["a", "b", "unseen"], (700, 2))
+        weight, cats = rng.random(6) + 0.1, np.array([0.3, 0.05])
+        ids = rng.permutation(3000) * 3
+        d = np.round((np.abs(q[:, None, :] - x[None, :, :]) * weight).sum(2) + ((kq[:, None, :] != k[None, :, :]) * cats).sum(2), 9)
+        want = [ids[row == row.min()].min() for row in d]
+        index = nearest.Index(ids, x, k, nearest.Metric(weight, cats))
+        got, dist = index.search(q, kq)
+        assert got.tolist() == want and np.abs(dist - d.min(1)).max() < 2e-9
+        if clustered:
+            assert index.compared < 0.2 * d.size, index.compared / d.size
 
 
 def test_votes_in_portions(spark, monkeypatch):
