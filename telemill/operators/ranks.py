@@ -81,9 +81,10 @@ def mean_ranks(df: DataFrame, by: str, groups: list[str] = ()) -> DataFrame:
 
 
 def quantiles_by(df: DataFrame, groups: list[str], value: str, at: list[float], moments: bool = False) -> DataFrame:
-    """groups, __q (with moments also n, mean): exact quantiles of each group's values, between two values in proportion; nulls don't count. Of all groups (columns, say) in the same shuffles; only ranges that hold a wanted place are put in order."""
+    """groups, __q (with moments also n, mean): exact quantiles of each group's values, between two values in proportion; nulls and NaN don't count. Of all groups (columns, say) in the same shuffles; only ranges that hold a wanted place are put in order."""
     groups = list(groups)
-    values = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    values = df.select(*groups, number.alias("value")).where("value is not null").groupBy(*groups, "value").agg(F.count("*").alias("n"))
     counts = cut(values, "value", groups)
     offsets = _offsets(counts, groups, False, moments)
     place = {q: F.lit(q) * (F.col("all") - 1) for q in at}

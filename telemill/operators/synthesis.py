@@ -416,16 +416,7 @@ def sanitize(df: DataFrame, numeric: list[str], categories: list[str]) -> DataFr
 
 
 def features(df: DataFrame, numeric: list[str], categories: list[str], top: int = 50, quantile: float = 0.999) -> DataFrame:
-    """A features vector: rare categories in one bucket and one-hot, numbers clipped, logged and standardised."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-
-    for c in categories:
-        df = top_or_other(df, c, top)
-    for c in numeric:
-        df = clipped_log(df, c, quantile)
-    stages = [StringIndexer(inputCols=categories, outputCols=[f"{c}__i" for c in categories], handleInvalid="keep", stringOrderType="frequencyDesc"), OneHotEncoder(inputCols=[f"{c}__i" for c in categories], outputCols=[f"{c}__v" for c in categories], dropLast=False)] if categories else []
-    stages += [VectorAssembler(inputCols=numeric, outputCol="__n", handleInvalid="keep"), StandardScaler(inputCol="__n", outputCol="__s", withMean=True)]
-    stages += [VectorAssembler(inputCols=[*(f"{c}__v" for c in categories), "__s"], outputCol="features", handleInvalid="keep")]
-    out = Pipeline(stages=stages).fit(df).transform(df)
-    return out.drop("__n", "__s", *(f"{c}__{k}" for c in categories for k in "iv"))
+    """df with a features vector, fitted on itself: rare categories in one place and one-hot, numbers clipped, logged and standardised."""
+    from .features import fit
+
+    return fit(df, numeric, categories, top, quantile).transform(df)

@@ -625,3 +625,36 @@ def test_every_row_gets_a_device(spark):
             assert len(per) == k and max(per.values()) < 2 * n / k
         again = Y.assign_by_rate(rows.repartition(7), "row", devices.repartition(3), "guid", rate, "s").collect()
         assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+# --- fitted features ---
+
+
+def test_features_and_back(spark, tmp_path):
+    import numpy as np
+
+    from telemill.operators import features
+
+    rng = np.random.default_rng(2)
+    rows = [(i, str(rng.choice(["a", "b", "c", "d"], p=[0.5, 0.3, 0.15, 0.05])), float(rng.integers(0, 3)), float(rng.gamma(1, 50))) for i in range(1500)] + [(9000, None, None, float("nan")), (9001, "a", -5.0, 1e9)]
+    df = spark.createDataFrame(rows, "id int, c string, x double, y double").withColumn("e", F.lit("only")).cache()
+    fitted = features.fit(df, ["x", "y"], ["c", "e"], top=3, quantile=0.99)
+    assert fitted.categories == {"c": ["a", "b", "c"], "e": ["only"]} and fitted.size == 4 + 2 + 2
+    fitted.save(spark, f"file://{tmp_path}/fitted")
+    assert features.Prepared.load(spark, f"file://{tmp_path}/fitted") == fitted
+    got = fitted.transform(df)
+    v = np.array([r["features"] for r in got.orderBy("id").collect()])
+    x = np.array([[0 if r[2] is None else r[2], 0 if r[3] != r[3] else r[3]] for r in sorted(rows)])
+    clip = [np.quantile([r[k] for r in rows if r[k] is not None and r[k] == r[k]], 0.99) for k in (2, 3)]
+    logs = np.log1p(np.clip(np.minimum(x, clip), 0, None))
+    assert np.allclose(v[:, 6:], (logs - logs.mean(0)) / logs.std(0)) and (v[:, :4].sum(1) == 1).all() and (v[:, 4:6] == [1, 0]).all()
+    back = {r["id"]: r for r in fitted.inverse(got.select("id", "features")).collect()}
+    for i, c, a, b in rows:
+        assert back[i]["c"] == (c if c in ("a", "b", "c") else "Other") and back[i]["e"] == "only"
+        assert back[i]["x"] == pytest.approx(min(max(a or 0.0, 0.0), clip[0])) and back[i]["y"] == pytest.approx(min(max(b if b == b else 0.0, 0.0), clip[1]))
+    # drawn by exp of the places: a place far above the others always, equal places evenly
+    z = spark.range(3000).select("id", F.array(*map(F.lit, [0.0, 0.0, -40.0, -40.0, 50.0, 0.0, 0.0, 0.0])).alias("features"))
+    drawn = {(r["c"], r["e"]): r["count"] for r in fitted.inverse(z, seed="s", key="id").groupBy("c", "e").count().collect()}
+    assert set(drawn) == {("a", "only"), ("b", "only")} and abs(drawn["a", "only"] - 1500) < 120
+    empty = features.fit(df.limit(0), ["x"], ["c"])
+    assert empty.transform(df).count() == 1502 and empty.size == 2
