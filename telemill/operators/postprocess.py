@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import settle
+from .ranks import quantiles_of
 
 # Parts of column names that tell how the column behaves, and columns with closed vocabularies.
 NONNEGATIVE = ("count", "number", "duration", "bytes", "power", "time", "num", "rank", "total", "nrs")
@@ -26,8 +27,9 @@ def repair_columns(df: DataFrame) -> DataFrame:
     """Numbers: missing ones become the median, hinted ones are clipped and rounded. Texts: trimmed, empty or missing ones "Unknown". guid: hexadecimal digits only."""
     numbers = [c for c, t in df.dtypes if t in _NUMBERS or t.startswith("decimal")]
     if numbers:
-        finite = lambda c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c).cast("double"))
-        medians = df.agg(*(F.coalesce(F.median(finite(c)), F.lit(0.0)).alias(f"__m{i}") for i, c in enumerate(numbers)))
+        finite = lambda c: F.when(F.abs(F.col(c).cast("double")) != float("inf"), F.col(c).cast("double"))
+        each = quantiles_of(df.select(*(finite(c).alias(c) for c in numbers)), numbers, [0.5])  # all columns in the same shuffles
+        medians = each.agg(*(F.coalesce(F.max(F.when(F.col("name") == c, F.element_at("__q", 1))), F.lit(0.0)).alias(f"__m{i}") for i, c in enumerate(numbers)))
         out = df.crossJoin(F.broadcast(medians))  # one row
     else:
         out = df
