@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import delimited
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether anything matches the path, in whatever store Spark reads it from."""
@@ -27,13 +29,14 @@ def read_parquet(spark: SparkSession, root: str, name: str) -> DataFrame:
     raise FileNotFoundError(f"no folder or file of table {name} in {root}")
 
 
-def read_text(spark: SparkSession, root: str, name: str, schema: T.StructType | str | None = None, sep: str = ",", sampling: float | None = None) -> DataFrame:
-    """Delimited text with a header, plain or compressed; rows that don't fit are dropped.
+def read_text(spark: SparkSession, root: str, name: str, schema: T.StructType | str | None = None, sep: str | None = None, sampling: float | None = None) -> DataFrame:
+    """Delimited text with a header, plain or compressed; the separator is seen from the first lines if not told; rows that don't fit are dropped (delimited.read keeps them apart).
 
     A gzip file can't be split: it is dealt out after reading, so that what follows is parallel.
     """
     for path in (f"{root}/{name}", f"{root}/{name}*.gz", f"{root}/*/{name}*.gz", f"{root}/{name}*.csv", f"{root}/{name}*.txt"):
         if exists(spark, path):
+            sep = sep or delimited.sniff(spark, path).sep
             reader = spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED")
             if schema is not None:
                 reader = reader.schema(schema)
