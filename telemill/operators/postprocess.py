@@ -5,10 +5,10 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import settle
+from ..sources.tables import exists, read_parquet, settle, tables_in
 from .ranks import quantiles_of
 
 # Parts of column names that tell how the column behaves, and columns with closed vocabularies.
@@ -105,3 +105,16 @@ def postprocess(df: DataFrame, real: DataFrame | None = None, cutoff: float = 0.
         if c in real.columns:
             out = canonicalize(out, c, real, cutoff)
     return out
+
+
+def postprocess_folder(spark: SparkSession, synth_dir: str, out_dir: str, real_dir: str | None = None, cutoff: float = 0.8) -> DataFrame:
+    """name, rows, checked (whether the real folder has the table), error: every table of a folder put right, by the real table's values where there is one, and written under the same name. One table's failure doesn't stop the others."""
+    done = []
+    for name in tables_in(spark, synth_dir):
+        try:
+            real = read_parquet(spark, real_dir, name) if real_dir and (exists(spark, f"{real_dir}/{name}") or exists(spark, f"{real_dir}/{name}.parquet")) else None
+            postprocess(read_parquet(spark, synth_dir, name), real, cutoff).write.mode("overwrite").parquet(f"{out_dir}/{name}.parquet")
+            done.append((name, spark.read.parquet(f"{out_dir}/{name}.parquet").count(), real is not None, None))
+        except Exception as e:  # told in the result
+            done.append((name, None, None, f"{type(e).__name__}: {str(e)[:300]}"))
+    return spark.createDataFrame(done, "name string, rows long, checked boolean, error string")

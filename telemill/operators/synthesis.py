@@ -357,22 +357,29 @@ def sample_marginal(dist: DataFrame, n: int, seed: str, numeric: bool) -> DataFr
     return j.select("id", (F.col("lo") + F.col("__j") * (F.col("hi") - F.col("lo"))).alias("value")) if numeric else j.select("id", *cols)
 
 
-def fan_out(entities: DataFrame, key: str, items: DataFrame, item: str, weight: str, mean: float, seed: str) -> DataFrame:
-    """Items of each entity without replacement: the number is Poisson (at least 1), the choice by weight (exponential race), shares add up to 1.
-
-    items is a closed vocabulary, refused beyond MOST_SENT; it goes to the entities as
-    one list, from which each takes its own, so no row is made of an item not chosen.
-    """
-    if items.limit(MOST_SENT + 1).count() > MOST_SENT:
-        raise ValueError(f"more than {MOST_SENT} items")
-    race = lambda x: -F.log(S.uniform(F.concat_ws(":", F.col(key).cast("string"), x["i"].cast("string")), seed)) / F.greatest(x["w"], F.lit(1e-12))
+def _how_many(key: str, mean: float, seed: str) -> Column:
+    """A Poisson number for each key, at least 1."""
     u = S.uniform(key, seed + "n")
     terms, p, cdf = [], float(np.exp(-mean)), 0.0
     for k in range(int(mean + 10 * np.sqrt(mean) + 10)):
         cdf += p
         terms.append(F.when(u > cdf, 1).otherwise(0))
         p *= mean / (k + 1)
-    n = F.greatest(S.total(terms), F.lit(1))
+    return F.greatest(S.total(terms), F.lit(1))
+
+
+def fan_out(entities: DataFrame, key: str, items: DataFrame, item: str, weight: str, mean: float, seed: str) -> DataFrame:
+    """Items of each entity without replacement: the number is Poisson (at least 1), the choice by weight (exponential race), shares add up to 1.
+
+    A vocabulary of up to MOST_SENT items goes to the entities as one list, from which each takes its own. In a
+    larger one an entity draws its own items only (operators/fan.py): the chances are the same.
+    """
+    if items.limit(MOST_SENT + 1).count() > MOST_SENT:
+        from .fan import draw_items
+
+        return draw_items(entities.select(key, _how_many(key, mean, seed).alias("__n")), key, items, item, weight, seed)
+    race = lambda x: -F.log(S.uniform(F.concat_ws(":", F.col(key).cast("string"), x["i"].cast("string")), seed)) / F.greatest(x["w"], F.lit(1e-12))
+    n = _how_many(key, mean, seed)
     vocabulary = items.agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col(weight).cast("double").alias("w"))).alias("__items"))
     j = entities.select(key).crossJoin(F.broadcast(vocabulary))  # one row
     first = F.slice(F.array_sort(F.transform("__items", lambda x: F.struct(race(x).alias("e"), x["i"].alias("i")))), F.lit(1), n)

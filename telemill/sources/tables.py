@@ -21,6 +21,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def tables_in(spark: SparkSession, root: str) -> list[str]:
+    """Names of the Parquet tables of a folder, files or folders of that suffix."""
+    return [n.removesuffix(".parquet") for n in _listed(spark, root) if n.endswith(".parquet")]
+
+
 def read_parquet(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The folder of a table, else its single file."""
     for path in (f"{root}/{name}", f"{root}/{name}.parquet"):
@@ -108,6 +119,24 @@ def write_results(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def route_results(spark: SparkSession, methods: dict[str, str], out_dir: str, kinds: dict[str, str], routes: dict[str, str]) -> DataFrame:
+    """query, type, method, error: one folder of results, each query's from the folder of the method that its type is sent to.
+
+    kinds: query -> type; routes: type -> method; methods: method -> folder of results, each a CSV file or a folder of them named after
+    its query. What isn't there is told in its row, and nothing is written for it.
+    """
+    done = []
+    for query, kind in sorted(kinds.items()):
+        method = routes.get(kind)
+        found = None if method not in methods else next((p for p in (f"{methods[method]}/{query}.csv", f"{methods[method]}/{query}") if exists(spark, p)), None)
+        if found is None:
+            done.append((query, kind, method, "no method for the type" if method is None else "no folder of the method" if method not in methods else "no result"))
+            continue
+        write_results(spark.read.option("header", True).csv(found), f"{out_dir}/{query}")  # as text: nothing is read into the values
+        done.append((query, kind, method, None))
+    return spark.createDataFrame(done, "query string, type string, method string, error string")
+
+
 def save_tables(tables: dict[str, DataFrame], database: str) -> None:
     """Tables that last beyond the session, in the warehouse."""
     for spark in {df.sparkSession for df in tables.values()}:
