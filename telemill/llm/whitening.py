@@ -30,6 +30,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -94,7 +95,8 @@ def _blocks(rows: DataFrame, end: int, means: list[float]) -> BlockMatrix:
     centred = F.zip_with("x", F.array(*map(F.lit, means)), lambda a, m: a - m)
     vectors = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector(centred).alias("vector")), "vector")
     height = max(ROWS_PER_BLOCK, -(-end // MOST_BLOCKS))
-    return IndexedRowMatrix(vectors, end, len(means)).toBlockMatrix(height, len(means))
+    # both factors of the scatter, the lists of blocks and the projection read the blocks: made once, and again where an executor is lost
+    return IndexedRowMatrix(vectors, end, len(means)).toBlockMatrix(height, len(means)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _scatter(blocks: BlockMatrix) -> np.ndarray:
@@ -172,6 +174,7 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
         projected = common.parted(ids.join(project(spark, blocks, found, components), "index"), "whitened")
     else:
         projected = ids.withColumn("w", F.array().cast("array<double>"))
+    blocks._java_matrix_wrapper._java_model.blocks().unpersist(False)
     error = identity_error(projected, k)
     share = F.array(*(F.lit(float(v / found.trace) if found.trace > 0 else 0.0) for v in found.values[:wanted]))
     each = projected.withColumn("component", F.explode(F.sequence(F.lit(1), F.lit(wanted))))
