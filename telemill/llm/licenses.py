@@ -104,6 +104,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
         enough = F.lit(False)
         for ws, _ in split:
             enough = enough | (F.size(F.array_intersect("hits", _lits(ws))) >= _need(len(ws)))
+    for phrase in {frozenset(p.split()) for p, _ in base} - {frozenset(ws) for ws, _ in split}:  # base phrases that no template stands for
+        enough = enough | (F.size(F.array_intersect("words", _lits(sorted(phrase)))) == len(phrase))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_words().alias("words"))
     hit = read.select("doc_id", "words", F.array_intersect("words", _lits(vocabulary)).alias("hits"))
     # one pass over the texts; the words stay only of documents that can hold a template

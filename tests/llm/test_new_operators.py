@@ -286,3 +286,14 @@ def test_deviations_beyond_a_long(spark):
     for (i, _), v in zip(rows, x, strict=True):
         want = sum((len(x) * c - s) ** 2 for c, s in zip(v, sums, strict=True))
         assert got[i] == (want if want < 1 << 63 else None)
+
+
+# --- licenses: base phrases beside templates of one's own ---
+
+
+def test_base_places_with_other_templates(spark):
+    from telemill.llm import licenses
+
+    df = spark.createDataFrame([(1, "Released under the MIT License."), (2, "foo bar baz qux quux"), (3, "nothing here")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df, templates=(("foo bar baz qux quux", "x"),)).collect()}
+    assert [(p["start"], p["label"]) for p in got[1]["places"]] == [(1, "mit")] and got[2]["places"] == [] and [m["label"] for m in got[2]["matches"]] == ["x"] and got[3]["places"] == []
