@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -295,3 +296,38 @@ def scores_by_type(spark, d):
 @_query(f"WITH {_scored_sql()}, t AS (SELECT unnest([0.01, 0.05, 0.1, 0.25]) AS threshold) SELECT threshold::DOUBLE AS threshold, round(avg((value <= threshold)::INT), 6) AS pass_rate FROM m, t WHERE metric_type = 'median_relative_error' GROUP BY 1")
 def threshold_sensitivity(spark, d):
     return _rounded(E.sensitivity(_scored(spark, d), "median_relative_error", [0.01, 0.05, 0.1, 0.25]), 6)
+
+
+# --- votes and fan-out ----------------------------------------------------------------------
+
+@_query("""
+WITH b AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) - min(c_acctbal) AS span FROM customer),
+x AS (SELECT c_custkey AS id, least(greatest((c_acctbal - lo) / span, 0), 1) AS v, c_mktsegment AS s, c_nationkey AS n FROM customer, b),
+d AS (SELECT r.id AS r, c.id AS c, round(abs(r.v - c.v) / 11 + (r.s <> c.s)::INT * 6.0 / 11 + (r.n <> c.n)::INT * 4.0 / 11, 9) AS d FROM x r, x c WHERE c.id % 20 = 0),
+w AS (SELECT c, count(*) AS n FROM (SELECT c, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM d) WHERE place = 1 GROUP BY 1)
+SELECT id AS candidate_id, coalesce(w.n, 0)::BIGINT AS votes FROM x LEFT JOIN w ON c = id WHERE id % 20 = 0""")
+def device_votes(spark, d):
+    x = table(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"), "c_acctbal", F.col("c_mktsegment").alias("chassistype"), F.col("c_nationkey").cast("string").alias("countryname_normalized"))
+    votes = Y.device_votes(x.drop("candidate_id"), x.where("candidate_id % 20 = 0"), ["c_acctbal"], ["chassistype", "countryname_normalized"])
+    return votes.select("candidate_id", F.col("votes").cast("long").alias("votes"))
+
+
+def _poisson_sql(key: str, mean: float, seed: str) -> str:
+    """As synthesis._how_many: the number of cumulative chances that the key's uniform exceeds, at least 1."""
+    p, cdf, terms = math.exp(-mean), 0.0, []
+    for k in range(int(mean + 10 * math.sqrt(mean) + 10)):
+        cdf += p
+        terms.append(f"(u > {cdf!r})::INT")
+        p *= mean / (k + 1)
+    return f"(SELECT greatest({' + '.join(terms)}, 1) FROM (SELECT {_uniform(key, seed + 'n')} AS u))"
+
+
+@_query(f"""
+WITH i AS (SELECT p_brand AS item, count(*)::DOUBLE AS w FROM part GROUP BY 1),
+e AS (SELECT c_custkey, {_poisson_sql("c_custkey::VARCHAR", 4.0, "f")} AS n FROM customer),
+r AS (SELECT c_custkey, n, item, row_number() OVER (PARTITION BY c_custkey ORDER BY -ln({_uniform("c_custkey::VARCHAR || ':' || item", "f")}) / w, item) AS place FROM e, i),
+g AS (SELECT c_custkey, item, -ln({_uniform("c_custkey::VARCHAR || ':' || item", "fs")}) AS g FROM r WHERE place <= n)
+SELECT c_custkey, item, round(g / sum(g) OVER (PARTITION BY c_custkey), 7) AS share FROM g""")
+def weighted_fan_out(spark, d):
+    items = table(spark, d, "part").groupBy(F.col("p_brand").alias("item")).agg(F.count("*").cast("double").alias("w"))
+    return _rounded(Y.fan_out(table(spark, d, "customer"), "c_custkey", items, "item", "w", 4.0, "f"), 7)
