@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
@@ -308,15 +308,13 @@ def evaluate(name: str, kind: str, real: DataFrame, synth: DataFrame, keys: list
 
 def evaluate_all(specs: dict[str, Spec | tuple], real: Callable[[str], DataFrame], methods: dict[str, Callable[[str], DataFrame]]) -> DataFrame:
     """Metric rows with method, of every query and method. real and methods give results by query. What can't be read is an error row."""
-    spark, rows = None, []
+    spark, rows = SparkSession.active(), []
     for method, synth in methods.items():
         for name, spec in specs.items():
             spec = Spec(*spec)
-            a = real(name)
-            spark = a.sparkSession
             try:
-                got = [tuple(r) for r in evaluate(name, spec.kind, a, synth(name), spec.keys, spec.values, spec.groups, spec.weight).collect()]
-            except Exception as e:  # a result that isn't there
+                got = [tuple(r) for r in evaluate(name, spec.kind, real(name), synth(name), spec.keys, spec.values, spec.groups, spec.weight).collect()]
+            except Exception as e:  # a result that isn't there, on either side
                 got = [(name, spec.kind, "", "error", None, None, str(e)[:500])]
             rows += [(*r, method) for r in got]
     return spark.createDataFrame(rows, METRIC + ", method string")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
@@ -304,6 +304,27 @@ def normalized_errors(tables: Tables, methods: dict[str, Tables], seed: str, nam
     return E.normalized_rows(got, split_half(tables, seed, names))
 
 
+def results_in(spark: SparkSession, root: str) -> Callable[[str], DataFrame]:
+    """Results by query from a folder of CSV files or folders, under the names here or the published ones."""
+    from ..sources.tables import exists, read_results
+
+    def of(name: str) -> DataFrame:
+        for n in (name, PUBLISHED.get(name, name)):
+            for path in (f"{root}/{n}.csv", f"{root}/{n}"):
+                if exists(spark, path):
+                    return read_results(spark, path)
+        raise FileNotFoundError(f"no result of {name} in {root}")
+
+    return of
+
+
+def evaluate_folders(spark: SparkSession, real_dir: str, methods: dict[str, str], names: list[str] | None = None) -> DataFrame:
+    """Metric rows with method of all published queries: a folder of results for each method against the real one's. What isn't there is an error row."""
+    from ..operators import evaluate as E
+
+    return E.evaluate_all({n: SPECS[n] for n in names or SPECS}, results_in(spark, real_dir), {m: results_in(spark, d) for m, d in methods.items()})
+
+
 def run_all(tables: Tables, out_dir: str, names: list[str] | None = None, infeasible: bool = False) -> dict[str, str]:
     """Writes results as CSV; query -> "ok" or what went wrong."""
     from ..sources.tables import write_results

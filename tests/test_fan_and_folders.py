@@ -85,3 +85,13 @@ def test_routed_results_are_a_folder(spark, tmp_path):
     rows = tables.read_results(spark, f"{tmp_path}/out/pkg_power_by_country").collect()
     assert sorted(str(r["v"]) for r in rows) == ["2", "per"] and {r["k"] for r in rows} == {"a, b", None}
     assert sorted(tables._listed(spark, f"file://{tmp_path}/out")) == ["display_devices_vendors_percentage", "pkg_power_by_country"]
+
+
+def test_folders_of_results_are_compared(spark, tmp_path):
+    real = spark.createDataFrame([("Server Class", "A", 10, 5.0, 7.0), ("Server Class", None, 4, 2.0, 1.0)], "processor_class string, os string, number_of_systems long, avg_bytes_received double, avg_bytes_sent double")
+    tables.write_results(real, f"{tmp_path}/real/Xeon_network_consumption")
+    tables.write_results(real.withColumn("number_of_systems", F.lit(20)), f"{tmp_path}/mst/server_class_network_consumption")
+    names = ["server_class_network_consumption", "pkg_power_by_country"]
+    got = {(r["query"], r["column"]): r for r in benchmark.evaluate_folders(spark, f"file://{tmp_path}/real", {"mst": f"file://{tmp_path}/mst"}, names).collect()}
+    assert got[names[0], "group_coverage"]["passed"] and got[names[0], "avg_bytes_sent"]["value"] == 0 and got[names[0], "number_of_systems"]["value"] == 2.5
+    assert got[names[1], ""]["metric_type"] == "error" and "no result" in got[names[1], ""]["detail"] and len(got) == 5
