@@ -88,9 +88,13 @@ def _closest(sent, cutoff: float):
 
     @F.pandas_udf("struct<close:double,k:string,to:string>")
     def closest(values: pd.Series) -> pd.DataFrame:
-        keys = list(sent.value)
+        by_length: dict[int, list[str]] = {}
+        for k in sent.value:
+            by_length.setdefault(len(k), []).append(k)
 
         def one(v: str):
+            # two texts are at most as alike as their lengths: 2 min / (a + b)
+            keys = [k for n, of in by_length.items() if 2 * min(n, len(v.lower())) >= cutoff * (n + len(v.lower())) - 1e-9 for k in of]
             near = difflib.get_close_matches(v.lower(), keys, n=1, cutoff=cutoff)
             return (difflib.SequenceMatcher(None, near[0], v.lower()).ratio(), near[0], sent.value[near[0]]) if near else (None, None, None)
 
