@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A period lies in at most so many buckets and one more; longer ones take wider buckets, each level so many times as wide.
-FAN, LEVELS = 16, 8
+FAN, LEVELS = 4, 12
 
 
 def _number(df: DataFrame, column: str) -> Column:
