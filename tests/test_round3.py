@@ -20,3 +20,10 @@ def test_browsers_of_every_nation(spark):
     got = entry.queries()[name](spark, DATA).select("country", "browser").collect()
     assert len({r["country"] for r in got}) == 25
     assert sorted(map(tuple, got)) == _sql(name, "customer", "nation", "events")
+
+
+def test_power_of_every_nation(spark):
+    got = entry.queries()["pkg_power_by_country"](spark, DATA).select("countryname_normalized", "number_of_systems", "avg_pkg_power_consumed").collect()
+    want = _sql("pkg_power_by_country", "customer", "nation", "orders")
+    assert len(got) == len(want) == 25
+    assert sorted((r[0], r[1]) for r in got) == [w[:2] for w in want] and [r[2] for r in sorted(got)] == pytest.approx([w[2] for w in want])
