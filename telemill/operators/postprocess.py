@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -76,7 +77,8 @@ def canonicalize(df: DataFrame, column: str, reference: DataFrame, cutoff: float
     rest, near = exact.where("v is null").select("__v"), None
     for p in range(portions):
         sent = spark.sparkContext.broadcast({r["k"]: r["v"] for r in sorted(known.where(F.pmod(F.xxhash64("k"), F.lit(portions)) == p).collect())})  # about most values
-        one = rest.select("__v", _closest(sent, cutoff)("__v").alias("__c")).where("__c.k is not null")
+        # in whole batches: a filter on the result of a function of columns would move below distinct, onto every row
+        one = rest.mapInPandas(_closest(sent, cutoff), "__v string, __c struct<close:double,k:string,to:string>")
         near = one if near is None else near.unionAll(one)
     best = near.groupBy("__v").agg(F.max("__c").alias("__c")).select("__v", F.col("__c.to").alias("__to"))
     mapped = exact.where("v is not null").select("__v", F.col("v").alias("__to")).unionAll(best)
@@ -84,10 +86,9 @@ def canonicalize(df: DataFrame, column: str, reference: DataFrame, cutoff: float
 
 
 def _closest(sent, cutoff: float):
-    """A value's closest key: how close, which, and the spelling; null where none reaches the cutoff."""
+    """Values that a key is close enough to, with how close, which, and the spelling."""
 
-    @F.pandas_udf("struct<close:double,k:string,to:string>")
-    def closest(values: pd.Series) -> pd.DataFrame:
+    def closest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_length: dict[int, list[str]] = {}
         for k in sent.value:
             by_length.setdefault(len(k), []).append(k)
@@ -96,9 +97,11 @@ def _closest(sent, cutoff: float):
             # two texts are at most as alike as their lengths: 2 min / (a + b)
             keys = [k for n, of in by_length.items() if 2 * min(n, len(v.lower())) >= cutoff * (n + len(v.lower())) - 1e-9 for k in of]
             near = difflib.get_close_matches(v.lower(), keys, n=1, cutoff=cutoff)
-            return (difflib.SequenceMatcher(None, near[0], v.lower()).ratio(), near[0], sent.value[near[0]]) if near else (None, None, None)
+            return {"close": difflib.SequenceMatcher(None, near[0], v.lower()).ratio(), "k": near[0], "to": sent.value[near[0]]} if near else None
 
-        return pd.DataFrame([one(v) for v in values], columns=["close", "k", "to"])
+        for batch in batches:
+            found = [(v, c) for v in batch["__v"] if (c := one(v))]
+            yield pd.DataFrame(found, columns=["__v", "__c"])
 
     return closest
 

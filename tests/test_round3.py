@@ -27,3 +27,14 @@ def test_power_of_every_nation(spark):
     want = _sql("pkg_power_by_country", "customer", "nation", "orders")
     assert len(got) == len(want) == 25
     assert sorted((r[0], r[1]) for r in got) == [w[:2] for w in want] and [r[2] for r in sorted(got)] == pytest.approx([w[2] for w in want])
+
+
+def test_only_distinct_spellings_are_compared(spark):
+    from telemill.operators import postprocess as P
+
+    rows = spark.createDataFrame([("Gemany",), ("germany",), ("nowhere",), (None,)] * 50, "country string")
+    out = P.canonicalize(rows, "country", spark.createDataFrame([("Germany",), ("France",)], "country string"))
+    assert sorted((r["country"] or "", r["n"]) for r in out.groupBy("country").count().withColumnRenamed("count", "n").collect()) == [("", 50), ("Germany", 100), ("nowhere", 50)]
+    # the result of a function of columns, filtered on, would go below distinct, onto every row
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "pythonUDF" not in plan
