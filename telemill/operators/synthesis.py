@@ -379,14 +379,17 @@ def fan_out(entities: DataFrame, key: str, items: DataFrame, item: str, weight:
 
         return draw_items(entities.select(key, _how_many(key, mean, seed).alias("__n")), key, items, item, weight, seed)
     race = lambda x: -F.log(S.uniform(F.concat_ws(":", F.col(key).cast("string"), x["i"].cast("string")), seed)) / F.greatest(x["w"], F.lit(1e-12))
-    n = _how_many(key, mean, seed)
     vocabulary = items.agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col(weight).cast("double").alias("w"))).alias("__items"))
-    j = entities.select(key).crossJoin(F.broadcast(vocabulary))  # one row
-    first = F.slice(F.array_sort(F.transform("__items", lambda x: F.struct(race(x).alias("e"), x["i"].alias("i")))), F.lit(1), n)
+    # keys are few bytes and much work: a number of parts is named, or one task would have them all
+    parts = max(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), entities.sparkSession.sparkContext.defaultParallelism)
+    spread = entities.select(key).repartition(parts, key).withColumn("__n", _how_many(key, mean, seed))
+    j = spread.crossJoin(F.broadcast(vocabulary))  # one row
+    first = F.slice(F.sort_array(F.transform("__items", lambda x: F.struct(race(x).alias("e"), x["i"].alias("i")))), F.lit(1), F.col("__n"))
     g = lambda x: -F.log(S.uniform(F.concat_ws(":", F.col(key).cast("string"), x["i"].cast("string")), seed + "s"))
     j = j.select(key, F.transform(first, lambda x: F.struct(x["i"].alias("i"), g(x).alias("g"))).alias("__x"))
     whole = F.aggregate("__x", F.lit(0.0), lambda a, x: a + x["g"])
-    return j.select(key, whole.alias("__all"), F.explode("__x").alias("__x")).select(key, F.col("__x.i").alias(item), S.ratio(F.col("__x.g"), F.col("__all")).alias("share"))
+    j = j.select(key, "__x", whole.alias("__all"))
+    return j.select(key, "__all", F.explode("__x").alias("__x")).select(key, F.col("__x.i").alias(item), S.ratio(F.col("__x.g"), F.col("__all")).alias("share"))
 
 
 def assign_keys(rows: DataFrame, row_key: str, devices: DataFrame, key: str, seed: str) -> DataFrame:

@@ -38,3 +38,14 @@ def test_only_distinct_spellings_are_compared(spark):
     # the result of a function of columns, filtered on, would go below distinct, onto every row
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan and "pythonUDF" not in plan
+
+
+def test_fan_out_spreads_few_bytes_of_keys(spark):
+    from telemill.operators import synthesis as Y
+
+    items = spark.createDataFrame([(f"i{k}", float(k + 1)) for k in range(25)], "item string, w double")
+    keys = spark.range(400).withColumnRenamed("id", "guid").coalesce(1)
+    got = Y.fan_out(keys, "guid", items, "item", "w", 4.0, "f")
+    assert got.rdd.getNumPartitions() > 1  # one file of keys was one task
+    sums = got.groupBy("guid").sum("share").collect()
+    assert len(sums) == 400 and all(r[1] == pytest.approx(1) for r in sums)
