@@ -25,11 +25,16 @@ which edits move less, by the same keys: all within MAX_BITS meet, and those
 beyond that have two segments within one error each, up to the last of REACH
 bits. Candidates leave their task as one spanning forest for each of REACH, so
 that a far candidate never stands in for a near one, and each is verified on the
-texts.
+texts. That finds most links with few comparisons, and misses some: pairs that no
+key brings together, and pairs that a forest left out. Those are found exactly
+(_rivals): two sets that alike share one of the first fifth of their shingles, in
+any order that is the same for all. Only pairs of texts that are not yet in one
+class are verified, so a large group of near copies costs few.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +56,11 @@ EDGES_AT_ONCE = 1_000_000
 #: Five-word shingle similarity of near copies; classes of differing bits of their word fingerprints; seeds of these.
 SIMILARITY, WIDTH, REACH, WORD_SEEDS = 0.8, 5, (3, 6, 9), (42, 43)
 
+#: Shingles that over HOT texts of several classes begin with come last in the order of shingles; so many of them at most are sent to the tasks. Any order finds all pairs.
+HOT, MOST_HOT = 50, 100_000
+#: Keys that are sent to the tasks whole, at most.
+MOST_SENT = 300_000
+
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -91,6 +101,13 @@ def similarity(a: str | None, b: str | None) -> float:
     return len(x & y) / len(x | y)
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the distinct five-word shingles (fewer words: the whole sequence), ascending."""
+    w = _words(text)
+    found = {b" ".join(w[i : i + WIDTH]) for i in range(max(1, len(w) - WIDTH + 1))}
+    return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in found], "<u8").view("<i8"))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -358,6 +375,111 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(_classes(fps), "fp").select("doc_id", "fp", "component_id")
 
 
+_STARTS = "h long, n int, at int, key long, root long"
+
+
+def _starts(texts: DataFrame, late: np.ndarray) -> DataFrame:
+    """texts: key, text, root -> the shingles that a set alike must share one of: the first n - ceil(SIMILARITY n) + 1 of each, late ones last. Copies are skipped within a task."""
+    sent = texts.sparkSession.sparkContext.broadcast(np.sort(late))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                cols: list[list[np.ndarray]] = [[], [], [], [], []]
+                for key, text, root in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
+                    if key in seen:
+                        continue
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(key)
+                    h = shingles(text)
+                    if len(sent.value):
+                        last = np.isin(h, sent.value)
+                        h = np.concatenate([h[~last], h[last]])
+                    n, k = len(h), len(h) - math.ceil(SIMILARITY * len(h) - 1e-9) + 1
+                    for c, x in zip(cols, (h[:k], np.full(k, n), np.arange(k), np.full(k, key), np.full(k, root)), strict=True):
+                        c.append(x)
+                if cols[0]:
+                    h, n, place, key, root = (np.concatenate(c) for c in cols)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(key), pa.array(root)], names=["h", "n", "at", "key", "root"])
+
+    return texts.select("key", "text", "root").mapInArrow(run, _STARTS)
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _starts sorted by h, n, key -> a, b: pairs of one shingle that are of two classes and, by their sizes and the places of the shingle, may be alike."""
+    names = ("h", "n", "at", "key", "root")
+    t = SIMILARITY
+
+    def pairs(h, n, at, key, root) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        if not len(first):
+            return
+        mixed = np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first)
+        ends = np.append(first[1:], len(h))
+        a, b, held = [], [], 0
+        for lo, hi in zip(first[mixed].tolist(), ends[mixed].tolist(), strict=True):
+            least = np.searchsorted(n[lo:hi], np.ceil(t * n[lo:hi] - 1e-9)) + lo
+            for j in range(lo + 1, hi):
+                i = slice(least[j - lo], j)
+                good = (root[i] != root[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) * (1 + t) >= t * (n[i] + n[j]) - 1e-6)
+                x = key[i][good]
+                if len(x):
+                    a.append(np.minimum(x, key[j]))
+                    b.append(np.maximum(x, key[j]))
+                    held += len(x)
+                if held > 200_000:
+                    yield told(a, b)
+                    a, b, held = [], [], 0
+        if held:
+            yield told(a, b)
+
+    def told(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    carry: list[list[np.ndarray]] = []  # batches of the last shingle
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        carry.append([batch.column(c).to_numpy() for c in names])
+        h = carry[-1][0]
+        if h[0] == h[-1] and carry[0][0][0] == h[0]:
+            continue
+        rows = [np.concatenate(x) for x in zip(*carry, strict=True)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield from pairs(*(x[:cut] for x in rows))
+        carry = [[x[cut:] for x in rows]]
+    if carry:
+        yield from pairs(*(np.concatenate(x) for x in zip(*carry, strict=True)))
+
+
+def _rivals(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """texts: key, text; roots: key, root -> a, b: all pairs of texts of different classes that may have SIMILARITY, each once."""
+    roots = F.broadcast(roots) if roots.count() <= MOST_SENT else roots
+    rooted = texts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    often = _starts(rooted, np.zeros(0, np.int64)).groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where(f"c > {HOT} and x < y")
+    late = np.array([r["h"] for r in often.orderBy(F.desc("c"), "h").limit(MOST_HOT).select("h").collect()], np.int64)
+    starts = _starts(rooted, late).repartition("h").sortWithinPartitions("h", "n", "key")
+    return starts.mapInArrow(_pairs_of, "a long, b long").distinct()
+
+
+def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """The edges a, b whose texts have SIMILARITY."""
+
+    def alike(cols: dict[str, list]) -> dict[str, list]:
+        good = [i for i, (x, y) in enumerate(zip(cols["s"], cols["t"], strict=True)) if similarity(x, y) >= SIMILARITY]
+        return {k: [cols[k][i] for i in good] for k in ("a", "b")}
+
+    # texts that have a candidate; their keys are sent whole only while they are few
+    asked = common.settle(edges.select(F.col("a").alias("key")).unionAll(edges.select("b")).distinct())
+    asked = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
+    texts = common.parted(texts.join(asked, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "candidates")
+    met = edges.join(texts.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
+    return common.map_batches(met.select("a", "b", "s", "t"), alike, "a long, b long")
+
+
 def similar_classes(texts: DataFrame) -> DataFrame:
     """texts: key (a hash of the text), text -> key, root: the smallest key that links of SIMILARITY or more reach; texts without a link are left out."""
 
@@ -377,16 +499,12 @@ def similar_classes(texts: DataFrame) -> DataFrame:
         edges = both if edges is None else edges.unionAll(both)
     edges = common.settle(edges.distinct())
 
-    def verified(cols: dict[str, list]) -> dict[str, list]:
-        good = [i for i, (x, y) in enumerate(zip(cols["s"], cols["t"], strict=True)) if similarity(x, y) >= SIMILARITY]
-        return {k: [cols[k][i] for i in good] for k in ("a", "b")}
-
-    # texts that have a candidate; their keys are sent whole only while they are few
-    asked = common.settle(edges.select(F.col("a").alias("key")).unionAll(edges.select("b")).distinct())
-    asked = F.broadcast(asked) if asked.count() <= 300_000 else asked
-    texts = common.parted(texts.join(asked, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "candidates")
-    met = edges.join(texts.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
-    return connected_components(common.map_batches(met.select("a", "b", "s", "t"), verified, "a long, b long")).withColumnRenamed("node", "key")
+    roots = common.settle(connected_components(_verified(edges, texts)).withColumnRenamed("node", "key"))
+    # what no key brought together, and what the forests left out
+    rest = common.settle(_rivals(texts, roots))
+    if rest.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("root").alias("a"), F.col("key").alias("b")).unionAll(_verified(rest, texts))).withColumnRenamed("node", "key")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:

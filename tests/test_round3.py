@@ -49,3 +49,37 @@ def test_fan_out_spreads_few_bytes_of_keys(spark):
     assert got.rdd.getNumPartitions() > 1  # one file of keys was one task
     sums = got.groupBy("guid").sum("share").collect()
     assert len(sums) == 400 and all(r[1] == pytest.approx(1) for r in sums)
+
+
+def test_classes_lose_no_similar_pair(spark):
+    import random
+
+    from telemill.llm import simhash
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(4000)}" for _ in range(120)]
+        texts.append(" ".join(words))
+        for _ in range(25):  # versions, each of an earlier one: chains and near misses
+            base = rng.choice(texts[-3:]).split()
+            for _ in range(rng.choice((1, 2, 3))):
+                base[rng.randrange(len(base))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(base))
+    texts += ["", "one two", "One two", "a a a a a a a a", "a a a a a"]
+    keyed = list(enumerate(texts))
+    up = list(range(len(keyed)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, x in keyed:
+        for j, y in keyed[:i]:
+            if simhash.similarity(x, y) >= simhash.SIMILARITY:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    df = spark.createDataFrame([*keyed, *keyed[:40]], "key long, text string").repartition(3)
+    got = {r["key"]: r["root"] for r in simhash.similar_classes(df).collect()}
+    assert {k: got.get(k, k) for k, _ in keyed} == {k: root(k) for k, _ in keyed}
