@@ -39,12 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, wordhash
 from .components import connected_components
+from .wordhash import hash_words
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -56,10 +58,17 @@ EDGES_AT_ONCE = 1_000_000
 #: Five-word shingle similarity of near copies; classes of differing bits of their word fingerprints; seeds of these.
 SIMILARITY, WIDTH, REACH, WORD_SEEDS = 0.8, 5, (3, 6, 9), (42, 43)
 
-#: Shingles that over HOT texts of several classes begin with come last in the order of shingles; so many of them at most are sent to the tasks. Any order finds all pairs.
-HOT, MOST_HOT = 50, 100_000
+#: Shingles of over HOT texts come last in the order of shingles, the most frequent ones at the end; so many of them at most are sent to the tasks. Any order finds all pairs.
+HOT, MOST_HOT = 20, 100_000
 #: Keys that are sent to the tasks whole, at most.
 MOST_SENT = 300_000
+#: Bits of the sketch of a text's shingles; members of one shingle looked at together, pairs at a time; bytes of texts at a time.
+LEAST_BITS, MOST_BITS, MEMBERS, MEETINGS_AT_ONCE, AT_ONCE = 64, 1024, 1024, 1 << 17, 1 << 22
+
+#: Bytes of words, A-Z as a-z; zero apart words.
+WORD_BYTES = np.arange(1, 257, dtype=np.uint16)
+WORD_BYTES[65:91] += 32
+WORD_BYTES[[9, 10, 11, 12, 13, 32]] = 0
 
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -101,11 +110,31 @@ def similarity(a: str | None, b: str | None) -> float:
     return len(x & y) / len(x | y)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of the distinct five-word shingles (fewer words: the whole sequence), ascending."""
-    w = _words(text)
-    found = {b" ".join(w[i : i + WIDTH]) for i in range(max(1, len(w) - WIDTH + 1))}
-    return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in found], "<u8").view("<i8"))
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the distinct five-word shingles of each text (fewer words: the whole sequence), ascending."""
+    words, at = hash_words(texts, WORD_BYTES)
+    runs = wordhash.shingles(words, WIDTH)
+    sets = []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if hi - lo >= WIDTH:
+            found = np.unique(runs[lo : hi - WIDTH + 1].view("<i8"))
+        elif hi > lo:
+            found = wordhash.shingles(words[lo:hi], hi - lo).view("<i8")
+        else:
+            found = np.zeros(1, np.int64)
+        sets.append(found)
+    return sets
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """For each remainder of the hashes by a power of two, from LEAST_BITS to MOST_BITS, whether an odd number of them has it.
+
+    Two sets differ in as many hashes as their sketches in bits, or more. The
+    halves of a sketch, one xor the other, are the sketch of half as many bits.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(h) - 1).bit_length()))
+    odd = np.bincount(h & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def _signed(x: int) -> int:
@@ -376,93 +405,246 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 _STARTS = "h long, n int, at int, key long, root long"
+_MET = "h long, n int, at int, key long, root long, block int, sketch binary"
 
 
-def _starts(texts: DataFrame, late: np.ndarray) -> DataFrame:
-    """texts: key, text, root -> the shingles that a set alike must share one of: the first n - ceil(SIMILARITY n) + 1 of each, late ones last. Copies are skipped within a task."""
-    sent = texts.sparkSession.sparkContext.broadcast(np.sort(late))
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Batches of key, text and more -> rows of some MB of texts, and their shingles. Copies are skipped within a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        rows, texts, size = [], [], 0
+        keys, columns = batch.column("key").to_pylist(), [c.to_pylist() for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "text"]
+        for i, key in enumerate(keys):
+            if key in seen:
+                continue
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.add(key)
+            rows.append(tuple(c[i] for c in columns))
+            texts.append((batch.column("text")[i].as_py() or "").encode("utf-8", "surrogatepass"))
+            size += len(texts[-1])
+            if size > AT_ONCE:
+                yield rows, shingle_sets(texts)
+                rows, texts, size = [], [], 0
+        if rows:
+            yield rows, shingle_sets(texts)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text -> h, c: shingles that several texts of a task have, and their number; key, sketch: a row for each text."""
+    held, many = [], 0
+
+    def told() -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        h, c = h[c > 2], c[c > 2]
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary())], names=["h", "c", "key", "sketch"])
+
+    for rows, sets in _sets(batches):
+        held += sets
+        many += sum(map(len, sets))
+        if many > 4_000_000:
+            yield told()
+            held, many = [], 0
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], names=["h", "c", "key", "sketch"])
+    if held:
+        yield told()
+
+
+def _starts(texts: DataFrame, late: list[int]) -> DataFrame:
+    """texts: key, text, root (null: the key) -> the shingles that a set alike must share one of: the first n - ceil(SIMILARITY n) + 1 of each, late ones last, in their order."""
+    names = np.array(late, np.int64)
+    by_name = np.argsort(names)
+    sent = texts.sparkSession.sparkContext.broadcast((names[by_name], by_name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                cols: list[list[np.ndarray]] = [[], [], [], [], []]
-                for key, text, root in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
-                    if key in seen:
-                        continue
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(key)
-                    h = shingles(text)
-                    if len(sent.value):
-                        last = np.isin(h, sent.value)
-                        h = np.concatenate([h[~last], h[last]])
-                    n, k = len(h), len(h) - math.ceil(SIMILARITY * len(h) - 1e-9) + 1
-                    for c, x in zip(cols, (h[:k], np.full(k, n), np.arange(k), np.full(k, key), np.full(k, root)), strict=True):
-                        c.append(x)
-                if cols[0]:
-                    h, n, place, key, root = (np.concatenate(c) for c in cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(key), pa.array(root)], names=["h", "n", "at", "key", "root"])
-
-    return texts.select("key", "text", "root").mapInArrow(run, _STARTS)
-
-
-def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _starts sorted by h, n, key -> a, b: pairs of one shingle that are of two classes and, by their sizes and the places of the shingle, may be alike."""
-    names = ("h", "n", "at", "key", "root")
-    t = SIMILARITY
-
-    def pairs(h, n, at, key, root) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        if not len(first):
-            return
-        mixed = np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first)
-        ends = np.append(first[1:], len(h))
-        a, b, held = [], [], 0
-        for lo, hi in zip(first[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            least = np.searchsorted(n[lo:hi], np.ceil(t * n[lo:hi] - 1e-9)) + lo
-            for j in range(lo + 1, hi):
-                i = slice(least[j - lo], j)
-                good = (root[i] != root[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) * (1 + t) >= t * (n[i] + n[j]) - 1e-6)
-                x = key[i][good]
-                if len(x):
-                    a.append(np.minimum(x, key[j]))
-                    b.append(np.maximum(x, key[j]))
-                    held += len(x)
-                if held > 200_000:
-                    yield told(a, b)
-                    a, b, held = [], [], 0
-        if held:
-            yield told(a, b)
-
-    def told(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-    carry: list[list[np.ndarray]] = []  # batches of the last shingle
+        known, place = sent.value
+        for rows, sets in _sets(batches):
+            cols: list[list[np.ndarray]] = [[], [], []]
+            sizes = []
+            for h in sets:
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    last = known[at] == h
+                    h = np.concatenate([h[~last], h[last][np.argsort(place[at[last]])]])
+                n, k = len(h), len(h) - math.ceil(SIMILARITY * len(h) - 1e-9) + 1
+                sizes.append(k)
+                for c, x in zip(cols, (h[:k], np.full(k, n, np.int32), np.arange(k, dtype=np.int32)), strict=True):
+                    c.append(x)
+            key, root = (pa.array([r[i] for r in rows], pa.int64()).take(pa.array(np.repeat(np.arange(len(rows)), sizes))) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), key, root], names=["h", "n", "at", "key", "root"])
+
+    return texts.select("key", "root", "text").mapInArrow(run, _STARTS)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the names, cut so that no group of equal names is split."""
+    carry: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        carry.append([batch.column(c).to_numpy() for c in names])
-        h = carry[-1][0]
-        if h[0] == h[-1] and carry[0][0][0] == h[0]:
+        carry.append(batch)
+        # a whole batch of the group that is being gathered
+        if all(batch.column(c)[0] == batch.column(c)[batch.num_rows - 1] == carry[0].column(c)[0] for c in names):
             continue
-        rows = [np.concatenate(x) for x in zip(*carry, strict=True)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))
-        yield from pairs(*(x[:cut] for x in rows))
-        carry = [[x[cut:] for x in rows]]
+        table = pa.Table.from_batches(carry)
+        last = np.logical_and.reduce([table.column(c).to_numpy() == table.column(c)[table.num_rows - 1].as_py() for c in names])
+        cut = int(np.argmax(last))
+        if cut:
+            yield table.slice(0, cut)
+        carry = table.slice(cut).combine_chunks().to_batches()
     if carry:
-        yield from pairs(*(np.concatenate(x) for x in zip(*carry, strict=True)))
+        yield pa.Table.from_batches(carry)
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _starts sorted by h -> those whose shingle several classes have; a null root is the key."""
+    for rows in _whole_groups(batches, ("h",)):
+        h, key = rows.column("h").to_numpy(), rows.column("key").to_numpy()
+        root = pc.coalesce(rows.column("root"), rows.column("key")).to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(first, len(h)))
+        good = np.repeat(np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first), size)
+        if good.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (h, rows.column("n").to_numpy(), rows.column("at").to_numpy(), key, root)], names=["h", "n", "at", "key", "root"])
+
+
+def _met(starts: DataFrame) -> DataFrame:
+    return common.settle(starts.repartition("h").sortWithinPartitions("h").mapInArrow(_mixed, _STARTS))
+
+
+def _levels(sketches: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Words of each sketch, and for each such number all sketches of so many words or more, folded to it."""
+    words = np.array([len(x) // 8 for x in sketches])
+    at: dict[int, np.ndarray] = {}
+    for w in sorted(set(words.tolist()), reverse=True):
+        m = np.zeros((len(sketches), w), np.uint64)
+        own = words == w
+        m[own] = np.frombuffer(b"".join(x for x in sketches if len(x) == 8 * w), "<u8").reshape(-1, w)
+        for wider, x in at.items():
+            own = words == wider
+            folded = x[own]
+            while folded.shape[1] > w:
+                folded = folded[:, : folded.shape[1] // 2] ^ folded[:, folded.shape[1] // 2 :]
+            m[own] = folded
+        at[w] = m
+    return words, at
+
+
+def _near(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole groups of h and block, sorted by size in each -> keys a, b and the part of their shingles that surely differs: pairs of two classes that, by sizes, places and sketches, may be alike."""
+    h, block, n, place, key, root = (rows.column(c).to_numpy() for c in ("h", "block", "n", "at", "key", "root"))
+    group = np.cumsum(np.concatenate([[False], (h[1:] != h[:-1]) | (block[1:] != block[:-1])]))
+    words, level = _levels(rows.column("sketch").to_pylist())
+    # rows before a row in its group that are large enough
+    least = np.searchsorted(group * (1 << 33) + n, group * (1 << 33) + np.ceil(SIMILARITY * n - 1e-9).astype(np.int64))
+    times = np.arange(len(h)) - least
+    ends = np.cumsum(times)
+    most = (1 - SIMILARITY) / (1 + SIMILARITY)
+    at = 0
+    while at < len(h):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MEETINGS_AT_ONCE, "right")))
+        t = times[at:stop]
+        j = np.repeat(np.arange(at, stop), t)
+        i = np.repeat(least[at:stop] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+        at = stop
+        good = (root[i] != root[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) * (1 + SIMILARITY) >= SIMILARITY * (n[i].astype(np.int64) + n[j]) - 1e-6)
+        i, j = i[good], j[good]
+        both = n[i].astype(np.int64) + n[j]
+        differ = np.zeros(len(i), np.int64)
+        width = np.minimum(words[i], words[j])
+        for w in np.unique(width).tolist():
+            own = width == w
+            differ[own] = np.bitwise_count(level[w][i[own]] ^ level[w][j[own]]).sum(axis=1)
+        near = np.flatnonzero(differ <= most * both + 1e-6)
+        i, j = i[near], j[near]
+        yield np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), differ[near] / both[near]
+
+
+def _pairs_of(whole: bool):
+    """Rows of _MET sorted by h, block, n, key -> a, b: all pairs of _near, or of them a forest of the nearest ones of each task."""
+
+    def told(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        held, many = [], 0
+
+        def chosen() -> pa.RecordBatch:
+            a, b, differ = (np.concatenate(x) for x in zip(*held, strict=True))
+            if whole:
+                return told(*np.unique(np.stack([a, b]), axis=1))
+            order = np.argsort(differ, kind="stable")
+            a, b = a[order], b[order]
+            kept, step = [], 4096
+            while len(a):
+                for u, v in zip(a[:step].tolist(), b[:step].tolist(), strict=True):
+                    if forest.unite(u, v):
+                        kept.append((u, v))
+                a, b = a[step:], b[step:]
+                if len(a) > step:  # most pairs are connected before long: they go by arrays
+                    names, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    roots = np.array([forest.root(v) for v in names.tolist()])[back]
+                    news = roots[: len(a)] != roots[len(a) :]
+                    a, b = a[news], b[news]
+            kept = np.array(kept, np.int64).reshape(-1, 2)
+            return told(kept[:, 0], kept[:, 1])
+
+        for rows in _whole_groups(batches, ("h", "block")):
+            for part in _near(rows):
+                held.append(part)
+                many += len(part[0])
+                if many > 2_000_000:
+                    yield chosen()
+                    held, many = [], 0
+        if held:
+            yield chosen()
+
+    return run
+
+
+def _pairs(met: DataFrame, sketches: DataFrame, whole: bool) -> DataFrame:
+    """met: rows of _met; sketches: key, sketch -> a, b: pairs that may be alike, each once. A large group is dealt out in pairs of blocks of its members."""
+    hot = common.settle(met.groupBy("h").count().where(F.col("count") > MEMBERS).select("h", F.ceil(F.col("count") / MEMBERS).cast("int").alias("blocks")))
+    dealt = met.withColumn("block", F.lit(0))
+    if n_hot := hot.count():
+        side = F.broadcast(hot) if n_hot <= MOST_HOT else hot
+        own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
+        dealt = met.join(side, "h", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
+        dealt = dealt.select("h", "n", "at", "key", "root", (F.greatest("own", "other") * 65536 + F.least("own", "other")).alias("block"))
+    rows = dealt.join(sketches, "key").select("h", "n", "at", "key", "root", "block", "sketch")
+    found = rows.repartition("h", "block").sortWithinPartitions("h", "block", "n", "key").mapInArrow(_pairs_of(whole), "a long, b long")
+    return common.settle(found.distinct())
 
-def _rivals(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """texts: key, text; roots: key, root -> a, b: all pairs of texts of different classes that may have SIMILARITY, each once."""
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the root of their key; null: the key itself."""
     roots = F.broadcast(roots) if roots.count() <= MOST_SENT else roots
-    rooted = texts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    often = _starts(rooted, np.zeros(0, np.int64)).groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where(f"c > {HOT} and x < y")
-    late = np.array([r["h"] for r in often.orderBy(F.desc("c"), "h").limit(MOST_HOT).select("h").collect()], np.int64)
-    starts = _starts(rooted, late).repartition("h").sortWithinPartitions("h", "n", "key")
-    return starts.mapInArrow(_pairs_of, "a long, b long").distinct()
+    return rows.join(roots, "key", "left")
+
+
+def _completed(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """roots, with the links of SIMILARITY of texts (key, text) between its classes.
+
+    Twice: by a forest of the nearest pairs of each task, which joins most of a
+    large group by few rows, then by all pairs that are still of two classes.
+    """
+    known = common.parted(texts.select("key", "text").mapInArrow(_counted, "h long, c long, key long, sketch binary"), "shingles")
+    often = known.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c")).where(f"c > {HOT}")
+    late = [r["h"] for r in often.orderBy(F.desc("c"), "h").limit(MOST_HOT).select("h").collect()][::-1]
+    sketches = known.where("key IS NOT NULL").groupBy("key").agg(F.min("sketch").alias("sketch"))
+    met = _met(_starts(_rooted(texts, roots), late))
+    for whole in (False, True):
+        pairs = _pairs(met, sketches, whole)
+        if pairs.isEmpty():
+            break
+        joined = roots.select(F.col("root").alias("a"), F.col("key").alias("b")).unionAll(_verified(pairs, texts))
+        roots = common.settle(connected_components(joined).withColumnRenamed("node", "key"))
+        if not whole:
+            met = _met(_rooted(met.drop("root"), roots).select("h", "n", "at", "key", "root"))
+    return roots
 
 
 def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
@@ -501,10 +683,7 @@ def similar_classes(texts: DataFrame) -> DataFrame:
 
     roots = common.settle(connected_components(_verified(edges, texts)).withColumnRenamed("node", "key"))
     # what no key brought together, and what the forests left out
-    rest = common.settle(_rivals(texts, roots))
-    if rest.isEmpty():
-        return roots
-    return connected_components(roots.select(F.col("root").alias("a"), F.col("key").alias("b")).unionAll(_verified(rest, texts))).withColumnRenamed("node", "key")
+    return _completed(texts, roots)
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:

@@ -34,10 +34,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All words' hashes in order, and where each text's begin (one more entry than texts)."""
-    coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = _FOLD[np.frombuffer(b" ".join([*coded, b""]), np.uint8)]
+def hash_words(texts: list[str | bytes | None], fold: np.ndarray = _FOLD) -> tuple[np.ndarray, np.ndarray]:
+    """All words' hashes in order, and where each text's begin (one more entry than texts). fold: what each byte counts as, zero apart words."""
+    coded = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = fold[np.frombuffer(b" ".join([*coded, b""]), np.uint8)]
     ends = np.cumsum([len(c) + 1 for c in coded]) if coded else np.zeros(0, int)
     word = np.zeros(len(data) + 2, np.int8)
     word[1:-1] = data != 0

@@ -83,3 +83,33 @@ def test_classes_lose_no_similar_pair(spark):
     df = spark.createDataFrame([*keyed, *keyed[:40]], "key long, text string").repartition(3)
     got = {r["key"]: r["root"] for r in simhash.similar_classes(df).collect()}
     assert {k: got.get(k, k) for k, _ in keyed} == {k: root(k) for k, _ in keyed}
+
+
+def test_a_large_group_of_unlike_texts_makes_few_candidates(spark, monkeypatch):
+    import random
+
+    from telemill.llm import simhash
+
+    rng, asked = random.Random(7), []
+    base, texts = [f"w{k}" for k in range(120)], []
+    for k in range(200):  # versions of one text, each with edits of its own: too far apart for a link
+        words = list(base)
+        for at in rng.sample(range(120), 5):
+            words[at] = f"x{k} {at}"
+        texts.append(" ".join(words))
+    texts += [texts[0] + " end", texts[1] + " end"]
+    verified = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda edges, docs: asked.append(edges.count()) or verified(edges, docs))
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3)
+    roots = spark.createDataFrame([], "key long, root long")
+    rest = simhash._completed(df, roots) if hasattr(simhash, "_completed") else simhash._verified(simhash._rivals(df, roots), df)
+    rest.count()
+    assert sum(asked) < 5 * len(texts)
+    up = {k: k for k in range(len(texts))}
+    pairs = [(i, j) for j in up for i in range(j) if simhash.similarity(texts[i], texts[j]) >= simhash.SIMILARITY]
+    for i, j in pairs:
+        a, b = sorted((up[i], up[j]))
+        up = {k: a if r == b else r for k, r in up.items()}
+    assert pairs
+    got = {r["key"]: r["root"] for r in rest.collect()}
+    assert {k: got.get(k, k) for k in up} == up
