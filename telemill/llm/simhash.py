@@ -27,9 +27,11 @@ bits. Candidates leave their task as one spanning forest for each of REACH, so
 that a far candidate never stands in for a near one, and each is verified on the
 texts. That finds most links with few comparisons, and misses some: pairs that no
 key brings together, and pairs that a forest left out. Those are found exactly
-(_rivals): two sets that alike share one of the first fifth of their shingles, in
-any order that is the same for all. Only pairs of texts that are not yet in one
-class are verified, so a large group of near copies costs few.
+(_completed): two sets that alike share one of the first fifth of their shingles,
+in any order that is the same for all. Pairs of two classes that share one are
+compared inside the task by sketches, which tell how much two sets differ at
+least, so that none alike is lost. First only a forest of each task's nearest
+pairs leaves it, and is verified; then all pairs that are still of two classes.
 """
 
 from __future__ import annotations
