@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Narrow rows that one task takes where there are few.
+ROWS_AT_ONCE = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,6 +53,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """As settle, for narrow rows that may be few: in as many tasks as their number asks for, so that their next shuffle writes few files."""
+    df = settle(df)
+    return df.coalesce(max(1, -(-df.count() // ROWS_AT_ONCE)))
+
+
 def parted(df: DataFrame, what: str) -> DataFrame:
     """As settle, in Parquet: columnar and compressed, for rows that carry texts or bytes."""
     path = shared_path(df.sparkSession, what)

@@ -618,7 +618,7 @@ def _pairs(met: DataFrame, sketches: DataFrame, whole: bool) -> DataFrame:
         dealt = dealt.select("h", "n", "at", "key", "root", (F.greatest("own", "other") * 65536 + F.least("own", "other")).alias("block"))
     rows = dealt.join(sketches, "key").select("h", "n", "at", "key", "root", "block", "sketch")
     found = rows.repartition("h", "block").sortWithinPartitions("h", "block", "n", "key").mapInArrow(_pairs_of(whole), "a long, b long")
-    return common.settle(found.distinct())
+    return common.gathered(found.distinct())
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -657,13 +657,22 @@ def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
         return {k: [cols[k][i] for i in good] for k in ("a", "b")}
 
     # texts that have a candidate; their keys are sent whole only while they are few
-    asked = common.settle(edges.select(F.col("a").alias("key")).unionAll(edges.select("b")).distinct())
+    asked = common.gathered(edges.select(F.col("a").alias("key")).unionAll(edges.select("b")).distinct())
     asked = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
     texts = common.parted(texts.join(asked, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "candidates")
     met = edges.join(texts.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
     return common.map_batches(met.select("a", "b", "s", "t"), alike, "a long, b long")
 
 
+def _led(edges: DataFrame, leads: DataFrame) -> DataFrame:
+    """edges: a, b; leads: fp, lead -> x, y: the leads of a and b. Few edges are sent to the leads, many go by shuffles."""
+    edges = common.gathered(edges)
+    if edges.count() <= MOST_SENT:
+        asked = edges.select(F.col("a").alias("fp")).unionAll(edges.select("b"))
+        leads = F.broadcast(common.gathered(leads.join(F.broadcast(asked), "fp", "left_semi")))
+    return edges.join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+
+
 def similar_classes(texts: DataFrame) -> DataFrame:
     """texts: key (a hash of the text), text -> key, root: the smallest key that links of SIMILARITY or more reach; texts without a link are left out."""
 
@@ -678,10 +687,10 @@ def similar_classes(texts: DataFrame) -> DataFrame:
         own = prints.select("key", F.col(f"fp{k}").alias("fp"))
         leads = common.settle(own.groupBy("fp").agg(F.min("key").alias("lead")))
         same = own.join(leads, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
-        far = thin(links(leads.select("fp"), REACH), REACH).join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+        far = _led(thin(links(leads.select("fp"), REACH), REACH), leads)
         both = same.unionAll(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         edges = both if edges is None else edges.unionAll(both)
-    edges = common.settle(edges.distinct())
+    edges = common.gathered(edges.distinct())
 
     roots = common.settle(connected_components(_verified(edges, texts)).withColumnRenamed("node", "key"))
     # what no key brought together, and what the forests left out
