@@ -268,9 +268,7 @@ _JUDGED = f"{_scored_sql()}, v AS (SELECT query, query_type, method, count(*)::B
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    m = _scored(spark, d)
-    methods = ("mst", "pertable")
-    return reduce(DataFrame.unionByName, (E.judge(m.where(F.col("method") == x)).withColumn("method", F.lit(x)) for x in methods))
+    return E.judge(_scored(spark, d), ["method"])
 
 
 @_query(f"WITH {_JUDGED} SELECT query, query_type, method, n_metrics, n_passed, round(score, 6) AS score, score >= 0.5 AS passed FROM v")
