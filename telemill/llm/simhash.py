@@ -56,6 +56,8 @@ SHINGLE = 3
 BLOCK, PAIRS_AT_ONCE = 8192, 1 << 14
 #: Links that a task thins out.
 EDGES_AT_ONCE = 1_000_000
+#: Pairs that a task holds before it chooses of them.
+PAIRS_HELD = 500_000
 
 #: Five-word shingle similarity of near copies; classes of differing bits of their word fingerprints; seeds of these.
 SIMILARITY, WIDTH, REACH, WORD_SEEDS = 0.8, 5, (3, 6, 9), (42, 43)
@@ -65,7 +67,7 @@ HOT, MOST_HOT = 20, 100_000
 #: Keys that are sent to the tasks whole, at most.
 MOST_SENT = 300_000
 #: Bits of the sketch of a text's shingles; members of one shingle looked at together, pairs at a time; bytes of texts at a time.
-LEAST_BITS, MOST_BITS, MEMBERS, MEETINGS_AT_ONCE, AT_ONCE = 64, 1024, 1024, 1 << 17, 1 << 22
+LEAST_BITS, MOST_BITS, MEMBERS, MEETINGS_AT_ONCE, AT_ONCE = 64, 1024, 1024, 1 << 16, 1 << 20
 
 #: Bytes of words, A-Z as a-z; zero apart words.
 WORD_BYTES = np.arange(1, 257, dtype=np.uint16)
@@ -437,8 +439,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, many = [], 0
 
     def told() -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        h, c = h[c > 2], c[c > 2]
+        x = np.concatenate(held)
+        held.clear()
+        x.sort()
+        # of c equal ones all but two, so that arrays of all distinct ones aren't made
+        h, c = np.unique(x[:-2][x[2:] == x[:-2]], return_counts=True)
+        c += 2
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary())], names=["h", "c", "key", "sketch"])
 
     for rows, sets in _sets(batches):
@@ -446,7 +452,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many += sum(map(len, sets))
         if many > 4_000_000:
             yield told()
-            held, many = [], 0
+            many = 0
         n = len(rows)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], names=["h", "c", "key", "sketch"])
     if held:
@@ -597,7 +603,7 @@ def _pairs_of(whole: bool):
             for part in _near(rows):
                 held.append(part)
                 many += len(part[0])
-                if many > 2_000_000:
+                if many > PAIRS_HELD:
                     yield chosen()
                     held, many = [], 0
         if held:
@@ -707,7 +713,8 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     # a row of docs travels as one struct, so its columns may have any names
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(common.whole_text().cast("string")).alias("key"))
     slim = common.settle(rows.select("id", "key").groupBy("id", "key").agg(F.count("*").alias("n")))
-    roots = similar_classes(docs.select(F.xxhash64(common.whole_text().cast("string")).alias("key"), common.whole_text().cast("string").alias("text")))
+    with common.small_batches(docs.sparkSession):
+        roots = similar_classes(docs.select(F.xxhash64(common.whole_text().cast("string")).alias("key"), common.whole_text().cast("string").alias("text")))
     classed = slim.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     first = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select(F.col("x.id").alias("kept_id"), F.col("x.key").alias("kept_key"))
     kept = rows.join(first, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")

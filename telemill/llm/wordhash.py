@@ -19,6 +19,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[np.uint64, np.ndarray] = {}
 
+#: Bytes that are summed at once, eight bytes of memory each and more; a longer word goes whole.
+SUMMED_AT_ONCE = 1 << 18
+
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
     if len(_powers.get(base, ())) < n:
@@ -43,9 +46,16 @@ def hash_words(texts: list[str | bytes | None], fold: np.ndarray = _FOLD) -> tup
     word[1:-1] = data != 0
     turn = np.diff(word)
     first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data.astype(np.uint64) * _power(_BASE, len(data)), out=sums[1:])
-    hashes = mix((sums[last] - sums[first]) * _power(_INVERSE, len(data) + 1)[first]) if len(first) else np.zeros(0, np.uint64)
+    hashes = np.zeros(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        stop = max(at + 1, int(np.searchsorted(last, first[at] + SUMMED_AT_ONCE, "right")))
+        part = data[first[at] : last[stop - 1]]
+        lo, hi = first[at:stop] - first[at], last[at:stop] - first[at]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _power(_BASE, len(part)), out=sums[1:])
+        hashes[at:stop] = mix((sums[hi] - sums[lo]) * _power(_INVERSE, len(part) + 1)[lo])
+        at = stop
     return hashes, np.concatenate([[0], np.searchsorted(first, ends)])
 
 
